@@ -81,8 +81,9 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
     unique = prefixes.groupBy("prefix").agg(F.max("target").alias("target"))
     lengths = unique.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("x")).scalar()
     p = F.col(path)
-    cuts = F.transform(F.filter(lengths, lambda n: n <= F.length(p)), lambda n: F.substr(p, F.lit(1), n))
-    candidates = df.select(F.col(key), F.explode(cuts).alias("prefix"))
+    tried = df.select(key, path).withColumn("__lengths", lengths)
+    tried = tried.select(key, path, F.explode("__lengths").alias("__n")).where(F.col("__n") <= F.length(p))
+    candidates = tried.select(key, F.substr(p, F.lit(1), F.col("__n")).alias("prefix"))
     best = (
         candidates.join(unique, "prefix")
         .groupBy(key)

@@ -22,19 +22,16 @@ PATH_MAP = {
 
 
 def text_sql(template: str) -> str:
-    """SQL text expression for a template; <name> inserts a column as text.
+    """SQL text expression for a template.
 
     Quotes, line breaks and $ are spelled by code, which reads alike in both dialects.
     """
-    parts: list[str] = []
-    for piece in re.split(r"(<\w+>|'|\n|\$|\\)", template):
-        if piece in ("'", "\n", "$", "\\"):
-            parts.append(f"chr({ord(piece)})")
-        elif re.fullmatch(r"<\w+>", piece):
-            parts.append(f"CAST({piece[1:-1]} AS STRING)")
-        elif piece:
-            parts.append(f"'{piece}'")
-    return f"concat({', '.join(parts)})"
+    parts = [
+        f"chr({ord(piece)})" if piece in ("'", "\n", "$") else f"'{piece}'"
+        for piece in re.split(r"('|\n|\$)", template)
+        if piece
+    ]
+    return f"concat({', '.join(parts)})" if parts else "''"
 
 
 # --- a corpus of source files from documents ------------------------------------
@@ -99,38 +96,45 @@ _EVENT = (
 _TAGS = ("g", "a", "up", "far", "down")
 
 
-def _marked(template: str) -> str:
-    """Only the insert marks stay in <>; other angle brackets are text."""
-    for word in set(re.findall(r"<(\w+)>", template)) - set(_TAGS):
-        template = template.replace(f"<{word}>", f"\x02{word}\x03")
-    return text_sql(template).replace("\x02", "<").replace("\x03", ">")
+# how the document text follows the opening, and what closes the file
+_VARIANTS = (
+    [(i, p, h, "comment" if i in (8, 9, 10, 11) else "plain", "\n```" if i == 14 else "") for i, (p, h) in enumerate(zip(_PATHS, _HEADS))]
+    + [
+        # an event cut short, one without its id, a script left in a code fence
+        (16, _PATHS[6], _EVENT, "escape", ""),
+        (17, _PATHS[6], _EVENT.replace("<EventId>EVT_<g></EventId>", ""), "escape", "</Description></Event>"),
+        (18, _PATHS[11], "```python", "comment", "\n```"),
+    ]
+)
+_VARIANTS[6] = (6, _PATHS[6], _EVENT, "escape", "</Description></Event>")
 
 
-def _case(templates: list[str]) -> str:
-    arms = " ".join(f"WHEN {i} THEN {_marked(t)}" for i, t in enumerate(templates))
-    return f"CASE kind {arms} END"
+def _values() -> str:
+    rows = []
+    for number, path, head, mode, tail in _VARIANTS:
+        opening = head if mode == "escape" else head + "\n"
+        marked = [re.sub(r"<(g|a|up|far|down)>", r"[[\1]]", t) for t in (path, opening)]
+        rows.append(f"({number}, {text_sql(marked[0])}, {text_sql(marked[1])}, '{mode}', {text_sql(tail)})")
+    return ", ".join(rows)
 
 
-_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-_COMMENTED = "concat('# ', replace(text, chr(10), concat(chr(10), '# ')))"
-# an event without its id, one that waits for an unknown event, one cut short
-_EVENT_TEXT = (
-    f"CASE WHEN g % 5 = 4 THEN concat({_marked(_EVENT)}, {_ESCAPED})"
-    f" WHEN g % 7 = 3 THEN concat(replace({_marked(_EVENT)}, concat('<EventId>EVT_', CAST(g AS STRING), '</EventId>'), ''), {_ESCAPED}, '</Description></Event>')"
-    f" ELSE concat({_marked(_EVENT)}, {_ESCAPED}, '</Description></Event>') END"
-)
+def _filled(col: str) -> str:
+    for mark in ("g", "a", "up", "far", "down"):
+        col = f"replace({col}, '[[{mark}]]', CAST({mark} AS STRING))"
+    return col
+
 
 FILES = f"""
-SELECT doc_id, kind, g, {_case(_PATHS)} AS rel_path,
-  CASE WHEN kind = 6 THEN {_EVENT_TEXT}
-       WHEN kind = 11 AND g % 4 = 1 THEN concat({_marked('```python')}, chr(10), {_COMMENTED}, chr(10), '```')
-       WHEN kind IN (8, 9, 10, 11) THEN concat({_case(_HEADS)}, chr(10), {_COMMENTED})
-       WHEN kind = 14 THEN concat({_case(_HEADS)}, chr(10), text, chr(10), '```')
-       ELSE concat({_case(_HEADS)}, chr(10), text) END AS content
-FROM (SELECT doc_id, text, source, lang, n_chars, doc_id % 16 AS kind, {_G} AS g, {_G} % 7 AS a,
+SELECT doc_id, kind, g, {_filled('path')} AS rel_path, concat({_filled('head')},
+    CASE mode WHEN 'plain' THEN text WHEN 'comment' THEN concat('# ', replace(text, chr(10), concat(chr(10), '# ')))
+      ELSE replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END, tail) AS content
+FROM (SELECT doc_id, text, doc_id % 16 AS kind, {_G} AS g, {_G} % 7 AS a,
         CASE WHEN {_G} % 6 = 5 THEN {_G} + 100000000 ELSE {_G} - 1 END AS up,
-        CAST(floor({_G} / 2) AS BIGINT) AS far, {_G} + 1 AS down
+        CAST(floor({_G} / 2) AS BIGINT) AS far, {_G} + 1 AS down,
+        CASE WHEN doc_id % 16 = 6 AND {_G} % 5 = 4 THEN 16 WHEN doc_id % 16 = 6 AND {_G} % 7 = 3 THEN 17
+             WHEN doc_id % 16 = 11 AND {_G} % 4 = 1 THEN 18 ELSE doc_id % 16 END AS variant
       FROM documents) d
+JOIN (VALUES {_values()}) t(number, path, head, mode, tail) ON variant = number
 """
 
 # --- run state from documents and labels ------------------------------------------
