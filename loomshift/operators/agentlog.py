@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,10 +86,11 @@ def usage_cost(usage: DataFrame, key: str = "session_id") -> DataFrame:
         "cache_write": fixed.PRICE_CACHE_WRITE,
     }
     sums = usage.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in prices])
-    cost: Column = F.lit(0).cast("decimal(38,2)")
+    cost: Column = F.lit(0).cast("decimal(28,8)")
     for c, price in prices.items():
-        cost = cost + F.col(c).cast("decimal(20,0)") * F.lit(price).cast("decimal(4,2)")
-    return sums.withColumn("cost", (cost / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(30,6)"))
+        per_token = F.lit(Decimal(price) / 1_000_000).cast("decimal(10,8)")
+        cost = cost + F.col(c).cast("decimal(20,0)") * per_token
+    return sums.withColumn("cost", cost.cast("decimal(30,8)"))
 
 
 def capped_steps(steps: DataFrame, key: str = "session_id", order: str = "step_ts", tie: str = "event_id",

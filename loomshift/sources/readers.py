@@ -46,8 +46,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
         "path",
         F.substr(path, F.length(prefix) + 1).alias("rel_path"),
         F.col("length").alias("size"),
-        # the reader of bytes replaces what is not UTF-8
-        F.decode(F.col("content"), F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 

@@ -28,7 +28,14 @@ def overwrite_partitions(df: DataFrame, table: str) -> None:
     """
     spark = df.sparkSession
     names = spark.table(table).columns
-    df.select(*names).write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    # inserts into a table take the mode from the session only
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        df.select(*names).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def append_rows(df: DataFrame, table: str) -> None:

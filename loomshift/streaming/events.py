@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomshift import fixed
 
@@ -45,7 +46,7 @@ def permission_outcomes(stream: DataFrame, timeout_s: int = fixed.PERMISSION_TIM
         (F.col("session_id") == F.col("s"))
         & (F.col("id") == F.col("i"))
         & (F.col("said_at") >= F.col("asked_at"))
-        & (F.col("said_at") <= F.col("asked_at") + F.make_dt_interval(secs=F.lit(timeout_s)))
+        & (F.col("said_at") <= F.col("asked_at") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS"))
     )
     joined = asked.join(said, in_time, "left_outer")
     return joined.select(
@@ -101,7 +102,7 @@ def run_upsert(job: DataFrame, folder: str, keys: list[str]) -> DataFrame:
 
 
 def latest(spark: SparkSession, folder: str, like: DataFrame, keys: list[str]) -> DataFrame:
-    written = spark.read.schema(like.schema.add("batch", "long")).parquet(folder)
+    written = spark.read.schema(T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
     values = [c for c in like.columns if c not in keys]
     newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, "v.*")
