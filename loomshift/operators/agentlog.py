@@ -66,7 +66,8 @@ def permission_outcomes(log: DataFrame, timeout_s: int = fixed.PERMISSION_TIMEOU
     """
     resolved = F.col("kind") == "permission_resolved"
     answer = F.when(resolved, F.struct(F.col("ts").alias("at"), F.col("decision").alias("said")))
-    seen = OrderedGroups(log, ["session_id"], ["ts", "event_id"], max_rows).next_known(answer, "next").result()
+    asked_or_said = log.where(F.col("kind").isin("permission_request", "permission_resolved"))
+    seen = OrderedGroups(asked_or_said, ["session_id"], ["ts", "event_id"], max_rows).next_known(answer, "next").result()
     requests = seen.where(F.col("kind") == "permission_request")
     waited = F.unix_micros(F.col("next.at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     in_time = F.coalesce(waited <= timeout_s * 1_000_000, F.lit(False))
@@ -121,10 +122,9 @@ def idle_sessions(log: DataFrame, gap_s: int = fixed.IDLE_GAP_S, key: str = "ses
     """Stretches of events without a silence of `gap_s` or more: key, stretch, started, ended, events."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     timed = log.select(key, "event_id", "ts", micros.alias("at"))
-    spaced = OrderedGroups(timed, [key], ["ts", "event_id"], max_rows).lag(F.col("at"), "prior").result()
+    spaced = OrderedGroups(timed, [key], ["ts", "event_id"], max_rows).lag(F.col("at"), "prior")
     opens = F.when(F.col("prior").isNull() | (F.col("at") - F.col("prior") >= gap_s * 1_000_000), 1).otherwise(0)
-    counted = OrderedGroups(spaced.withColumn("opens", opens), [key], ["ts", "event_id"], max_rows)
-    numbered = counted.running_sum(F.col("opens"), "stretch").result()
+    numbered = spaced.then(opens=opens).running_sum(F.col("opens"), "stretch").result()
     return numbered.groupBy(key, "stretch").agg(
         F.min("at").alias("started"), F.max("at").alias("ended"), F.count(F.lit(1)).alias("events")
     )

@@ -153,11 +153,14 @@ def reconcile_edges(found: DataFrame) -> DataFrame:
 
 
 def function_usage(files: DataFrame, names: Sequence[str] = fixed.CATALOGUE) -> DataFrame:
-    """How often each catalogued function is called in each file."""
+    """How often each catalogued function is called in each file; no shuffle, a file is one row."""
     calls = F.transform(F.regexp_extract_all("content", F.lit(r"(\w+)\s*\("), F.lit(1)), F.lower)
     listed = F.filter(calls, lambda c: c.isin(list(names)))
-    used = files.select("rel_path", F.explode(listed).alias("function"))
-    return used.groupBy("rel_path", "function").agg(F.count(F.lit(1)).alias("uses"))
+    per_file = F.transform(
+        F.array_distinct("calls"),
+        lambda f: F.struct(f.alias("function"), F.size(F.filter("calls", lambda c: c == f)).cast("bigint").alias("uses")),
+    )
+    return files.select("rel_path", listed.alias("calls")).select("rel_path", F.inline(per_file))
 
 
 def config_entries(files: DataFrame, dataset_map: Mapping[str, str]) -> DataFrame:

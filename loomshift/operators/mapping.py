@@ -82,15 +82,18 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
     lengths = unique.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("x")).scalar()
     p = F.col(path)
     tried = df.select(key, path).withColumn("__lengths", lengths)
-    tried = tried.select(key, path, F.explode("__lengths").alias("__n")).where(F.col("__n") <= F.length(p))
-    candidates = tried.select(key, F.substr(p, F.lit(1), F.col("__n")).alias("prefix"))
+    tried = tried.select(key, path, F.explode_outer("__lengths").alias("__n"))
+    candidates = tried.select(
+        key, path, F.when(F.col("__n") <= F.length(p), F.substr(p, F.lit(1), F.col("__n"))).alias("prefix")
+    )
+    found = F.when(F.col("target").isNotNull(), F.length("prefix"))
     best = (
-        candidates.join(unique, "prefix")
-        .groupBy(key)
-        .agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("best"))
+        candidates.join(unique, "prefix", "left")
+        .groupBy(key, path)
+        .agg(F.max_by(F.struct("prefix", "target"), found).alias("best"))
     )
     target = F.concat(F.col("best.target"), F.substr(p, F.length("best.prefix") + 1))
-    return df.join(best, key, "left").select(
+    return best.select(
         key, path, F.col("best.prefix").alias("prefix"),
         F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"),
     )

@@ -13,10 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows one task may sort for one group.
+# Rows one task may sort for one group.  N rows hold at most N / MAX_GROUP_ROWS
+# larger groups and OVERSPLIT times as many slices: 10^12 rows (100 TB at 100
+# bytes) give at most 250,000 broadcast group rows and about a million slice
+# rows, and only if every group is that large.
 MAX_GROUP_ROWS = 4_000_000
 # Slices per max_rows rows, so that uneven slices still fit.
-OVERSPLIT = 8
+OVERSPLIT = 4
+# Spark cuts groups before the shuffle up to this rank.
+GROUP_LIMIT = 1000
 
 PART = "__part"
 SPLIT = "__split"
@@ -43,10 +48,13 @@ class OrderedGroups:
     """Window-like columns over `keys`, ordered by `order`.
 
     `order` names columns, with a leading '-' for descending.  Groups are cut by
-    the first order column only, so rows that tie on it stay together.
+    the first order column only, so rows that tie on it stay together.  Carried
+    values (lag, lead, next_known) should be narrow: they are broadcast.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_GROUP_ROWS):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_GROUP_ROWS,
+                 is_tagged: bool = False):
+        self.is_tagged = is_tagged
         self.keys = keys
         self.names = [o.lstrip("-") for o in order]
         self.descending = [o.startswith("-") for o in order]
@@ -65,6 +73,8 @@ class OrderedGroups:
     # -- slices --------------------------------------------------------------
 
     def _tagged(self) -> DataFrame:
+        if self.is_tagged:
+            return self.source
         number = order_number(self.source, self.names[0])
         value = -number if self.descending[0] else number
         hot_keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)]
@@ -191,7 +201,15 @@ class OrderedGroups:
 
     # -- result ------------------------------------------------------------------
 
+    def then(self, **computed: Column) -> OrderedGroups:
+        """A second pass over this one's columns: same slices, no further shuffle."""
+        order = [("-" if d else "") + n for n, d in zip(self.names, self.descending)]
+        return OrderedGroups(self._computed().withColumns(computed), self.keys, order, self.max_rows, is_tagged=True)
+
     def result(self) -> DataFrame:
+        return self._computed().drop(PART, SPLIT)
+
+    def _computed(self) -> DataFrame:
         tagged = self._tagged()
         totals: dict[str, Column] = {}
         carries: dict[str, Column] = {}
@@ -212,10 +230,10 @@ class OrderedGroups:
         condition = F.col(SPLIT) & (F.col(PART) == F.col("__slice"))
         for i, k in enumerate(self.keys):
             condition = condition & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        # one row per slice of a hot group: at most OVERSPLIT * rows / max_rows, plus one each
+        # one row per slice of a hot group, see MAX_GROUP_ROWS
         joined = local.join(F.broadcast(per_slice), condition, "left")
         return joined.select(
-            *self.source.columns, *[combined.alias(out) for out, _, _, _, combined in self.specs]
+            *tagged.columns, *[combined.alias(out) for out, _, _, _, combined in self.specs]
         )
 
 
@@ -244,5 +262,7 @@ def listed_set(df: DataFrame, keys: list[str], value: str, max_items: int = 10_0
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "row_number") -> DataFrame:
     """First n rows per group.  Spark cuts each map task to n rows per group
     before the shuffle (WindowGroupLimit), so a hot group stays small."""
+    if n > GROUP_LIMIT:
+        raise ValueError(f"beyond {GROUP_LIMIT} rows number the groups with OrderedGroups")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window).cast("bigint")).where(F.col(out) <= n)

@@ -17,57 +17,57 @@ HEAD_LINES = 5
 
 def counts(log: DataFrame) -> DataFrame:
     """passed, failed, errors per run; the last statement of each kind wins."""
-    found = log.where(F.col("line").rlike(fixed.LOG_COUNT)).select(
-        "run_id", "line_no",
-        F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1)).alias("ns"),
-        F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2)).alias("kinds"),
-    )
-    each = found.select("run_id", "line_no", F.posexplode(F.arrays_zip("ns", "kinds")).alias("pos", "m"))
-    n, kind, place = F.col("m.ns").cast("bigint"), F.col("m.kinds"), F.struct("line_no", "pos")
-
-    def last(is_kind):
-        return F.max_by(n, F.when(is_kind, place))
-
-    tally = each.groupBy("run_id").agg(
-        last(kind == "passed").alias("passed"),
-        last(kind == "failed").alias("failed"),
-        last(F.startswith(kind, F.lit("error"))).alias("errors"),
-    )
-    return (
-        log.select("run_id").distinct().join(tally, "run_id", "left")
-        .na.fill(0, ["passed", "failed", "errors"])
+    # matches of a line are read in place, so a run is one partial aggregate per task
+    ns = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1))
+    kinds = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2))
+    stated = F.when(F.col("line").rlike(fixed.LOG_COUNT), F.arrays_zip(ns.alias("n"), kinds.alias("kind")))
+    marked = log.select("run_id", "line_no", stated.alias("stated"))
+
+    def last(prefix):
+        hits = F.filter("stated", lambda m: F.startswith(m["kind"], F.lit(prefix)))
+        n = F.get(hits, F.size(hits) - 1)["n"].cast("bigint")
+        return F.coalesce(F.max_by(n, F.when(n.isNotNull(), F.col("line_no"))), F.lit(0).cast("bigint"))
+
+    return marked.groupBy("run_id").agg(
+        last("passed").alias("passed"), last("failed").alias("failed"), last("error").alias("errors")
     )
 
 
 def block_lines(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Body lines of the collection-error blocks: run_id, block (header line), file, line_no, line."""
+    """Lines of the collection-error blocks: run_id, block (header line), file, line_no, line.
+
+    The header is the first line; lines are cut to what an excerpt can hold.
+    """
     header = F.col("line").rlike(fixed.LOG_BLOCK)
     closer = F.startswith(F.col("line"), F.lit("==="))
     file = F.when(header, F.regexp_extract("line", fixed.LOG_BLOCK, 1))
     # the latest header or closing line at or above each line
     mark = F.when(header | closer, F.struct(F.col("line_no").alias("block"), file.alias("file")))
-    marked = OrderedGroups(log, ["run_id"], ["line_no"], max_rows).running_max(mark, "mark").result()
-    inside = marked.where(F.col("mark.file").isNotNull())
-    return inside.select("run_id", F.col("mark.block").alias("block"), F.col("mark.file").alias("file"), "line_no", "line")
+    narrow = log.select("run_id", "line_no", F.substring("line", 1, fixed.EXCERPT_CHARS).alias("line"), mark.alias("mark"))
+    marked = OrderedGroups(narrow, ["run_id"], ["line_no"], max_rows).running_max(F.col("mark"), "latest").result()
+    inside = marked.where(F.col("latest.file").isNotNull())
+    return inside.select("run_id", F.col("latest.block").alias("block"), F.col("latest.file").alias("file"), "line_no", "line")
 
 
 def blocks(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """One row per block: run_id, block, file, excerpt."""
-    lines = block_lines(log, max_rows)
-    headers = lines.where(F.col("line_no") == F.col("block")).select("run_id", "block", "file")
-    body = lines.where(F.col("line_no") > F.col("block")).select(
-        "run_id", "block", "line_no", F.substring("line", 1, fixed.EXCERPT_CHARS).alias("line")
+    lines = block_lines(log, max_rows).withColumn(
+        "kind",
+        F.when(F.col("line_no") == F.col("block"), "header")
+        .when(F.startswith(F.col("line"), F.lit("E   ")), "marked").otherwise("other"),
     )
-    marked = first_rows(body.where(F.startswith(F.col("line"), F.lit("E   "))), ["run_id", "block"], [F.col("line_no")], MARKED_LINES)
-    head = first_rows(body, ["run_id", "block"], [F.col("line_no")], HEAD_LINES).where(text.strip("line") != "")
-
-    def joined(rows: DataFrame, out: str) -> DataFrame:
-        entries = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-        excerpt = F.array_join(F.transform(entries, lambda e: e["line"]), "\n")
-        return rows.groupBy("run_id", "block").agg(F.substring(excerpt, 1, fixed.EXCERPT_CHARS).alias(out))
-
-    both = headers.join(joined(marked, "m"), ["run_id", "block"], "left").join(joined(head, "h"), ["run_id", "block"], "left")
-    return both.select("run_id", "block", "file", F.coalesce("m", "h", F.lit(fixed.NO_BODY)).alias("excerpt"))
+    # the first lines of each kind hold both the marked lines and the head of the block
+    kept = first_rows(lines, ["run_id", "block", "kind"], [F.col("line_no")], MARKED_LINES)
+    body = F.array_sort(F.collect_list(F.when(F.col("kind") != "header", F.struct("line_no", "kind", "line"))))
+    gathered = kept.groupBy("run_id", "block").agg(F.max("file").alias("file"), body.alias("body"))
+
+    def joined(entries):
+        return F.substring(F.array_join(F.transform(entries, lambda e: e["line"]), "\n"), 1, fixed.EXCERPT_CHARS)
+
+    marked = F.filter("body", lambda e: e["kind"] == "marked")
+    head = F.filter(F.slice("body", 1, HEAD_LINES), lambda e: text.strip(e["line"]) != "")
+    excerpt = F.when(F.size(marked) > 0, joined(marked)).when(F.size(head) > 0, joined(head))
+    return gathered.select("run_id", "block", "file", F.coalesce(excerpt, F.lit(fixed.NO_BODY)).alias("excerpt"))
 
 
 def failures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:

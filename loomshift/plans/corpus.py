@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from loomshift import fixed
 from loomshift.functions import text
-from loomshift.operators import corpus, extract, mapping
+from loomshift.operators import corpus, extract, mapping, runstate
 from loomshift.plans import inputs
 from loomshift.plans.inputs import DATASET_MAP, PATH_MAP, with_ctes
 from loomshift.plans.registry import query
-from loomshift.session import read_table
+from loomshift.session import read_table, stored
 from loomshift.sources import readers
 
 # --- SQL shared by the checks -----------------------------------------------------
@@ -140,9 +140,9 @@ def output_collisions(spark, sf_dir):
 )
 def discovery_report(spark, sf_dir):
     """A1, O2: counts per type, the first targets in order and how many more there are."""
-    from loomshift.operators import runstate
-
-    classified = corpus.classify(inputs.files(spark, sf_dir))
+    # contents are read once; the counts and the listing read the stored inventory
+    inventory = corpus.classify(inputs.files(spark, sf_dir)).select("rel_path", "file_type")
+    classified = stored(inventory, "inventory")
     counted = runstate.discovery_counts(classified)
     first = runstate.first_targets(classified).select(
         F.concat_ws(":", F.lit("target"), "file_type", "rel_path").alias("entry"), F.lit(None).cast("bigint").alias("n")
@@ -322,7 +322,8 @@ def ddl_detect(spark, sf_dir):
 )
 def sql_selection(spark, sf_dir):
     """SQL files, DDL by recorded type, and by text when the state names none."""
-    planned = corpus.with_output_path(corpus.classify(inputs.files(spark, sf_dir)))
+    converted = corpus.with_output_path(corpus.classify(inputs.files(spark, sf_dir)))
+    planned = stored(converted.select("rel_path", "file_type", "output_path", "content"), "planned")
 
     def rows(df, name):
         return df.select(F.lit(name).alias("selected"), "rel_path")
@@ -581,6 +582,11 @@ def scheduler_events(spark, sf_dir):
     return extract.events(corpus.classify(inputs.files(spark, sf_dir)).where("file_type = 'dag_xml'"))
 
 
+def scheduler_graph(spark, sf_dir):
+    """Ids and edges only, stored: every side of the graph joins reads them."""
+    return stored(scheduler_events(spark, sf_dir).select("event_id", "dependencies", "publish_event"), "events")
+
+
 @query(
     "dag_extract",
     _CLASSIFIED.rstrip() + "," + _EVENTS_SQL + r"""
@@ -606,7 +612,7 @@ def dag_extract(spark, sf_dir):
 )
 def dag_missing_upstream(spark, sf_dir):
     """Dependencies with and without an existing event."""
-    found = scheduler_events(spark, sf_dir)
+    found = scheduler_graph(spark, sf_dir)
     missing = extract.missing_upstream(found).withColumn("status", F.lit("missing"))
     return missing.unionByName(extract.known_upstream(found).withColumn("status", F.lit("known")))
 
@@ -621,7 +627,7 @@ def dag_missing_upstream(spark, sf_dir):
 )
 def dag_edge_reconcile(spark, sf_dir):
     """J7."""
-    return extract.reconcile_edges(scheduler_events(spark, sf_dir))
+    return extract.reconcile_edges(scheduler_graph(spark, sf_dir))
 
 
 @query(

@@ -69,7 +69,7 @@ def stream_idle_sessions_6h(spark, sf_dir):
     SELECT q.session_id, q.k AS id, q.event_id AS request_id, epoch_us(q.ts) AS asked_at, coalesce(r.decision, 'deny') AS decision
     FROM (SELECT * FROM log WHERE kind = 'permission_request') q
     LEFT JOIN (SELECT * FROM log WHERE kind = 'permission_resolved') r ON q.session_id = r.session_id AND q.k = r.k AND r.ts BETWEEN q.ts AND q.ts + INTERVAL 24 HOURS
-    WHERE r.k IS NOT NULL OR epoch_us(q.ts) + 86400000000 < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM log WHERE kind = 'permission_resolved') - 600000000
+    WHERE r.k IS NOT NULL OR epoch_us(q.ts) + 86400000000 < (SELECT least(max(epoch_us(ts)) FILTER (kind = 'permission_request'), max(epoch_us(ts)) FILTER (kind = 'permission_resolved')) // 1000 * 1000 - 600000000 FROM log)
     """,
 )
 def stream_permission_timeout(spark, sf_dir):

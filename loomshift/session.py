@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_OPTIONS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        # no cluster names one, as in tests
         folder = "file:" + tempfile.mkdtemp(prefix="loomshift-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -54,5 +55,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the scratch folder and read back: for a narrow result that several
+    branches of a query read, so the wide input behind it is scanned once."""
+    folder = scratch(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

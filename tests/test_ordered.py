@@ -78,3 +78,13 @@ def test_first_rows_cut_before_the_shuffle(rows):
     assert top.where("k = 'hot'").count() == 3
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_second_pass_keeps_the_slices(rows):
+    first = OrderedGroups(rows, ["k"], ["o", "tie"], max_rows=16).lag(F.col("tie"), "before")
+    got = first.then(step=F.when(F.col("before") < F.col("tie"), 1).otherwise(0)).running_sum(F.col("step"), "s").result()
+    w = Window.partitionBy("k").orderBy("o", "tie")
+    want = rows.withColumn("before", F.lag("tie").over(w)).withColumn(
+        "step", F.when(F.col("before") < F.col("tie"), 1).otherwise(0)
+    ).withColumn("s", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
