@@ -16,8 +16,11 @@ def _c(x) -> Column:
 
 def lines(col) -> Column:
     """Lines of a text, without an empty piece after the last line break."""
-    parts = F.split(_c(col), fixed.LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    text = _c(col)
+    # the last line break is cut off first, so the text is split once
+    cut = F.when(F.endswith(text, F.lit("\r\n")), 2).when(F.right(text, F.lit(1)).rlike(fixed.LINE_BREAK), 1).otherwise(0)
+    body = F.when(cut > 0, F.left(text, F.length(text) - cut)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, fixed.LINE_BREAK, -1))
 
 
 def substitute(col, pattern: str, replacement: Callable[[Column], Column]) -> Column:

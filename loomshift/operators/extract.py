@@ -154,7 +154,8 @@ def reconcile_edges(found: DataFrame) -> DataFrame:
 
 def function_usage(files: DataFrame, names: Sequence[str] = fixed.CATALOGUE) -> DataFrame:
     """How often each catalogued function is called in each file; no shuffle, a file is one row."""
-    calls = F.transform(F.regexp_extract_all("content", F.lit(r"(\w+)\s*\("), F.lit(1)), F.lower)
+    found = F.regexp_extract_all("content", F.lit(r"\b(\w++)\s*+\("), F.lit(1))
+    calls = F.when(F.col("content").contains("("), F.transform(found, F.lower))
     listed = F.filter(calls, lambda c: c.isin(list(names)))
     per_file = F.transform(
         F.array_distinct("calls"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os.path
 import re
 from collections.abc import Mapping
 
@@ -100,8 +101,11 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
 
 
 def _prefix_pattern(path_map: Mapping[str, str], roots=()) -> str:
+    """Any of the prefixes; what they share comes first, so a search can skip ahead."""
     names = _longest_first(set(_checked(path_map)) | set(roots))
-    return "(?:" + "|".join(re.escape(n) for n in names) + ")"
+    shared = os.path.commonprefix(names)
+    rests = [re.escape(n[len(shared):]) for n in names]
+    return re.escape(shared) + "(?:" + "|".join(rests) + ")"
 
 
 def rewrite_quoted_paths(col, path_map: Mapping[str, str], bucket: str = BUCKET, roots=("/corp/",),
@@ -175,7 +179,7 @@ def rename_quoted(col, dataset_map: Mapping[str, str]) -> Column:
         inner = F.substr(hit, F.lit(2), F.length(hit) - 2)
         return F.concat(quote, F.try_element_at(_literal_map(dataset_map), inner), quote)
 
-    return text.substitute(col, rf"\"(?:{names})\"|'(?:{names})'", renamed)
+    return text.substitute(col, rf"([\"'])(?:{names})\1", renamed)
 
 
 def residual_variables(col) -> Column:

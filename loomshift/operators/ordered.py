@@ -1,25 +1,32 @@
 """Ordered computations over groups of any size.
 
-A window with PARTITION BY key puts a whole key into one task.  Here a group of
-more than `max_rows` rows is cut into slices that follow the order, each slice
-is computed by its own window, and a small table with one row per slice carries
-the totals across the cuts.  Groups below the limit stay whole, so data without
-hot keys pays one count per key and no second pass.
+A window with PARTITION BY key puts a whole key into one task.  Here the groups
+are sized first.  When none has more than `max_rows` rows, the result is the
+plain window.  A larger group is cut into slices that follow the order; each
+slice is computed by its own window, and a small table with one row per slice
+carries the totals across the cuts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomshift.session import stored
+
 # Rows one task may sort for one group.  N rows hold at most N / MAX_GROUP_ROWS
-# larger groups and OVERSPLIT times as many slices: 10^12 rows (100 TB at 100
-# bytes) give at most 250,000 broadcast group rows and about a million slice
-# rows, and only if every group is that large.
+# larger groups, so the tables of large groups and of slices stay small beside
+# the data; they are stored, and the planner broadcasts them by their real size.
 MAX_GROUP_ROWS = 4_000_000
 # Slices per max_rows rows, so that uneven slices still fit.
 OVERSPLIT = 4
+# A slice that is still too large is cut again, by the next order column where
+# all its rows tie on the one before.
+LEVELS = 3
+SLICE_BITS = 20
 # Spark cuts groups before the shuffle up to this rank.
 GROUP_LIMIT = 1000
 
@@ -28,7 +35,7 @@ SPLIT = "__split"
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when the column increases."""
+    """A double that never decreases when the column increases; NULL stays NULL."""
     dtype = df.schema[name].dataType
     col = F.col(name)
     if isinstance(dtype, T.TimestampNTZType):
@@ -47,69 +54,89 @@ def order_number(df: DataFrame, name: str) -> Column:
 class OrderedGroups:
     """Window-like columns over `keys`, ordered by `order`.
 
-    `order` names columns, with a leading '-' for descending.  Groups are cut by
-    the first order column only, so rows that tie on it stay together.  Carried
-    values (lag, lead, next_known) should be narrow: they are broadcast.
+    `order` names columns, with a leading '-' for descending.  Groups are sized
+    when the object is made.  Carried values (lag, lead, next_known) should be
+    narrow.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_GROUP_ROWS,
-                 is_tagged: bool = False):
-        self.is_tagged = is_tagged
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_GROUP_ROWS):
         self.keys = keys
+        self.order = order
         self.names = [o.lstrip("-") for o in order]
         self.descending = [o.startswith("-") for o in order]
-        self.specs: list[tuple[str, Column, dict[str, Column], dict[str, Column], Column]] = []
-        self.source = df
         self.max_rows = max_rows
+        self._prepare(*self._sliced(df))
+
+    def _prepare(self, df: DataFrame, is_split: bool) -> None:
+        self.df, self.is_split = df, is_split
+        self.specs: list[tuple[str, Column, dict[str, Column], dict[str, Column], Callable]] = []
         sort = [F.col(n).desc() if d else F.col(n).asc() for n, d in zip(self.names, self.descending)]
-        self.window = Window.partitionBy(*keys, PART).orderBy(*sort)
+        self.window = Window.partitionBy(*self.keys, *([PART] if is_split else [])).orderBy(*sort)
         self.running = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.following = self.window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        slices = Window.partitionBy(*keys).orderBy(PART)
-        self.slices = slices
-        self.before = slices.rowsBetween(Window.unboundedPreceding, -1)
-        self.after = slices.rowsBetween(1, Window.unboundedFollowing)
+        self.slices = Window.partitionBy(*self.keys).orderBy(PART)
+        self.before = self.slices.rowsBetween(Window.unboundedPreceding, -1)
+        self.after = self.slices.rowsBetween(1, Window.unboundedFollowing)
 
     # -- slices --------------------------------------------------------------
 
-    def _tagged(self) -> DataFrame:
-        if self.is_tagged:
-            return self.source
-        number = order_number(self.source, self.names[0])
-        value = -number if self.descending[0] else number
-        hot_keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)]
-        hot = (
-            self.source.groupBy(*hot_keys)
-            .agg(F.count(F.lit(1)).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-            .where(F.col("__n") > self.max_rows)
-        )
-        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)]
-        condition = same[0]
-        for s in same[1:]:
-            condition = condition & s
-        parts = F.ceil(F.col("__n") * OVERSPLIT / F.lit(self.max_rows))
-        span = F.col("__hi") - F.col("__lo")
-        place = F.when(span > 0, F.floor((value - F.col("__lo")) / span * parts)).otherwise(F.lit(0))
-        missing = parts - 1 if self.descending[0] else F.lit(0)
-        part = (
-            F.when(F.col("__n").isNull(), F.lit(0))
-            .when(value.isNull(), missing)
-            .otherwise(F.least(place, parts - 1))
-        )
-        # at most rows / max_rows groups can be hot, so this side is small
-        return (
-            self.source.join(F.broadcast(hot), condition, "left")
-            .withColumn(PART, part.cast("bigint"))
-            .withColumn(SPLIT, F.col("__n").isNotNull())
-            .drop("__n", "__lo", "__hi", *[f"__k{i}" for i in range(len(self.keys))])
+    def _measures(self, df: DataFrame) -> list[tuple[Column, Column, Column]]:
+        """Per order column: (class, number, identity); class puts NULL and NaN in their place."""
+        out = []
+        for name, desc in zip(self.names, self.descending):
+            number = order_number(df, name)
+            first, last = (2, 0) if desc else (0, 2)
+            place = F.when(number.isNull(), first).when(F.isnan(number), last).otherwise(1)
+            number = F.when(place == 1, -number if desc else number).otherwise(F.lit(0.0))
+            out.append((place, number, F.xxhash64(name)))
+        return out
+
+    def _sliced(self, df: DataFrame) -> tuple[DataFrame, bool]:
+        tagged, is_split = df.withColumns({PART: F.lit(0).cast("bigint"), SPLIT: F.lit(False)}), False
+        for level in range(LEVELS):
+            candidates = tagged.where(SPLIT) if is_split else tagged
+            measures = self._measures(df)
+            totals = [F.count(F.lit(1)).alias("__rows")]
+            for i, (place, number, identity) in enumerate(measures):
+                for label, value in (("p", place), ("v", number), ("h", identity)):
+                    totals += [F.min(value).alias(f"__{label}lo{i}"), F.max(value).alias(f"__{label}hi{i}")]
+            names = [F.col(k).alias(f"__k{j}") for j, k in enumerate(self.keys)]
+            sized = candidates.groupBy(*names, F.col(PART).alias("__p")).agg(*totals)
+            large = stored(sized.where(F.col("__rows") > self.max_rows), "large-groups")
+            if large.isEmpty():
+                break
+            tagged, is_split = self._cut(tagged, large, measures, level), True
+        return (tagged, True) if is_split else (df, False)
+
+    def _cut(self, tagged: DataFrame, large: DataFrame, measures, level: int) -> DataFrame:
+        parts = F.least(F.ceil(F.col("__rows") * OVERSPLIT / F.lit(self.max_rows)), F.lit(2**SLICE_BITS - 1))
+        place = F.lit(0).cast("bigint")
+        # the first order column on which the rows differ decides
+        for i, (kind, number, _) in reversed(list(enumerate(measures))):
+            lo, hi = F.col(f"__vlo{i}"), F.col(f"__vhi{i}")
+            step = F.least(F.floor((number - lo) / (hi - lo) * (parts - 1)), parts - 2)
+            by_number = F.when(hi > lo, step).otherwise(F.lit(0))
+            by_kind = kind - F.col(f"__plo{i}")
+            same_kind = F.col(f"__plo{i}") == F.col(f"__phi{i}")
+            tie = F.col(f"__hlo{i}") == F.col(f"__hhi{i}")
+            place = F.when(~same_kind, by_kind).when(tie, place).otherwise(by_number)
+        shift = 2 ** (SLICE_BITS * (LEVELS - 1 - level))
+        condition = F.col(PART) == F.col("__p")
+        for j, k in enumerate(self.keys):
+            condition = condition & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+        joined = tagged.join(large, condition, "left")
+        cut = F.when(F.col("__rows").isNotNull(), F.col(PART) + place.cast("bigint") * shift).otherwise(F.col(PART))
+        return joined.select(
+            *[c for c in tagged.columns if c not in (PART, SPLIT)],
+            cut.alias(PART), (F.col(SPLIT) | F.col("__rows").isNotNull()).alias(SPLIT),
         )
 
     def _order_struct(self) -> Column:
         cols = []
         for name, desc in zip(self.names, self.descending):
-            if desc and isinstance(self.source.schema[name].dataType, T.StringType):
+            if desc and self.is_split and isinstance(self.df.schema[name].dataType, T.StringType):
                 raise ValueError("a descending text cannot be carried across slices")
-            cols.append((-order_number(self.source, name) if desc else F.col(name)).alias(f"o_{name}"))
+            cols.append((-order_number(self.df, name) if desc else F.col(name)).alias(f"o_{name}"))
         return F.struct(*cols)
 
     # -- columns ---------------------------------------------------------------
@@ -124,26 +151,7 @@ class OrderedGroups:
             F.row_number().over(self.window).cast("bigint"),
             {f"{out}__t": F.count(F.lit(1))},
             {f"{out}__c": F.sum(f"{out}__t").over(self.before)},
-            F.col(f"{out}__l") + F.coalesce(F.col(f"{out}__c"), F.lit(0)),
-        )
-
-    def rank(self, out: str = "rank") -> OrderedGroups:
-        return self._add(
-            out,
-            F.rank().over(self.window).cast("bigint"),
-            {f"{out}__t": F.count(F.lit(1))},
-            {f"{out}__c": F.sum(f"{out}__t").over(self.before)},
-            F.col(f"{out}__l") + F.coalesce(F.col(f"{out}__c"), F.lit(0)),
-        )
-
-    def dense_rank(self, out: str = "dense_rank") -> OrderedGroups:
-        distinct = F.count_distinct(F.struct(*self.names))
-        return self._add(
-            out,
-            F.dense_rank().over(self.window).cast("bigint"),
-            {f"{out}__t": distinct},
-            {f"{out}__c": F.sum(f"{out}__t").over(self.before)},
-            F.col(f"{out}__l") + F.coalesce(F.col(f"{out}__c"), F.lit(0)),
+            lambda local, carry: local if carry is None else local + F.coalesce(carry, F.lit(0)),
         )
 
     def running_sum(self, value: Column, out: str) -> OrderedGroups:
@@ -152,7 +160,7 @@ class OrderedGroups:
             F.sum(value).over(self.running),
             {f"{out}__t": F.sum(value)},
             {f"{out}__c": F.sum(f"{out}__t").over(self.before)},
-            F.coalesce(F.col(f"{out}__l") + F.col(f"{out}__c"), F.col(f"{out}__l"), F.col(f"{out}__c")),
+            lambda local, carry: local if carry is None else F.coalesce(local + carry, local, carry),
         )
 
     def running_max(self, value: Column, out: str) -> OrderedGroups:
@@ -162,62 +170,64 @@ class OrderedGroups:
             F.max(value).over(self.running),
             {f"{out}__t": F.max(value)},
             {f"{out}__c": F.max(f"{out}__t").over(self.before)},
-            F.greatest(F.col(f"{out}__l"), F.col(f"{out}__c")),
+            lambda local, carry: local if carry is None else F.greatest(local, carry),
         )
 
     def lag(self, value: Column, out: str) -> OrderedGroups:
-        place = self._order_struct()
-        first_row = F.row_number().over(self.window) == 1
-        local = F.struct(F.lag(value, 1).over(self.window).alias("v"), first_row.alias("edge"))
+        behind = F.lag(F.struct(value.alias("v")), 1).over(self.window)
         return self._add(
             out,
-            local,
-            {f"{out}__t": F.max_by(value, place)},
+            behind,
+            {f"{out}__t": F.max_by(value, self._order_struct())},
             {f"{out}__c": F.lag(f"{out}__t", 1).over(self.slices)},
-            F.when(F.col(f"{out}__l.edge"), F.col(f"{out}__c")).otherwise(F.col(f"{out}__l.v")),
+            lambda local, carry: local["v"] if carry is None else F.when(local.isNull(), carry).otherwise(local["v"]),
         )
 
     def lead(self, value: Column, out: str) -> OrderedGroups:
-        place = self._order_struct()
         ahead = F.lead(F.struct(value.alias("v")), 1).over(self.window)
         return self._add(
             out,
             ahead,
-            {f"{out}__t": F.min_by(value, place)},
+            {f"{out}__t": F.min_by(value, self._order_struct())},
             {f"{out}__c": F.lead(f"{out}__t", 1).over(self.slices)},
-            F.when(F.col(f"{out}__l").isNull(), F.col(f"{out}__c")).otherwise(F.col(f"{out}__l.v")),
+            lambda local, carry: local["v"] if carry is None else F.when(local.isNull(), carry).otherwise(local["v"]),
         )
 
     def next_known(self, value: Column, out: str) -> OrderedGroups:
         """First non-null value at or after the row: an as-of match without pairs."""
-        place = self._order_struct()
         return self._add(
             out,
             F.first(value, ignorenulls=True).over(self.following),
-            {f"{out}__t": F.min_by(value, F.when(value.isNotNull(), place))},
+            {f"{out}__t": F.min_by(value, F.when(value.isNotNull(), self._order_struct()))},
             {f"{out}__c": F.first(f"{out}__t", ignorenulls=True).over(self.after)},
-            F.coalesce(F.col(f"{out}__l"), F.col(f"{out}__c")),
+            lambda local, carry: local if carry is None else F.coalesce(local, carry),
         )
 
     # -- result ------------------------------------------------------------------
 
     def then(self, **computed: Column) -> OrderedGroups:
         """A second pass over this one's columns: same slices, no further shuffle."""
-        order = [("-" if d else "") + n for n, d in zip(self.names, self.descending)]
-        return OrderedGroups(self._computed().withColumns(computed), self.keys, order, self.max_rows, is_tagged=True)
+        following = object.__new__(OrderedGroups)
+        following.__dict__.update(self.__dict__)
+        following._prepare(self._computed().withColumns(computed), self.is_split)
+        return following
 
     def result(self) -> DataFrame:
         return self._computed().drop(PART, SPLIT)
 
     def _computed(self) -> DataFrame:
-        tagged = self._tagged()
+        local = self.df.select("*", *[expr.alias(f"{out}__l") for out, expr, _, _, _ in self.specs])
+        if not self.is_split:
+            # nothing to carry
+            whole = [combined(F.col(f"{out}__l"), None).alias(out) for out, _, _, _, combined in self.specs]
+            return local.select(*self.df.columns, *whole)
         totals: dict[str, Column] = {}
         carries: dict[str, Column] = {}
         for _, _, t, c, _ in self.specs:
             totals.update(t)
             carries.update(c)
         per_slice = (
-            tagged.where(SPLIT)
+            self.df.where(SPLIT)
             .groupBy(*self.keys, PART)
             .agg(*[expr.alias(name) for name, expr in totals.items()])
             .select(
@@ -226,17 +236,39 @@ class OrderedGroups:
                 *[expr.alias(name) for name, expr in carries.items()],
             )
         )
-        local = tagged.select("*", *[expr.alias(f"{out}__l") for out, expr, _, _, _ in self.specs])
         condition = F.col(SPLIT) & (F.col(PART) == F.col("__slice"))
         for i, k in enumerate(self.keys):
             condition = condition & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        # one row per slice of a hot group, see MAX_GROUP_ROWS
-        joined = local.join(F.broadcast(per_slice), condition, "left")
+        joined = local.join(stored(per_slice, "slices"), condition, "left")
         return joined.select(
-            *tagged.columns, *[combined.alias(out) for out, _, _, _, combined in self.specs]
+            *self.df.columns,
+            *[combined(F.col(f"{out}__l"), F.col(f"{out}__c")).alias(out) for out, _, _, _, combined in self.specs],
         )
 
 
+def ranked(df: DataFrame, keys: list[str], by: str, rank: str = "rank", dense: str = "dense_rank",
+           descending: bool = False, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """rank() and dense_rank() over keys ordered by one column.
+
+    Rows are counted per value first, so ties of any number are one row; the
+    numbered values are joined back, by broadcast when they are few.
+    """
+    counts = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("__n"))
+    groups = OrderedGroups(counts, keys, [("-" if descending else "") + by], max_rows)
+    numbered = groups.row_number(dense).running_sum(F.col("__n"), "__upto").result()
+    values = stored(
+        numbered.select(
+            *[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, by])],
+            (F.col("__upto") - F.col("__n") + 1).alias(rank), dense,
+        ),
+        "ranks",
+    )
+    condition = F.lit(True)
+    for i, k in enumerate([*keys, by]):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(values, condition, "left").select(*df.columns, rank, dense)
+
+
 def listed(df: DataFrame, keys: list[str], value: str, order: list[str], max_items: int = 10_000,
            max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Ordered list of a value per group; long lists continue in further parts.

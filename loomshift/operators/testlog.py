@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomshift import fixed
 from loomshift.functions import text
 from loomshift.operators.ordered import MAX_GROUP_ROWS, OrderedGroups, first_rows
+from loomshift.session import stored
 
 # 'E   ' and a line break make five characters, so more marked lines than
 # this can never fit an excerpt
@@ -20,7 +21,10 @@ def counts(log: DataFrame) -> DataFrame:
     # matches of a line are read in place, so a run is one partial aggregate per task
     ns = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1))
     kinds = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2))
-    stated = F.when(F.col("line").rlike(fixed.LOG_COUNT), F.arrays_zip(ns.alias("n"), kinds.alias("kind")))
+    # plain searches first: few lines get as far as a pattern
+    line = F.col("line")
+    worded = line.contains("passed") | line.contains("failed") | line.contains("error")
+    stated = F.when(worded & line.rlike(fixed.LOG_COUNT), F.arrays_zip(ns.alias("n"), kinds.alias("kind")))
     marked = log.select("run_id", "line_no", stated.alias("stated"))
 
     def last(prefix):
@@ -38,7 +42,7 @@ def block_lines(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
 
     The header is the first line; lines are cut to what an excerpt can hold.
     """
-    header = F.col("line").rlike(fixed.LOG_BLOCK)
+    header = F.col("line").contains("ERROR collecting") & F.col("line").rlike(fixed.LOG_BLOCK)
     closer = F.startswith(F.col("line"), F.lit("==="))
     file = F.when(header, F.regexp_extract("line", fixed.LOG_BLOCK, 1))
     # the latest header or closing line at or above each line
@@ -74,7 +78,9 @@ def failures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """One row per failing file and run: run_id, file, excerpt."""
     # a file with several blocks keeps the last
     by_file = blocks(log, max_rows).groupBy("run_id", "file").agg(F.max_by("excerpt", "block").alias("block_text"))
-    mentions = log.where(F.col("line").rlike(fixed.LOG_SUMMARY)).select(
+    line = F.col("line")
+    opening = F.startswith(line, F.lit("FAILED")) | F.startswith(line, F.lit("ERROR"))
+    mentions = log.where(opening & line.rlike(fixed.LOG_SUMMARY)).select(
         "run_id", "line_no",
         F.regexp_extract("line", fixed.LOG_SUMMARY, 1).alias("file"),
         F.substring(text.strip(F.regexp_extract("line", fixed.LOG_SUMMARY, 2)), 1, fixed.EXCERPT_CHARS).alias("message"),
@@ -87,10 +93,15 @@ def failures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
             F.coalesce(F.nullif("message", F.lit("")), "block_text", F.lit(fixed.NO_MESSAGE)),
         ).otherwise(F.col("block_text")).alias("excerpt"),
     )
-    # runs that mention a failure but name no file: their last lines
+    # runs that mention a failure but name no file: their last lines.  Usually few
+    # or none; stored, so the planner knows their size before it joins the lines
     low = F.lower("line")
-    alarmed = log.groupBy("run_id").agg(F.bool_or(low.contains("failed") | low.contains("error")).alias("x")).where("x")
-    silent = alarmed.select("run_id").join(named.select("run_id").distinct(), "run_id", "left_anti")
+    alarm = low.contains("failed") | low.contains("error")
+    header = line.contains("ERROR collecting") & line.rlike(fixed.LOG_BLOCK)
+    per_run = log.groupBy("run_id").agg(
+        F.bool_or(alarm).alias("alarm"), F.bool_or(header | (opening & line.rlike(fixed.LOG_SUMMARY))).alias("named")
+    )
+    silent = stored(per_run.where("alarm AND NOT named").select("run_id"), "silent-runs")
     tail = first_rows(log.join(silent, "run_id", "left_semi"), ["run_id"], [F.col("line_no").desc()], fixed.TAIL_LINES)
     entries = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     unknown = tail.groupBy("run_id").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("excerpt"))

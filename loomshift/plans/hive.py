@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from loomshift import fixed
 from loomshift.functions import hive
 from loomshift.operators import extract
-from loomshift.operators.ordered import OrderedGroups, first_rows, listed, listed_set
+from loomshift.operators.ordered import OrderedGroups, first_rows, listed, listed_set, ranked
 from loomshift.plans.registry import query
 from loomshift.session import read_table
 from loomshift.sources import sinks
@@ -479,7 +479,7 @@ def win_row_number(spark, sf_dir):
 def win_rank(spark, sf_dir):
     """W2, W3."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return OrderedGroups(li, ["l_suppkey"], ["l_quantity"]).rank("rnk").dense_rank("drnk").result().drop("l_quantity")
+    return ranked(li, ["l_suppkey"], "l_quantity", "rnk", "drnk").drop("l_quantity")
 
 
 @query(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomshift.operators.ordered import OrderedGroups, first_rows, listed, listed_set
+from loomshift.operators.ordered import OrderedGroups, first_rows, listed, listed_set, ranked
 
 
 @pytest.fixture(scope="module")
@@ -50,15 +50,41 @@ def test_matches_plain_windows(rows, desc):
     assert got.count() == 400 and key
 
 
-def test_ranks(rows):
-    w = Window.partitionBy("k").orderBy("o")
-    got = OrderedGroups(rows, ["k"], ["o"], max_rows=16).rank("r").dense_rank("d").result()
+@pytest.mark.parametrize("desc", [False, True])
+def test_ranks(rows, desc):
+    w = Window.partitionBy("k").orderBy(F.col("o").desc() if desc else F.col("o").asc())
+    got = ranked(rows, ["k"], "o", "r", "d", descending=desc, max_rows=16)
     want = rows.select(
         "*", F.rank().over(w).cast("bigint").alias("r"), F.dense_rank().over(w).cast("bigint").alias("d")
     )
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+@pytest.mark.parametrize("order", [["o", "tie"], ["-o", "-tie"], ["o", "name"], ["d", "tie"], ["-d", "tie"]])
+def test_ties_are_cut_by_the_next_column(spark, order):
+    # one key, two values of the first column, NULLs and NaN among them
+    tied = spark.range(300).select(
+        F.lit(1).alias("k"), (F.col("id") % 2).alias("o"), F.col("id").alias("tie"),
+        F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("name"),
+        F.when(F.col("id") % 7 == 0, F.lit(None).cast("double")).when(F.col("id") % 7 == 1, F.lit(float("nan")))
+        .otherwise((F.col("id") % 3).cast("double")).alias("d"),
+    )
+    groups = OrderedGroups(tied, ["k"], order, max_rows=20)
+    assert groups.is_split
+    largest = groups.df.groupBy("__part").count().agg(F.max("count")).first()[0]
+    assert largest <= 20
+    sort = [F.col(o.lstrip("-")).desc() if o.startswith("-") else F.col(o).asc() for o in order]
+    want = tied.select("tie", F.row_number().over(Window.partitionBy("k").orderBy(*sort)).alias("rn")).collect()
+    got = groups.row_number("rn").result().select("tie", "rn").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_small_groups_stay_a_plain_window(rows):
+    plain = OrderedGroups(rows, ["k"], ["o", "tie"]).row_number("rn").lag(F.col("v"), "lg").result()
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window") == 1
+
+
 def test_text_order_and_lists(rows):
     named = rows.withColumn("name", F.concat(F.lit("né"), F.lpad(F.col("tie").cast("string"), 3, "0")))
     parts = listed(named, ["k"], "name", ["name"], max_items=10, max_rows=16)
