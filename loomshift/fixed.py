@@ -18,6 +18,10 @@ OUTPUTS = {
 SCHEDULER_DIRS = ["event_engine", "scheduler", "schedulers", "workflows", "dag"]
 TEST_DIRS = ["tests", "test"]
 
+# Target names where none are configured.
+DEFAULT_PROJECT = "my-project"
+DEFAULT_BUCKET = "gs://my-bucket"
+
 # Limits.
 LIST_LIMIT = 400
 HIT_LIMIT = 200

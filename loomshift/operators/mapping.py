@@ -16,8 +16,8 @@ from loomshift.functions import text
 # larger ones must come as a table.
 MAX_INLINE_RULES = 500
 
-BUCKET = "gs://my-bucket"
-PROJECT = "my-project"
+BUCKET = fixed.DEFAULT_BUCKET
+PROJECT = fixed.DEFAULT_PROJECT
 
 
 def _checked(rules: Mapping[str, str]) -> Mapping[str, str]:
@@ -87,17 +87,12 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
     candidates = tried.select(
         key, path, F.when(F.col("__n") <= F.length(p), F.substr(p, F.lit(1), F.col("__n"))).alias("prefix")
     )
+    # the longest length is found by a hash aggregate, the target by one more lookup
     found = F.when(F.col("target").isNotNull(), F.length("prefix"))
-    best = (
-        candidates.join(unique, "prefix", "left")
-        .groupBy(key, path)
-        .agg(F.max_by(F.struct("prefix", "target"), found).alias("best"))
-    )
-    target = F.concat(F.col("best.target"), F.substr(p, F.length("best.prefix") + 1))
-    return best.select(
-        key, path, F.col("best.prefix").alias("prefix"),
-        F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"),
-    )
+    best = candidates.join(unique, "prefix", "left").groupBy(key, path).agg(F.max(found).alias("__n"))
+    matched = best.withColumn("prefix", F.substr(p, F.lit(1), F.col("__n"))).join(unique, "prefix", "left")
+    target = F.concat(F.col("target"), F.substr(p, F.col("__n") + 1))
+    return matched.select(key, path, "prefix", F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"))
 
 
 def _prefix_pattern(path_map: Mapping[str, str], roots=()) -> str:

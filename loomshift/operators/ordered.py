@@ -1,7 +1,7 @@
 """Ordered computations over groups of any size.
 
-A window with PARTITION BY key puts a whole key into one task.  Here the groups
-are sized first.  When none has more than `max_rows` rows, the result is the
+A window with PARTITION BY key puts a whole key into one task.  Here large groups
+are looked for first.  When none has more than `max_rows` rows, the result is the
 plain window.  A larger group is cut into slices that follow the order; each
 slice is computed by its own window, and a small table with one row per slice
 carries the totals across the cuts.
@@ -27,6 +27,11 @@ OVERSPLIT = 4
 # all its rows tie on the one before.
 LEVELS = 3
 SLICE_BITS = 20
+# Large groups are looked for in a sample first: one that matters shows with
+# about this many rows, and only its keys are then counted exactly.  The sample
+# decides where to cut, never what the result is.
+SAMPLE_ROWS = 2_000
+SAMPLE_SEED = 11
 # Spark cuts groups before the shuffle up to this rank.
 GROUP_LIMIT = 1000
 
@@ -91,10 +96,30 @@ class OrderedGroups:
             out.append((place, number, F.xxhash64(name)))
         return out
 
+    def _suspects(self, df: DataFrame) -> DataFrame | None:
+        """Rows of the groups that may be too large; None when there are none."""
+        rate = SAMPLE_ROWS / self.max_rows
+        if rate >= 1:
+            return df
+        names = [F.col(k).alias(f"__k{j}") for j, k in enumerate(self.keys)]
+        seen = df.select(*names).sample(rate, SAMPLE_SEED).groupBy(*[f"__k{j}" for j in range(len(names))]).count()
+        found = stored(seen.where(F.col("count") >= SAMPLE_ROWS // 2).drop("count"), "suspects")
+        if found.isEmpty():
+            return None
+        return df.join(found, self._same_keys(), "left_semi")
+
+    def _same_keys(self) -> Column:
+        same = F.lit(True)
+        for j, k in enumerate(self.keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+        return same
+
     def _sliced(self, df: DataFrame) -> tuple[DataFrame, bool]:
         tagged, is_split = df.withColumns({PART: F.lit(0).cast("bigint"), SPLIT: F.lit(False)}), False
         for level in range(LEVELS):
-            candidates = tagged.where(SPLIT) if is_split else tagged
+            candidates = tagged.where(SPLIT) if is_split else self._suspects(tagged)
+            if candidates is None:
+                break
             measures = self._measures(df)
             totals = [F.count(F.lit(1)).alias("__rows")]
             for i, (place, number, identity) in enumerate(measures):
@@ -121,10 +146,7 @@ class OrderedGroups:
             tie = F.col(f"__hlo{i}") == F.col(f"__hhi{i}")
             place = F.when(~same_kind, by_kind).when(tie, place).otherwise(by_number)
         shift = 2 ** (SLICE_BITS * (LEVELS - 1 - level))
-        condition = F.col(PART) == F.col("__p")
-        for j, k in enumerate(self.keys):
-            condition = condition & F.col(k).eqNullSafe(F.col(f"__k{j}"))
-        joined = tagged.join(large, condition, "left")
+        joined = tagged.join(large, self._same_keys() & (F.col(PART) == F.col("__p")), "left")
         cut = F.when(F.col("__rows").isNotNull(), F.col(PART) + place.cast("bigint") * shift).otherwise(F.col(PART))
         return joined.select(
             *[c for c in tagged.columns if c not in (PART, SPLIT)],
@@ -236,9 +258,7 @@ class OrderedGroups:
                 *[expr.alias(name) for name, expr in carries.items()],
             )
         )
-        condition = F.col(SPLIT) & (F.col(PART) == F.col("__slice"))
-        for i, k in enumerate(self.keys):
-            condition = condition & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        condition = F.col(SPLIT) & (F.col(PART) == F.col("__slice")) & self._same_keys()
         joined = local.join(stored(per_slice, "slices"), condition, "left")
         return joined.select(
             *self.df.columns,

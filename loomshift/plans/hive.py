@@ -366,8 +366,8 @@ def param_predicate(spark, sf_dir):
 @query(
     "collect_arrays",
     """
-    SELECT o_custkey, 0::BIGINT AS part, 'orders' AS kind, count(*) AS n,
-           string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS items FROM orders GROUP BY o_custkey
+    SELECT o_custkey, part, 'orders' AS kind, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS items
+    FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 10000 AS part FROM orders) GROUP BY o_custkey, part
     UNION ALL
     SELECT o_custkey, 0, 'priorities', count(*), string_agg(p, ',' ORDER BY p)
     FROM (SELECT DISTINCT o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS p FROM orders) WHERE p IS NOT NULL GROUP BY o_custkey

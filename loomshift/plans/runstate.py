@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.operators import corpus, extract, mapping, runstate
+from loomshift.operators import corpus, extract, runstate, stages
 from loomshift.plans import inputs
 from loomshift.plans.corpus import REVIEWED, REWRITTEN, CLASSIFIED, PLANNED
 from loomshift.plans.inputs import DATASET_MAP, PATH_MAP, with_ctes
@@ -231,15 +231,7 @@ _RUN = with_ctes(files=inputs.FILES, classified=CLASSIFIED, planned=PLANNED, rew
 
 def run_state(spark, sf_dir):
     """Scan, classify, plan, rewrite and flag: one state row per target."""
-    files = inputs.derived(spark, sf_dir, inputs.FILES).select("rel_path", "content")
-    planned = files.transform(corpus.classify).transform(corpus.with_output_path)
-    rewritten = mapping.rewrite(planned, DATASET_MAP, PATH_MAP)
-    flagged = corpus.review_flags(rewritten, converted="converted", source_notes=F.col("source_notes"))
-    return flagged.select(
-        "rel_path", "file_type", "output_path",
-        F.when(F.col("needs_review"), "review").otherwise("converted").alias("status"), "notes", "converted",
-        F.lit(None).cast("boolean").alias("validation_passed"), F.lit(None).cast("string").alias("validation_error"),
-    )
+    return inputs.files(spark, sf_dir).transform(stages.discover).transform(stages.convert, DATASET_MAP, PATH_MAP)
 
 
 @query(

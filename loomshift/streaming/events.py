@@ -13,11 +13,6 @@ from pyspark.sql import types as T
 from loomshift import fixed
 
 
-def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One row per event for sources that deliver at least once."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     grouped = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "kind")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")

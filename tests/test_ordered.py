@@ -114,3 +114,16 @@ def test_second_pass_keeps_the_slices(rows):
         "step", F.when(F.col("before") < F.col("tie"), 1).otherwise(0)
     ).withColumn("s", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_large_groups_are_found_in_a_sample(spark):
+    # 60,000 of 90,000 rows in one group, against a limit of 20,000 (a tenth is sampled)
+    df = spark.range(90_000).select(
+        F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id") % 1000).alias("k"), (F.col("id") * 7919 % 90_001).alias("o")
+    )
+    groups = OrderedGroups(df, ["k"], ["o"], max_rows=20_000)
+    assert groups.is_split
+    assert groups.df.where("k = -1").groupBy("__part").count().agg(F.max("count")).first()[0] <= 20_000
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.withColumn("rn", F.row_number().over(w).cast("bigint"))
+    assert groups.row_number("rn").result().exceptAll(want).isEmpty()
