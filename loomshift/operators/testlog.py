@@ -16,16 +16,30 @@ MARKED_LINES = fixed.EXCERPT_CHARS // 5 + 1
 HEAD_LINES = 5
 
 
-def counts(log: DataFrame) -> DataFrame:
-    """passed, failed, errors per run; the last statement of each kind wins."""
-    # matches of a line are read in place, so a run is one partial aggregate per task
-    ns = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1))
-    kinds = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2))
+def _is_header(line):
     # plain searches first: few lines get as far as a pattern
+    return line.contains("ERROR collecting") & line.rlike(fixed.LOG_BLOCK)
+
+
+def _is_mention(line):
+    opening = F.startswith(line, F.lit("FAILED")) | F.startswith(line, F.lit("ERROR"))
+    return opening & line.rlike(fixed.LOG_SUMMARY)
+
+
+def run_facts(log: DataFrame) -> DataFrame:
+    """One pass, one row per run: passed, failed, errors (the last statement of each
+    kind wins), alarm (a failure is mentioned), named (a file is named)."""
     line = F.col("line")
+    ns = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1))
+    kinds = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2))
     worded = line.contains("passed") | line.contains("failed") | line.contains("error")
     stated = F.when(worded & line.rlike(fixed.LOG_COUNT), F.arrays_zip(ns.alias("n"), kinds.alias("kind")))
-    marked = log.select("run_id", "line_no", stated.alias("stated"))
+    low = F.lower(line)
+    marked = log.select(
+        "run_id", "line_no", stated.alias("stated"),
+        (low.contains("failed") | low.contains("error")).alias("alarm"),
+        (_is_header(line) | _is_mention(line)).alias("named"),
+    )
 
     def last(prefix):
         hits = F.filter("stated", lambda m: F.startswith(m["kind"], F.lit(prefix)))
@@ -33,16 +47,21 @@ def counts(log: DataFrame) -> DataFrame:
         return F.coalesce(F.max_by(n, F.when(n.isNotNull(), F.col("line_no"))), F.lit(0).cast("bigint"))
 
     return marked.groupBy("run_id").agg(
-        last("passed").alias("passed"), last("failed").alias("failed"), last("error").alias("errors")
+        last("passed").alias("passed"), last("failed").alias("failed"), last("error").alias("errors"),
+        F.bool_or("alarm").alias("alarm"), F.bool_or("named").alias("named"),
     )
 
 
+def counts(log: DataFrame) -> DataFrame:
+    return run_facts(log).drop("alarm", "named")
+
+
 def block_lines(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Lines of the collection-error blocks: run_id, block (header line), file, line_no, line.
 
     The header is the first line; lines are cut to what an excerpt can hold.
     """
-    header = F.col("line").contains("ERROR collecting") & F.col("line").rlike(fixed.LOG_BLOCK)
+    header = _is_header(F.col("line"))
     closer = F.startswith(F.col("line"), F.lit("==="))
     file = F.when(header, F.regexp_extract("line", fixed.LOG_BLOCK, 1))
     # the latest header or closing line at or above each line
@@ -74,13 +93,11 @@ def blocks(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     return gathered.select("run_id", "block", "file", F.coalesce(excerpt, F.lit(fixed.NO_BODY)).alias("excerpt"))
 
 
-def failures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def failures(log: DataFrame, facts: DataFrame | None = None, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """One row per failing file and run: run_id, file, excerpt."""
     # a file with several blocks keeps the last
     by_file = blocks(log, max_rows).groupBy("run_id", "file").agg(F.max_by("excerpt", "block").alias("block_text"))
-    line = F.col("line")
-    opening = F.startswith(line, F.lit("FAILED")) | F.startswith(line, F.lit("ERROR"))
-    mentions = log.where(opening & line.rlike(fixed.LOG_SUMMARY)).select(
+    mentions = log.where(_is_mention(F.col("line"))).select(
         "run_id", "line_no",
         F.regexp_extract("line", fixed.LOG_SUMMARY, 1).alias("file"),
         F.substring(text.strip(F.regexp_extract("line", fixed.LOG_SUMMARY, 2)), 1, fixed.EXCERPT_CHARS).alias("message"),
@@ -95,13 +112,8 @@ def failures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     )
     # runs that mention a failure but name no file: their last lines.  Usually few
     # or none; stored, so the planner knows their size before it joins the lines
-    low = F.lower("line")
-    alarm = low.contains("failed") | low.contains("error")
-    header = line.contains("ERROR collecting") & line.rlike(fixed.LOG_BLOCK)
-    per_run = log.groupBy("run_id").agg(
-        F.bool_or(alarm).alias("alarm"), F.bool_or(header | (opening & line.rlike(fixed.LOG_SUMMARY))).alias("named")
-    )
-    silent = stored(per_run.where("alarm AND NOT named").select("run_id"), "silent-runs")
+    facts = run_facts(log) if facts is None else facts
+    silent = stored(facts.where("alarm AND NOT named").select("run_id"), "silent-runs")
     tail = first_rows(log.join(silent, "run_id", "left_semi"), ["run_id"], [F.col("line_no").desc()], fixed.TAIL_LINES)
     entries = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     unknown = tail.groupBy("run_id").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("excerpt"))
@@ -110,6 +122,7 @@ def failures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
 
 def report(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Totals of a run beside the first line of each failure."""
+    facts = stored(run_facts(log), "run-facts")
     first = text.first_line("excerpt", fixed.REPORT_CHARS)
-    lines = failures(log, max_rows).select("run_id", "file", first.alias("first_line"))
-    return counts(log).join(lines, "run_id", "left")
+    lines = failures(log, facts, max_rows).select("run_id", "file", first.alias("first_line"))
+    return facts.drop("alarm", "named").join(lines, "run_id", "left")

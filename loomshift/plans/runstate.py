@@ -405,7 +405,7 @@ def corpus_scan(spark, sf_dir):
     folder = scratch(spark, "tree")
     read_table(spark, sf_dir, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").text(folder)
     found = readers.scan_files(spark, folder)
-    return found.where(F.col("rel_path").contains("=")).groupBy(
+    return found.groupBy(
         F.regexp_replace("rel_path", "/[^/]+$", "").alias("folder")
     ).agg(F.sum("size").alias("bytes"), F.sum(F.length("content")).alias("chars"))
 

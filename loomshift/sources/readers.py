@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -33,18 +34,13 @@ STATE = T.StructType(
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a folder: path, rel_path, size, content (bad bytes replaced)."""
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*").load(root)
-    )
-    base = root if ":" in root.split("/")[0] else "file:" + root
-    prefix = F.lit(base.rstrip("/") + "/")
-    # the reader lists a path with its scheme, with one or three slashes after it
-    path = F.regexp_replace("path", "^file:/+", "file:/")
-    prefix = F.regexp_replace(prefix, "^file:/+", "file:/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # compared without scheme and host, whichever file system lists them
+    place = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+    prefix = re.sub(place, "", root).rstrip("/") + "/"
     return raw.select(
         "path",
-        F.substr(path, F.length(prefix) + 1).alias("rel_path"),
+        F.substr(F.regexp_replace("path", place, ""), F.lit(len(prefix) + 1)).alias("rel_path"),
         F.col("length").alias("size"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
