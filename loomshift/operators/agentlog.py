@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomshift import fixed
 from loomshift.operators.ordered import MAX_GROUP_ROWS, OrderedGroups, first_rows
+from loomshift.session import stored
 
 
 def policy_audit(calls: DataFrame, defaults: Mapping[str, str], overrides: Mapping[str, str],
@@ -22,12 +23,13 @@ def policy_audit(calls: DataFrame, defaults: Mapping[str, str], overrides: Mappi
     rules = {**defaults, **overrides}
     policy = F.try_element_at(F.create_map(*[F.lit(x) for p in rules.items() for x in p]), F.col("tool"))
     tagged = calls.withColumn("policy", F.coalesce(policy, F.lit("ask")))
-    # the first `always` per session and tool: one small row each, however long the session
+    # the first `always` per session and tool: one small row each, however long the
+    # session; stored, so the log is shuffled only when these rows are many
     always = (
         tagged.where((F.col("policy") == "ask") & (F.col("decision") == "always"))
         .groupBy("session_id", "tool").agg(F.min("call_no").alias("__since"))
     )
-    joined = tagged.join(always, ["session_id", "tool"], "left")
+    joined = tagged.join(stored(always, "always"), ["session_id", "tool"], "left")
     covered = F.coalesce(F.col("__since") <= F.col("call_no"), F.lit(False)) | F.lit(auto_approve)
     allowed = (
         F.when(F.col("policy") == "deny", False)

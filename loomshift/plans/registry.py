@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomshift.session import configure
+from loomshift.session import configure, size_shuffles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,9 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            configure(spark)
+            size_shuffles(spark, sf_dir)
+            return fn(spark, sf_dir)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -7,10 +7,12 @@ shared checkpoint folder of the session.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RUNTIME_OPTIONS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,6 +32,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Input bytes per shuffle partition before adaptive execution merges small ones.
+BYTES_PER_PARTITION = 256 * 1024 * 1024
+MAX_PARTITIONS = 100_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@functools.cache
+def _bytes_below(spark: SparkSession, folder: str) -> int:
+    """Size of the files below a folder, by listing only."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """More initial shuffle partitions for inputs that need them; a set number is kept."""
+    wanted = min(_bytes_below(spark, folder) // BYTES_PER_PARTITION, MAX_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+
+
 def build(app: str = "loomshift", master: str | None = None, **options: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
