@@ -127,6 +127,7 @@ NOTE_PYSPARK = "Contains TODO items or residual PySpark references — review re
 NOTE_TESTS = "Tests converted from PySpark to pure Python — validate filter logic matches original HQL"
 NOTE_DAG = "Update bash_command paths to point to GCP-compatible scripts"
 NOTE_SENSOR = "Review ExternalTaskSensor external_dag_id values match actual DAG IDs"
+NOTE_XML = "XML parse warning"
 NOTE_NO_USE = "No USE statement found — dataset must be set manually"
 NOTE_FILTERS = "Filters baked into converted SQL WHERE clause — see this file for reference"
 UNKNOWN_DATASET = "UNKNOWN_DATASET"

@@ -219,9 +219,13 @@ def sql_outputs(converted: DataFrame) -> DataFrame:
     return converted.where((text.suffix("output_path") == ".sql") & ~F.array_contains(parts, "dags"))
 
 
-def ddl_files(converted: DataFrame) -> DataFrame:
-    """Files recorded as DDL; only when the state names none, files whose text looks like DDL."""
+def ddl_files(converted: DataFrame, is_ddl: Column | None = None) -> DataFrame:
+    """Files recorded as DDL; only when the state names none, files whose text looks like DDL.
+
+    `is_ddl` stands in for the text when it was looked at before.
+    """
+    is_ddl = looks_like_ddl() if is_ddl is None else is_ddl
     recorded = F.col("file_type") == "hdl"
     any_recorded = converted.agg(F.coalesce(F.bool_or(recorded), F.lit(False)).alias("x")).scalar()
-    detected = (text.suffix("output_path") == ".sql") & ~F.array_contains(F.split("output_path", "/"), "dags") & looks_like_ddl()
+    detected = (text.suffix("output_path") == ".sql") & ~F.array_contains(F.split("output_path", "/"), "dags") & is_ddl
     return converted.where(F.when(any_recorded, recorded).otherwise(detected))

@@ -78,11 +78,20 @@ EVENT_SCHEMA = (
 )
 
 
+def _parsed(schema: str, content: str = "content") -> Column:
+    return F.from_xml(content, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+
+
+def event_note(content: str = "content", path: str = "rel_path") -> Column:
+    e = _parsed("EventId string, broken string", content)
+    event_id = F.coalesce(F.nullif(e["EventId"], F.lit("")), text.stem(path))
+    broken = e.isNull() | e["broken"].isNotNull()
+    return F.when(broken, F.lit(fixed.NOTE_XML)).otherwise(F.concat(F.lit("Event: "), event_id))
+
+
 def events(files: DataFrame) -> DataFrame:
     """One row per scheduler file; malformed XML gives a note, not an error."""
-    parsed = files.withColumn(
-        "e", F.from_xml("content", EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    )
+    parsed = files.withColumn("e", _parsed(EVENT_SCHEMA))
     broken = F.col("e").isNull() | F.col("e.broken").isNotNull()
 
     def whole(col: Column) -> Column:
@@ -111,7 +120,7 @@ def events(files: DataFrame) -> DataFrame:
         whole(F.coalesce(known("e.OnFailure.RetryDelayMinutes"), known("e.RetryDelayMinutes"))).alias("retry_delay_minutes"),
         F.coalesce(known("e.OnFailure.Email"), known("e.Email")).alias("email"),
         known("e.OnSuccess.PublishEvent").alias("publish_event"),
-        F.when(broken, F.lit("XML parse warning")).otherwise(F.concat(F.lit("Event: "), event_id)).alias("note"),
+        F.when(broken, F.lit(fixed.NOTE_XML)).otherwise(F.concat(F.lit("Event: "), event_id)).alias("note"),
     )
 
 

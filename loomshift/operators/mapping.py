@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomshift import fixed
 from loomshift.functions import text
+from loomshift.operators import extract
 
 # Mappings given as a dict become column expressions, so their size is checked;
 # larger ones must come as a table.
@@ -95,11 +96,15 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
     return matched.select(key, path, "prefix", F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"))
 
 
-def _prefix_pattern(path_map: Mapping[str, str], roots=()) -> str:
-    """Any of the prefixes; what they share comes first, so a search can skip ahead."""
-    names = _longest_first(set(_checked(path_map)) | set(roots))
-    shared = os.path.commonprefix(names)
+def _prefix_pattern(path_map: Mapping[str, str], roots=(), stop: str = "") -> str:
+    """Any of the prefixes, or a root with something before the stop after it.
+
+    What they share comes first, so a search can skip ahead.
+    """
+    names = _longest_first(_checked(path_map))
+    shared = os.path.commonprefix([*names, *roots])
     rests = [re.escape(n[len(shared):]) for n in names]
+    rests += [re.escape(r[len(shared):]) + f"(?=[^{stop}])" for r in roots]
     return re.escape(shared) + "(?:" + "|".join(rests) + ")"
 
 
@@ -110,7 +115,7 @@ def rewrite_quoted_paths(col, path_map: Mapping[str, str], bucket: str = BUCKET,
     if not path_map and not roots:
         return out
     for q in quotes:
-        pattern = f"{q}{_prefix_pattern(path_map, roots)}[^{q}]*{q}"
+        pattern = f"{q}{_prefix_pattern(path_map, roots, q)}[^{q}]*{q}"
         out = text.substitute(
             out, pattern,
             lambda hit: F.concat(F.lit(q), map_path(F.substr(hit, F.lit(2), F.length(hit) - 2), path_map, bucket), F.lit(q)),
@@ -225,6 +230,8 @@ def rewrite(classified: DataFrame, dataset_map: Mapping[str, str], path_map: Map
     notes = (
         F.when(kind == "hql", qualify_notes("content", dataset_map, project))
         .when((kind == "hdl") & ~F.col("content").rlike(fixed.USE_STATEMENT), F.array(F.lit(fixed.NOTE_NO_USE)))
+        .when(kind == "dag_xml", F.array(extract.event_note()))
+        .when(kind == "filters", F.array(extract.filter_note()))
         .otherwise(F.array().cast("array<string>"))
     )
     return classified.withColumn("converted", converted).withColumn("source_notes", notes)

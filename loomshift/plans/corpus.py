@@ -157,6 +157,11 @@ def discovery_report(spark, sf_dir):
     "review_flags",
     _REWRITTEN.rstrip() + f", reviewed AS ({REVIEWED})" + """
     SELECT rel_path, needs_review, concat_ws(' | ',
+      CASE WHEN file_type = 'hql' THEN nullif(array_to_string(list_transform(regexp_extract_all(content, '\\$\\{(?:cs_db|hivesrcdb|dim_db)\\}\\.\\w+'), lambda h:
+         h || ' → `my-project.' || CASE WHEN starts_with(h, '${dim_db}') THEN 'dims' ELSE 'src_raw' END || '.' || regexp_extract(h, '\\.(\\w+)', 1) || '`'), ' | '), '') END,
+      CASE WHEN file_type = 'dag_xml' AND NOT ends_with(content, '</Description></Event>') THEN 'XML parse warning' WHEN file_type = 'dag_xml' THEN
+         'Event: ' || coalesce(nullif(regexp_extract(content, '<EventId>([^<]*)</EventId>', 1), ''), regexp_replace(regexp_extract(rel_path, '[^/]+$'), '\\.[^.]+$', '')) END,
+      CASE WHEN file_type = 'filters' THEN 'Defines 3 injectable filters: filter_excl_test_type, filter_min_value, filter_' || CAST(g AS VARCHAR) END,
       CASE WHEN file_type = 'hdl' AND NOT regexp_matches(content, 'USE\\s+\\$\\{\\w+\\};?') THEN 'No USE statement found — dataset must be set manually' END,
       CASE WHEN file_type IN ('hql', 'hdl', 'shell', 'config') AND contains(converted, 'TODO:') THEN 'Contains TODO items requiring manual review' END,
       CASE WHEN file_type = 'hql' AND contains(converted, '${hivevar:') THEN 'Unresolved hivevar filter references remain' END,
@@ -171,9 +176,7 @@ def discovery_report(spark, sf_dir):
 def review_flags(spark, sf_dir):
     """P4."""
     rewritten = rewritten_files(spark, sf_dir)
-    # reference notes are checked by qualify_refs
-    source_notes = F.filter("source_notes", lambda n: n == fixed.NOTE_NO_USE)
-    flagged = corpus.review_flags(rewritten, converted="converted", source_notes=source_notes)
+    flagged = corpus.review_flags(rewritten, converted="converted", source_notes=F.col("source_notes"))
     return flagged.select("rel_path", "needs_review", F.array_join("notes", " | ").alias("notes"))
 
 
@@ -323,7 +326,7 @@ def ddl_detect(spark, sf_dir):
 def sql_selection(spark, sf_dir):
     """SQL files, DDL by recorded type, and by text when the state names none."""
     converted = corpus.with_output_path(corpus.classify(inputs.files(spark, sf_dir)))
-    planned = stored(converted.select("rel_path", "file_type", "output_path", "content"), "planned")
+    planned = stored(converted.select("rel_path", "file_type", "output_path", corpus.looks_like_ddl().alias("is_ddl")), "planned")
 
     def rows(df, name):
         return df.select(F.lit(name).alias("selected"), "rel_path")
@@ -331,8 +334,8 @@ def sql_selection(spark, sf_dir):
     unnamed = planned.where("file_type <> 'hdl'")
     return (
         rows(corpus.sql_outputs(planned), "sql")
-        .unionByName(rows(corpus.ddl_files(planned), "ddl"))
-        .unionByName(rows(corpus.ddl_files(unnamed), "ddl by text"))
+        .unionByName(rows(corpus.ddl_files(planned, F.col("is_ddl")), "ddl"))
+        .unionByName(rows(corpus.ddl_files(unnamed, F.col("is_ddl")), "ddl by text"))
     )
 
 
@@ -591,9 +594,9 @@ def scheduler_graph(spark, sf_dir):
     "dag_extract",
     _CLASSIFIED.rstrip() + "," + _EVENTS_SQL + r"""
     SELECT rel_path, event_id, lower(event_id) AS dag_id, CASE WHEN good THEN '0 5 * * *' END AS schedule, CASE WHEN good THEN 'America/New_York' END AS time_zone,
-      CASE WHEN good THEN regexp_extract(content, '<Command>([^<]*)<', 1) END AS command, CASE WHEN good THEN 90 END AS timeout_minutes,
+      CASE WHEN good THEN regexp_extract(content, '<Command>([^<]*)<', 1) END AS command, CASE WHEN good THEN 90::BIGINT END AS timeout_minutes,
       CASE WHEN good THEN regexp_extract(content, '<RunAsUser>([^<]*)<', 1) END AS run_as_user, array_to_string(deps, ',') AS dependencies,
-      CASE WHEN good THEN 2 END AS retry_count, CASE WHEN good THEN 15 END AS retry_delay_minutes, CASE WHEN good THEN regexp_extract(content, '<Email>([^<]*)<', 1) END AS email,
+      CASE WHEN good THEN 2::BIGINT END AS retry_count, CASE WHEN good THEN 15::BIGINT END AS retry_delay_minutes, CASE WHEN good THEN regexp_extract(content, '<Email>([^<]*)<', 1) END AS email,
       publish AS publish_event, CASE WHEN good THEN 'Event: ' || event_id ELSE 'XML parse warning' END AS note
     FROM found
     """,

@@ -515,7 +515,7 @@ def drop_duplicates(spark, sf_dir):
 @query(
     "union_by_name",
     """
-    SELECT c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal, 'customer' AS kind FROM customer
+    SELECT c_name AS name, CAST(c_nationkey AS BIGINT) AS nationkey, c_acctbal AS acctbal, 'customer' AS kind FROM customer
     UNION ALL SELECT s_name, s_nationkey, s_acctbal, 'supplier' FROM supplier
     """,
 )

@@ -29,8 +29,6 @@ def connect(sf_dir: str):
 
 
 def value(x):
-    if isinstance(x, float):
-        return f"{x:.9g}"
     if isinstance(x, Decimal):
         return f"D{x.normalize()}"
     if isinstance(x, (list, tuple)):

@@ -205,8 +205,8 @@ def test_paths(spark):
     assert mapped("/corp/analytics2/x", boundary=True) == "gs://my-bucket/corp/analytics2/x"
     assert mapped("/else") == "gs://my-bucket/else"
     quoted = mapping.rewrite_quoted_paths("p", PATH_MAP)
-    assert one(spark, quoted, p="a '/corp/landing/x' \"/corp/landing/x\" '/corp/q' /corp/landing") == (
-        "a 'gs://landing-bucket/x' \"/corp/landing/x\" 'gs://my-bucket/corp/q' /corp/landing"
+    assert one(spark, quoted, p="a '/corp/landing/x' \"/corp/landing/x\" '/corp/q' /corp/landing '/corp/' '/corp/landing'") == (
+        "a 'gs://landing-bucket/x' \"/corp/landing/x\" 'gs://my-bucket/corp/q' /corp/landing '/corp/' 'gs://landing-bucket'"
     )
 
 
@@ -360,3 +360,22 @@ def test_provisioned_table(spark):
     assert sorted(map(tuple, spark.table(name).collect())) == [(2, "y"), (3, "x")]
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_run_is_independent_of_order_and_partitions(spark):
+    from loomshift.operators import stages
+    from loomshift.plans import inputs
+
+    source = inputs.files(spark, "/root/testdata/sf0.001")
+
+    def run(frame):
+        return frame.transform(stages.discover).transform(stages.convert, DATASET_MAP, PATH_MAP)
+
+    spread = source.repartition(13, F.rand(5)).sortWithinPartitions(F.rand(6))
+    assert run(spread).exceptAll(run(source)).isEmpty()
+    state = run(source)
+    checks = state.where("file_type = 'hql'").select(
+        "output_path", (F.length("rel_path") % 2 == 0).alias("success"), F.lit("bad").alias("error")
+    )
+    done = stages.report(stages.validate(state, checks)).first()
+    assert done.files_converted == state.count() and done.dry_run_passed + done.dry_run_failed > 0
