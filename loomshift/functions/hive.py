@@ -158,11 +158,26 @@ def widened(dtype: T.DataType) -> T.DataType:
         return T.ArrayType(widened(dtype.elementType), dtype.containsNull)
     if isinstance(dtype, T.StructType):
         return T.StructType([T.StructField(f.name, widened(f.dataType), f.nullable) for f in dtype])
+    if isinstance(dtype, T.MapType):
+        # the target has no map: JSON text
+        return T.StringType()
     return dtype
 
 
 def to_target(name: str, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.MapType):
-        return F.to_json(F.col(name)).alias(name)
+    """A column as its target type; maps, at any depth of arrays and structs, as JSON text."""
+    return _converted(F.col(name), dtype).alias(name)
+
+
+def _converted(value: Column, dtype: T.DataType) -> Column:
     target = widened(dtype)
-    return F.col(name) if target == dtype else F.col(name).cast(target).alias(name)
+    if target == dtype:
+        return value
+    if isinstance(dtype, T.MapType):
+        return F.to_json(value)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _converted(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        built = F.struct(*[_converted(value[f.name], f.dataType).alias(f.name) for f in dtype])
+        return F.when(value.isNotNull(), built)
+    return value.cast(target)

@@ -70,23 +70,27 @@ def provision(spark: SparkSession, table: str, schema: T.StructType, location: s
 # --- strict inserts -------------------------------------------------------------
 
 
-def insert_cast(name: str, target: T.DataType | None, lenient: bool = True) -> Column:
+def insert_cast(source: T.StructField, target: T.DataType | None, lenient: bool = True) -> Column:
     """A column cast for its target; without a known target, time-like names become STRING."""
+    name = source.name
     if target is None:
         if any(name.endswith(e) for e in fixed.STRING_ENDINGS):
             return F.col(name).cast("string").alias(name)
         return F.col(name)
+    # nullability aside
+    if hive.widened(source.dataType).simpleString() == target.simpleString():
+        return hive.to_target(name, source.dataType)
     cast = F.col(name).try_cast(target) if lenient else F.col(name).cast(target)
     return cast.alias(name)
 
 
 def coerce(df: DataFrame, target: T.StructType, lenient: bool = True) -> DataFrame:
     """Columns cast to the target schema, in its order."""
-    return df.select(*[insert_cast(f.name, f.dataType, lenient) for f in target])
+    return df.select(*[insert_cast(df.schema[f.name], f.dataType, lenient) for f in target])
 
 
 def coerce_by_name(df: DataFrame, known: Mapping[str, T.DataType]) -> DataFrame:
-    return df.select(*[insert_cast(c, known.get(c)) for c in df.columns])
+    return df.select(*[insert_cast(f, known.get(f.name)) for f in df.schema])
 
 
 def cast_audit(df: DataFrame, target: Mapping[str, T.DataType]) -> DataFrame:

@@ -41,9 +41,9 @@ def table(columns, rows):
     return [columns[i] for i in order], Counter(repr([value(r[i]) for i in order]) for r in rows)
 
 
-def compare(spark, con, name, query, sql, sf_dir):
-    """None when equal, else what differs."""
-    df = query(spark, sf_dir)
+def compare(spark, con, name, query, sql, sf_dir, df=None):
+    """(what differs or None, number of rows)."""
+    df = query(spark, sf_dir) if df is None else df
     left_cols, left = table(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return None, sum(left.values())

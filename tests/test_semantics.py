@@ -379,3 +379,13 @@ def test_run_is_independent_of_order_and_partitions(spark):
     )
     done = stages.report(stages.validate(state, checks)).first()
     assert done.files_converted == state.count() and done.dry_run_passed + done.dry_run_failed > 0
+
+
+def test_maps_are_loaded_as_json(spark):
+    name = "maps_for_test"
+    df = spark.sql("SELECT 1 AS a, map('k', 2) AS m, array(map('x', 1), NULL) AS ms, named_struct('f', 1.5F, 'm', map('y', 2)) AS s")
+    sinks.provision(spark, name, df.schema, scratch(spark, name))
+    assert spark.table(name).dtypes == [("a", "bigint"), ("m", "string"), ("ms", "array<string>"), ("s", "struct<f:double,m:string>")]
+    sinks.append_rows(sinks.coerce(df, spark.table(name).schema), name)
+    assert spark.table(name).first() == (1, '{"k":2}', ['{"x":1}', None], (1.5, '{"y":2}'))
+    spark.sql(f"DROP TABLE {name}")
