@@ -404,7 +404,8 @@ def corpus_scan(spark, sf_dir):
     """A tree of text files, listed, read and decoded."""
     folder = scratch(spark, "tree")
     read_table(spark, sf_dir, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").text(folder)
-    found = readers.scan_files(spark, folder)
+    # the writer's own marker files start with an underscore and are no part of the tree
+    found = readers.scan_files(spark, folder, underscored=False)
     return found.groupBy(
         F.regexp_replace("rel_path", "/[^/]+$", "").alias("folder")
     ).agg(F.sum("size").alias("bytes"), F.sum(F.length("content")).alias("chars"))

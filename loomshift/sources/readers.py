@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +34,15 @@ STATE = T.StructType(
 )
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a folder: path, rel_path, size, content (bad bytes replaced)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def scan_files(spark: SparkSession, root: str, underscored: bool = True) -> DataFrame:
+    """Every file below a folder: path, rel_path, size, content (bad bytes replaced).
+
+    Spark's file sources skip names that start with an underscore, which code
+    repositories use (`__init__.py`); `underscored` reads those beside the others.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    if underscored:
+        raw = raw.unionByName(_underscored_files(spark, root))
     # compared without scheme and host, whichever file system lists them
     place = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
     prefix = re.sub(place, "", root).rstrip("/") + "/"
@@ -46,6 +54,43 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", root)))
+
+
+def _skipped_by_spark(rel_path: str) -> bool:
+    parts = rel_path.split("/")
+    return any(p.startswith("_") and "=" not in p for p in parts) and not any(p.startswith(".") for p in parts)
+
+
+def _underscored_files(spark: SparkSession, root: str) -> DataFrame:
+    """Folders are listed by tasks, then the paths found are spread and read by tasks."""
+    system, base = _file_system(root)
+    top = [i.path for i in system.get_file_info(fs.FileSelector(base, recursive=False)) if not i.base_name.startswith(".")]
+
+    def find(batches):
+        own, _ = _file_system(root)
+        for batch in batches:
+            for start in batch["path"]:
+                infos = own.get_file_info([start])
+                if infos[0].type == fs.FileType.Directory:
+                    infos = own.get_file_info(fs.FileSelector(start, recursive=True))
+                found = [i.path for i in infos if i.type == fs.FileType.File and _skipped_by_spark(i.path[len(base):].strip("/"))]
+                yield pd.DataFrame({"path": pd.Series(found, dtype="object")})
+
+    def read(batches):
+        own, _ = _file_system(root)
+        for batch in batches:
+            for path in batch["path"]:
+                with own.open_input_stream(path) as stream:
+                    content = stream.readall()
+                yield pd.DataFrame({"path": [path], "length": [len(content)], "content": [content]})
+
+    folders = literal_rows(spark, [(p,) for p in top], "path string").repartition(max(1, min(len(top), 1000)), "path")
+    paths = folders.mapInPandas(find, "path string")
+    return paths.repartition("path").mapInPandas(read, "path string, length long, content binary")
+
+
 def read_state(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """File rows of run state documents; a corrupt document gives no rows."""
     docs = (

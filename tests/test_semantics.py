@@ -348,6 +348,19 @@ def test_scan_replaces_bad_bytes(spark, tmp_path):
     assert [(r.rel_path, r.content, r.size) for r in got] == [("d/x.hql", "ok � end", 8)]
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_scan_reads_underscored_names(spark, tmp_path, scheme):
+    for name in ("a.py", "__init__.py", "tests/__init__.py", "_lib/x.py", "_lib/.git/y.py", ".h/__init__.py", "_k=1.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(name)
+    got = readers.scan_files(spark, scheme + str(tmp_path))
+    assert sorted((r.rel_path, r.content) for r in got.collect()) == [
+        (n, n) for n in ("__init__.py", "_k=1.py", "_lib/x.py", "a.py", "tests/__init__.py")
+    ]
+    types = {r.rel_path: r.file_type for r in corpus.classify(got).collect()}
+    assert types["tests/__init__.py"] == "test"
+
+
 def test_provisioned_table(spark):
     name = "provisioned_for_test"
     schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("p", T.StringType())])
