@@ -24,11 +24,26 @@ STATE_FILE = T.StructType(
         T.StructField("validation_error", T.StringType()),
     ]
 )
+# pairs of path and text
+FAILURES = T.StructField("failures", T.ArrayType(T.ArrayType(T.StringType())))
 STATE = T.StructType(
     [
         T.StructField("repo_path", T.StringType()),
         T.StructField("output_dir", T.StringType()),
         T.StructField("files", T.ArrayType(STATE_FILE)),
+        T.StructField("bq", T.StructType([T.StructField("passed", T.LongType()), FAILURES])),
+        T.StructField(
+            "tests",
+            T.StructType(
+                [
+                    T.StructField("ran", T.BooleanType()),
+                    T.StructField("passed", T.LongType()),
+                    T.StructField("failed", T.LongType()),
+                    T.StructField("errors", T.LongType()),
+                    FAILURES,
+                ]
+            ),
+        ),
         T.StructField("broken", T.StringType()),
     ]
 )
@@ -91,16 +106,35 @@ def _underscored_files(spark: SparkSession, root: str) -> DataFrame:
     return paths.repartition("path").mapInPandas(read, "path string, length long, content binary")
 
 
-def read_state(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """File rows of run state documents; a corrupt document gives no rows."""
+def state_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Run state documents; corrupt ones are left out."""
     docs = (
         spark.read.schema(STATE).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "broken").option("multiLine", str(multi_line).lower()).json(path)
     )
-    rows = docs.where(F.col("broken").isNull()).select("repo_path", "output_dir", F.explode("files").alias("f"))
+    return docs.where(F.col("broken").isNull()).drop("broken")
+
+
+def state_files(documents: DataFrame) -> DataFrame:
+    rows = documents.select("repo_path", "output_dir", F.explode("files").alias("f"))
     return rows.select("repo_path", "output_dir", "f.*")
 
 
+def state_failures(documents: DataFrame, stage: str) -> DataFrame:
+    """Failures recorded for a stage (bq or tests): output_dir, rel_path, error."""
+    rows = documents.select("output_dir", F.explode(f"{stage}.failures").alias("f"))
+    return rows.select("output_dir", F.get("f", F.lit(0)).alias("rel_path"), F.get("f", F.lit(1)).alias("error"))
+
+
+def state_test_counts(documents: DataFrame) -> DataFrame:
+    return documents.where("tests.ran").select("output_dir", "tests.passed", "tests.failed", "tests.errors")
+
+
+def read_state(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """File rows of run state documents; a corrupt document gives no rows."""
+    return state_files(state_documents(spark, path, multi_line))
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = "\x01") -> DataFrame:
     """Hive delimited text: no header, \\N for NULL."""
     return spark.read.schema(schema).options(sep=delimiter, nullValue="\\N", header="false", quote="", escape="\\").csv(path)

@@ -402,3 +402,18 @@ def test_maps_are_loaded_as_json(spark):
     sinks.append_rows(sinks.coerce(df, spark.table(name).schema), name)
     assert spark.table(name).first() == (1, '{"k":2}', ['{"x":1}', None], (1.5, '{"y":2}'))
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_state_document(spark, tmp_path):
+    (tmp_path / "s.json").write_text(
+        """{"repo_path": "/r", "output_dir": "/o",
+        "files": [{"rel_path": "a.hql", "file_type": "hql", "output_path": "/o/a.sql", "status": "converted", "notes": ["n"],
+                   "validation_passed": false, "validation_error": "bad"}],
+        "bq": {"passed": 3, "failures": [["a.sql", "bad"]]},
+        "tests": {"ran": true, "passed": 1, "failed": 2, "errors": 0, "failures": [["tests/t.py", "E   x"]]}}"""
+    )
+    docs = readers.state_documents(spark, str(tmp_path), multi_line=True)
+    assert readers.state_files(docs).select("rel_path", "notes", "validation_passed").first() == ("a.hql", ["n"], False)
+    assert [tuple(r) for r in readers.state_failures(docs, "bq").collect()] == [("/o", "a.sql", "bad")]
+    assert [tuple(r) for r in readers.state_failures(docs, "tests").collect()] == [("/o", "tests/t.py", "E   x")]
+    assert readers.state_test_counts(docs).first() == ("/o", 1, 2, 0)
