@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomshift.operators import corpus, extract, runstate, stages
@@ -281,8 +283,6 @@ def converted_sink(spark, sf_dir):
 
 
 def _table_name(label: str) -> str:
-    import uuid
-
     return f"{label}_{uuid.uuid4().hex[:12]}"
 
 
@@ -375,7 +375,7 @@ def partitioned_read(spark, sf_dir):
         "o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-01-01")).alias("year_start")
     )
     folder = scratch(spark, "by_year")
-    o.write.partitionBy("year_start").parquet(folder)
+    sinks.write_partitioned(o, folder, ["year_start"])
     back = readers.read_partitioned(spark, folder, o.schema, ["year_start"]).where("year_start >= '1997-01-01'")
     kept = F.typeof("year_start")
     return back.groupBy("year_start", kept.alias("kept_type")).agg(F.count("*").alias("n"))
@@ -389,7 +389,7 @@ def csv_export(spark, sf_dir):
     """Exported with a header; texts with line breaks and quotes come back whole."""
     c = read_table(spark, sf_dir, "conversations")
     folder = scratch(spark, "export")
-    c.write.mode("overwrite").options(header="true", escape='"').csv(folder)
+    sinks.export_csv(c, folder)
     return spark.read.schema(c.schema).options(header="true", multiLine="true", escape='"', emptyValue="").csv(folder)
 
 
@@ -403,7 +403,8 @@ def csv_export(spark, sf_dir):
 def corpus_scan(spark, sf_dir):
     """A tree of text files, listed, read and decoded."""
     folder = scratch(spark, "tree")
-    read_table(spark, sf_dir, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").text(folder)
+    texts = read_table(spark, sf_dir, "documents").select("lang", "source", "text")
+    sinks.balanced(texts, ["lang", "source"]).write.partitionBy("lang", "source").text(folder)
     # the writer's own marker files start with an underscore and are no part of the tree
     found = readers.scan_files(spark, folder, underscored=False)
     return found.groupBy(

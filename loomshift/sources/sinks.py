@@ -12,13 +12,30 @@ from loomshift import fixed
 from loomshift.functions import hive
 
 
+def balanced(df: DataFrame, partition_columns: Sequence[str]) -> DataFrame:
+    """Rows of a partition folder brought together, so that tasks do not each write a
+    small file to every folder; adaptive execution splits folders that are too large."""
+    if not partition_columns:
+        return df
+    names = ", ".join(f"`{c}`" for c in partition_columns)
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({names}) */ * FROM {{rows}}", rows=df)
+
+
+def _partition_columns(df: DataFrame, table: str) -> list[str]:
+    return [c.name for c in df.sparkSession.catalog.listColumns(table) if c.isPartition]
+
+
 def write_state(conversions: DataFrame, path: str) -> None:
     conversions.write.mode("overwrite").parquet(path)
 
 
 def write_converted(converted: DataFrame, path: str) -> None:
     """The converted corpus as one table, a folder per file type."""
-    converted.write.mode("overwrite").partitionBy("file_type").parquet(path)
+    write_partitioned(converted, path, ["file_type"])
+
+
+def write_partitioned(df: DataFrame, path: str, partition_columns: Sequence[str]) -> None:
+    balanced(df, partition_columns).write.mode("overwrite").partitionBy(*partition_columns).parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, table: str) -> None:
@@ -27,20 +44,20 @@ def overwrite_partitions(df: DataFrame, table: str) -> None:
     Columns are matched by name.
     """
     spark = df.sparkSession
-    names = spark.table(table).columns
+    rows = balanced(df.select(*spark.table(table).columns), _partition_columns(df, table))
     # inserts into a table take the mode from the session only
     key = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(key)
     spark.conf.set(key, "dynamic")
     try:
-        df.select(*names).write.insertInto(table, overwrite=True)
+        rows.write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(key, before)
 
 
 def append_rows(df: DataFrame, table: str) -> None:
-    names = df.sparkSession.table(table).columns
-    df.select(*names).write.insertInto(table)
+    rows = df.select(*df.sparkSession.table(table).columns)
+    balanced(rows, _partition_columns(df, table)).write.insertInto(table)
 
 
 def write_formatted(df: DataFrame, path: str, storage: str, delimiter: str = "\x01") -> None:
@@ -51,7 +68,8 @@ def write_formatted(df: DataFrame, path: str, storage: str, delimiter: str = "\x
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").csv(path)
+    """With a header; quotes are doubled, so any text comes back whole."""
+    df.write.mode("overwrite").options(header="true", escape='"').csv(path)
 
 
 def provision(spark: SparkSession, table: str, schema: T.StructType, location: str,

@@ -417,3 +417,12 @@ def test_state_document(spark, tmp_path):
     assert [tuple(r) for r in readers.state_failures(docs, "bq").collect()] == [("/o", "a.sql", "bad")]
     assert [tuple(r) for r in readers.state_failures(docs, "tests").collect()] == [("/o", "tests/t.py", "E   x")]
     assert readers.state_test_counts(docs).first() == ("/o", 1, 2, 0)
+
+
+def test_partitioned_writes_are_balanced(spark, tmp_path):
+    # a hundred tasks, three folders: a file per folder, not three hundred
+    df = spark.range(0, 3000, 1, 100).select("id", (F.col("id") % 3).alias("p"))
+    sinks.write_partitioned(df, str(tmp_path / "t"), ["p"])
+    files_written = list((tmp_path / "t").glob("p=*/*.parquet"))
+    assert len(files_written) == 3
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3000
