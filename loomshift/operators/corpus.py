@@ -219,6 +219,15 @@ def sql_outputs(converted: DataFrame) -> DataFrame:
     return converted.where((text.suffix("output_path") == ".sql") & ~F.array_contains(parts, "dags"))
 
 
+def requested_sql(converted: DataFrame, requested: DataFrame) -> DataFrame:
+    """Requested outputs, named with or without .sql, with a status; unknown ones stay as rows."""
+    named = F.when(text.suffix("output_path") == ".sql", F.col("output_path")).otherwise(text.with_suffix("output_path", ".sql"))
+    wanted = requested.select(named.alias("output_path")).distinct()
+    known = converted.select("output_path").distinct().withColumn("__known", F.lit(True))
+    status = F.when(F.col("__known"), "ok").otherwise("not found")
+    return wanted.join(known, "output_path", "left").select("output_path", status.alias("status"))
+
+
 def ddl_files(converted: DataFrame, is_ddl: Column | None = None) -> DataFrame:
     """Files recorded as DDL; only when the state names none, files whose text looks like DDL.
 

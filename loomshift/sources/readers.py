@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,11 +108,16 @@ def _underscored_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def state_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Run state documents; corrupt ones are left out."""
-    docs = (
-        spark.read.schema(STATE).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "broken").option("multiLine", str(multi_line).lower()).json(path)
+    """Run state documents; corrupt ones are left out, an absent path gives none."""
+    reader = spark.read.schema(STATE).options(
+        mode="PERMISSIVE", columnNameOfCorruptRecord="broken", multiLine=str(multi_line).lower()
     )
+    try:
+        docs = reader.json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        docs = spark.createDataFrame([], STATE)
     return docs.where(F.col("broken").isNull()).drop("broken")
 
 

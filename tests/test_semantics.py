@@ -334,7 +334,15 @@ def test_validation_outcome(spark):
     assert got == {"a": (True, None), "b": (False, "bad"), "c": (None, None)}
 
 
+def test_requested_sql(spark):
+    converted = readers.literal_rows(spark, [("a/x.sql",), ("b/y.sql",)], "output_path string")
+    requested = readers.literal_rows(spark, [("a/x.hql",), ("a/x.sql",), ("b/y",), ("c.sql",)], "output_path string")
+    got = {r.output_path: r.status for r in corpus.requested_sql(converted, requested).collect()}
+    assert got == {"a/x.sql": "ok", "b/y.sql": "ok", "c.sql": "not found"}
+
+
 def test_corrupt_state_gives_no_rows(spark, tmp_path):
+    assert readers.read_state(spark, str(tmp_path / "absent")).count() == 0
     (tmp_path / "s.json").write_text('{"repo_path": "/r", "files": [{"rel_path": "a"}')
     assert readers.read_state(spark, str(tmp_path), multi_line=True).count() == 0
     (tmp_path / "s.json").write_text('{"repo_path": "/r", "files": [{"rel_path": "a",\n "validation_passed": null}]}')
