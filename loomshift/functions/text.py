@@ -23,11 +23,12 @@ def lines(col) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, fixed.LINE_BREAK, -1))
 
 
-def substitute(col, pattern: str, replacement: Callable[[Column], Column]) -> Column:
+def substitute(col, pattern: str, replacement: Callable[[Column], Column], needs: str = "") -> Column:
     """Replace every match of a pattern by a column computed from the match.
 
     One pass whatever the number of rules behind `replacement`, and replaced
     text is never matched again.  The pattern must not match an empty text.
+    `needs` is plain text in every match: texts without it skip the pattern.
     """
     text = _c(col)
     between = F.split(text, pattern, -1)
@@ -35,7 +36,8 @@ def substitute(col, pattern: str, replacement: Callable[[Column], Column]) -> Co
     rebuilt = F.array_join(
         F.zip_with(between, hits, lambda piece, hit: F.concat(piece, F.coalesce(hit, F.lit("")))), ""
     )
-    return F.when(text.rlike(pattern), rebuilt).otherwise(text)
+    hit = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+    return F.when(hit, rebuilt).otherwise(text)
 
 
 def strip(col) -> Column:

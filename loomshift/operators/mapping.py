@@ -96,13 +96,17 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
     return matched.select(key, path, "prefix", F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"))
 
 
+def _shared(path_map: Mapping[str, str], roots=()) -> str:
+    return os.path.commonprefix([*path_map, *roots])
+
+
 def _prefix_pattern(path_map: Mapping[str, str], roots=(), stop: str = "") -> str:
     """Any of the prefixes, or a root with something before the stop after it.
 
     What they share comes first, so a search can skip ahead.
     """
     names = _longest_first(_checked(path_map))
-    shared = os.path.commonprefix([*names, *roots])
+    shared = _shared(path_map, roots)
     rests = [re.escape(n[len(shared):]) for n in names]
     rests += [re.escape(r[len(shared):]) + f"(?=[^{stop}])" for r in roots]
     return re.escape(shared) + "(?:" + "|".join(rests) + ")"
@@ -119,6 +123,7 @@ def rewrite_quoted_paths(col, path_map: Mapping[str, str], bucket: str = BUCKET,
         out = text.substitute(
             out, pattern,
             lambda hit: F.concat(F.lit(q), map_path(F.substr(hit, F.lit(2), F.length(hit) - 2), path_map, bucket), F.lit(q)),
+            needs=q + _shared(path_map, roots),
         )
     return out
 
@@ -128,7 +133,8 @@ def rewrite_bare_paths(col, path_map: Mapping[str, str], bucket: str = BUCKET) -
     out = F.col(col) if isinstance(col, str) else col
     if not path_map:
         return out
-    return text.substitute(out, _prefix_pattern(path_map) + r"\S+", lambda hit: map_path(hit, path_map, bucket))
+    pattern = _prefix_pattern(path_map) + r"\S+"
+    return text.substitute(out, pattern, lambda hit: map_path(hit, path_map, bucket), needs=_shared(path_map))
 
 
 # --- names ------------------------------------------------------------------
@@ -145,7 +151,7 @@ def _reference(hit: Column, dataset_map: Mapping[str, str], project: str) -> Col
 def qualify_refs(col, dataset_map: Mapping[str, str], project: str = PROJECT) -> Column:
     """${db}.table becomes a qualified reference where the db is mapped."""
     return text.substitute(
-        col, fixed.DB_TABLE_REF, lambda hit: F.coalesce(_reference(hit, dataset_map, project), hit)
+        col, fixed.DB_TABLE_REF, lambda hit: F.coalesce(_reference(hit, dataset_map, project), hit), needs="${"
     )
 
 
