@@ -125,4 +125,11 @@ def report(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     facts = stored(run_facts(log), "run-facts")
     first = text.first_line("excerpt", fixed.REPORT_CHARS)
     lines = failures(log, facts, max_rows).select("run_id", "file", first.alias("first_line"))
-    return facts.drop("alarm", "named").join(lines, "run_id", "left")
+    totals = facts.drop("alarm", "named")
+    # failures on the left of an inner join, so a run with very many can be split;
+    # runs without any are known from the facts
+    failed = lines.join(totals, "run_id").select(*totals.columns, "file", "first_line")
+    clean = facts.where("NOT alarm AND NOT named").select(
+        *totals.columns, F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("first_line")
+    )
+    return failed.unionByName(clean)

@@ -127,3 +127,32 @@ def test_large_groups_are_found_in_a_sample(spark):
     w = Window.partitionBy("k").orderBy("o")
     want = df.withColumn("rn", F.row_number().over(w).cast("bigint"))
     assert groups.row_number("rn").result().exceptAll(want).isEmpty()
+
+
+@pytest.mark.parametrize(
+    "order",
+    [["ts", "id"], ["-day", "name", "id"], ["amount", "-id"], ["-name", "id"], ["flag", "-ts", "id"], ["big", "id"]],
+)
+def test_every_type_of_order(spark, order):
+    mixed = spark.range(500).select(
+        "id",
+        F.when(F.col("id") % 5 > 1, F.lit(None).cast("int")).otherwise((F.col("id") % 3).cast("int")).alias("k1"),
+        F.when(F.col("id") % 7 > 0, "a").otherwise(F.lit(None).cast("string")).alias("k2"),
+        F.when(F.col("id") % 9 > 0, F.timestamp_seconds(F.col("id") * 977 % 1000 - 300)).cast("timestamp_ntz").alias("ts"),
+        F.date_add(F.lit("1960-01-01").cast("date"), (F.col("id") * 31 % 40).cast("int")).alias("day"),
+        ((F.col("id") * 17 % 90 - 45) / 4).cast("decimal(10,2)").alias("amount"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("commonprefix"), (F.col("id") * 7 % 60).cast("string"))).alias("name"),
+        (F.col("id") % 2 == 0).alias("flag"),
+        # numbers that a double cannot tell apart
+        (F.lit(2**60) + F.col("id") * 13 % 500).alias("big"),
+    )
+    sort = [F.col(o.lstrip("-")).desc() if o.startswith("-") else F.col(o).asc() for o in order]
+    w = Window.partitionBy("k1", "k2").orderBy(*sort)
+    groups = OrderedGroups(mixed, ["k1", "k2"], order, max_rows=12)
+    assert groups.is_split
+    got = groups.row_number("rn").running_sum(F.col("id"), "s").result().select("id", "rn", "s")
+    want = mixed.select(
+        "id", F.row_number().over(w).cast("bigint").alias("rn"),
+        F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

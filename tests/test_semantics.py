@@ -302,6 +302,8 @@ def test_log_shapes(spark):
         ("r4", "(unknown)"): "0 failed, 3 passed",
         ("r6", "tests/a.py"): fixed.NO_BODY,
     }
+    shown = {(r.run_id, r.file, r.first_line) for r in testlog.report(shapes).collect()}
+    assert ("r5", None, None) in shown and ("r1", "tests/foo.py", "E   ModuleNotFoundError: x") in shown and len(shown) == 7
     counts = {r.run_id: (r.passed, r.failed, r.errors) for r in testlog.counts(shapes).collect()}
     assert counts["r0"] == (4, 1, 0) and counts["r4"] == (3, 0, 0) and counts["r3"] == (0, 0, 0)
 
