@@ -36,7 +36,7 @@ FROM classified WHERE file_type <> 'skip'
 _QUOTED_SQL = (
     r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '''/corp/analytics/raw([^'']*)''', '''gs://raw-bucket/raw\1''', 'g'),"""
     r""" '''/corp/analytics([^'']*)''', '''gs://my-bucket/analytics\1''', 'g'), '''/corp/landing([^'']*)''', '''gs://landing-bucket\1''', 'g'),"""
-    r""" '''(/corp/[^'']*)''', '''gs://my-bucket\1''', 'g')"""
+    r""" '''(/corp/[^'']+)''', '''gs://my-bucket\1''', 'g')"""
 )
 _BARE_SQL = (
     r"""regexp_replace(regexp_replace(regexp_replace({x}, '/corp/analytics/raw(\S+)', 'gs://raw-bucket/raw\1', 'g'),"""
@@ -47,13 +47,14 @@ _REFS_SQL = (
     r""" '\$\{{hivesrcdb\}}\.(\w+)', '`my-project.src_raw.\1`', 'g'), '\$\{{dim_db\}}\.(\w+)', '`my-project.dims.\1`', 'g')"""
 )
 _SCRIPT_SQL = (
-    r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(["''])/corp/analytics/raw([^"'']*)(["''])', '\1gs://raw-bucket/raw\2\3', 'g'),"""
-    r""" '(["''])/corp/analytics([^"'']*)(["''])', '\1gs://my-bucket/analytics\2\3', 'g'), '(["''])/corp/landing([^"'']*)(["''])', '\1gs://landing-bucket\2\3', 'g'),"""
-    r""" '(["''])/none([^"'']*)(["''])', '\1\2\3', 'g')"""
+    r"""regexp_replace(regexp_replace(regexp_replace({x}, '(["''])/corp/analytics/raw([^"'']*)(["''])', '\1gs://raw-bucket/raw\2\3', 'g'),"""
+    r""" '(["''])/corp/analytics([^"'']*)(["''])', '\1gs://my-bucket/analytics\2\3', 'g'), '(["''])/corp/landing([^"'']*)(["''])', '\1gs://landing-bucket\2\3', 'g')"""
 )
 _NAMES_SQL = (
     r"""regexp_replace(regexp_replace({x}, '"(cs_db|hivesrcdb)"', '"src_raw"', 'g'), '''(cs_db|hivesrcdb)''', '''src_raw''', 'g')"""
 )
+_NOTES_SQL = r"""nullif(array_to_string(list_transform(regexp_extract_all(content, '\$\{(?:cs_db|hivesrcdb|dim_db)\}\.\w+'), lambda h:
+  h || ' → `my-project.' || CASE WHEN starts_with(h, '${dim_db}') THEN 'dims' ELSE 'src_raw' END || '.' || regexp_extract(h, '\.(\w+)', 1) || '`'), ' | '), '')"""
 _NO_USE = r"""regexp_replace({x}, 'USE\s+\$\{{\w+\}};?\s*\n?', '', 'g')"""
 
 
@@ -157,8 +158,7 @@ def discovery_report(spark, sf_dir):
     "review_flags",
     _REWRITTEN.rstrip() + f", reviewed AS ({REVIEWED})" + """
     SELECT rel_path, needs_review, concat_ws(' | ',
-      CASE WHEN file_type = 'hql' THEN nullif(array_to_string(list_transform(regexp_extract_all(content, '\\$\\{(?:cs_db|hivesrcdb|dim_db)\\}\\.\\w+'), lambda h:
-         h || ' → `my-project.' || CASE WHEN starts_with(h, '${dim_db}') THEN 'dims' ELSE 'src_raw' END || '.' || regexp_extract(h, '\\.(\\w+)', 1) || '`'), ' | '), '') END,
+      CASE WHEN file_type = 'hql' THEN {notes} END,
       CASE WHEN file_type = 'dag_xml' AND NOT ends_with(content, '</Description></Event>') THEN 'XML parse warning' WHEN file_type = 'dag_xml' THEN
          'Event: ' || coalesce(nullif(regexp_extract(content, '<EventId>([^<]*)</EventId>', 1), ''), regexp_replace(regexp_extract(rel_path, '[^/]+$'), '\\.[^.]+$', '')) END,
       CASE WHEN file_type = 'filters' THEN 'Defines 3 injectable filters: filter_excl_test_type, filter_min_value, filter_' || CAST(g AS VARCHAR) END,
@@ -171,7 +171,7 @@ def discovery_report(spark, sf_dir):
       CASE WHEN file_type = 'dag_xml' THEN 'Update bash_command paths to point to GCP-compatible scripts' END,
       CASE WHEN file_type = 'filters' THEN 'Filters baked into converted SQL WHERE clause — see this file for reference' END) AS notes
     FROM reviewed
-    """.replace("\\\\", "\\"),
+    """.replace("\\\\", "\\").replace("{notes}", _NOTES_SQL),
 )
 def review_flags(spark, sf_dir):
     """P4."""
@@ -409,14 +409,7 @@ def path_map_inline(spark, sf_dir):
 
 @query(
     "qualify_refs",
-    _FILES + f"""
-    SELECT rel_path, md5({_sql(_REFS_SQL, 'content')}) AS digest,
-      list_aggregate(list_filter([CASE WHEN d IS NULL THEN NULL ELSE h || ' → `my-project.' || d || '.' || t || '`' END
-        FOR h, d, t IN ()], x -> x IS NOT NULL), 'string_agg', ' | ') AS notes FROM files
-    """.replace("""list_aggregate(list_filter([CASE WHEN d IS NULL THEN NULL ELSE h || ' → `my-project.' || d || '.' || t || '`' END
-        FOR h, d, t IN ()], x -> x IS NOT NULL), 'string_agg', ' | ')""",
-    r"""coalesce(array_to_string(list_transform(regexp_extract_all(content, '\$\{(?:cs_db|hivesrcdb|dim_db)\}\.\w+'), lambda h:
-         h || ' → `my-project.' || CASE WHEN starts_with(h, '${dim_db}') THEN 'dims' ELSE 'src_raw' END || '.' || regexp_extract(h, '\.(\w+)', 1) || '`'), ' | '), '')"""),
+    _FILES + f"SELECT rel_path, md5({_sql(_REFS_SQL, 'content')}) AS digest, coalesce({_NOTES_SQL}, '') AS notes FROM files",
 )
 def qualify_refs(spark, sf_dir):
     """rewritten text and one note per rewritten reference."""
@@ -648,7 +641,7 @@ def function_usage(spark, sf_dir):
 
 @query(
     "config_rename",
-    _CLASSIFIED.replace("WITH", "WITH", 1).rstrip() + "," + _LINES_SQL.replace("FROM files)", "FROM classified WHERE file_type = 'config')") + r"""
+    _CLASSIFIED.rstrip() + "," + _LINES_SQL.replace("FROM files)", "FROM classified WHERE file_type = 'config')") + r"""
     SELECT rel_path, line_no, k AS old_key, CASE WHEN k = 'mapred_qname' THEN 'removed' WHEN k IN ('HIVE_RUNNER', 'HiveDBPath', 'HqlDir', 'HdlDir', 'cs_db', 'hivesrcdb', 'dim_db') THEN 'renamed' ELSE 'kept' END AS action,
       CASE k WHEN 'mapred_qname' THEN '# REMOVED: mapred_qname (YARN queue — not needed in BQ)' WHEN 'HIVE_RUNNER' THEN 'BQ_RUNNER=bq' WHEN 'HiveDBPath' THEN 'BQ_DATASET_PATH=' || v
         WHEN 'HqlDir' THEN 'SqlDir=' || v WHEN 'HdlDir' THEN 'SchemaDir=' || v WHEN 'cs_db' THEN 'CS_DB_DATASET=src_raw' ELSE k || '=' || v END AS new_line
