@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomshift import fixed
 from loomshift.functions import hive
-from loomshift.operators import extract
+from loomshift.operators import extract, tables
 from loomshift.operators.ordered import OrderedGroups, first_rows, listed, listed_set, ranked
 from loomshift.plans.registry import query
 from loomshift.session import read_table
@@ -316,14 +313,6 @@ def shipments(spark, sf_dir):
     return spark.sql(SHIPMENTS.replace("{text}", "STRING"), lineitem=li)
 
 
-def ingest_filter_columns(min_value: Decimal = Decimal(fixed.MIN_DECLARED_VALUE)):
-    """P6; a NULL record type is kept."""
-    kept = ~F.col("record_type").isin(fixed.EXCLUDED_RECORDS) | F.col("record_type").isNull()
-    value = F.coalesce(F.col("declared_value"), F.lit(0).cast("decimal(18,2)"))
-    carrier = F.col("carrier_id").isNotNull() & (F.col("carrier_id") != "")
-    return kept & F.col("shipment_status_code").isin(fixed.STATUS_CODES) & (value >= F.lit(min_value)) & carrier
-
-
 _SHIP_SQL = "WITH shipments AS (" + SHIPMENTS.replace("{text}", "VARCHAR").replace("{lineitem}", "lineitem") + ")\n"
 _INGEST_SQL = """(record_type IS NULL OR record_type NOT IN ('TEST', 'INTERNAL'))
     AND shipment_status_code IN ('BOOKED', 'IN_TRANSIT', 'DELIVERED')
@@ -338,7 +327,8 @@ _INGEST_SQL = """(record_type IS NULL OR record_type NOT IN ('TEST', 'INTERNAL')
     """,
 )
 def ingest_filter(spark, sf_dir):
-    kept = shipments(spark, sf_dir).where(ingest_filter_columns())
+    """P6; a NULL record type is kept."""
+    kept = tables.ingest_filter(shipments(spark, sf_dir))
     return kept.select(
         "l_orderkey", "l_linenumber", "l_partkey", "record_type", "shipment_status_code",
         F.col("declared_value").cast("double").alias("declared_value"), "carrier_id",
@@ -440,22 +430,13 @@ def distinct_keys(spark, sf_dir):
 )
 def count_reconcile(spark, sf_dir):
     """Rows per date on both sides and their difference."""
-    return reconcile_counts(
+    return tables.reconcile_counts(
         read_table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("trans_dt")),
         read_table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("trans_dt")),
         "trans_dt",
     )
 
 
-def reconcile_counts(source, target, key):
-    s = source.groupBy(key).agg(F.count("*").alias("s"))
-    t = target.groupBy(key).agg(F.count("*").alias("t"))
-    left, right = F.coalesce("s", F.lit(0)), F.coalesce("t", F.lit(0))
-    return s.join(t, key, "full").select(
-        key, left.alias("source_count"), right.alias("target_count"), (left - right).alias("diff")
-    )
-
-
 # --- windows --------------------------------------------------------------------------------
 
 
@@ -543,7 +524,7 @@ def union_by_name(spark, sf_dir):
 )
 def daily_ingest(spark, sf_dir):
     """Ingest filter, run parameter, nvl, count, and the largest group of each customer."""
-    kept = shipments(spark, sf_dir).where(ingest_filter_columns())
+    kept = tables.ingest_filter(shipments(spark, sf_dir))
     orders = spark.sql(
         "SELECT o_orderkey, o_custkey, o_orderdate FROM {orders} WHERE o_orderdate >= CAST(:from_dt AS TIMESTAMP_NTZ)",
         args={"from_dt": "1996-01-01"}, orders=read_table(spark, sf_dir, "orders"),

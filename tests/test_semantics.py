@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from loomshift import fixed
 from loomshift.functions import hive, text
-from loomshift.operators import agentlog, corpus, extract, mapping, runstate, testlog
-from loomshift.plans.hive import FILTER_FILE, ingest_filter_columns
+from loomshift.operators import agentlog, corpus, extract, mapping, runstate, tables, testlog
+from loomshift.plans.hive import FILTER_FILE
 from loomshift.plans.inputs import DATASET_MAP, PATH_MAP
 from loomshift.session import scratch
 from loomshift.sources import readers, sinks
@@ -82,7 +82,7 @@ def test_ingest_filter(spark):
         ("empty carrier", "STANDARD", "BOOKED", Decimal("50.00"), ""),
         ("no carrier", "STANDARD", "BOOKED", Decimal("50.00"), None),
     ]
-    kept = readers.literal_rows(spark, rows, schema).where(ingest_filter_columns())
+    kept = tables.ingest_filter(readers.literal_rows(spark, rows, schema))
     assert sorted(r.shipment_id for r in kept.collect()) == ["kept", "null type kept"]
 
 
