@@ -90,6 +90,11 @@ def glob_pattern(pattern: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif pattern[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif pattern[i] == "[" and (end := pattern.find("]", i + 2)) > 0:
+            # a class never matches the separator
+            inner = pattern[i + 1:end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            body = "^" + inner[1:] if inner.startswith("!") else inner
+            out, i = out + f"(?!/)[{body}]", end + 1
         else:
             out, i = out + ("\\" + pattern[i] if pattern[i] in special else pattern[i]), i + 1
     return f"^{out}$"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -141,11 +142,17 @@ def numbered_lines(df: DataFrame, col: str = "content") -> DataFrame:
     return exploded.select(*keep, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
+# anchors, lookarounds and possessive parts can match a line but not the text around it
+_LINE_BOUND = re.compile(r"(?<!\[)\^|\$|\(\?|\\[AZzGR]|[*+?}]\+")
+
+
 def search_lines(files: DataFrame, pattern: str, glob: str = "**/*") -> DataFrame:
     """Every line that matches: rel_path, line_no, hit."""
     scoped = files.where(F.col("rel_path").rlike(text.glob_pattern(glob)))
-    # texts without any match never reach the explode
-    candidates = scoped.where(F.col("content").rlike("(?m)" + pattern)).select("rel_path", "content")
+    candidates = scoped.select("rel_path", "content")
+    if not _LINE_BOUND.search(pattern):
+        # texts without any match never reach the explode
+        candidates = candidates.where(F.col("content").rlike(pattern))
     hits = numbered_lines(candidates).where(F.col("line").rlike(pattern))
     return hits.select("rel_path", "line_no", F.substring(text.strip("line"), 1, fixed.HIT_CHARS).alias("hit"))
 

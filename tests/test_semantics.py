@@ -142,6 +142,18 @@ def test_globs():
     assert hit("**/*.sql", "a.sql") and hit("**/*.sql", "x/y/a.sql")
     assert hit("*.sql", "a.sql") and not hit("*.sql", "x/a.sql")
     assert hit("a?.b+c", "ax.b+c") and not hit("a?.b+c", "ax.bbc")
+    assert hit("[ab]*.py", "b1.py") and not hit("[ab]*.py", "c1.py")
+    assert hit("[!ab]?", "cd") and not hit("[!ab]?", "ad") and not hit("x[!a]y", "x/y")
+
+
+@pytest.mark.parametrize("pattern", ["foo", "^foo", "foo$", r"\Afoo", r"foo(?!\s*bar)", r"a\s*+$", "[^x]oo", r"o\b", "o+$"])
+def test_search_is_by_line(spark, pattern):
+    import re
+
+    content = "foo\nbar\x0cfoo x\n a \n\nxoo\nfood\rfoo"
+    hits = corpus.search_lines(files(spark, ("a/b.txt", content)), pattern).collect()
+    want = [(n, ln.strip()) for n, ln in enumerate(content.splitlines(), 1) if re.search(pattern, ln)]
+    assert sorted((r.line_no, r.hit) for r in hits) == want
 
 
 # --- corpus ----------------------------------------------------------------------------
