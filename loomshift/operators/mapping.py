@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os.path
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from loomshift import fixed
 from loomshift.functions import text
 from loomshift.operators import extract
 
-# Mappings given as a dict become column expressions, so their size is checked;
-# larger ones must come as a table.
+# Mappings given as a dict become column expressions, so their size is checked.
+# The *_by_table forms take mappings of any size.
 MAX_INLINE_RULES = 500
 
 BUCKET = fixed.DEFAULT_BUCKET
@@ -23,7 +23,7 @@ PROJECT = fixed.DEFAULT_PROJECT
 
 def _checked(rules: Mapping[str, str]) -> Mapping[str, str]:
     if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"{len(rules)} rules: pass a table instead of a dict beyond {MAX_INLINE_RULES}")
+        raise ValueError(f"{len(rules)} rules: use the forms that take a table beyond {MAX_INLINE_RULES}")
     return rules
 
 
@@ -213,6 +213,64 @@ def ddl_target(col: str, path: str, dataset_map: Mapping[str, str], project: str
     return F.struct(db.alias("db"), dataset.alias("dataset"), table.alias("table"), ref.alias("ref"))
 
 
+# --- rewrites by tables of any size ---------------------------------------------
+
+
+def substitute_by_table(files: DataFrame, pattern: str, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Replaces matches in `content` by what `resolve` finds for them.
+
+    `resolve` turns a frame of distinct matches (match) into (match, replacement)
+    by joins; matches it leaves out stay. Only paths and matches are shuffled
+    for the lookup, and a file carries just the replacements it needs.
+    """
+    per_file = files.select("rel_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)))).alias("match"))
+    lookup = resolve(per_file.select("match").distinct()).select("match", "replacement")
+    entries = F.map_from_entries(F.collect_list(F.struct("match", "replacement")))
+    needed = per_file.join(lookup, "match").groupBy("rel_path").agg(entries.alias("__found"))
+    rewritten = text.substitute("content", pattern, lambda hit: F.coalesce(F.try_element_at(F.col("__found"), hit), hit))
+    joined = files.join(needed, "rel_path", "left")
+    content = F.when(F.col("__found").isNull(), F.col("content")).otherwise(rewritten)
+    return joined.withColumn("content", content).drop("__found")
+
+
+def _unique_datasets(datasets: DataFrame) -> DataFrame:
+    return datasets.groupBy(F.col("hive_name").alias("__db")).agg(F.max("dataset").alias("__dataset"))
+
+
+def qualify_refs_by_table(files: DataFrame, datasets: DataFrame, project: str = PROJECT) -> DataFrame:
+    def resolve(matches: DataFrame) -> DataFrame:
+        named = matches.withColumn("__db", F.regexp_extract("match", fixed.DB_TABLE_REF, 1))
+        table = F.regexp_extract("match", fixed.DB_TABLE_REF, 2)
+        ref = F.concat(F.lit(f"`{project}."), "__dataset", F.lit("."), table, F.lit("`"))
+        return named.join(_unique_datasets(datasets), "__db").select("match", ref.alias("replacement"))
+
+    return substitute_by_table(files, fixed.DB_TABLE_REF, resolve)
+
+
+def rename_dbs_by_table(files: DataFrame, datasets: DataFrame, pattern: str) -> DataFrame:
+    """`pattern` matches a mark, the name and a mark, as in `=name` or a quoted name."""
+
+    def resolve(matches: DataFrame) -> DataFrame:
+        named = matches.withColumn("__db", F.regexp_extract("match", r"\w+", 0))
+        renamed = F.replace("match", F.col("__db"), F.col("__dataset"))
+        return named.join(_unique_datasets(datasets), "__db").select("match", renamed.alias("replacement"))
+
+    return substitute_by_table(files, pattern, resolve)
+
+
+def rewrite_quoted_paths_by_table(files: DataFrame, prefixes: DataFrame, bucket: str = BUCKET, root: str = "/corp/",
+                                  quote: str = "'") -> DataFrame:
+    """Quoted absolute paths below a prefix, or below the root, moved to their targets."""
+
+    def resolve(matches: DataFrame) -> DataFrame:
+        paths = matches.withColumn("__path", F.substr("match", F.lit(2), F.length("match") - 2))
+        mapped = longest_prefix_join(paths, "match", "__path", prefixes, bucket)
+        known = F.col("prefix").isNotNull() | (F.startswith("__path", F.lit(root)) & (F.col("__path") != root))
+        return mapped.where(known).select("match", F.concat(F.lit(quote), "mapped", F.lit(quote)).alias("replacement"))
+
+    return substitute_by_table(files, f"{quote}/[^{quote}]*{quote}", resolve)
+
+
 # --- all rewrites of one file -------------------------------------------------
 
 

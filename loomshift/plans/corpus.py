@@ -435,6 +435,19 @@ def rewrite_paths(spark, sf_dir):
     )
 
 
+@query(
+    "rewrite_by_table",
+    _FILES + f"SELECT rel_path, md5({_sql(_QUOTED_SQL, _sql(_REFS_SQL, 'content'))}) AS digest FROM files",
+)
+def rewrite_by_table(spark, sf_dir):
+    """F23, F24 with mappings as tables, whatever their size."""
+    datasets = readers.literal_rows(spark, list(DATASET_MAP.items()), "hive_name string, dataset string")
+    prefixes = readers.literal_rows(spark, list(PATH_MAP.items()), "prefix string, target string")
+    qualified = mapping.qualify_refs_by_table(inputs.files(spark, sf_dir), datasets)
+    moved = mapping.rewrite_quoted_paths_by_table(qualified, prefixes)
+    return moved.select("rel_path", F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
 @query(
     "rename_dbs",
     _FILES + rf"""

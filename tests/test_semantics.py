@@ -235,6 +235,22 @@ def test_references_and_names(spark):
     assert one(spark, mapping.residual_variables("p"), p="${a} @b") == "@a @b"
 
 
+def test_rewrites_by_table_agree_with_inline(spark):
+    f = files(
+        spark, ("a", "FROM ${cs_db}.a JOIN ${unknown}.b '/corp/landing/x' '/corp/q' '/corp/' '/other' \"/corp/q\" k=cs_db j=cs_db_old"),
+        ("b", "nothing"), ("c", "${cs_db}.a ${cs_db}.a ${dim_db}.c '/corp/analytics/raw' '/corp/analytics2/y' n=dim_db"),
+    )
+    datasets = readers.literal_rows(spark, list(DATASET_MAP.items()), "hive_name string, dataset string")
+    prefixes = readers.literal_rows(spark, list(PATH_MAP.items()), "prefix string, target string")
+    for by_table, inline in [
+        (mapping.qualify_refs_by_table(f, datasets), mapping.qualify_refs("content", DATASET_MAP)),
+        (mapping.rewrite_quoted_paths_by_table(f, prefixes), mapping.rewrite_quoted_paths("content", PATH_MAP)),
+        (mapping.rename_dbs_by_table(f, datasets, r"=\w+\b"), mapping.rename_assigned("content", DATASET_MAP)),
+    ]:
+        want = f.select("rel_path", inline.alias("content"))
+        assert sorted(map(tuple, by_table.select("rel_path", "content").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_too_many_inline_rules():
     with pytest.raises(ValueError):
         mapping.map_path("p", {f"/p{i}": "t" for i in range(mapping.MAX_INLINE_RULES + 1)})
