@@ -58,6 +58,12 @@ def label(col, limit: int = fixed.LABEL_CHARS) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
+def call_label(name, arguments) -> Column:
+    """One line for a call: name(key=value, ...), from a map of text arguments."""
+    shown = F.transform(F.map_entries(_c(arguments)), lambda e: F.concat(e["key"], F.lit("="), label(e["value"])))
+    return F.concat(_c(name), F.lit("("), F.array_join(shown, ", "), F.lit(")"))
+
+
 def first_line(col, limit: int) -> Column:
     line = F.get(lines(col), F.lit(0))
     return F.coalesce(F.substring(line, 1, limit), F.lit(""))

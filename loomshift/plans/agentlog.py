@@ -9,6 +9,7 @@ from loomshift.operators import agentlog
 from loomshift.plans import inputs
 from loomshift.plans.inputs import with_ctes
 from loomshift.plans.registry import query
+from loomshift.sources import readers
 
 _LOG = with_ctes(log=inputs.LOG)
 _TALK = with_ctes(talk=inputs.MESSAGES)
@@ -133,6 +134,26 @@ def idle_sessions_6h(spark, sf_dir):
     return agentlog.idle_sessions(inputs.log(spark, sf_dir), 6 * 3600)
 
 
+PUSHED = """
+SELECT event_id, concat(CASE WHEN k % 10 = 0 THEN ': keepalive' WHEN k % 10 = 1 THEN 'data: {"kind": "cut' ELSE concat(
+    'data: {"kind": "', kind, '", "id": "', CAST(event_id AS STRING), '", "tool": "', tool, '", "ok": ', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END,
+    ', "decision": "', decision, '"}') END) AS value FROM (""" + inputs.LOG + ") l"
+
+
+@query(
+    "event_parse",
+    with_ctes(log=inputs.LOG) + """
+    SELECT event_id, CASE WHEN k % 10 <> 1 THEN kind END AS kind, CASE WHEN k % 10 <> 1 THEN CAST(event_id AS VARCHAR) END AS id, CASE WHEN k % 10 <> 1 THEN tool END AS tool,
+      CASE WHEN k % 10 <> 1 THEN CAST(k % 2 = 0 AS VARCHAR) END AS ok, CASE WHEN k % 10 <> 1 THEN decision END AS decision, CASE WHEN k % 10 = 1 THEN '{"kind": "cut' END AS broken
+    FROM log WHERE k % 10 <> 0
+    """,
+)
+def event_parse(spark, sf_dir):
+    """Events out of the lines of a server push."""
+    events = readers.pushed_events(inputs.derived(spark, sf_dir, PUSHED))
+    return events.select("event_id", "kind", "id", "tool", F.col("ok").cast("string").alias("ok"), "decision", "broken")
+
+
 @query(
     "event_counts",
     _LOG + "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS hour_start, kind, count(*) AS n FROM log GROUP BY ALL",

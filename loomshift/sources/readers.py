@@ -169,6 +169,24 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
 
 
+EVENT = (
+    "kind string, session string, id string, name string, ok boolean, preview string, label string, "
+    "tool string, decision string, text string, usage string, input string, broken string"
+)
+
+
+def pushed_events(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Events from lines of a server push (`data: {...}`), batch or stream.
+
+    Keepalive comments and blank lines are dropped; an event that is no JSON
+    stays as a row with its text in `broken`.
+    """
+    body = F.regexp_extract(column, r"^data: ?(.*)$", 1)
+    event = F.from_json(body, EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    others = [c for c in lines.columns if c != column]
+    return lines.where(F.startswith(column, F.lit("data:"))).select(*others, event.alias("e")).select(*others, "e.*")
+
+
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
                  files_per_batch: int = 1000) -> DataFrame:
     """Files of events as a stream; a zone-less time becomes a timestamp, as watermarks need."""

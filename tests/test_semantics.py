@@ -121,6 +121,8 @@ def test_cuts(spark):
     assert one(spark, text.truncate(F.lit("abcd"), 4)) == "abcd"
     assert one(spark, text.label(F.lit("a\nb" * 30))) == ("a b" * 30)[:57] + "..."
     assert one(spark, text.first_line(F.lit("one\ntwo"), 2)) == "on"
+    arguments = F.create_map(F.lit("path"), F.lit("a\nb"), F.lit("text"), F.lit("x" * 61))
+    assert one(spark, text.call_label(F.lit("edit"), arguments)) == "edit(path=a b, text=" + "x" * 57 + "...)"
     assert one(spark, text.occurrences(F.lit("aaaa"), F.lit("aa"))) == 2
 
 

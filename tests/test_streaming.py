@@ -7,7 +7,7 @@ from loomshift.operators import agentlog
 from loomshift.plans import inputs
 from loomshift.plans.inputs import LOG
 from loomshift.session import read_table, scratch
-from loomshift.sources.readers import event_stream
+from loomshift.sources.readers import event_stream, pushed_events
 from loomshift.streaming import events as stream
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -76,3 +76,15 @@ def test_steps(spark, log, batch):
     got = stream.run_upsert(stream.step_cap(cancelled, 3), scratch(spark, "s"), ["session_id"])
     want = batch.groupBy("session_id").agg(F.count_if(F.col("kind") == "tool_call").alias("n"), F.bool_or(F.col("kind") == "error").alias("c"))
     assert rows(got) == rows(want.select("session_id", F.least("n", F.lit(3)), F.col("n") > 3, "c"))
+
+
+def test_pushed_lines(spark, tmp_path):
+    lines = [
+        'data: {"kind": "connected", "session": "s"}', "", ": keepalive", 'data: {"kind": "tool_result", "id": "1", "ok": false}',
+        "data: {broken",
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "log.txt").write_text("\n".join(lines))
+    job = pushed_events(spark.readStream.text(str(tmp_path / "in"))).select("kind", "ok", "broken")
+    got = stream.run_append(job, scratch(spark, "push"))
+    assert rows(got) == [("connected", None, None), ("tool_result", False, None), (None, None, "{broken")]
