@@ -14,6 +14,7 @@ from loomshift.session import stored
 # this can never fit an excerpt
 MARKED_LINES = fixed.EXCERPT_CHARS // 5 + 1
 HEAD_LINES = 5
+FLAGS = ["alarm", "named", "blocked"]
 
 
 def _is_header(line):
@@ -28,7 +29,8 @@ def _is_mention(line):
 
 def run_facts(log: DataFrame) -> DataFrame:
     """One pass, one row per run: passed, failed, errors (the last statement of each
-    kind wins), alarm (a failure is mentioned), named (a file is named)."""
+    kind wins), alarm (a failure is mentioned), named (a file is named), blocked (a
+    collection error opens a block)."""
     line = F.col("line")
     ns = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1))
     kinds = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2))
@@ -38,7 +40,8 @@ def run_facts(log: DataFrame) -> DataFrame:
     marked = log.select(
         "run_id", "line_no", stated.alias("stated"),
         (low.contains("failed") | low.contains("error")).alias("alarm"),
-        (_is_header(line) | _is_mention(line)).alias("named"),
+        _is_mention(line).alias("mention"),
+        _is_header(line).alias("header"),
     )
 
     def last(prefix):
@@ -48,12 +51,13 @@ def run_facts(log: DataFrame) -> DataFrame:
 
     return marked.groupBy("run_id").agg(
         last("passed").alias("passed"), last("failed").alias("failed"), last("error").alias("errors"),
-        F.bool_or("alarm").alias("alarm"), F.bool_or("named").alias("named"),
+        F.bool_or("alarm").alias("alarm"), F.bool_or(F.col("mention") | F.col("header")).alias("named"),
+        F.bool_or("header").alias("blocked"),
     )
 
 
 def counts(log: DataFrame) -> DataFrame:
-    return run_facts(log).drop("alarm", "named")
+    return run_facts(log).drop(*FLAGS)
 
 
 def block_lines(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -94,9 +98,15 @@ def blocks(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
 
 
 def failures(log: DataFrame, facts: DataFrame | None = None, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """One row per failing file and run: run_id, file, excerpt."""
+    """One row per failing file and run: run_id, file, excerpt.
+
+    The facts of the runs are stored, so the planner knows how few runs need
+    their lines shuffled: those with blocks, and those that name no file.
+    """
+    facts = stored(run_facts(log), "run-facts") if facts is None else facts
+    blocked = log.join(facts.where("blocked").select("run_id"), "run_id", "left_semi")
     # a file with several blocks keeps the last
-    by_file = blocks(log, max_rows).groupBy("run_id", "file").agg(F.max_by("excerpt", "block").alias("block_text"))
+    by_file = blocks(blocked, max_rows).groupBy("run_id", "file").agg(F.max_by("excerpt", "block").alias("block_text"))
     mentions = log.where(_is_mention(F.col("line"))).select(
         "run_id", "line_no",
         F.regexp_extract("line", fixed.LOG_SUMMARY, 1).alias("file"),
@@ -110,10 +120,8 @@ def failures(log: DataFrame, facts: DataFrame | None = None, max_rows: int = MAX
             F.coalesce(F.nullif("message", F.lit("")), "block_text", F.lit(fixed.NO_MESSAGE)),
         ).otherwise(F.col("block_text")).alias("excerpt"),
     )
-    # runs that mention a failure but name no file: their last lines.  Usually few
-    # or none; stored, so the planner knows their size before it joins the lines
-    facts = run_facts(log) if facts is None else facts
-    silent = stored(facts.where("alarm AND NOT named").select("run_id"), "silent-runs")
+    # runs that mention a failure but name no file: their last lines
+    silent = facts.where("alarm AND NOT named").select("run_id")
     tail = first_rows(log.join(silent, "run_id", "left_semi"), ["run_id"], [F.col("line_no").desc()], fixed.TAIL_LINES)
     entries = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     unknown = tail.groupBy("run_id").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("excerpt"))
@@ -125,7 +133,7 @@ def report(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     facts = stored(run_facts(log), "run-facts")
     first = text.first_line("excerpt", fixed.REPORT_CHARS)
     lines = failures(log, facts, max_rows).select("run_id", "file", first.alias("first_line"))
-    totals = facts.drop("alarm", "named")
+    totals = facts.drop(*FLAGS)
     # failures on the left of an inner join, so a run with very many can be split;
     # runs without any are known from the facts
     failed = lines.join(totals, "run_id").select(*totals.columns, "file", "first_line")
