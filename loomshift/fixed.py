@@ -106,6 +106,7 @@ MIN_DECLARED_VALUE = "10.00"
 
 # Patterns.
 LINE_BREAK = "\r\n|[\n\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
+OTHER_BREAKS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 DB_TABLE_REF = r"\$\{(\w+)\}\.(\w+)"
 USE_STATEMENT = r"USE\s+\$\{(\w+)\};?"
 CREATE_TABLE = r"(?i)CREATE\s+(?:EXTERNAL\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)"

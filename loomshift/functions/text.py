@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +22,13 @@ def lines(col) -> Column:
     # the last line break is cut off first, so the text is split once
     cut = F.when(F.endswith(text, F.lit("\r\n")), 2).when(F.right(text, F.lit(1)).rlike(fixed.LINE_BREAK), 1).otherwise(0)
     body = F.when(cut > 0, F.left(text, F.length(text) - cut)).otherwise(text)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, fixed.LINE_BREAK, -1))
+    # most texts break at \n only, which splits without a pattern
+    others = reduce(or_, [text.contains(c) for c in fixed.OTHER_BREAKS])
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(others, F.split(body, fixed.LINE_BREAK, -1))
+        .otherwise(F.split(body, "\n", -1))
+    )
 
 
 def substitute(col, pattern: str, replacement: Callable[[Column], Column], needs: str = "") -> Column:

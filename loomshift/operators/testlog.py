@@ -34,20 +34,23 @@ def run_facts(log: DataFrame) -> DataFrame:
     line = F.col("line")
     ns = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1))
     kinds = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2))
-    worded = line.contains("passed") | line.contains("failed") | line.contains("error")
-    stated = F.when(worded & line.rlike(fixed.LOG_COUNT), F.arrays_zip(ns.alias("n"), kinds.alias("kind")))
     low = F.lower(line)
+    alarm = low.contains("failed") | low.contains("error")
+    states = (line.contains("passed") | alarm) & line.rlike(fixed.LOG_COUNT)
+
+    def last_in_line(kind):
+        # only lines that state a count are taken apart
+        pairs = F.arrays_zip(ns.alias("n"), kinds.alias("kind"))
+        hits = F.filter(pairs, lambda m: F.startswith(m["kind"], F.lit(kind)))
+        return F.when(states, F.get(hits, F.size(hits) - 1)["n"].cast("bigint")).alias(kind)
+
     marked = log.select(
-        "run_id", "line_no", stated.alias("stated"),
-        (low.contains("failed") | low.contains("error")).alias("alarm"),
-        _is_mention(line).alias("mention"),
-        _is_header(line).alias("header"),
+        "run_id", "line_no", alarm.alias("alarm"), _is_mention(line).alias("mention"), _is_header(line).alias("header"),
+        last_in_line("passed"), last_in_line("failed"), last_in_line("error"),
     )
 
-    def last(prefix):
-        hits = F.filter("stated", lambda m: F.startswith(m["kind"], F.lit(prefix)))
-        n = F.get(hits, F.size(hits) - 1)["n"].cast("bigint")
-        return F.coalesce(F.max_by(n, F.when(n.isNotNull(), F.col("line_no"))), F.lit(0).cast("bigint"))
+    def last(kind):
+        return F.coalesce(F.max_by(kind, F.when(F.col(kind).isNotNull(), F.col("line_no"))), F.lit(0).cast("bigint"))
 
     return marked.groupBy("run_id").agg(
         last("passed").alias("passed"), last("failed").alias("failed"), last("error").alias("errors"),

@@ -29,12 +29,13 @@ SPAN = 1_000_000
 def test_log(spark, sf_dir):
     """test_log(run_id, line_no, line)."""
     opened = inputs.derived(spark, sf_dir, OPENINGS)
-    body = F.transform(
-        text.lines("text"),
-        lambda line, i: F.when((F.col("shape") == 0) & (i % 5 == 2), F.concat(F.lit("E   "), line)).otherwise(line),
+    whole = F.concat(F.array("opening"), text.lines("text"))
+    lines = opened.select("doc_id", "run_id", "shape", F.posexplode(whole).alias("pos", "line"))
+    is_marked = (F.col("shape") == 0) & (F.col("pos") > 0) & ((F.col("pos") - 1) % 5 == 2)
+    return lines.select(
+        "run_id", (F.col("doc_id") * SPAN + F.col("pos")).alias("line_no"),
+        F.when(is_marked, F.concat(F.lit("E   "), "line")).otherwise(F.col("line")).alias("line"),
     )
-    lines = opened.select("doc_id", "run_id", F.posexplode(F.concat(F.array("opening"), body)).alias("pos", "line"))
-    return lines.select("run_id", (F.col("doc_id") * SPAN + F.col("pos")).alias("line_no"), "line")
 
 
 _LOG = with_ctes(opened=OPENINGS).rstrip() + r""",
