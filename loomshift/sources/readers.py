@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+# task functions travel with the job: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_FILE = T.StructType(
     [
         T.StructField("rel_path", T.StringType()),
