@@ -28,6 +28,10 @@ _FACTOR = _random.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _FAR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def far(n: int) -> np.uint64:
+    return np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads all bits (a 64-bit finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -76,8 +80,7 @@ class Words:
         at = np.arange(int(lengths.sum()))
         place = at - np.repeat(starts, lengths)
         codes = _CODE[self.data[place + np.repeat(self.start, lengths)]]
-        far = (place >> 12).astype(np.uint64)
-        codes *= _PLACE[place & 4095] + far * _FAR
+        codes *= _PLACE[place & 4095] + (place >> 12).astype(np.uint64) * _FAR
         return mix(np.add.reduceat(codes, starts) + lengths.astype(np.uint64) * _FAR)
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +91,7 @@ class Words:
 
 
 def window_hash(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    total = np.full(len(at), np.uint64(size) * _FAR, np.uint64)
+    total = np.full(len(at), far(size), np.uint64)
     for j in range(size):
         total += hashes[at + j] * _FACTOR[j % 64]
         if j % 64 == 63:

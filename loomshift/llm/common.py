@@ -50,9 +50,9 @@ class Scratch:
         back._folder = folder
         return back
 
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+    def drop(self, *tables: DataFrame | str) -> None:
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table._folder)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

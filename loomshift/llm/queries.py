@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import mixing
+from loomshift.llm import langid, mixing, quality, topk, warc
+from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
 
@@ -34,3 +35,56 @@ def op8(spark, sf_dir):
     """Mix of all documents by source weights 1, 2, 3, at most three epochs."""
     mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("size").cast("long"), "source_size", "target", F.col("taken").cast("long"))
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+
+@query("op6_topk", TOPK_SQL)
+def op6(spark, sf_dir):
+    """The ten vectors of highest inner product for every hundredth vector."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, p.payload_bytes, p.payload_digest, CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest, payload_bytes)
+"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10(spark, sf_dir):
+    """All pages written as WARC records, read back and indexed."""
+    scratch = Scratch(spark, "warc")
+    folder = f"{scratch.root}/archives"
+    run = warc.write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    index = warc.capture_index(warc.read_archives(spark, folder, run))
+    scratch.drop(folder)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_quality")
+def op1(spark, sf_dir):
+    """Quality score of every document; a fourth of the ids is never learnt from."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"), fold(F.col("doc_id")) != 2)
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_langid")
+def op2(spark, sf_dir):
+    """Language of every document; a fourth of the ids is never learnt from."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = langid.score(docs, fold(F.col("doc_id")) != 2, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits", "rejected")
