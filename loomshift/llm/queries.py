@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import langid, mixing, quality, topk, warc
+from loomshift.llm import jaccard, langid, mixing, quality, topk, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -88,3 +88,9 @@ def op2(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = langid.score(docs, fold(F.col("doc_id")) != 2, ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
+@query("op3_jaccard")
+def op3(spark, sf_dir):
+    """Classes of documents whose five-word shingles agree by four fifths."""
+    return jaccard.classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
