@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import jaccard, langid, mixing, quality, topk, warc
+from loomshift.llm import decontaminate, jaccard, langid, mixing, quality, topk, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -94,3 +94,9 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     """Classes of documents whose five-word shingles agree by four fifths."""
     return jaccard.classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_decontaminate")
+def op5(spark, sf_dir):
+    """Documents that hold a test item, within the error budget."""
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
