@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import decontaminate, jaccard, langid, mixing, quality, topk, warc
+from loomshift.llm import decontaminate, jaccard, langid, mixing, pii, quality, topk, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -100,3 +100,13 @@ def op3(spark, sf_dir):
 def op5(spark, sf_dir):
     """Documents that hold a test item, within the error budget."""
     return decontaminate.leaks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    """Personal data of every document, and the terms that give them away."""
+    found = pii.detect(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
