@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import decontaminate, jaccard, langid, mixing, pii, quality, topk, warc
+from loomshift.llm import decontaminate, jaccard, langid, mixing, pii, quality, substrings, topk, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -110,3 +110,24 @@ def op4(spark, sf_dir):
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         pii.listed(F.col("spans")).alias("spans"))
+
+
+SUBSTRINGS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+k AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS k FROM s),
+m AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+g AS (SELECT r, i FROM k JOIN m USING (k) WHERE least < doc_id),
+p AS (SELECT DISTINCT r, i + unnest(range(0, 13)) AS pos FROM g),
+l AS (SELECT r, list(pos) AS gone, count(*) AS n_removed FROM p GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(array_to_string([x FOR x, i IN w IF NOT list_contains(coalesce(gone, []), i)], ' ')) AS kept_sha256
+FROM d LEFT JOIN l USING (r)
+"""
+
+
+@query("op9_substrings", SUBSTRINGS_SQL)
+def op9(spark, sf_dir):
+    """Words of every document that no earlier document has in the same passage of 13 words."""
+    kept = substrings.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
