@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import decontaminate, jaccard, langid, mixing, pii, quality, substrings, topk, warc
+from loomshift.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, substrings, topk, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -131,3 +131,9 @@ def op9(spark, sf_dir):
     """Words of every document that no earlier document has in the same passage of 13 words."""
     kept = substrings.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_licenses")
+def op7(spark, sf_dir):
+    """Licenses that documents hold."""
+    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
