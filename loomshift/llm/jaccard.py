@@ -318,7 +318,8 @@ def join_clusters(percent: int):
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links) and n_links (other rows linked with it)."""
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other rows linked with it),
+    set_id (hash of its set) and class_id (a set that stands for the class; null for texts without shingles)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -360,10 +361,35 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     roots = components(links.select("u", "v"), scratch)
     named = roots.join(same, F.col("node") == F.col("set"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    found = named.select("root", "set").join(least, "root").select("set", "component")
+    found = named.select("root", "set").join(least, "root").select("set", "root", "component")
     found = scratch.store(same.join(found, "set", "left").join(degree, "set", "left").select(
-        "set", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+        "set", F.coalesce("root", "set").alias("class_id"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
     return sets.join(found, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("set").alias("set_id"), "class_id")
+
+
+def with_set(size: int, place: int):
+    """Rows with the hash of their set."""
+    def run(batches):
+        for batch in batches:
+            ids = [Sets(data, offsets, size).id for _, _, data, offsets in arrays.pieces(batch.column(place))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64())],
+                names=[*batch.schema.names, "_set"])
+
+    return run
+
+
+def unique(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, the one of the smallest id (ids before null); documents without a word all stay."""
+    marked = classes(docs, size, percent, id_col, text_col).filter("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id"))
+    kept = marked.groupBy("class_id").agg(first.alias("k")).select(F.xxhash64("k.none", "k.doc_id", "k.set_id").alias("_key"))
+    some = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(some)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows.mapInArrow(with_set(size, docs.columns.index(text_col)), f"{schema}, _set long")
+    rows = rows.withColumn("_key", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), "_set")).drop("_set")
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).unionByName(docs.filter(~some))

@@ -155,30 +155,40 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(kept["out"], ""), F.substring(text, (kept["at"] + 1).cast("int"), F.greatest(F.length(text), F.lit(1))))
 
 
-def detect(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2,
-           context_terms: bool = True) -> DataFrame:
-    """The columns `keep` with base (spans of the four kinds) and spans (these and the disclosing terms, kind 4)."""
+def text_key(id_col: str, text_col: str) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(text_col, F.lit(""))).cast("binary"))
+
+
+def spans_by_key(docs: DataFrame, id_col: str, text_col: str, threshold: float, support: int) -> DataFrame:
+    """(_key, base, spans) of the documents with entities, one row per id and text."""
     scratch = Scratch(docs.sparkSession, "pii")
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(text_col, F.lit(""))).cast("binary"))
-    rows = base_spans(docs.select(*keep, key.alias("_key"), F.col(text_col).alias("_text")), "_text").drop("_text")
-    base = scratch.store(rows)
+    rows = base_spans(docs.select(text_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text")), "_text").drop("_text")
+    rows = scratch.store(rows.filter(F.size("_spans") > 0))
     # one row per document with entities, however often it repeats
-    found = scratch.store(base.filter(F.size("_spans") > 0).groupBy("_key").agg(
+    found = scratch.store(rows.groupBy("_key").agg(
         F.count("*").alias("_copies"), F.first("_spans").alias("_spans"), F.first("_around").alias("_around")))
     terms = scratch.store(near_terms(found))
     revealing = scratch.store(disclosing(found, terms, docs.select(F.coalesce(text_col, F.lit("")).alias("text")), threshold, support))
     added = (terms.join(revealing.select("entity", "term"), ["entity", "term"]).groupBy("_key")
              .agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value"))).cast(SPANS).alias("_added")))
-    added = scratch.store(added)
-    scratch.drop(found, terms, revealing)
+    spans = F.array_sort(F.concat("_spans", F.coalesce("_added", F.array().cast(SPANS))))
+    out = scratch.store(found.join(added, "_key", "left").select("_key", F.col("_spans").alias("base"), spans.alias("spans")))
+    scratch.drop(rows, found, terms, revealing)
+    return out
+
+
+def detect(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
+    """The columns `keep` with base (spans of the four kinds) and spans (these and the disclosing terms, kind 4)."""
     none = F.array().cast(SPANS)
-    return (base.drop("_around").join(added, "_key", "left")
-            .withColumn("spans", F.array_sort(F.concat("_spans", F.coalesce("_added", none))))
-            .select(*keep, F.col("_spans").alias("base"), "spans"))
+    keep = [c for c in keep if c not in ("base", "spans")]
+    found = spans_by_key(docs, id_col, text_col, threshold, support)
+    return docs.select(*keep, text_key(id_col, text_col).alias("_key")).join(found, "_key", "left").select(
+        *keep, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
     """The documents with entities and disclosing terms replaced; their other columns stay."""
-    marked = detect(docs, docs.columns, id_col, text_col, **options)
-    text = F.when(F.size("spans") > 0, replaced(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
+    found = spans_by_key(docs, id_col, text_col, threshold, support).select("_key", F.col("spans").alias("_spans"))
+    marked = docs.withColumn("_key", text_key(id_col, text_col)).join(found, "_key", "left")
+    text = F.when(F.col("_spans").isNotNull(), replaced(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
     return marked.withColumn(text_col, text).select(*docs.columns)

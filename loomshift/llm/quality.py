@@ -175,3 +175,21 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str =
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(scorer(shared), f"{schema}, score double")
+
+
+def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The documents that score `threshold` or more, unchanged. Each row is judged by its text alone, so nothing is shuffled."""
+    if model is None:
+        return docs if threshold <= 0.5 else docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            scores = []
+            for row, to, data, offsets in arrays.pieces(batch.column(place), 1 << 18):
+                for at in range(row, to, ROWS):
+                    scores.append(shared.value.score(terms(data, offsets[at - row : min(to, at + ROWS) - row + 1])))
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold if scores else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
