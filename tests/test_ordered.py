@@ -69,13 +69,14 @@ def test_ties_are_cut_by_the_next_column(spark, order):
         F.when(F.col("id") % 7 == 0, F.lit(None).cast("double")).when(F.col("id") % 7 == 1, F.lit(float("nan")))
         .otherwise((F.col("id") % 3).cast("double")).alias("d"),
     )
-    groups = OrderedGroups(tied, ["k"], order, max_rows=20)
-    assert groups.is_split
+    groups = OrderedGroups(tied, ["k"], order, max_rows=20).row_number("rn")
+    numbered = groups.result()
+    assert groups.sliced
     largest = groups.df.groupBy("__part").count().agg(F.max("count")).first()[0]
     assert largest <= 20
     sort = [F.col(o.lstrip("-")).desc() if o.startswith("-") else F.col(o).asc() for o in order]
     want = tied.select("tie", F.row_number().over(Window.partitionBy("k").orderBy(*sort)).alias("rn")).collect()
-    got = groups.row_number("rn").result().select("tie", "rn").collect()
+    got = numbered.select("tie", "rn").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
@@ -121,17 +122,30 @@ def test_large_groups_are_found_in_a_sample(spark):
     df = spark.range(90_000).select(
         F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id") % 1000).alias("k"), (F.col("id") * 7919 % 90_001).alias("o")
     )
-    groups = OrderedGroups(df, ["k"], ["o"], max_rows=20_000)
-    assert groups.is_split
+    groups = OrderedGroups(df, ["k"], ["o"], max_rows=20_000).row_number("rn")
+    numbered = groups.result()
+    assert groups.sliced
     assert groups.df.where("k = -1").groupBy("__part").count().agg(F.max("count")).first()[0] <= 20_000
     w = Window.partitionBy("k").orderBy("o")
     want = df.withColumn("rn", F.row_number().over(w).cast("bigint"))
-    assert groups.row_number("rn").result().exceptAll(want).isEmpty()
+    assert numbered.exceptAll(want).isEmpty()
+
+
+@pytest.mark.parametrize("order", [["url"], ["steep"], ["-url"], ["-steep"]])
+def test_uneven_orders_are_cut_evenly(spark, order):
+    """Texts with a common start and numbers of very different size."""
+    df = spark.range(4000).select(
+        F.lit(1).alias("k"), F.concat(F.lit("https://host/"), (F.col("id") * 7919 % 4001).cast("string")).alias("url"),
+        F.exp(F.col("id") / 10).alias("steep"))
+    groups = OrderedGroups(df, ["k"], order, max_rows=100).row_number("rn")
+    assert groups.result().agg(F.max("rn")).first()[0] == 4000
+    assert groups.df.groupBy("__part").count().agg(F.max("count")).first()[0] <= 100
 
 
 @pytest.mark.parametrize(
     "order",
-    [["ts", "id"], ["-day", "name", "id"], ["amount", "-id"], ["-name", "id"], ["flag", "-ts", "id"], ["big", "id"]],
+    [["ts", "id"], ["-ts", "-id"], ["-day", "name", "id"], ["amount", "-id"], ["-amount", "id"], ["-name", "id"], ["name", "-id"],
+     ["flag", "-ts", "id"], ["big", "id"], ["-big", "id"], ["d", "id"], ["-d", "id"]],
 )
 def test_every_type_of_order(spark, order):
     mixed = spark.range(500).select(
@@ -145,14 +159,23 @@ def test_every_type_of_order(spark, order):
         (F.col("id") % 2 == 0).alias("flag"),
         # numbers that a double cannot tell apart
         (F.lit(2**60) + F.col("id") * 13 % 500).alias("big"),
+        F.when(F.col("id") % 13 == 0, F.lit(float("nan"))).when(F.col("id") % 13 > 2, (F.col("id") % 17 - 8).cast("double")).alias("d"),
+        F.when(F.col("id") % 4 == 1, F.col("id") * 3).alias("v"),
     )
     sort = [F.col(o.lstrip("-")).desc() if o.startswith("-") else F.col(o).asc() for o in order]
     w = Window.partitionBy("k1", "k2").orderBy(*sort)
-    groups = OrderedGroups(mixed, ["k1", "k2"], order, max_rows=12)
-    assert groups.is_split
-    got = groups.row_number("rn").running_sum(F.col("id"), "s").result().select("id", "rn", "s")
+    groups = (
+        OrderedGroups(mixed, ["k1", "k2"], order, max_rows=12)
+        .row_number("rn").running_sum(F.col("id"), "s").running_max(F.col("v"), "m")
+        .lag(F.col("v"), "lg").lead(F.col("v"), "ld").next_known(F.col("v"), "nx")
+    )
+    got = groups.result().select("id", "rn", "s", "m", "lg", "ld", "nx")
+    assert groups.sliced
+    assert groups.df.where("__split").groupBy("k1", "k2", "__part").count().agg(F.max("count")).first()[0] <= 12
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
     want = mixed.select(
-        "id", F.row_number().over(w).cast("bigint").alias("rn"),
-        F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+        "id", F.row_number().over(w).cast("bigint").alias("rn"), F.sum("id").over(run).alias("s"), F.max("v").over(run).alias("m"),
+        F.lag("v").over(w).alias("lg"), F.lead("v").over(w).alias("ld"),
+        F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("nx"),
     )
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
