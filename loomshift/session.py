@@ -7,7 +7,8 @@ shared checkpoint folder of the session.
 
 from __future__ import annotations
 
-import functools
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,22 +40,32 @@ def configure(spark: SparkSession) -> SparkSession:
 
 # Input bytes per shuffle partition before adaptive execution merges small ones.
 BYTES_PER_PARTITION = 256 * 1024 * 1024
-MAX_PARTITIONS = 100_000
+MAX_PARTITIONS = 20_000
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-@functools.cache
 def _bytes_below(spark: SparkSession, folder: str) -> int:
     """Size of the files below a folder, by listing only."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
+# The number set for the query before, by application; another number is the user's own.
+_sized: dict[str, str] = {}
+
+
 def size_shuffles(spark: SparkSession, folder: str) -> None:
-    """More initial shuffle partitions for inputs that need them; a set number is kept."""
+    """Initial shuffle partitions for the inputs of one query, revised for every query; a number the user set is kept."""
+    app = spark.sparkContext.applicationId
+    now = spark.conf.get(INITIAL_PARTITIONS, None)
+    if now is not None and now != _sized.get(app):
+        return
     wanted = min(_bytes_below(spark, folder) // BYTES_PER_PARTITION, MAX_PARTITIONS)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) and spark.conf.get(INITIAL_PARTITIONS, None) is None:
-        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        _sized[app] = str(wanted)
+        spark.conf.set(INITIAL_PARTITIONS, _sized[app])
+    elif now is not None:
+        spark.conf.unset(INITIAL_PARTITIONS)
 
 
 def build(app: str = "loomshift", master: str | None = None, **options: str) -> SparkSession:
@@ -67,19 +78,48 @@ def build(app: str = "loomshift", master: str | None = None, **options: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder named by the cluster; a local one only where none is set."""
+    """The checkpoint folder named by the cluster. Where none is set, a session on one machine
+    gets a temporary one; on a cluster its executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        # no cluster names one, as in tests
-        folder = "file:" + tempfile.mkdtemp(prefix="loomshift-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        own = tempfile.mkdtemp(prefix="loomshift-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file:" + own
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+# The folder of each application below the shared one.
+_roots: dict[tuple[str, str], str] = {}
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder of this application; all of them go when it ends, or by `release`."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark))
+    if key not in _roots:
+        root = f"{key[1]}/loomshift-{uuid.uuid4().hex[:12]}"
+        path, system = _hadoop(spark, root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _roots[key] = root
+    return f"{_roots[key]}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what queries of this application have stored; their results can't be read any more."""
+    for key in [k for k in _roots if k[0] == spark.sparkContext.applicationId]:
+        path, system = _hadoop(spark, _roots.pop(key))
+        system.delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -44,15 +44,23 @@ def overwrite_partitions(df: DataFrame, table: str) -> None:
     Columns are matched by name.
     """
     spark = df.sparkSession
-    rows = balanced(df.select(*spark.table(table).columns), _partition_columns(df, table))
-    # inserts into a table take the mode from the session only
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        rows.write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set(key, before)
+    parts = _partition_columns(df, table)
+    rows = balanced(df.select(*spark.table(table).columns), parts)
+    # the mode is an option of this write, which an insert into the table would take from the session
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(location(spark, table))
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
+
+
+def location(spark: SparkSession, table: str) -> str:
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+
+
+def detached(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of an external table without its entry in the catalog, which is dropped."""
+    rows = spark.read.schema(spark.table(table).schema).parquet(location(spark, table))
+    spark.sql(f"DROP TABLE {table}")
+    return rows
 
 
 def append_rows(df: DataFrame, table: str) -> None:
