@@ -19,7 +19,7 @@ _LOG = with_ctes(log=inputs.LOG)
 def log_stream(spark, sf_dir):
     """The event files as a stream of log rows."""
     schema = read_table(spark, sf_dir, "events").schema
-    raw = event_stream(spark, sf_dir, schema, glob="events.parquet")
+    raw = event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema)
     select = re.sub(r"\bFROM events\b", "FROM {events}", inputs.LOG.replace("{", "{{").replace("}", "}}"))
     return spark.sql(select, events=raw)
 
@@ -46,7 +46,7 @@ def _idle_sql(seconds: int) -> str:
 
 
 def _idle(spark, sf_dir, seconds):
-    job = stream.idle_sessions(log_stream(spark, sf_dir), seconds)
+    job = stream.idle_sessions(log_stream(spark, sf_dir), seconds, "0 seconds")
     done = stream.run_append(job, scratch(spark, "idle"))
     return done.select("session_id", F.unix_micros("started").alias("started"), F.unix_micros("closed").alias("closed"), "events")
 
@@ -66,17 +66,19 @@ def stream_idle_sessions_6h(spark, sf_dir):
 @query(
     "stream_permission_timeout",
     _LOG + """
-    SELECT q.session_id, q.k AS id, q.event_id AS request_id, epoch_us(q.ts) AS asked_at, coalesce(r.decision, 'deny') AS decision
+    SELECT session_id, id, request_id, asked_at, arg_min(decision, (said_at, decision)) AS decision FROM (
+    SELECT q.session_id, q.k AS id, q.event_id AS request_id, epoch_us(q.ts) AS asked_at, coalesce(epoch_us(r.ts), 0) AS said_at, coalesce(r.decision, 'deny') AS decision
     FROM (SELECT * FROM log WHERE kind = 'permission_request') q
     LEFT JOIN (SELECT * FROM log WHERE kind = 'permission_resolved') r ON q.session_id = r.session_id AND q.k = r.k AND r.ts BETWEEN q.ts AND q.ts + INTERVAL 24 HOURS
-    WHERE r.k IS NOT NULL OR epoch_us(q.ts) + 86400000000 < (SELECT least(max(epoch_us(ts)) FILTER (kind = 'permission_request'), max(epoch_us(ts)) FILTER (kind = 'permission_resolved')) // 1000 * 1000 - 600000000 FROM log)
+    WHERE r.k IS NOT NULL OR epoch_us(q.ts) + 86400000000 < (SELECT least(max(epoch_us(ts)) FILTER (kind = 'permission_request'), max(epoch_us(ts)) FILTER (kind = 'permission_resolved')) // 1000 * 1000 - 600000000 FROM log))
+    GROUP BY ALL
     """,
 )
 def stream_permission_timeout(spark, sf_dir):
     """ST3: answers to the same id within a day, else deny once the watermark has passed."""
     log = log_stream(spark, sf_dir).withColumn("id", F.col("k"))
     done = stream.run_append(stream.permission_outcomes(log, 86400), scratch(spark, "permission"))
-    return done.withColumn("asked_at", F.unix_micros("asked_at"))
+    return stream.first_answers(done).withColumn("asked_at", F.unix_micros("asked_at"))
 
 
 @query(

@@ -192,12 +192,11 @@ def pushed_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(F.startswith(column, F.lit("data:"))).select(*others, event.alias("e")).select(*others, "e.*")
 
 
-def event_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
-                 files_per_batch: int = 1000) -> DataFrame:
-    """Files of events as a stream; a zone-less time becomes a timestamp, as watermarks need."""
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """An event table, one file or a folder of them, as a stream; a zone-less time becomes a timestamp, as watermarks need."""
+    # a stream takes a single file only by a pattern: the last letter as a class of one matches file and folder alike
+    path = path.rstrip("/")
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     zoneless = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
     return stream.withColumns({n: F.col(n).cast("timestamp") for n in zoneless})

@@ -6,6 +6,7 @@ the same transformations with a processing-time trigger.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,9 @@ def counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 minutes")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
 
 
-def idle_sessions(stream: DataFrame, gap_s: int = fixed.IDLE_GAP_S, delay: str = "0 seconds") -> DataFrame:
-    """Sessions closed by a silence; the session time is open at the end."""
+def idle_sessions(stream: DataFrame, gap_s: int, delay: str) -> DataFrame:
+    """Sessions closed by a silence, once the watermark has passed it; the session time is open at the end.
+    Those still open are the batch sessions that this leaves out."""
     grouped = stream.withWatermark("ts", delay).groupBy("session_id", F.session_window("ts", f"{gap_s} seconds").alias("w"))
     return grouped.agg(F.count(F.lit(1)).alias("events")).select(
         "session_id", F.col("w.start").alias("started"), F.col("w.end").alias("closed"), "events"
@@ -28,7 +30,8 @@ def idle_sessions(stream: DataFrame, gap_s: int = fixed.IDLE_GAP_S, delay: str =
 
 def permission_outcomes(stream: DataFrame, timeout_s: int = fixed.PERMISSION_TIMEOUT_S,
                         delay: str = "10 minutes") -> DataFrame:
-    """Requests with the answer to the same id within the timeout, else deny."""
+    """Requests with each answer to the same id within the timeout, else deny, once the watermark has passed;
+    `first_answers` keeps one row per request."""
     asked = (
         stream.where("kind = 'permission_request'").withWatermark("ts", delay)
         .select("session_id", "id", F.col("event_id").alias("request_id"), F.col("ts").alias("asked_at"))
@@ -45,12 +48,18 @@ def permission_outcomes(stream: DataFrame, timeout_s: int = fixed.PERMISSION_TIM
     )
     joined = asked.join(said, in_time, "left_outer")
     return joined.select(
-        "session_id", "id", "request_id", "asked_at", F.coalesce("decision", F.lit("deny")).alias("decision")
+        "session_id", "id", "request_id", "asked_at", "said_at", F.coalesce("decision", F.lit("deny")).alias("decision")
     )
 
 
+def first_answers(outcomes: DataFrame) -> DataFrame:
+    """One row per request of what `permission_outcomes` wrote: the first answer counts, of answers at one time the smallest text."""
+    first = F.min(F.struct(F.col("said_at").alias("at"), "decision"))
+    return outcomes.groupBy("session_id", "id", "request_id", "asked_at").agg(first["decision"].alias("decision"))
+
+
 def usage(stream: DataFrame) -> DataFrame:
-    """Running token sums per session."""
+    """Running token sums per session. State grows with the number of sessions."""
     names = ["input_tokens", "output_tokens", "cache_read", "cache_write"]
     return stream.groupBy("session_id").agg(*[F.sum(n).alias(n) for n in names])
 
@@ -97,7 +106,14 @@ def run_upsert(job: DataFrame, folder: str, keys: list[str]) -> DataFrame:
 
 
 def latest(spark: SparkSession, folder: str, like: DataFrame, keys: list[str]) -> DataFrame:
-    written = spark.read.schema(T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
+    """The newest row of each key; an empty frame while no batch is written."""
+    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        written = spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = spark.createDataFrame([], schema)
     values = [c for c in like.columns if c not in keys]
     newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, "v.*")

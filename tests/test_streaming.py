@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomshift.operators import agentlog
-from loomshift.plans import inputs
+from loomshift.plans import catalogue, inputs
 from loomshift.plans.inputs import LOG
 from loomshift.session import read_table, scratch
 from loomshift.sources.readers import event_stream, pushed_events
@@ -56,7 +56,7 @@ def test_usage(spark, log, batch):
 
 def test_idle_sessions(spark, log, batch):
     gap = 6 * 3600
-    got = stream.run_append(stream.idle_sessions(log, gap), scratch(spark, "i"))
+    got = stream.run_append(stream.idle_sessions(log, gap, "0 seconds"), scratch(spark, "i"))
     micros = [F.unix_micros("started"), F.unix_micros("closed"), F.col("events")]
     watermark = batch.agg(F.max("ts")).first()[0]
     want = agentlog.idle_sessions(batch, gap).select("session_id", "started", (F.col("ended") + gap * 1_000_000).alias("closed"), "events")
@@ -66,7 +66,7 @@ def test_idle_sessions(spark, log, batch):
 
 def test_permissions_time_out(spark, log):
     by_id = log.withColumn("id", F.col("k"))
-    got = stream.run_append(stream.permission_outcomes(by_id, 86400), scratch(spark, "p")).collect()
+    got = stream.first_answers(stream.run_append(stream.permission_outcomes(by_id, 86400), scratch(spark, "p"))).collect()
     assert {r.decision for r in got} <= {"once", "always", "deny"}
     assert len({r.request_id for r in got}) == len(got)
 
@@ -88,3 +88,33 @@ def test_pushed_lines(spark, tmp_path):
     job = pushed_events(spark.readStream.text(str(tmp_path / "in"))).select("kind", "ok", "broken")
     got = stream.run_append(job, scratch(spark, "push"))
     assert rows(got) == [("connected", None, None), ("tool_result", False, None), (None, None, "{broken")]
+
+
+def test_two_answers_to_one_request(spark):
+    rows = [(0, "permission_request", None), (5, "permission_resolved", "once"), (3, "permission_resolved", "always"), (9, "permission_request", None)]
+    log = spark.createDataFrame([("s", 1, n, kind, d) for n, kind, d in rows], "session_id string, id long, event_id long, kind string, decision string")
+    log = log.withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1_700_000_000))
+    folder = scratch(spark, "two")
+    log.write.parquet(folder)
+    job = stream.permission_outcomes(event_stream(spark, folder, log.schema), 60)
+    got = stream.first_answers(stream.run_append(job, scratch(spark, "out"))).collect()
+    assert [(r.request_id, r.decision) for r in got if r.request_id == 0] == [(0, "always")]
+
+
+QUERIES = ["stream_event_counts", "stream_idle_sessions", "stream_idle_sessions_6h", "stream_permission_timeout", "stream_usage", "stream_step_cap"]
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_tables_of_many_files(spark, tmp_path, name):
+    """A table that is a folder of part files gives what the single file gives."""
+    query = catalogue.QUERIES[name]
+    read_table(spark, SF_DIR, "events").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    want = rows(query(spark, SF_DIR))
+    assert want and rows(query(spark, str(tmp_path))) == want
+
+
+def test_empty_stream(spark, tmp_path):
+    schema = read_table(spark, SF_DIR, "events").schema
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "events.parquet"))
+    for name in QUERIES:
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == 0
