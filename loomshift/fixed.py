@@ -136,3 +136,22 @@ NO_BODY = "(collection error)"
 NO_MESSAGE = "(no error message captured)"
 UNKNOWN_FILE = "(unknown)"
 DENIED_BY_USER = "User denied this tool call."
+DENIED_BY_RULE = "' is denied by configuration."
+NO_PROMPTER = "' needs approval but no prompter is available."
+HITS_CUT = "... [result limit reached — narrow the search]"
+MORE_FLAGGED = " more flagged files]"
+SYNTAX_ERROR = "SyntaxError: "
+COMPILE_ERROR = "compile() failed: "
+
+# Phrases of error texts and the repair they ask for.
+DRY_RUN_ERRORS = [
+    ("Type mismatch|cannot be inserted into column", "type mismatch"),
+    ("Unrecognized name", "unknown name"),
+    ('Unexpected "@"', "stray parameter"),
+    ("PARTITION BY expression must be", "partition expression"),
+]
+TEST_ERRORS = [
+    ("ImportError|ModuleNotFoundError", "import"),
+    ("AssertionError", "assertion"),
+    ("SyntaxError", "syntax"),
+]

@@ -111,9 +111,16 @@ def size(col, strict: bool = True) -> Column:
 
 
 def json_value(col, path: str, strict: bool = False) -> Column:
-    """Strict gives NULL where the path leads to an object or array."""
+    """Strict gives NULL where the path leads to an object or array, told by the type of the node."""
     value = F.get_json_object(_c(col), path)
-    return F.when(~value.rlike(r"^\s*[\[{]"), value) if strict else value
+    if not strict:
+        return value
+    if "*" in path:  # leads to many nodes
+        return F.lit(None).cast("string")
+    # only a value that begins like one can be an object or array; text that does is told apart by its type
+    node = F.schema_of_variant(F.try_variant_get(F.try_parse_json(_c(col)), path, "variant"))
+    nested = value.rlike(r"^\s*[\[{]") & F.coalesce(node.rlike("^(?:OBJECT|ARRAY)"), F.lit(True))
+    return F.when(~nested, value)
 
 
 # --- casts ------------------------------------------------------------------
@@ -148,6 +155,26 @@ def target_type_name(hive_type: str) -> str:
     return fixed.TYPE_NAMES.get(upper, "STRING")
 
 
+def target_type(col) -> Column:
+    """`target_type_name` for a column of Hive type texts."""
+    text = F.trim(_c(col))
+    arrays = F.regexp_extract(text, r"(?i)^((?:array<\s*)*)", 1)
+    depth = F.regexp_count(arrays, F.lit("<"))
+    inner = F.trim(F.regexp_replace(F.substr(text, F.length(arrays) + 1), r"^(.*?)((?:\s*>)*)$", "$1"))
+    closing = F.regexp_count(F.regexp_extract(text, r"((?:\s*>)*)$", 1), F.lit(">")) - depth
+    inner = F.concat(inner, F.repeat(F.lit(">"), F.greatest(closing, F.lit(0))))
+    upper = F.upper(inner)
+    digits = F.coalesce(F.regexp_extract(upper, r"^DECIMAL\s*\(\s*(\d+)", 1).try_cast("int"), F.lit(10))
+    names = F.create_map(*[F.lit(x) for pair in fixed.TYPE_NAMES.items() for x in pair])
+    base = (
+        F.when(F.startswith(upper, F.lit("DECIMAL")), F.when(digits <= fixed.NUMERIC_MAX_PRECISION, "NUMERIC").otherwise("BIGNUMERIC"))
+        .when(F.startswith(upper, F.lit("MAP<")), "JSON")
+        .when(F.startswith(upper, F.lit("STRUCT<")), inner)
+        .otherwise(F.coalesce(F.try_element_at(names, upper), F.lit("STRING")))
+    )
+    return F.concat(F.repeat(F.lit("ARRAY<"), depth), base, F.repeat(F.lit(">"), depth))
+
+
 def widened(dtype: T.DataType) -> T.DataType:
     """Spark type that holds the target type of a Hive column."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):

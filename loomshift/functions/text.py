@@ -38,14 +38,16 @@ def substitute(col, pattern: str, replacement: Callable[[Column], Column], needs
     text is never matched again.  The pattern must not match an empty text.
     `needs` is plain text in every match: texts without it skip the pattern.
     """
-    text = _c(col)
-    between = F.split(text, pattern, -1)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replacement)
-    rebuilt = F.array_join(
-        F.zip_with(between, hits, lambda piece, hit: F.concat(piece, F.coalesce(hit, F.lit("")))), ""
-    )
-    hit = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
-    return F.when(hit, rebuilt).otherwise(text)
+
+    def rebuilt(text: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replacement)
+        pieces = F.array_join(F.zip_with(between, hits, lambda piece, hit: F.concat(piece, F.coalesce(hit, F.lit("")))), "")
+        hit = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+        return F.when(hit, pieces).otherwise(text)
+
+    # the input is named by a function argument, so nested rewrites work out each text once
+    return F.get(F.transform(F.array(_c(col)), rebuilt), F.lit(0))
 
 
 def strip(col) -> Column:

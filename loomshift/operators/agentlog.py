@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomshift import fixed
-from loomshift.operators.ordered import MAX_GROUP_ROWS, OrderedGroups, first_rows
+from loomshift.operators.ordered import GROUP_LIMIT, MAX_GROUP_ROWS, OrderedGroups, first_rows
 from loomshift.session import stored
 
 
@@ -37,8 +37,7 @@ def policy_audit(calls: DataFrame, defaults: Mapping[str, str], overrides: Mappi
         .when(covered, True)
         .otherwise(F.coalesce(F.col("decision") == "once", F.lit(False)))
     )
-    denied_rule = F.concat(F.lit("Tool '"), F.col("tool"), F.lit("' is denied by configuration."))
-    no_prompt = F.concat(F.lit("Tool '"), F.col("tool"), F.lit("' needs approval but no prompter is available."))
+    denied_rule, no_prompt = (F.concat(F.lit("Tool '"), F.col("tool"), F.lit(t)) for t in (fixed.DENIED_BY_RULE, fixed.NO_PROMPTER))
     reason = (
         F.when(F.col("policy") == "deny", denied_rule)
         .when(allowed, "")
@@ -60,16 +59,17 @@ def pair_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(last, ["session_id", "id"], "left").withColumns({"status": status, "preview": preview}).drop("r")
 
 
-def permission_outcomes(log: DataFrame, timeout_s: int = fixed.PERMISSION_TIMEOUT_S,
-                        max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """log(session_id, event_id, ts, kind, decision): each request with its decision.
+def permission_outcomes(log: DataFrame, timeout_s: int = fixed.PERMISSION_TIMEOUT_S, max_rows: int = MAX_GROUP_ROWS,
+                        keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """log(session_id, event_id, ts, kind, decision, ...): each request with its decision.
 
-    The next answer in the session within the timeout counts, else `deny`.
+    The next answer of the same keys within the timeout counts, else `deny`. Where requests have an id, the keys are the
+    session and the id; the session alone is for logs without ids.
     """
     resolved = F.col("kind") == "permission_resolved"
     answer = F.when(resolved, F.struct(F.col("ts").alias("at"), F.col("decision").alias("said")))
     asked_or_said = log.where(F.col("kind").isin("permission_request", "permission_resolved"))
-    seen = OrderedGroups(asked_or_said, ["session_id"], ["ts", "event_id"], max_rows).next_known(answer, "next").result()
+    seen = OrderedGroups(asked_or_said, list(keys), ["ts", "event_id"], max_rows).next_known(answer, "next").result()
     requests = seen.where(F.col("kind") == "permission_request")
     waited = F.unix_micros(F.col("next.at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     in_time = F.coalesce(waited <= timeout_s * 1_000_000, F.lit(False))
@@ -99,7 +99,10 @@ def usage_cost(usage: DataFrame, key: str = "session_id") -> DataFrame:
 def capped_steps(steps: DataFrame, key: str = "session_id", order: str = "step_ts", tie: str = "event_id",
                  max_steps: int = fixed.MAX_STEPS) -> DataFrame:
     """The first `max_steps` steps of each session, numbered, with a flag for capped sessions."""
-    kept = first_rows(steps, [key], [F.col(order), F.col(tie)], max_steps, "step")
+    if max_steps <= GROUP_LIMIT:
+        kept = first_rows(steps, [key], [F.col(order), F.col(tie)], max_steps, "step")
+    else:  # too many for a cut before the shuffle: hot sessions are sliced instead
+        kept = OrderedGroups(steps, [key], [order, tie]).row_number("step").result().where(F.col("step") <= max_steps)
     capped = steps.groupBy(key).agg((F.count(F.lit(1)) > max_steps).alias("capped"))
     return kept.join(capped, key)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomshift import fixed
 from loomshift.functions import text
+from loomshift.session import stored
 
 
 def visible(files: DataFrame) -> DataFrame:
@@ -49,17 +50,27 @@ def targets(classified: DataFrame) -> DataFrame:
 
 
 def work_list(classified: DataFrame, requested: DataFrame) -> DataFrame:
-    """Requested paths with their type and a status; bad requests stay as rows."""
-    outside = F.col("rel_path").rlike(r"^/|(?:^|/)\.\.(?:/|$)")
-    wanted = requested.select("rel_path").distinct()
-    found = classified.select("rel_path", "file_type")
+    """Requested paths, as they were asked for, with the type of the file they lead to and a status; bad requests stay as rows."""
+    wanted = requested.select("rel_path").distinct().withColumn("__path", resolved("rel_path"))
+    outside = F.col("__path").isNull()
+    found = classified.select(F.col("rel_path").alias("__path"), "file_type")
     status = (
         F.when(outside, "outside the repository")
         .when(F.col("file_type").isNull(), "not found")
         .when(F.col("file_type") == "skip", "not a target")
         .otherwise("ok")
     )
-    return wanted.join(found, "rel_path", "left").select("rel_path", "file_type", status.alias("status"))
+    return wanted.join(found, "__path", "left").select("rel_path", "file_type", status.alias("status"))
+
+
+def resolved(col: str) -> Column:
+    """A relative path without `.` and `..` parts; NULL when it leaves the repository."""
+    parts = F.filter(F.split(col, "/"), lambda p: ~p.isin("", "."))
+    start = F.array().cast("array<string>")
+    # a step up from the top makes the whole path NULL
+    walked = F.aggregate(parts, start, lambda at, p: F.when(p != "..", F.concat(at, F.array(p)))
+                         .when(F.size(at) > 0, F.slice(at, F.lit(1), F.size(at) - 1)))
+    return F.when(~F.startswith(col, F.lit("/")), F.array_join(walked, "/"))
 
 
 def output_path() -> Column:
@@ -158,7 +169,12 @@ def search_lines(files: DataFrame, pattern: str, glob: str = "**/*") -> DataFram
 
 
 def grep(files: DataFrame, pattern: str, glob: str = "**/*", limit: int = fixed.HIT_LIMIT) -> DataFrame:
-    return search_lines(files, pattern, glob).orderBy("rel_path", "line_no").limit(limit)
+    """The first hits in path order; at the limit a last row (without a path) says that the answer is cut."""
+    first = search_lines(files, pattern, glob).orderBy("rel_path", "line_no").limit(limit)
+    shown = stored(first, "hits")
+    full = shown.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    note = full.select(F.lit(None).cast("string").alias("rel_path"), F.lit(None).cast("bigint").alias("line_no"), F.lit(fixed.HITS_CUT).alias("hit"))
+    return shown.unionByName(note)
 
 
 def line_window(files: DataFrame, offset: int = 0, limit: int = fixed.LINE_LIMIT) -> DataFrame:
@@ -174,27 +190,36 @@ def line_window(files: DataFrame, offset: int = 0, limit: int = fixed.LINE_LIMIT
 
 
 def bulk_replace(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """Exact-text edits, one per path: edits(rel_path, old, new, replace_all).
+    """Exact-text edits: edits(rel_path, edit_no, old, new, replace_all), those of a path in the order of edit_no.
 
-    Columns: rel_path, content (edited or as it was), replaced, status.
+    An edit that fails changes nothing, and the next one goes on from there. One row per path with edits: rel_path,
+    content (NULL for an unknown file), replaced (over all edits), statuses (one per edit) and status (the first that is not "edited").
     """
-    joined = files.join(edits, "rel_path", "inner")
-    n = text.occurrences("content", "old")
-    counted = joined.withColumn("n", n)
-    status = (
-        F.when(F.col("old") == "", "empty search text")
-        .when(F.col("n") == 0, "not found")
-        .when((F.col("n") > 1) & ~F.col("replace_all"), "not unique")
-        .otherwise("edited")
-    )
-    done = counted.withColumn("status", status)
-    edited = F.col("status") == "edited"
-    return done.select(
-        "rel_path",
-        F.when(edited, F.replace("content", F.col("old"), F.col("new"))).otherwise(F.col("content")).alias("content"),
-        F.when(edited, F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("replaced"),
-        "status",
-    )
+    entry = F.struct("edit_no", "old", "new", "replace_all")
+    per_path = edits.groupBy("rel_path").agg(F.array_sort(F.collect_list(entry)).alias("edits"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.col("content").alias("content"), F.lit(0).cast("bigint").alias("replaced"), none.alias("statuses"))
+
+    def apply(done: Column, edit: Column) -> Column:
+        n = text.occurrences(done["content"], edit["old"])
+        status = (
+            F.when(done["content"].isNull(), "file not found")
+            .when(edit["old"] == "", "empty search text")
+            .when(n == 0, "not found")
+            .when((n > 1) & ~edit["replace_all"], "not unique")
+            .otherwise("edited")
+        )
+        edited = status == "edited"
+        return F.struct(
+            F.when(edited, F.replace(done["content"], edit["old"], edit["new"])).otherwise(done["content"]).alias("content"),
+            (done["replaced"] + F.when(edited, n).otherwise(0)).alias("replaced"),
+            F.concat(done["statuses"], F.array(status)).alias("statuses"),
+        )
+
+    joined = per_path.join(files.select("rel_path", "content"), "rel_path", "left")
+    folded = joined.select("rel_path", F.aggregate("edits", start, apply).alias("e"))
+    failed = F.filter("e.statuses", lambda s: s != "edited")
+    return folded.select("rel_path", "e.content", "e.replaced", "e.statuses", F.coalesce(F.get(failed, F.lit(0)), F.lit("edited")).alias("status"))
 
 
 def strip_settings(col: str = "content") -> Column:

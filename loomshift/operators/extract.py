@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomshift import fixed
 from loomshift.functions import text
@@ -17,6 +19,11 @@ from loomshift.functions import text
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def literal_map(rules: Mapping[str, str]) -> Column:
+    """A mapping as one constant, whatever its size: read from a text when the plan is made."""
+    return F.from_json(F.lit(json.dumps(dict(rules))), "map<string,string>")
+
+
 # --- injected filters ---------------------------------------------------------
 
 
@@ -50,7 +57,7 @@ def inject_filters(df: DataFrame, filters: Sequence[tuple[str, str]]) -> DataFra
 
 def parameters(files: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Distinct @names per file with their type, STRING when not given."""
-    known = F.create_map(*[F.lit(x) for pair in types.items() for x in pair]) if types else F.create_map().cast("map<string,string>")
+    known = literal_map(types)
     names = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(fixed.PARAMETER), F.lit(1))))
     rows = files.select("rel_path", F.explode(names).alias("name"))
     return rows.withColumn("type", F.coalesce(F.try_element_at(known, F.col("name")), F.lit("STRING")))
@@ -83,26 +90,46 @@ EVENT_SCHEMA = (
 )
 
 
+def struct_fields(ddl: str) -> str:
+    """The fields of a schema as they are written inside a struct."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl))
+
+
 def _parsed(schema: str, content: str = "content") -> Column:
     return F.from_xml(content, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
 
 
+def _event_id(broken: Column, content: str, path: str) -> Column:
+    """The first EventId at any depth, else the name of the file."""
+    found = F.when(~broken & F.col(content).contains("<EventId"), F.xpath_string(content, F.lit("//EventId")))
+    return F.coalesce(F.nullif(found, F.lit("")), text.stem(path))
+
+
 def event_note(content: str = "content", path: str = "rel_path") -> Column:
     e = _parsed("EventId string, broken string", content)
-    event_id = F.coalesce(F.nullif(e["EventId"], F.lit("")), text.stem(path))
     broken = e.isNull() | e["broken"].isNotNull()
+    event_id = _event_id(broken, content, path)
     return F.when(broken, F.lit(fixed.NOTE_XML)).otherwise(F.concat(F.lit("Event: "), event_id))
 
 
 def events(files: DataFrame) -> DataFrame:
-    """One row per scheduler file; malformed XML gives a note, not an error."""
-    parsed = files.withColumn("e", _parsed(EVENT_SCHEMA))
+    """One row per scheduler file; malformed XML gives a note, not an error.
+
+    The event is the root, or the first Event below it.
+    """
+    nested = EVENT_SCHEMA.removesuffix(", broken string")
+    parsed = files.withColumn("r", _parsed(f"{nested}, Event array<struct<{struct_fields(nested)}>>, broken string"))
+    root = F.col("r")
+    below = F.get(root["Event"], F.lit(0))
+    names = [f.name for f in T.StructType.fromDDL(nested)]
+    event = F.struct(*[F.when(below.isNotNull(), below[n]).otherwise(root[n]).alias(n) for n in names], root["broken"].alias("broken"))
+    parsed = parsed.withColumn("e", F.when(root.isNotNull(), event))
     broken = F.col("e").isNull() | F.col("e.broken").isNotNull()
 
     def whole(col: Column) -> Column:
         return col.try_cast("bigint")
 
-    event_id = F.coalesce(F.when(~broken, F.nullif(F.col("e.EventId"), F.lit(""))), text.stem("rel_path"))
+    event_id = _event_id(broken, "content", "rel_path")
     ids = F.when(broken, F.array().cast("array<string>")).otherwise(
         F.coalesce("e.Dependency", "e.Dependencies.Dependency", F.array().cast("array<string>"))
     )
@@ -182,8 +209,7 @@ def config_entries(files: DataFrame, dataset_map: Mapping[str, str]) -> DataFram
     """key=value lines with what becomes of them: kept, renamed or removed."""
     renames = dict(fixed.CONFIG_RENAMES) | {k: k.upper() + "_DATASET" for k in dataset_map}
     values = dict(fixed.CONFIG_VALUES) | dict(dataset_map)
-    new_names = F.create_map(*[F.lit(x) for p in renames.items() for x in p])
-    new_values = F.create_map(*[F.lit(x) for p in values.items() for x in p])
+    new_names, new_values = literal_map(renames), literal_map(values)
     entry = r"^(\w+)=(.*)$"
     rows = files.select("rel_path", F.posexplode(text.lines("content")).alias("pos", "line")).where(F.col("line").rlike(entry))
     split = rows.select(
@@ -209,18 +235,9 @@ def error_class(stage: str = "error_type", col: str = "error") -> Column:
     """What kind of repair an error asks for; stage is SYNTAX, BQ_DRY_RUN, PYTEST or TODO_REVIEW."""
     s, e = F.col(stage), F.col(col)
     dry, tests = s == "BQ_DRY_RUN", s == "PYTEST"
-    return (
-        F.when(dry & e.rlike("Type mismatch|cannot be inserted into column"), "type mismatch")
-        .when(dry & e.contains("Unrecognized name"), "unknown name")
-        .when(dry & e.contains('Unexpected "@"'), "stray parameter")
-        .when(dry & e.contains("PARTITION BY expression must be"), "partition expression")
-        .when(tests & e.rlike("ImportError|ModuleNotFoundError"), "import")
-        .when(tests & e.contains("AssertionError"), "assertion")
-        .when(tests & e.contains("SyntaxError"), "syntax")
-        .when(s == "SYNTAX", "syntax")
-        .when(s == "TODO_REVIEW", "todo")
-        .when(dry | tests, "other")
-    )
+    rules = [(dry, p, c) for p, c in fixed.DRY_RUN_ERRORS] + [(tests, p, c) for p, c in fixed.TEST_ERRORS]
+    found = F.coalesce(*[F.when(where & e.rlike(phrase), kind) for where, phrase, kind in rules])
+    return F.coalesce(found, F.when(s == "SYNTAX", "syntax").when(s == "TODO_REVIEW", "todo").when(dry | tests, "other"))
 
 
 def clean_error(col: str = "error") -> Column:
@@ -238,9 +255,9 @@ def _parse_error(source: str, name: str) -> str | None:
     try:
         compile(source, name, "exec", dont_inherit=True)
     except SyntaxError as e:
-        return f"SyntaxError: {e.msg}" + (f" (line {e.lineno})" if e.lineno else "")
+        return f"{fixed.SYNTAX_ERROR}{e.msg}" + (f" (line {e.lineno})" if e.lineno else "")
     except Exception as e:
-        return f"compile() failed: {type(e).__name__}: {e}"
+        return f"{fixed.COMPILE_ERROR}{type(e).__name__}: {e}"
     return None
 
 

@@ -12,25 +12,13 @@ from pyspark.sql import functions as F
 from loomshift import fixed
 from loomshift.functions import text
 from loomshift.operators import extract
-
-# Mappings given as a dict become column expressions, so their size is checked.
-# The *_by_table forms take mappings of any size.
-MAX_INLINE_RULES = 500
+from loomshift.session import stored
 
 BUCKET = fixed.DEFAULT_BUCKET
 PROJECT = fixed.DEFAULT_PROJECT
 
 
-def _checked(rules: Mapping[str, str]) -> Mapping[str, str]:
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"{len(rules)} rules: use the forms that take a table beyond {MAX_INLINE_RULES}")
-    return rules
-
-
-def _literal_map(rules: Mapping[str, str]) -> Column:
-    if not rules:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for pair in _checked(rules).items() for x in pair])
+_literal_map = extract.literal_map
 
 
 def _longest_first(names) -> list[str]:
@@ -62,15 +50,16 @@ def dataset_lookup(df: DataFrame, name: str, datasets: DataFrame, out: str = "da
 def map_path(col, path_map: Mapping[str, str], bucket: str = BUCKET, boundary: bool = False) -> Column:
     """Longest prefix wins; a path without one goes below the bucket."""
     path = F.col(col) if isinstance(col, str) else col
-    chain = None
-    for prefix in _longest_first(_checked(path_map)):
-        hit = F.startswith(path, F.lit(prefix))
+    rules = _literal_map(path_map)
+    tried = []
+    # a lookup per length that occurs, not per rule
+    for n in sorted({len(p) for p in path_map}, reverse=True):
+        head = F.substr(path, F.lit(1), F.lit(n))
         if boundary:
-            hit = (path == prefix) | F.startswith(path, F.lit(prefix.rstrip("/") + "/"))
-        moved = F.concat(F.lit(path_map[prefix]), F.substr(path, F.lit(len(prefix) + 1)))
-        chain = F.when(hit, moved) if chain is None else chain.when(hit, moved)
-    fallback = F.concat(F.lit(bucket), path)
-    return fallback if chain is None else chain.otherwise(fallback)
+            rest = F.substr(path, F.lit(n + 1), F.lit(1))
+            head = F.when((rest == "") | (rest == "/") | F.endswith(head, F.lit("/")), head)
+        tried.append(F.concat(F.try_element_at(rules, F.when(F.length(path) >= n, head)), F.substr(path, F.lit(n + 1))))
+    return F.coalesce(*tried, F.concat(F.lit(bucket), path))
 
 
 def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame, bucket: str = BUCKET) -> DataFrame:
@@ -80,20 +69,16 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
     join stays a hash join.  `key` identifies a row of `df`.
     Columns: key, path, prefix (NULL without a match), mapped.
     """
-    unique = prefixes.groupBy("prefix").agg(F.max("target").alias("target"))
+    unique = stored(prefixes.groupBy("prefix").agg(F.max("target").alias("target")), "prefixes")
     lengths = unique.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("x")).scalar()
     p = F.col(path)
-    tried = df.select(key, path).withColumn("__lengths", lengths)
-    tried = tried.select(key, path, F.explode_outer("__lengths").alias("__n"))
-    candidates = tried.select(
-        key, path, F.when(F.col("__n") <= F.length(p), F.substr(p, F.lit(1), F.col("__n"))).alias("prefix")
-    )
-    # the longest length is found by a hash aggregate, the target by one more lookup
-    found = F.when(F.col("target").isNotNull(), F.length("prefix"))
-    best = candidates.join(unique, "prefix", "left").groupBy(key, path).agg(F.max(found).alias("__n"))
-    matched = best.withColumn("prefix", F.substr(p, F.lit(1), F.col("__n"))).join(unique, "prefix", "left")
-    target = F.concat(F.col("target"), F.substr(p, F.col("__n") + 1))
-    return matched.select(key, path, "prefix", F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"))
+    tried = df.select(key, path, lengths.alias("__lengths")).select(key, path, F.explode("__lengths").alias("__n")).where(F.col("__n") <= F.length(p))
+    # only matches are grouped, and paths meet them once
+    hits = tried.withColumn("prefix", F.substr(p, F.lit(1), F.col("__n"))).join(unique, "prefix")
+    best = hits.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct("prefix", "target"), "__n").alias("__best"))
+    target = F.concat(F.col("__best.target"), F.substr(p, F.length("__best.prefix") + 1))
+    return df.join(best, F.col(key).eqNullSafe(F.col("__key")), "left").select(
+        key, path, F.col("__best.prefix").alias("prefix"), F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"))
 
 
 def _shared(path_map: Mapping[str, str], roots=()) -> str:
@@ -105,7 +90,7 @@ def _prefix_pattern(path_map: Mapping[str, str], roots=(), stop: str = "") -> st
 
     What they share comes first, so a search can skip ahead.
     """
-    names = _longest_first(_checked(path_map))
+    names = _longest_first(path_map)
     shared = _shared(path_map, roots)
     rests = [re.escape(n[len(shared):]) for n in names]
     rests += [re.escape(r[len(shared):]) + f"(?=[^{stop}])" for r in roots]
@@ -220,13 +205,15 @@ def substitute_by_table(files: DataFrame, pattern: str, resolve: Callable[[DataF
     """Replaces matches in `content` by what `resolve` finds for them.
 
     `resolve` turns a frame of distinct matches (match) into (match, replacement)
-    by joins; matches it leaves out stay. Only paths and matches are shuffled
-    for the lookup, and a file carries just the replacements it needs.
+    by joins; matches it leaves out stay. Matches are looked up apart from the texts and stored; the join back
+    moves the texts once, and not at all while the matches are few enough to broadcast.
     """
     per_file = files.select("rel_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)))).alias("match"))
+    per_file = stored(per_file, "matches")
     lookup = resolve(per_file.select("match").distinct()).select("match", "replacement")
-    entries = F.map_from_entries(F.collect_list(F.struct("match", "replacement")))
-    needed = per_file.join(lookup, "match").groupBy("rel_path").agg(entries.alias("__found"))
+    # a path may occur twice; a match has one replacement
+    entries = F.map_from_entries(F.collect_set(F.struct("match", "replacement")))
+    needed = stored(per_file.join(lookup, "match").groupBy("rel_path").agg(entries.alias("__found")), "replacements")
     rewritten = text.substitute("content", pattern, lambda hit: F.coalesce(F.try_element_at(F.col("__found"), hit), hit))
     joined = files.join(needed, "rel_path", "left")
     content = F.when(F.col("__found").isNull(), F.col("content")).otherwise(rewritten)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomshift import fixed
 from loomshift.functions import text
+from loomshift.operators import extract
 
 
 def merge_state(old: DataFrame, new: DataFrame, key: str = "rel_path") -> DataFrame:
@@ -15,10 +18,11 @@ def merge_state(old: DataFrame, new: DataFrame, key: str = "rel_path") -> DataFr
 
 
 def attach_validation(conversions: DataFrame, validations: DataFrame) -> DataFrame:
-    """Outcome of validations(output_path, success, error); files not validated keep what they had."""
+    """Outcome of validations(output_path, success, error), errors without their transport prefix; files not validated keep
+    what they had."""
     # a path validated twice counts as failed when one run failed
     outcome = validations.groupBy("output_path").agg(
-        F.bool_and("success").alias("__ok"), F.min(F.when(~F.col("success"), F.col("error"))).alias("__err")
+        F.bool_and("success").alias("__ok"), F.min(F.when(~F.col("success"), extract.clean_error())).alias("__err")
     )
     joined = conversions.join(outcome, "output_path", "left")
     touched = F.col("__ok").isNotNull()
@@ -77,16 +81,20 @@ def first_targets(classified: DataFrame, limit: int = fixed.TARGET_LIMIT) -> Dat
 
 
 def first_flagged(conversions: DataFrame, limit: int = fixed.FLAGGED_LIMIT) -> DataFrame:
-    """The first files with errors or for review, each with its first note."""
+    """The first files with errors or for review, each with its first note; beyond the limit a row tells how many more there are."""
     flagged = conversions.where(F.col("status").isin("error", "review"))
-    shown = flagged.select("status", "rel_path", F.get("notes", F.lit(0)).alias("note"))
-    return shown.orderBy("rel_path").limit(limit)
+    shown = flagged.select("status", "rel_path", F.get("notes", F.lit(0)).alias("note")).orderBy("rel_path").limit(limit)
+    left = flagged.agg((F.count(F.lit(1)) - limit).alias("more")).where("more > 0")
+    more = left.select(F.lit("more").alias("status"), F.lit(None).cast("string").alias("rel_path"),
+                       F.concat(F.lit("... ["), F.col("more").cast("string"), F.lit(fixed.MORE_FLAGGED)).alias("note"))
+    return shown.unionByName(more)
 
 
-def summary(conversions: DataFrame) -> DataFrame:
-    """The six counts of the report; validation is counted for `converted` files only."""
+def summary(conversions: DataFrame, keys: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """The six counts of the report, over all files or by the keys; validation is counted for `converted` files only."""
     status, passed = F.col("status"), F.col("validation_passed")
-    return conversions.agg(
+    return conversions.groupBy(*keys).agg(
+        *more,
         F.count_if(status.isin("converted", "review")).alias("files_converted"),
         F.count_if((status == "converted") & passed).alias("dry_run_passed"),
         F.count_if((status == "converted") & ~passed).alias("dry_run_failed"),
@@ -130,7 +138,7 @@ def listing_notes(conversions: DataFrame) -> DataFrame:
 def error_log(validations: DataFrame) -> DataFrame:
     """A text block per failed file."""
     rule = "-" * 64
-    block = F.concat(F.lit("FILE: "), F.col("output_path"), F.lit(f"\n{rule}\n"), F.col("error"), F.lit("\n"))
+    block = F.concat(F.lit("FILE: "), F.col("output_path"), F.lit(f"\n{rule}\n"), extract.clean_error(), F.lit("\n"))
     return validations.where(~F.col("success")).select("output_path", block.alias("value"))
 
 

@@ -3,9 +3,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomshift.operators import corpus, mapping, runstate
@@ -33,5 +33,6 @@ def validate(state: DataFrame, validations: DataFrame) -> DataFrame:
     return runstate.attach_validation(state, validations)
 
 
-def report(state: DataFrame) -> DataFrame:
-    return runstate.summary(state)
+def report(state: DataFrame, keys: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """The counts of the run, over all files or by the keys."""
+    return runstate.summary(state, keys, more)

@@ -64,7 +64,7 @@ def counts(log: DataFrame) -> DataFrame:
 
 
 def block_lines(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Lines of the collection-error blocks: run_id, block (header line), file, line_no, line.
+    """Lines of the collection-error blocks: run_id, block (header line), file, line_no, line, blank.
 
     The header is the first line; lines are cut to what an excerpt can hold.
     """
@@ -73,10 +73,15 @@ def block_lines(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     file = F.when(header, F.regexp_extract("line", fixed.LOG_BLOCK, 1))
     # the latest header or closing line at or above each line
     mark = F.when(header | closer, F.struct(F.col("line_no").alias("block"), file.alias("file")))
-    narrow = log.select("run_id", "line_no", F.substring("line", 1, fixed.EXCERPT_CHARS).alias("line"), mark.alias("mark"))
+    narrow = log.select(
+        "run_id", "line_no", F.substring("line", 1, fixed.EXCERPT_CHARS).alias("line"), mark.alias("mark"),
+        # told by the whole line, which is cut afterwards
+        F.col("line").rlike(r"^\s*$").alias("blank"),
+    )
     marked = OrderedGroups(narrow, ["run_id"], ["line_no"], max_rows).running_max(F.col("mark"), "latest").result()
     inside = marked.where(F.col("latest.file").isNotNull())
-    return inside.select("run_id", F.col("latest.block").alias("block"), F.col("latest.file").alias("file"), "line_no", "line")
+    return inside.select(
+        "run_id", F.col("latest.block").alias("block"), F.col("latest.file").alias("file"), "line_no", "line", "blank")
 
 
 def blocks(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -88,14 +93,14 @@ def blocks(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     )
     # the first lines of each kind hold both the marked lines and the head of the block
     kept = first_rows(lines, ["run_id", "block", "kind"], [F.col("line_no")], MARKED_LINES)
-    body = F.array_sort(F.collect_list(F.when(F.col("kind") != "header", F.struct("line_no", "kind", "line"))))
+    body = F.array_sort(F.collect_list(F.when(F.col("kind") != "header", F.struct("line_no", "kind", "line", "blank"))))
     gathered = kept.groupBy("run_id", "block").agg(F.max("file").alias("file"), body.alias("body"))
 
     def joined(entries):
         return F.substring(F.array_join(F.transform(entries, lambda e: e["line"]), "\n"), 1, fixed.EXCERPT_CHARS)
 
     marked = F.filter("body", lambda e: e["kind"] == "marked")
-    head = F.filter(F.slice("body", 1, HEAD_LINES), lambda e: text.strip(e["line"]) != "")
+    head = F.filter(F.slice("body", 1, HEAD_LINES), lambda e: ~e["blank"])
     excerpt = F.when(F.size(marked) > 0, joined(marked)).when(F.size(head) > 0, joined(head))
     return gathered.select("run_id", "block", "file", F.coalesce(excerpt, F.lit(fixed.NO_BODY)).alias("excerpt"))
 

@@ -78,6 +78,21 @@ def permission_timeout_6h(spark, sf_dir):
     return _permissions(spark, sf_dir, 6 * 3600)
 
 
+@query(
+    "permission_by_id",
+    _LOG.rstrip() + """,
+    asked AS (SELECT * FROM log WHERE kind = 'permission_request'), said AS (SELECT * FROM log WHERE kind = 'permission_resolved'),
+    nearest AS (SELECT q.session_id, q.k, q.event_id, q.ts, r.ts AS moment, r.decision FROM asked q ASOF LEFT JOIN said r ON q.session_id = r.session_id AND q.k = r.k AND r.ts >= q.ts)
+    SELECT session_id, event_id, epoch_us(ts) AS asked_micros, CASE WHEN epoch_us(moment) - epoch_us(ts) <= 86400::BIGINT * 1000000 THEN decision ELSE 'deny' END AS decision,
+      CASE WHEN epoch_us(moment) - epoch_us(ts) <= 86400::BIGINT * 1000000 THEN epoch_us(moment) - epoch_us(ts) END AS waited_micros FROM nearest
+    """,
+)
+def permission_by_id(spark, sf_dir):
+    """J9 with request ids: the next answer to the same id within a day."""
+    out = agentlog.permission_outcomes(inputs.log(spark, sf_dir), 86400, keys=["session_id", "k"])
+    return out.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))).withColumnRenamed("ts", "asked_micros")
+
+
 @query(
     "usage_cost",
     _LOG + """

@@ -206,15 +206,30 @@ lined AS (SELECT rel_path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS
 @query(
     "grep_lines",
     _FILES.rstrip() + "," + _LINES_SQL + r"""
-    SELECT rel_path, line_no, substr(regexp_replace(line, '^\s+|\s+$', '', 'g'), 1, 200) AS hit FROM lined
-    WHERE regexp_matches(line, 'License|TODO:') AND regexp_matches(rel_path, '^([^/]+/)*[^/]*$') ORDER BY rel_path, line_no LIMIT 200
+    , hits AS (SELECT rel_path, line_no, substr(regexp_replace(line, '^\s+|\s+$', '', 'g'), 1, 200) AS hit FROM lined
+    WHERE regexp_matches(line, 'License|TODO:') AND regexp_matches(rel_path, '^([^/]+/)*[^/]*$') ORDER BY rel_path, line_no LIMIT 200)
+    SELECT * FROM hits UNION ALL SELECT NULL, NULL, '... [result limit reached — narrow the search]' FROM hits HAVING count(*) >= 200
     """,
 )
 def grep_lines(spark, sf_dir):
-    """The first hits in path order."""
+    """The first hits in path order, and a row that says when they are cut."""
     return corpus.grep(inputs.files(spark, sf_dir), "License|TODO:")
 
 
+@query(
+    "search_lines",
+    _FILES.rstrip() + "," + _LINES_SQL + r"""
+    SELECT rel_path, line_no, substr(regexp_replace(line, '^\s+|\s+$', '', 'g'), 1, 200) AS hit FROM lined
+    WHERE regexp_matches(line, 'License|TODO:|hivevar') AND regexp_matches(rel_path, '^([^/]+/)*conf/[^/]*$|\.(hql|sh|py)$')
+      AND regexp_matches(rel_path, '^([^/]+/)*[^/]*$')
+    """,
+)
+def search_lines(spark, sf_dir):
+    """Every hit, uncut."""
+    files = inputs.files(spark, sf_dir).where(F.col("rel_path").rlike(r"^([^/]+/)*conf/[^/]*$|\.(hql|sh|py)$"))
+    return corpus.search_lines(files, "License|TODO:|hivevar")
+
+
 @query(
     "line_window",
     _FILES.rstrip() + "," + _LINES_SQL + "SELECT rel_path, line_no, line, greatest(n - 13, 0) AS more FROM lined WHERE line_no BETWEEN 4 AND 13",
@@ -227,21 +242,30 @@ def line_window(spark, sf_dir):
 @query(
     "bulk_replace",
     _FILES + """
-    SELECT rel_path, md5(CASE WHEN status = 'edited' THEN replace(content, old, 'NEW') ELSE content END) AS digest,
-      CASE WHEN status = 'edited' THEN n ELSE 0 END AS replaced, status
-    FROM (SELECT *, CASE WHEN n = 0 THEN 'not found' WHEN n > 1 AND NOT every THEN 'not unique' ELSE 'edited' END AS status
-      FROM (SELECT *, len(string_split(content, old)) - 1 AS n
-        FROM (SELECT rel_path, content, CASE doc_id % 4 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'no such text' ELSE ' the ' END AS old, doc_id % 4 = 2 AS every FROM files)))
+    , counted AS (SELECT *, len(string_split(content, old)) - 1 AS n
+        FROM (SELECT doc_id, rel_path, content, CASE doc_id % 4 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'no such text' ELSE ' the ' END AS old, doc_id % 4 = 2 AS every FROM files)),
+    judged AS (SELECT *, CASE WHEN n = 0 THEN 'not found' WHEN n > 1 AND NOT every THEN 'not unique' ELSE 'edited' END AS st FROM counted),
+    once AS (SELECT *, CASE WHEN st = 'edited' THEN replace(content, old, 'NEW') ELSE content END AS c, CASE WHEN st = 'edited' THEN n ELSE 0 END AS r FROM judged),
+    twice AS (SELECT *, CASE WHEN every THEN len(string_split(c, 'NEW')) - 1 END AS n2 FROM once)
+    SELECT rel_path, md5(CASE WHEN n2 > 0 THEN replace(c, 'NEW', 'OLD') ELSE c END) AS digest, r + coalesce(n2, 0) AS replaced,
+      CASE WHEN st <> 'edited' THEN st WHEN n2 = 0 THEN 'not found' ELSE 'edited' END AS status FROM twice
+    UNION ALL SELECT 'gone/' || CAST(doc_id AS VARCHAR), NULL, 0, 'file not found' FROM files WHERE doc_id % 10 = 7
     """,
 )
 def bulk_replace(spark, sf_dir):
-    """Exact edits in bulk, with the uniqueness rule."""
+    """Exact edits in bulk, some files twice, some unknown, with the uniqueness rule."""
     all_files = inputs.derived(spark, sf_dir, inputs.FILES)
     pick = F.col("doc_id") % 4
-    edits = all_files.select(
-        "rel_path", F.when(pick == 0, "SELECT").when(pick == 1, "no such text").otherwise(" the ").alias("old"),
+    first = all_files.select(
+        "rel_path", F.lit(1).alias("edit_no"), F.when(pick == 0, "SELECT").when(pick == 1, "no such text").otherwise(" the ").alias("old"),
         F.lit("NEW").alias("new"), (pick == 2).alias("replace_all"),
     )
+    second = all_files.where(pick == 2).select(
+        "rel_path", F.lit(2).alias("edit_no"), F.lit("NEW").alias("old"), F.lit("OLD").alias("new"), F.lit(True).alias("replace_all"))
+    unknown = all_files.where("doc_id % 10 = 7").select(
+        F.concat(F.lit("gone/"), F.col("doc_id").cast("string")).alias("rel_path"), F.lit(1).alias("edit_no"), F.lit("a").alias("old"),
+        F.lit("b").alias("new"), F.lit(False).alias("replace_all"))
+    edits = first.unionByName(second).unionByName(unknown)
     done = corpus.bulk_replace(all_files.select("rel_path", "content"), edits)
     return done.select("rel_path", F.md5(F.encode("content", "UTF-8")).alias("digest"), "replaced", "status")
 
@@ -339,6 +363,25 @@ def sql_selection(spark, sf_dir):
     )
 
 
+@query(
+    "requested_sql",
+    _PLANNED + r"""
+    , asked AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN output_path WHEN 1 THEN regexp_replace(output_path, '\.sql$', '') ELSE concat('gone/', output_path) END AS name FROM planned WHERE ends_with(output_path, '.sql')),
+    named AS (SELECT DISTINCT CASE WHEN ends_with(name, '.sql') THEN name ELSE name || '.sql' END AS output_path FROM asked)
+    SELECT output_path, CASE WHEN output_path IN (SELECT output_path FROM planned) THEN 'ok' ELSE 'not found' END AS status FROM named
+    """,
+)
+def requested_sql(spark, sf_dir):
+    """Requested outputs, with or without their suffix; unknown ones stay as rows."""
+    all_files = inputs.derived(spark, sf_dir, inputs.FILES)
+    planned = corpus.with_output_path(corpus.classify(all_files)).select("doc_id", "output_path")
+    pick = F.col("doc_id") % 3
+    asked = planned.where(F.col("output_path").endswith(".sql")).select(
+        F.when(pick == 0, F.col("output_path")).when(pick == 1, F.regexp_replace("output_path", r"\.sql$", ""))
+        .otherwise(F.concat(F.lit("gone/"), "output_path")).alias("output_path"))
+    return corpus.requested_sql(planned.select("output_path"), asked)
+
+
 # --- mappings -------------------------------------------------------------------------------
 
 
@@ -407,6 +450,20 @@ def path_map_inline(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", mapping.map_path("url", rules).alias("mapped"))
 
 
+@query(
+    "path_map_many",
+    r"""
+    SELECT page_id, CASE url WHEN '/xen' THEN 'gs://english' WHEN '/xfr' THEN 'gs://french' ELSE 'gs://my-bucket' || url END AS mapped
+    FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]*/([a-z]+)/.*$', '/x\1') AS url FROM pages)
+    """,
+)
+def path_map_many(spark, sf_dir):
+    """J2 with 1,200 rules given in the program."""
+    rules = {f"/y{k:04d}": f"gs://other/{k}" for k in range(1200)} | {"/xen": "gs://english", "/xfr": "gs://french"}
+    url = F.regexp_replace("url", "^https?://[^/]*/([a-z]+)/.*$", "/x$1")
+    return read_table(spark, sf_dir, "pages").select("page_id", mapping.map_path(url, rules).alias("mapped"))
+
+
 @query(
     "qualify_refs",
     _FILES + f"SELECT rel_path, md5({_sql(_REFS_SQL, 'content')}) AS digest, coalesce({_NOTES_SQL}, '') AS notes FROM files",
@@ -603,13 +660,15 @@ def scheduler_graph(spark, sf_dir):
       CASE WHEN good THEN regexp_extract(content, '<Command>([^<]*)<', 1) END AS command, CASE WHEN good THEN 90::BIGINT END AS timeout_minutes,
       CASE WHEN good THEN regexp_extract(content, '<RunAsUser>([^<]*)<', 1) END AS run_as_user, array_to_string(deps, ',') AS dependencies,
       CASE WHEN good THEN 2::BIGINT END AS retry_count, CASE WHEN good THEN 15::BIGINT END AS retry_delay_minutes, CASE WHEN good THEN regexp_extract(content, '<Email>([^<]*)<', 1) END AS email,
-      publish AS publish_event, CASE WHEN good THEN 'Event: ' || event_id ELSE 'XML parse warning' END AS note
+      publish AS publish_event, CASE WHEN good THEN 'Event: ' || event_id ELSE 'XML parse warning' END AS note,
+      CASE WHEN good THEN md5(regexp_replace(replace(replace(replace(regexp_extract(content, '<Description>((?s:.*))</Description>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s', '', 'g')) END AS description
     FROM found
     """,
 )
 def dag_extract(spark, sf_dir):
-    """Fields of scheduler files, malformed ones kept with a note."""
-    return scheduler_events(spark, sf_dir).drop("description").withColumn("dependencies", F.array_join("dependencies", ","))
+    """Fields of scheduler files, malformed ones kept with a note; descriptions compared without blanks."""
+    squeezed = F.md5(F.encode(F.regexp_replace("description", r"\s", ""), "UTF-8"))
+    return scheduler_events(spark, sf_dir).withColumn("description", squeezed).withColumn("dependencies", F.array_join("dependencies", ","))
 
 
 @query(

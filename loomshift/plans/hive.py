@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from loomshift.functions import hive
 from loomshift.operators import extract, tables
-from loomshift.operators.ordered import OrderedGroups, first_rows, listed, listed_set, ranked
+from loomshift.operators.ordered import OrderedGroups, first_rows, listed, listed_rows, listed_set, ranked
 from loomshift.plans.registry import query
 from loomshift.session import read_table
 from loomshift.sources import sinks
@@ -16,9 +16,9 @@ from loomshift.sources import sinks
 # --- scalar functions -------------------------------------------------------------
 
 
-@query("fn_current")
+@query("fn_current", "SELECT o_orderkey, TRUE AS has_now, TRUE AS recent FROM orders")
 def fn_current(spark, sf_dir):
-    """current time, checked for type and presence only."""
+    """current time, checked for type and presence."""
     rows = read_table(spark, sf_dir, "orders").select("o_orderkey")
     now, epoch = hive.now_timestamp(), hive.now_epoch()
     return rows.select("o_orderkey", now.isNotNull().alias("has_now"), (epoch > 1_700_000_000).alias("recent"))
@@ -149,13 +149,15 @@ def fn_arrays(spark, sf_dir):
     "fn_json",
     """
     SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing,
-           '{"k":' || json_extract_string(props, '$.k') || '}' AS lenient_object, NULL::VARCHAR AS strict_object
+           '{"k":' || json_extract_string(props, '$.k') || '}' AS lenient_object, NULL::VARCHAR AS strict_object,
+           '[' || json_extract_string(props, '$.k') || '] noted' AS strict_text
     FROM events
     """,
 )
 def fn_json(spark, sf_dir):
-    """a path to an object gives its text (lenient) or NULL (strict)."""
+    """a path to an object gives its text (lenient) or NULL (strict); a text that begins like a list stays."""
     e = read_table(spark, sf_dir, "events")
+    noted = F.concat(F.lit('{"t": "['), F.get_json_object("props", "$.k"), F.lit('] noted"}'))
     nested = F.concat(F.lit('{"o":'), F.replace("props", F.lit(" "), F.lit("")), F.lit("}"))
     return e.select(
         "event_id",
@@ -163,6 +165,7 @@ def fn_json(spark, sf_dir):
         hive.json_value("props", "$.missing").alias("missing"),
         hive.json_value(nested, "$.o").alias("lenient_object"),
         hive.json_value(nested, "$.o", strict=True).alias("strict_object"),
+        hive.json_value(noted, "$.t", strict=True).alias("strict_text"),
     )
 
 
@@ -273,6 +276,26 @@ def type_map_arrays(spark, sf_dir):
     )
 
 
+_TYPES = """
+CASE o_orderkey % 8 WHEN 0 THEN concat('decimal(', CAST(o_custkey % 38 + 1 AS {text}), ',2)') WHEN 1 THEN 'Decimal' WHEN 2 THEN 'array<array<int>>'
+  WHEN 3 THEN 'MAP<STRING,ARRAY<INT>>' WHEN 4 THEN 'ARRAY<map<string,int>>' WHEN 5 THEN 'STRUCT<a:INT,b:ARRAY<INT>>' WHEN 6 THEN 'varchar(20)' ELSE ' smallint ' END
+"""
+
+
+@query(
+    "type_names",
+    """
+    SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN CASE WHEN o_custkey % 38 + 1 <= 29 THEN 'NUMERIC' ELSE 'BIGNUMERIC' END WHEN 1 THEN 'NUMERIC'
+      WHEN 2 THEN 'ARRAY<ARRAY<INT64>>' WHEN 3 THEN 'JSON' WHEN 4 THEN 'ARRAY<JSON>' WHEN 5 THEN 'STRUCT<a:INT,b:ARRAY<INT>>' WHEN 6 THEN 'STRING' ELSE 'INT64' END AS target
+    FROM orders
+    """,
+)
+def type_names(spark, sf_dir):
+    """target type names for Hive type texts."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TYPES.replace("{text}", "STRING")).alias("hive_type"))
+    return o.select("o_orderkey", hive.target_type("hive_type").alias("target"))
+
+
 # --- filters and parameters --------------------------------------------------------------
 
 FILTER_FILE = """
@@ -350,6 +373,22 @@ def param_predicate(spark, sf_dir):
     )
 
 
+# Items of a list in one row of a result; `listed_rows` has a row per item instead.
+LIST_ITEMS = 10_000
+
+
+@query(
+    "list_positions",
+    """
+    SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position, o_orderkey AS value FROM orders
+    """,
+)
+def list_positions(spark, sf_dir):
+    """A6 in the long form: a row per item, whatever the length of the lists."""
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return listed_rows(o, ["o_custkey"], "o_orderkey", ["o_orderdate", "o_orderkey"])
+
+
 # --- aggregates ----------------------------------------------------------------------------
 
 
@@ -359,18 +398,19 @@ def param_predicate(spark, sf_dir):
     SELECT o_custkey, part, 'orders' AS kind, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS items
     FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 10000 AS part FROM orders) GROUP BY o_custkey, part
     UNION ALL
-    SELECT o_custkey, 0, 'priorities', count(*), string_agg(p, ',' ORDER BY p)
-    FROM (SELECT DISTINCT o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS p FROM orders) WHERE p IS NOT NULL GROUP BY o_custkey
+    SELECT o_custkey, part, 'priorities', count(*), string_agg(p, ',' ORDER BY p)
+    FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY p) - 1) // 10000 AS part
+      FROM (SELECT DISTINCT o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS p FROM orders) WHERE p IS NOT NULL) GROUP BY o_custkey, part
     """,
 )
 def collect_arrays(spark, sf_dir):
-    """Lists and sets without NULLs; a list over the limit goes on in further parts."""
+    """Lists and sets without NULLs, at most 10,000 items to a row."""
     o = read_table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_orderdate",
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("p"),
     )
-    lists = listed(o.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderkey", ["o_orderdate", "o_orderkey"])
-    sets = listed_set(o, ["o_custkey"], "p")
+    lists = listed(o.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderkey", ["o_orderdate", "o_orderkey"], LIST_ITEMS)
+    sets = listed_set(o, ["o_custkey"], "p", LIST_ITEMS)
 
     def shown(df, kind, items):
         return df.select("o_custkey", "part", F.lit(kind).alias("kind"), "n", F.array_join(items, ",").alias("items"))
@@ -381,14 +421,15 @@ def collect_arrays(spark, sf_dir):
 @query(
     "string_agg",
     """
-    SELECT l_suppkey, 0::BIGINT AS part, string_agg(DISTINCT m, '|' ORDER BY m) AS months
-    FROM (SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS m FROM lineitem) GROUP BY l_suppkey
+    SELECT l_suppkey, part, string_agg(m, '|' ORDER BY m) AS months
+    FROM (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY m) - 1) // 10000 AS part
+      FROM (SELECT DISTINCT l_suppkey, strftime(l_shipdate, '%Y-%m') AS m FROM lineitem)) GROUP BY l_suppkey, part
     """,
 )
 def string_agg(spark, sf_dir):
-    """Concatenated distinct values in order."""
+    """Concatenated distinct values in order, at most 10,000 to a row."""
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("m"))
-    return listed_set(li, ["l_suppkey"], "m").select("l_suppkey", "part", F.array_join("items", "|").alias("months"))
+    return listed_set(li, ["l_suppkey"], "m", LIST_ITEMS).select("l_suppkey", "part", F.array_join("items", "|").alias("months"))
 
 
 @query(

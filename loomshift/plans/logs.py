@@ -23,7 +23,8 @@ SELECT doc_id, source AS run_id, shape, CASE shape
 FROM (SELECT *, CAST(floor(doc_id / 20) AS BIGINT) AS g,
        CASE WHEN source IN ('src3', 'src7') THEN 9 ELSE CAST(floor(doc_id / 20) AS BIGINT) % 7 END AS shape FROM documents) d
 """
-SPAN = 1_000_000
+# more lines than a text can have
+SPAN = 2**31
 
 
 def test_log(spark, sf_dir):
@@ -41,7 +42,7 @@ def test_log(spark, sf_dir):
 _LOG = with_ctes(opened=OPENINGS).rstrip() + r""",
 bodies AS (SELECT doc_id, run_id, shape, opening, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS ls
   FROM (SELECT *, string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]') AS parts FROM opened)),
-log AS MATERIALIZED (SELECT run_id, doc_id * 1000000 + pos AS line_no, CASE WHEN shape = 0 AND pos > 0 AND (pos - 1) % 5 = 2 THEN 'E   ' || line ELSE line END AS line
+log AS MATERIALIZED (SELECT run_id, doc_id * 2147483648 + pos AS line_no, CASE WHEN shape = 0 AND pos > 0 AND (pos - 1) % 5 = 2 THEN 'E   ' || line ELSE line END AS line
   FROM (SELECT run_id, doc_id, shape, unnest([opening] || ls) AS line, unnest(range(0, len(ls) + 1)) AS pos FROM bodies)),
 marks AS (SELECT run_id, line_no AS block, regexp_extract(line, '_+\s*ERROR collecting (\S+\.py)\s*_+', 1) AS file FROM log
   WHERE starts_with(line, '===') OR regexp_matches(line, '_+\s*ERROR collecting (\S+\.py)\s*_+')),

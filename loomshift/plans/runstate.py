@@ -11,13 +11,13 @@ from loomshift.plans import inputs
 from loomshift.plans.corpus import REVIEWED, REWRITTEN, CLASSIFIED, PLANNED
 from loomshift.plans.inputs import DATASET_MAP, PATH_MAP, with_ctes
 from loomshift.plans.registry import query
-from loomshift.session import read_table, scratch
+from loomshift.session import read_table, scratch, stored
 from loomshift.sources import readers, sinks
 
 _STATE = with_ctes(state=inputs.STATE, validations=inputs.VALIDATIONS)
 _VALIDATED = _STATE.rstrip() + """, validated AS (
   SELECT s.*, v.success AS passed, v.error AS verror FROM state s LEFT JOIN
-    (SELECT output_path, bool_and(success) AS success, min(error) AS error FROM validations GROUP BY output_path) v USING (output_path))
+    (SELECT output_path, bool_and(success) AS success, min(substr(error, length('400 POST https://host/x: Error: ') + 1)) AS error FROM validations GROUP BY output_path) v USING (output_path))
 """
 
 
@@ -101,7 +101,7 @@ def clean_errors(spark, sf_dir):
 @query(
     "validation_error_log",
     _STATE + """
-    SELECT 'FILE: ' || output_path || chr(10) || repeat('-', 64) || chr(10) || error || chr(10) AS block FROM validations WHERE NOT success
+    SELECT 'FILE: ' || output_path || chr(10) || repeat('-', 64) || chr(10) || substr(error, length('400 POST https://host/x: Error: ') + 1) || chr(10) AS block FROM validations WHERE NOT success
     """,
 )
 def validation_error_log(spark, sf_dir):
@@ -152,10 +152,13 @@ def report_listing(spark, sf_dir):
 
 @query(
     "flagged_files",
-    _STATE + "SELECT status, rel_path, note FROM state WHERE status IN ('error', 'review') ORDER BY rel_path LIMIT 60",
+    _STATE + """
+    (SELECT status, rel_path, note FROM state WHERE status IN ('error', 'review') ORDER BY rel_path LIMIT 60)
+    UNION ALL SELECT 'more', NULL, '... [' || CAST(count(*) - 60 AS VARCHAR) || ' more flagged files]' FROM state WHERE status IN ('error', 'review') HAVING count(*) > 60
+    """,
 )
 def flagged_files(spark, sf_dir):
-    """O2: the first 60 flagged files."""
+    """O2: the first 60 flagged files, and how many more there are."""
     return runstate.first_flagged(inputs.state(spark, sf_dir))
 
 
@@ -238,32 +241,35 @@ def run_state(spark, sf_dir):
 
 @query(
     "migration_end_to_end",
-    _RUN + """
-    SELECT file_type, count(*) AS files, count(*) FILTER (NOT needs_review) AS converted, count(*) FILTER (needs_review) AS review,
-      count(*) FILTER (ends_with(output_path, '.sql') AND NOT contains(converted, '${')) AS passed,
-      count(*) FILTER (ends_with(output_path, '.sql') AND contains(converted, '${')) AS failed,
-      CAST(sum(length(converted)) AS BIGINT) AS chars FROM reviewed GROUP BY file_type
+    _RUN.rstrip() + r""",
+    new AS (SELECT rel_path, file_type, output_path, CASE WHEN needs_review THEN 'review' ELSE 'converted' END AS status, length(converted) AS chars, contains(converted, '${') AS open FROM reviewed),
+    old AS (SELECT rel_path, file_type, output_path, 'error' AS status, chars, open FROM new WHERE file_type = 'hdl'
+      UNION ALL SELECT 'gone/' || rel_path, file_type, 'gone/' || output_path, 'error', 0, FALSE FROM new WHERE file_type = 'config'),
+    state AS (SELECT * FROM old WHERE rel_path NOT IN (SELECT rel_path FROM new) UNION ALL SELECT * FROM new),
+    outcome AS (SELECT output_path, bool_and(NOT open) AS passed FROM state WHERE ends_with(output_path, '.sql') AND NOT regexp_matches(output_path, '(^|/)dags(/|$)') GROUP BY output_path)
+    SELECT file_type, count(*) AS files, count(*) FILTER (status IN ('converted', 'review')) AS files_converted,
+      count(*) FILTER (status = 'converted' AND passed) AS dry_run_passed, count(*) FILTER (status = 'converted' AND NOT passed) AS dry_run_failed,
+      count(*) FILTER (status = 'review') AS needs_review, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'skipped') AS skipped,
+      CAST(sum(chars) AS BIGINT) AS chars FROM state LEFT JOIN outcome USING (output_path) GROUP BY file_type
     """,
 )
 def migration_end_to_end(spark, sf_dir):
-    """Scan to report.  An SQL file passes validation here when no ${variable} is left in it."""
-    state = run_state(spark, sf_dir)
-    clean = ~F.col("converted").contains("${")
-    error = F.when(~clean, F.lit("unresolved variable"))
-    is_sql = F.col("output_path").endswith(".sql")
-    # the outcome is a function of the row itself, so no join is needed
-    done = state.withColumns(
-        {"validation_passed": F.when(is_sql, clean), "validation_error": F.when(is_sql, error)}
-    )
-    passed = F.col("validation_passed")
-    return done.groupBy("file_type").agg(
-        F.count("*").alias("files"),
-        F.count_if(F.col("status") == "converted").alias("converted"),
-        F.count_if(F.col("status") == "review").alias("review"),
-        F.count_if(passed).alias("passed"),
-        F.count_if(~passed).alias("failed"),
-        F.sum(F.length("converted")).cast("bigint").alias("chars"),
-    )
+    """Scan, convert, merge with the state of an earlier run, select the SQL, validate, report by file type.
+
+    The validator here passes an SQL file without a ${variable}; its outcomes come back by output path.
+    """
+    converted = run_state(spark, sf_dir).withColumns({"chars": F.length("converted"), "open": F.col("converted").contains("${")})
+    # texts are rewritten once; every later stage reads the narrow state
+    new = stored(converted.drop("converted", "notes"), "run-state")
+    failed = new.where("file_type = 'hdl'").withColumn("status", F.lit("error"))
+    gone = new.where("file_type = 'config'").withColumns({
+        "rel_path": F.concat(F.lit("gone/"), "rel_path"), "output_path": F.concat(F.lit("gone/"), "output_path"),
+        "status": F.lit("error"), "chars": F.lit(0), "open": F.lit(False)})
+    state = runstate.merge_state(failed.unionByName(gone), new)
+    validations = corpus.sql_outputs(state).select(
+        "output_path", (~F.col("open")).alias("success"),
+        F.when(F.col("open"), "400 POST https://host/x: Error: unresolved variable").alias("error"))
+    return stages.report(stages.validate(state, validations), ["file_type"], [F.count("*").alias("files"), F.sum("chars").cast("bigint").alias("chars")])
 
 
 @query(
@@ -302,7 +308,7 @@ def insert_overwrite_partition(spark, sf_dir):
     sinks.append_rows(o, name)
     fresh = o.where("o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'").withColumn("version", F.lit("new"))
     sinks.overwrite_partitions(fresh, name)
-    return spark.table(name).groupBy("o_orderpriority", "version").agg(
+    return sinks.detached(spark, name).groupBy("o_orderpriority", "version").agg(
         F.count("*").alias("n"), F.min("o_orderkey").alias("first_key")
     )
 
@@ -326,7 +332,7 @@ def audit_append(spark, sf_dir):
     sinks.provision(spark, name, first.schema, scratch(spark, name))
     sinks.append_rows(first, name)
     sinks.append_rows(counted("lineitem", "l_returnflag", "lineitem"), name)
-    return spark.table(name)
+    return sinks.detached(spark, name)
 
 
 @query(
@@ -339,7 +345,7 @@ def provision_and_load(spark, sf_dir):
     name = _table_name("customer")
     sinks.provision(spark, name, c.schema, scratch(spark, name), ["c_mktsegment"], comment="customers, with mapped types")
     sinks.append_rows(sinks.coerce(c, spark.table(name).schema), name)
-    return spark.table(name)
+    return sinks.detached(spark, name)
 
 
 @query(

@@ -5,11 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from loomshift.plans import catalogue
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalogue.QUERIES
+ORACLES = catalogue.ORACLES
 
 # work within a row: no shuffle at all
 NARROW = [
@@ -17,7 +18,7 @@ NARROW = [
     "header_stamp", "ddl_detect", "path_map_inline", "qualify_refs", "rewrite_paths", "rename_dbs", "ddl_targets",
     "residual_vars", "filter_extract", "filter_notes", "sql_params", "dag_extract", "function_usage", "config_rename",
     "py_syntax_check", "fn_epoch", "fn_dates", "fn_arrays", "fn_json", "fn_casts", "insert_coercion", "type_map",
-    "type_map_arrays", "injected_filters", "ingest_filter", "param_predicate", "union_by_name",
+    "type_map_arrays", "type_names", "path_map_many", "injected_filters", "ingest_filter", "param_predicate", "union_by_name",
 ]
 # columns read and filters pushed down
 SCANS = {
@@ -60,11 +61,12 @@ def test_scan(spark, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"fn_current"}
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["file_type", "files", "converted", "review", "passed", "failed", "chars"]
+    assert df.columns == [
+        "file_type", "files", "chars", "files_converted", "dry_run_passed", "dry_run_failed", "needs_review", "errors", "skipped"]

@@ -200,7 +200,7 @@ def test_bulk_edits(spark):
     edits = readers.literal_rows(
         spark, [("a", "x", "z", False), ("b", "x", "z", True), ("c", "x", "z", True), ("d", "one", "two", False)],
         "rel_path string, old string, new string, replace_all boolean",
-    )
+    ).withColumn("edit_no", F.lit(1))
     got = {r.rel_path: (r.content, r.replaced, r.status) for r in corpus.bulk_replace(f, edits).collect()}
     assert got == {
         "a": ("x y x", 0, "not unique"), "b": ("z y z", 2, "edited"), "c": ("q", 0, "not found"), "d": ("two", 1, "edited"),
@@ -253,9 +253,20 @@ def test_rewrites_by_table_agree_with_inline(spark):
         assert sorted(map(tuple, by_table.select("rel_path", "content").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_too_many_inline_rules():
-    with pytest.raises(ValueError):
-        mapping.map_path("p", {f"/p{i}": "t" for i in range(mapping.MAX_INLINE_RULES + 1)})
+def test_many_rules(spark):
+    rules = {f"/p{k:04d}": f"t{k}" for k in range(2000)}
+    assert one(spark, mapping.map_path("p", rules), p="/p1234/x") == "t1234/x"
+    names = {f"db{k}": f"ds{k}" for k in range(2000)}
+    assert one(spark, mapping.qualify_refs("p", names), p="${db1999}.t ${none}.t") == "`my-project.ds1999.t` ${none}.t"
+    assert one(spark, mapping.rename_quoted("p", names), p="'db7' 'db70'") == "'ds7' 'ds70'"
+    assert one(spark, mapping.rewrite_bare_paths("p", rules), p="cp /p0007/a b") == "cp t7/a b"
+
+
+def test_a_path_may_occur_twice(spark):
+    f = spark.createDataFrame([("a", "${x}.t ${x}.u"), ("a", "${x}.t")], "rel_path string, content string")
+    datasets = spark.createDataFrame([("x", "y")], "hive_name string, dataset string")
+    got = sorted(r.content for r in mapping.qualify_refs_by_table(f, datasets, "p").collect())
+    assert got == ["`p.y.t`", "`p.y.t` `p.y.u`"]
 
 
 def test_prefix_join_agrees_with_inline(spark):
@@ -466,3 +477,75 @@ def test_partitioned_writes_are_balanced(spark, tmp_path):
     files_written = list((tmp_path / "t").glob("p=*/*.parquet"))
     assert len(files_written) == 3
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3000
+
+
+def test_edits_in_order(spark):
+    f = spark.createDataFrame([("a", "x y x"), ("b", "z")], "rel_path string, content string")
+    edits = spark.createDataFrame(
+        [("a", 2, "q", "r", False), ("a", 1, "x", "q", True), ("a", 3, "r", "", True), ("b", 1, "", "k", True), ("c", 1, "a", "b", False)],
+        "rel_path string, edit_no int, old string, new string, replace_all boolean")
+    got = {r.rel_path: (r.content, r.replaced, list(r.statuses), r.status) for r in corpus.bulk_replace(f, edits).collect()}
+    assert got == {
+        "a": ("q y q", 2, ["edited", "not unique", "not found"], "not unique"),
+        "b": ("z", 0, ["empty search text"], "empty search text"),
+        "c": (None, 0, ["file not found"], "file not found"),
+    }
+
+
+def test_requested_paths_are_resolved(spark):
+    files = spark.createDataFrame([("x.hql", "hql"), ("app/y.md", "skip")], "rel_path string, file_type string")
+    asked = ["app/../x.hql", "./x.hql", "../x.hql", "/x.hql", "app/y.md", "app/../../x.hql", "gone"]
+    got = {r.rel_path: r.status for r in corpus.work_list(files, spark.createDataFrame([(a,) for a in asked], "rel_path string")).collect()}
+    assert got == {"app/../x.hql": "ok", "./x.hql": "ok", "../x.hql": "outside the repository", "/x.hql": "outside the repository",
+                   "app/y.md": "not a target", "app/../../x.hql": "outside the repository", "gone": "not found"}
+
+
+def test_strict_json_tells_texts_from_lists(spark):
+    text = '{"k": "[note] hi", "l": [1], "o": {"a": 1}, "n": 5, "b": "{x"}'
+    got = {p: one(spark, hive.json_value("p", f"$.{p}", strict=True), p=text) for p in "klonb"}
+    assert got == {"k": "[note] hi", "l": None, "o": None, "n": "5", "b": "{x"}
+
+
+def test_nested_events(spark):
+    xml = "<Events><Event><EventId>E1</EventId><Dependency>D</Dependency><Dependency>F</Dependency><Description>d</Description></Event></Events>"
+    deep = "<a><b><EventId>E2</EventId></b></a>"
+    f = spark.createDataFrame([("x/a.xml", xml), ("x/b.xml", deep), ("x/c.xml", "<Event><EventId></EventId></Event>")], "rel_path string, content string")
+    got = {r.rel_path: (r.event_id, list(r.dependencies), r.description, r.note) for r in extract.events(f).collect()}
+    assert got == {"x/a.xml": ("E1", ["D", "F"], "d", "Event: E1"), "x/b.xml": ("E2", [], None, "Event: E2"), "x/c.xml": ("c", [], None, "Event: c")}
+    assert {r[0] for r in f.select(extract.event_note()).collect()} == {"Event: E1", "Event: E2", "Event: c"}
+
+
+def test_answers_by_id(spark):
+    rows = [(0, "permission_request", "a", None), (1, "permission_request", "b", None), (5, "permission_resolved", "b", "once")]
+    log = spark.createDataFrame([("s", n, kind, i, d) for n, kind, i, d in rows], "session_id string, event_id long, kind string, id string, decision string")
+    log = log.withColumn("ts", F.timestamp_seconds("event_id"))
+    by_id = agentlog.permission_outcomes(log, keys=["session_id", "id"]).collect()
+    assert {r.event_id: r.decision for r in by_id} == {0: "deny", 1: "once"}
+    assert {r.decision for r in agentlog.permission_outcomes(log).collect()} == {"once"}
+
+
+def test_caps_above_the_group_limit(spark):
+    steps = spark.range(2500).select(F.lit("s").alias("session_id"), "id", F.col("id").alias("step_ts"), F.col("id").alias("event_id"))
+    got = agentlog.capped_steps(steps, max_steps=2000)
+    assert got.count() == 2000 and got.agg(F.max("step")).first()[0] == 2000 and got.first()["capped"]
+
+
+def test_blank_lines_are_told_by_the_whole_line(spark):
+    lines = ["__ ERROR collecting tests/a.py __", " " * 600 + "ImportError", "  "]
+    log = spark.createDataFrame([("r", k, x) for k, x in enumerate(lines)], "run_id string, line_no long, line string")
+    assert testlog.blocks(log).first()["excerpt"] == " " * 500
+
+
+def test_markers_of_cut_answers(spark):
+    f = spark.createDataFrame([("a", "x\nx\nx")], "rel_path string, content string")
+    assert [r.hit for r in corpus.grep(f, "x", limit=2).collect()] == ["x", "x", "... [result limit reached — narrow the search]"]
+    assert corpus.grep(f, "x", limit=4).count() == 3
+    state = spark.createDataFrame([(f"f{k}", "error", ["n"]) for k in range(4)], "rel_path string, status string, notes array<string>")
+    assert [(r.status, r.note) for r in runstate.first_flagged(state, 3).collect()][-1] == ("more", "... [1 more flagged files]")
+
+
+def test_errors_are_stored_clean(spark):
+    state = spark.createDataFrame([("o", None, None)], "output_path string, validation_passed boolean, validation_error string")
+    outcome = spark.createDataFrame([("o", False, "400 POST https://h: Error: bad: name")], "output_path string, success boolean, error string")
+    assert runstate.attach_validation(state, outcome).first()["validation_error"] == "bad: name"
+    assert "bad: name" in runstate.error_log(outcome).first()["value"] and "POST" not in runstate.error_log(outcome).first()["value"]
