@@ -32,6 +32,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[str]:
+    """Quoted names of the columns, without those that an operator adds."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in but]
+
+
+def ddl(df: DataFrame, *more: str) -> str:
+    """Schema of a table with more columns behind its own."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
 class Scratch:
     """Stored tables of one operator run below the shared checkpoint folder.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomshift.llm import arrays
-from loomshift.llm.common import Scratch
+from loomshift.llm.common import Scratch, columns, ddl, fresh
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -253,7 +253,7 @@ def predictor(shared, sharpness: float):
         model = shared.value
         for batch in batches:
             best, scores, bits = [], [], []
-            for row, to, data, offsets in arrays.pieces(batch.column(batch.schema.names.index("_text")), 1 << 19):
+            for row, to, data, offsets in arrays.pieces(batch.column(batch.num_columns - 1), 1 << 19):  # the text is last
                 codes, doc = letters(data, offsets)
                 n = to - row
                 ends, logs = model.log_probs(codes, doc)
@@ -268,10 +268,9 @@ def predictor(shared, sharpness: float):
                 best += [model.langs[k] if ok else "und" for k, ok in zip(at, some, strict=True)]
                 scores += np.where(some, 1.0 / share.sum(axis=1), 0.0).tolist()
                 bits += [b if ok else None for b, ok in zip(low.tolist(), some, strict=True)]
-            kept = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())],
-                names=[*kept.schema.names, "lang_pred", "score", "bits"])
+                [*batch.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())],
+                names=[*batch.schema.names[:-1], "lang_pred", "score", "bits"])
 
     return predict
 
@@ -281,16 +280,19 @@ def score(docs: DataFrame, training: Column, keep: list[str], text_col: str = "t
     """The columns `keep` of `docs` with lang_pred, score, bits (per letter) and rejected.
     The model learns from rows where `training` holds."""
     spark = docs.sparkSession
+    own = docs.select(*keep)
+    own_columns = columns(own, ("lang_pred", "score", "bits", "rejected"))
+    train, text, lang, limit = (fresh(own, x) for x in ("_training", "_text", "_lang", "_limit"))
     model = fit(docs.filter(F.coalesce(training, F.lit(False))), text_col, lang_col, order, max_grams)
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
+        return own.select(*own_columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("bits"), F.lit(False).alias("rejected"))
-    rows = docs.select(*keep, F.coalesce(training & F.col(lang_col).isNotNull(), F.lit(False)).alias("_training"), F.col(text_col).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"])
+    learnt = F.coalesce(training & F.col(lang_col).isNotNull(), F.lit(False)).alias(train)
+    rows = docs.select(*keep, learnt, F.col(text_col).alias(text)).select(*own_columns, train, text)
     scored = Scratch(spark, "langid").store(rows.mapInArrow(
-        predictor(spark.sparkContext.broadcast(model), sharpness), f"{schema}, lang_pred string, score double, bits double"))
+        predictor(spark.sparkContext.broadcast(model), sharpness), ddl(rows.drop(text), "lang_pred string", "score double", "bits double")))
     # the highest entropy that training texts of the language reach, but for a small part of them
-    limits = (scored.filter(F.col("_training") & F.col("bits").isNotNull()).groupBy(F.col("lang_pred").alias("_lang"))
-              .agg(F.percentile_approx("bits", 1 - rejected_part, 10_000).alias("_limit")))
-    return (scored.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"), "left")  # a row per language of the model
-            .select(*keep, "lang_pred", "score", "bits", F.coalesce(F.col("bits") > F.col("_limit"), F.lit(False)).alias("rejected")))
+    limits = (scored.filter(F.col(train) & F.col("bits").isNotNull()).groupBy(F.col("lang_pred").alias(lang))
+              .agg(F.percentile_approx("bits", 1 - rejected_part, 10_000).alias(limit)))
+    return (scored.join(F.broadcast(limits), F.col("lang_pred") == F.col(lang), "left")  # a row per language of the model
+            .select(*own_columns, "lang_pred", "score", "bits", F.coalesce(F.col("bits") > F.col(limit), F.lit(False)).alias("rejected")))

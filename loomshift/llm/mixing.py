@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomshift.llm.common import Scratch, ranked, word_count
+from loomshift.llm.common import Scratch, columns, fresh, ranked, word_count
 
 NEW = ("size", "source_size", "target", "repeats", "taken")
 
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     """`docs` with size, source_size, target, repeats (whole copies the mix takes) and taken (their words)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    docs = docs.drop(*[c for c in NEW if c not in (id_col, text_col, source_col)])
+    docs = docs.select(*columns(docs, NEW))
+    key_name, of, info = fresh(docs, "_key"), fresh(docs, "_of"), fresh(docs, "_cut")
     key: Column = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     narrow = scratch.store(docs.select(
         F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))
@@ -80,12 +81,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
             .groupBy("source").agg(F.max(F.struct("key", "size")).alias("cut")))
     cuts = (sizes.join(bins.select("of", "bin"), same, "left").drop("of")
             .join(last.select(F.col("source").alias("of"), "cut"), same, "left")
-            .select(F.col("source").alias("_of"), "source_size", "target", "whole",
-                    F.coalesce("cut", F.struct(F.coalesce("bin", F.lit("")).alias("key"), F.lit(-1).cast("long").alias("size"))).alias("cut")))
+            .select(F.col("source").alias(of), F.struct(
+                "source_size", "target", "whole",
+                F.coalesce("cut", F.struct(F.coalesce("bin", F.lit("")).alias("key"), F.lit(-1).cast("long").alias("size"))).alias("cut")).alias(info)))
     cuts = scratch.store(cuts)
     scratch.drop(narrow, bins)
-    out = docs.withColumn("size", word_count(F.col(text_col))).withColumn("_key", key)
-    out = out.join(cuts, F.col(source_col).eqNullSafe(F.col("_of")), "left")
-    repeats = F.col("whole") + F.when(F.struct(F.col("_key").alias("key"), F.col("size")) <= F.col("cut"), 1).otherwise(0)
-    return (out.withColumn("repeats", repeats).withColumn("taken", F.col("repeats") * F.col("size"))
-            .drop("_key", "_of", "cut", "whole"))
+    out = docs.withColumn("size", word_count(F.col(text_col))).withColumn(key_name, key)
+    out = out.join(cuts, F.col(source_col).eqNullSafe(F.col(of)), "left")
+    once_more = F.struct(F.col(key_name).alias("key"), F.col("size")) <= F.col(f"{info}.cut")
+    repeats = F.col(f"{info}.whole") + F.when(once_more, 1).otherwise(0)
+    return out.select(*columns(docs), "size", f"{info}.source_size", f"{info}.target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomshift.llm.common import Scratch
+from loomshift.llm.common import Scratch, columns, fresh
 
 # fixed values: kinds in their order, with patterns that find what the stated ones find. A match begins where the last
 # one ended (\G) or where its first run of characters begins, and runs are possessive, so texts are read once.
@@ -180,15 +180,17 @@ def spans_by_key(docs: DataFrame, id_col: str, text_col: str, threshold: float,
 def detect(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
     """The columns `keep` with base (spans of the four kinds) and spans (these and the disclosing terms, kind 4)."""
     none = F.array().cast(SPANS)
-    keep = [c for c in keep if c not in ("base", "spans")]
-    found = spans_by_key(docs, id_col, text_col, threshold, support)
-    return docs.select(*keep, text_key(id_col, text_col).alias("_key")).join(found, "_key", "left").select(
-        *keep, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    rows = docs.select(*keep)
+    key, info = fresh(rows, "_key"), fresh(rows, "_found")
+    found = spans_by_key(docs, id_col, text_col, threshold, support).select(F.col("_key").alias(key), F.struct("base", "spans").alias(info))
+    return docs.select(*keep, text_key(id_col, text_col).alias(key)).join(found, key, "left").select(
+        *columns(rows, ("base", "spans")), F.coalesce(f"{info}.base", none).alias("base"), F.coalesce(f"{info}.spans", none).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
     """The documents with entities and disclosing terms replaced; their other columns stay."""
-    found = spans_by_key(docs, id_col, text_col, threshold, support).select("_key", F.col("spans").alias("_spans"))
-    marked = docs.withColumn("_key", text_key(id_col, text_col)).join(found, "_key", "left")
-    text = F.when(F.col("_spans").isNotNull(), replaced(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    return marked.withColumn(text_col, text).select(*docs.columns)
+    key, info = fresh(docs, "_key"), fresh(docs, "_found")
+    found = spans_by_key(docs, id_col, text_col, threshold, support).select(F.col("_key").alias(key), F.col("spans").alias(info))
+    marked = docs.withColumn(key, text_key(id_col, text_col)).join(found, key, "left")
+    text = F.when(F.col(info).isNotNull(), replaced(F.col(text_col), F.col(info))).otherwise(F.col(text_col))
+    return marked.withColumn(text_col, text).select(*columns(docs))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomshift.llm import arrays
+from loomshift.llm.common import columns, ddl, fresh
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -155,26 +156,25 @@ def scorer(shared):
         model = shared.value
         for batch in batches:
             scores = []
-            for row, to, data, offsets in arrays.pieces(batch.column(batch.schema.names.index("_text")), 1 << 18):
+            for row, to, data, offsets in arrays.pieces(batch.column(batch.num_columns - 1), 1 << 18):  # the text is last
                 for at in range(row, to, ROWS):
                     weights = terms(data, offsets[at - row : min(to, at + ROWS) - row + 1])
                     scores.append(model.score(weights))
-            kept = batch.drop_columns(["_text"])
             score = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*kept.columns, score], names=[*kept.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of `docs` with the score, from 0 to 1: the share of label 1 among the neighbours."""
-    keep = [c for c in keep if c != "score"]
+    own = docs.select(*keep)
+    own_columns, text = columns(own, ("score",)), fresh(own, "_text")
     if model is None:
-        return docs.select(*keep, F.lit(0.5).alias("score"))
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"])
+        return own.select(*own_columns, F.lit(0.5).alias("score"))
+    rows = docs.select(*keep, F.col(text_col).alias(text)).select(*own_columns, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(scorer(shared), f"{schema}, score double")
+    return rows.mapInArrow(scorer(shared), ddl(rows.drop(text), "score double"))
 
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:

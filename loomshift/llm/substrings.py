@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomshift.llm import arrays
-from loomshift.llm.common import Scratch
+from loomshift.llm.common import Scratch, columns, ddl, fresh
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -252,10 +252,10 @@ def intervals_of(size: int):
 
 
 def kept_of():
-    """Rows (..., _text, _gone) to n_words, n_removed and the kept words."""
+    """Rows (..., text, gone) to n_words, n_removed and the kept words."""
     def run(batches):
         for batch in batches:
-            texts, gone = batch.column(batch.schema.names.index("_text")), batch.column(batch.schema.names.index("_gone"))
+            texts, gone = batch.columns[-2:]
             n_words, n_removed, kept = [], [], []
             for text, cut in zip(texts, gone, strict=True):
                 words = (text.as_py() or "").encode().split()
@@ -268,10 +268,9 @@ def kept_of():
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
-            rest = batch.drop_columns(["_text", "_gone"])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=[*rest.schema.names, "n_words", "n_removed", "kept"])
+                [*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
 
     return run
 
@@ -304,8 +303,10 @@ def removed(docs: DataFrame, size: int = 13, gram: int = 5, id_col: str = "doc_i
 
 def deduplicate(docs: DataFrame, keep: list[str], size: int = 13, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns `keep` with n_words, n_removed and kept, the words that stay."""
-    gone = removed(docs, size, gram, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("gone").alias("_gone"))
-    rows = docs.select(*keep, F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    joined = rows.join(gone, (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_sig")), "left").select(*keep, "_text", "_gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_gone"))
-    return joined.mapInArrow(kept_of(), f"{schema}, n_words long, n_removed long, kept string")
+    own = docs.select(*keep)
+    own_columns = columns(own, ("n_words", "n_removed", "kept"))
+    doc, text, same, sig, cut = (fresh(own, x) for x in ("_doc", "_text", "_same", "_sig", "_gone"))
+    gone = removed(docs, size, gram, id_col, text_col).select(F.col("doc_id").alias(same), F.col("sig").alias(sig), F.col("gone").alias(cut))
+    rows = docs.select(*keep, F.col(id_col).cast("long").alias(doc), F.col(text_col).alias(text))
+    joined = rows.join(gone, (F.col(doc) == F.col(same)) & (F.xxhash64(text) == F.col(sig)), "left").select(*own_columns, text, cut)
+    return joined.mapInArrow(kept_of(), ddl(joined.drop(text, cut), "n_words long", "n_removed long", "kept string"))
