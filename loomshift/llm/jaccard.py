@@ -1,10 +1,10 @@
 """Exact Jaccard join of word-shingle sets and the classes its links form.
 
 1. Documents become sets of hashed shingles; equal sets are one set from then on.
-2. Index lists: every set posts its prefix, the shingles among which a linked set must share one. Shingles are ordered rare
-   first (by their frequency in a sample of the documents; the order changes the work, never the result),
-   so lists of common passages stay empty. Lists hold sizes and positions; members whose sizes and
-   positions rule out a link are skipped. What may link is drawn together into clusters.
+2. Index lists: every set posts its prefix, the shingles among which linked sets must share a twentieth. Shingles are
+   ordered rare first (by their frequency in a sample of the documents; the order changes the work, never the result),
+   so lists of common passages stay short. Pairs on a list whose sizes rule out a link are skipped, and so are pairs that share
+   too few lists; the members of a list too long for pairs are drawn together. What remains forms clusters.
 3. A cluster is joined exactly, in blocks: the first set counts its overlap with all others from the
    lists of its shingles; a set that is highly similar to one already answered takes over its counts and corrects them by the
    shingles in which the two differ. Lists are sorted by set size and only the stretch of possible sizes is read.
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomshift.llm import arrays
-from loomshift.llm.common import Scratch
+from loomshift.llm.common import Scratch, columns, ddl, fresh
 from loomshift.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 1000          # sets joined against each other or against another block by a task,
 BLOCK_SHINGLES = 500_000  # or their shingles
-LONG = 256            # sets in a list that are drawn together without a look at each pair
+LONG = 256            # sets in a list up to which its pairs are looked at
 SAMPLED = 16          # one document of so many tells how common shingles are
 COMMON = 4            # sampled documents that make a shingle common
 MOST_COMMON = 500_000  # common shingles that are broadcast, the most frequent ones
@@ -94,6 +94,11 @@ def shingles_of(size: int):
     return run
 
 
+def shared(n):
+    """Shingles that linked sets must share among their prefixes, for the smaller of the two numbers."""
+    return 1 + n // 20
+
+
 def postings(size: int, percent: int, common):
     """Prefixes of the sets: shingle, set, size * 2**32 + position. A task posts equal sets once."""
     def run(batches):
@@ -115,7 +120,7 @@ def postings(size: int, percent: int, common):
                 shingle = sets.shingle[order]
                 place = np.arange(len(order)) - sets.first[sets.doc]  # documents stay in place
                 n = sets.n[sets.doc]
-                prefix = n - (percent * n + 99) // 100 + 1
+                prefix = n - (percent * n + 99) // 100 + shared(n)
                 post = (place < prefix) & new[sets.doc]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shingle[post].view(np.int64)), pa.array(sets.id[sets.doc[post]]), pa.array((n[post] << 32) + place[post])],
@@ -124,12 +129,6 @@ def postings(size: int, percent: int, common):
     return run
 
 
-def may_link(n_a, i, n_b, j, percent: int):
-    """Whether two sets whose first common shingle lies at i and j can link, by size and position."""
-    need = -(-percent * (n_a + n_b) // (100 + percent))
-    return np.minimum(n_a - i, n_b - j) >= need
-
-
 class Forest:
     """Union-find over numbers."""
 
@@ -153,41 +152,41 @@ class Forest:
         return [(x, self.root(x)) for x in self.up if self.root(x) != x]
 
 
-def list_edges(percent: int):
-    """Sorted postings to the edges that draw together what may link within each list."""
+def list_pairs(percent: int):
+    """Sorted postings to pairs (u, v, needed, 1) of sets that share a list; those of one long list are drawn together by
+    pairs that need nothing else."""
     def run(batches):
         left = np.zeros((0, 3), np.int64)
-        forest = Forest()
 
         def lists(rows):
-            border = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-            starts, ends = np.concatenate([[0], border]), np.concatenate([border, [len(rows)]])
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                sets, first = np.unique(rows[s:e, 1], return_index=True)
-                if len(sets) < 2:
-                    continue
-                at = rows[s:e, 2][first]
-                n, place = at >> 32, at & 0xFFFFFFFF
-                by_size = np.argsort(n, kind="stable")
-                sets, n, place = sets[by_size].tolist(), n[by_size], place[by_size]
-                if len({forest.root(x) for x in sets}) == 1:
-                    continue
-                if len(sets) > LONG:
-                    # drawn together wherever sizes follow without a gap: more than may link, never less
-                    for a in np.flatnonzero(100 * n[:-1] >= percent * n[1:]).tolist():
-                        forest.join(sets[a], sets[a + 1])
-                    continue
-                for a in range(1, len(sets)):
-                    low = int(np.searchsorted(n, -(-percent * int(n[a]) // 100)))
-                    for b in (low + np.flatnonzero(may_link(n[a], place[a], n[low:a], place[low:a], percent))).tolist():
-                        forest.join(sets[a], sets[b])
-
-        def flush():
-            edges = forest.edges()
-            if edges:
-                u, v = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-            forest.up.clear()
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            new = np.ones(len(rows), bool)  # several tasks may have posted a set
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            rows = rows[new]
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            lengths = np.diff(np.append(starts, len(rows)))
+            first, second, needed = [starts[lengths == 2]], [starts[lengths == 2] + 1], []
+            n = rows[:, 2] >> 32
+            for s, length in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                if length <= LONG:
+                    a, b = np.triu_indices(length, 1)
+                    first.append(a + s)
+                    second.append(b + s)
+                else:
+                    # wherever sizes follow without a gap: more than may link, never less
+                    by_size = s + np.argsort(n[s : s + length], kind="stable")
+                    first.append(by_size[:-1])
+                    second.append(by_size[1:])
+                    needed.append(sum(map(len, first[:-1])) + np.arange(length - 1))
+            first, second = np.concatenate(first), np.concatenate(second)
+            need = np.minimum(shared(n[first]), shared(n[second]))
+            if needed:
+                need[np.concatenate(needed)] = 1
+            some = 100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second])
+            u, v, need = rows[first[some], 1], rows[second[some], 1], need[some]
+            for at in range(0, len(u), 100_000):
+                piece = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(u[piece]), pa.array(v[piece]), pa.array(need[piece])], names=["u", "v", "needed"])
 
         for batch in batches:
             rows = np.concatenate([left, np.column_stack([batch.column(k).to_numpy() for k in range(3)])])
@@ -195,13 +194,11 @@ def list_edges(percent: int):
                 continue
             # the last list may go on in the next batch
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left"))
-            lists(rows[:cut])
+            if cut:
+                yield from lists(rows[:cut])
             left = rows[cut:]
-            if len(forest.up) > 500_000:
-                yield from flush()
         if len(left):
-            lists(left)
-        yield from flush()
+            yield from lists(left)
 
     return run
 
@@ -337,7 +334,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
 
     posted = texts.mapInArrow(postings(size, percent, common), "shingle long, `set` long, `at` long")
     lists = posted.repartition("shingle").sortWithinPartitions("shingle")
-    near = scratch.store(lists.mapInArrow(list_edges(percent), "u long, v long"))
+    pairs = lists.mapInArrow(list_pairs(percent), "u long, v long, needed long")
+    near = scratch.store(pairs.groupBy("u", "v").agg(F.min("needed").alias("needed"), F.count("*").alias("n"))
+                         .filter("n >= needed").select("u", "v"))
     clusters = scratch.store(components(near, scratch))
 
     # members of clusters, dealt into blocks; a set takes part in every pair of blocks that has its own
@@ -370,14 +369,14 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("set").alias("set_id"), "class_id")
 
 
-def with_set(size: int, place: int):
+def with_set(size: int, place: int, name: str):
     """Rows with the hash of their set."""
     def run(batches):
         for batch in batches:
             ids = [Sets(data, offsets, size).id for _, _, data, offsets in arrays.pieces(batch.column(place))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64())],
-                names=[*batch.schema.names, "_set"])
+                names=[*batch.schema.names, name])
 
     return run
 
@@ -386,10 +385,10 @@ def unique(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     """One document of each class, the one of the smallest id (ids before null); documents without a word all stay."""
     marked = classes(docs, size, percent, id_col, text_col).filter("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id"))
-    kept = marked.groupBy("class_id").agg(first.alias("k")).select(F.xxhash64("k.none", "k.doc_id", "k.set_id").alias("_key"))
+    own, key = fresh(docs, "_set"), fresh(docs, "_key")
+    kept = marked.groupBy("class_id").agg(first.alias("k")).select(F.xxhash64("k.none", "k.doc_id", "k.set_id").alias(key))
     some = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.filter(some)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.mapInArrow(with_set(size, docs.columns.index(text_col)), f"{schema}, _set long")
-    rows = rows.withColumn("_key", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), "_set")).drop("_set")
-    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).unionByName(docs.filter(~some))
+    rows = rows.mapInArrow(with_set(size, docs.columns.index(text_col), own), ddl(rows, f"{own} long"))
+    rows = rows.withColumn(key, F.xxhash64(F.col(id_col).isNull(), F.col(id_col), own))
+    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*columns(docs)).unionByName(docs.filter(~some))
