@@ -34,27 +34,27 @@ FROM classified WHERE file_type <> 'skip'
 """
 
 _QUOTED_SQL = (
-    r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '''/corp/analytics/raw([^'']*)''', '''gs://raw-bucket/raw\1''', 'g'),"""
-    r""" '''/corp/analytics([^'']*)''', '''gs://my-bucket/analytics\1''', 'g'), '''/corp/landing([^'']*)''', '''gs://landing-bucket\1''', 'g'),"""
+    r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '''/corp/metrics/raw([^'']*)''', '''gs://raw-bucket/raw\1''', 'g'),"""
+    r""" '''/corp/metrics([^'']*)''', '''gs://my-bucket/metrics\1''', 'g'), '''/corp/landing([^'']*)''', '''gs://landing-bucket\1''', 'g'),"""
     r""" '''(/corp/[^'']+)''', '''gs://my-bucket\1''', 'g')"""
 )
 _BARE_SQL = (
-    r"""regexp_replace(regexp_replace(regexp_replace({x}, '/corp/analytics/raw(\S+)', 'gs://raw-bucket/raw\1', 'g'),"""
-    r""" '/corp/analytics(\S+)', 'gs://my-bucket/analytics\1', 'g'), '/corp/landing(\S+)', 'gs://landing-bucket\1', 'g')"""
+    r"""regexp_replace(regexp_replace(regexp_replace({x}, '/corp/metrics/raw(\S+)', 'gs://raw-bucket/raw\1', 'g'),"""
+    r""" '/corp/metrics(\S+)', 'gs://my-bucket/metrics\1', 'g'), '/corp/landing(\S+)', 'gs://landing-bucket\1', 'g')"""
 )
 _REFS_SQL = (
-    r"""regexp_replace(regexp_replace(regexp_replace({x}, '\$\{{cs_db\}}\.(\w+)', '`my-project.src_raw.\1`', 'g'),"""
-    r""" '\$\{{hivesrcdb\}}\.(\w+)', '`my-project.src_raw.\1`', 'g'), '\$\{{dim_db\}}\.(\w+)', '`my-project.dims.\1`', 'g')"""
+    r"""regexp_replace(regexp_replace(regexp_replace({x}, '\$\{{ops_db\}}\.(\w+)', '`my-project.raw_zone.\1`', 'g'),"""
+    r""" '\$\{{lakedb\}}\.(\w+)', '`my-project.raw_zone.\1`', 'g'), '\$\{{refs_db\}}\.(\w+)', '`my-project.dims.\1`', 'g')"""
 )
 _SCRIPT_SQL = (
-    r"""regexp_replace(regexp_replace(regexp_replace({x}, '(["''])/corp/analytics/raw([^"'']*)(["''])', '\1gs://raw-bucket/raw\2\3', 'g'),"""
-    r""" '(["''])/corp/analytics([^"'']*)(["''])', '\1gs://my-bucket/analytics\2\3', 'g'), '(["''])/corp/landing([^"'']*)(["''])', '\1gs://landing-bucket\2\3', 'g')"""
+    r"""regexp_replace(regexp_replace(regexp_replace({x}, '(["''])/corp/metrics/raw([^"'']*)(["''])', '\1gs://raw-bucket/raw\2\3', 'g'),"""
+    r""" '(["''])/corp/metrics([^"'']*)(["''])', '\1gs://my-bucket/metrics\2\3', 'g'), '(["''])/corp/landing([^"'']*)(["''])', '\1gs://landing-bucket\2\3', 'g')"""
 )
 _NAMES_SQL = (
-    r"""regexp_replace(regexp_replace({x}, '"(cs_db|hivesrcdb)"', '"src_raw"', 'g'), '''(cs_db|hivesrcdb)''', '''src_raw''', 'g')"""
+    r"""regexp_replace(regexp_replace({x}, '"(ops_db|lakedb)"', '"raw_zone"', 'g'), '''(ops_db|lakedb)''', '''raw_zone''', 'g')"""
 )
-_NOTES_SQL = r"""nullif(array_to_string(list_transform(regexp_extract_all(content, '\$\{(?:cs_db|hivesrcdb|dim_db)\}\.\w+'), lambda h:
-  h || ' → `my-project.' || CASE WHEN starts_with(h, '${dim_db}') THEN 'dims' ELSE 'src_raw' END || '.' || regexp_extract(h, '\.(\w+)', 1) || '`'), ' | '), '')"""
+_NOTES_SQL = r"""nullif(array_to_string(list_transform(regexp_extract_all(content, '\$\{(?:ops_db|lakedb|refs_db)\}\.\w+'), lambda h:
+  h || ' → `my-project.' || CASE WHEN starts_with(h, '${refs_db}') THEN 'dims' ELSE 'raw_zone' END || '.' || regexp_extract(h, '\.(\w+)', 1) || '`'), ' | '), '')"""
 _NO_USE = r"""regexp_replace({x}, 'USE\s+\$\{{\w+\}};?\s*\n?', '', 'g')"""
 
 
@@ -67,7 +67,7 @@ SELECT *, CASE file_type
   WHEN 'hql' THEN {_sql(_QUOTED_SQL, _sql(_REFS_SQL, 'content'))}
   WHEN 'hdl' THEN {_sql(_QUOTED_SQL, _sql(_REFS_SQL, _sql(_NO_USE, 'content')))}
   WHEN 'shell' THEN {_sql(_BARE_SQL, 'content')}
-  WHEN 'config' THEN regexp_replace(regexp_replace({_sql(_BARE_SQL, 'content')}, '=(cs_db|hivesrcdb)\\b', '=src_raw', 'g'), '=dim_db\\b', '=dims', 'g')
+  WHEN 'config' THEN regexp_replace(regexp_replace({_sql(_BARE_SQL, 'content')}, '=(ops_db|lakedb)\\b', '=raw_zone', 'g'), '=refs_db\\b', '=dims', 'g')
   WHEN 'pyspark' THEN {_sql(_NAMES_SQL, _sql(_SCRIPT_SQL, 'content'))}
   ELSE content END AS converted
 FROM planned
@@ -161,7 +161,7 @@ def discovery_report(spark, sf_dir):
       CASE WHEN file_type = 'hql' THEN {notes} END,
       CASE WHEN file_type = 'dag_xml' AND NOT ends_with(content, '</Description></Event>') THEN 'XML parse warning' WHEN file_type = 'dag_xml' THEN
          'Event: ' || coalesce(nullif(regexp_extract(content, '<EventId>([^<]*)</EventId>', 1), ''), regexp_replace(regexp_extract(rel_path, '[^/]+$'), '\\.[^.]+$', '')) END,
-      CASE WHEN file_type = 'filters' THEN 'Defines 3 injectable filters: filter_excl_test_type, filter_min_value, filter_' || CAST(g AS VARCHAR) END,
+      CASE WHEN file_type = 'filters' THEN 'Defines 3 injectable filters: filter_no_tests, filter_min_value, filter_' || CAST(g AS VARCHAR) END,
       CASE WHEN file_type = 'hdl' AND NOT regexp_matches(content, 'USE\\s+\\$\\{\\w+\\};?') THEN 'No USE statement found — dataset must be set manually' END,
       CASE WHEN file_type IN ('hql', 'hdl', 'shell', 'config') AND contains(converted, 'TODO:') THEN 'Contains TODO items requiring manual review' END,
       CASE WHEN file_type = 'hql' AND contains(converted, '${hivevar:') THEN 'Unresolved hivevar filter references remain' END,
@@ -508,7 +508,7 @@ def rewrite_by_table(spark, sf_dir):
 @query(
     "rename_dbs",
     _FILES + rf"""
-    SELECT rel_path, md5(regexp_replace(regexp_replace(content, '=(cs_db|hivesrcdb)\b', '=src_raw', 'g'), '=dim_db\b', '=dims', 'g')) AS assigned,
+    SELECT rel_path, md5(regexp_replace(regexp_replace(content, '=(ops_db|lakedb)\b', '=raw_zone', 'g'), '=refs_db\b', '=dims', 'g')) AS assigned,
       md5({_sql(_NAMES_SQL, 'content')}) AS quoted FROM files
     """,
 )
@@ -525,7 +525,7 @@ def rename_dbs(spark, sf_dir):
 @query(
     "ddl_targets",
     _CLASSIFIED + r"""
-    SELECT rel_path, nullif(db, '') AS db, tbl AS table_name, '`my-project.' || CASE db WHEN '' THEN 'UNKNOWN_DATASET' WHEN 'cs_db' THEN 'src_raw' ELSE db END || '.' || tbl || '`' AS ref
+    SELECT rel_path, nullif(db, '') AS db, tbl AS table_name, '`my-project.' || CASE db WHEN '' THEN 'UNKNOWN_DATASET' WHEN 'ops_db' THEN 'raw_zone' ELSE db END || '.' || tbl || '`' AS ref
     FROM (SELECT rel_path, regexp_extract(content, 'USE\s+\$\{(\w+)\};?', 1) AS db,
       coalesce(nullif(regexp_extract(content, '(?i)CREATE\s+(?:EXTERNAL\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)', 1), ''), regexp_replace(regexp_extract(rel_path, '[^/]+$'), '\.[^.]+$', '')) AS tbl
       FROM classified WHERE file_type IN ('hdl', 'hql'))
@@ -714,9 +714,9 @@ def function_usage(spark, sf_dir):
 @query(
     "config_rename",
     _CLASSIFIED.rstrip() + "," + _LINES_SQL.replace("FROM files)", "FROM classified WHERE file_type = 'config')") + r"""
-    SELECT rel_path, line_no, k AS old_key, CASE WHEN k = 'mapred_qname' THEN 'removed' WHEN k IN ('HIVE_RUNNER', 'HiveDBPath', 'HqlDir', 'HdlDir', 'cs_db', 'hivesrcdb', 'dim_db') THEN 'renamed' ELSE 'kept' END AS action,
+    SELECT rel_path, line_no, k AS old_key, CASE WHEN k = 'mapred_qname' THEN 'removed' WHEN k IN ('HIVE_RUNNER', 'HiveDBPath', 'HqlDir', 'HdlDir', 'ops_db', 'lakedb', 'refs_db') THEN 'renamed' ELSE 'kept' END AS action,
       CASE k WHEN 'mapred_qname' THEN '# REMOVED: mapred_qname (YARN queue — not needed in BQ)' WHEN 'HIVE_RUNNER' THEN 'BQ_RUNNER=bq' WHEN 'HiveDBPath' THEN 'BQ_DATASET_PATH=' || v
-        WHEN 'HqlDir' THEN 'SqlDir=' || v WHEN 'HdlDir' THEN 'SchemaDir=' || v WHEN 'cs_db' THEN 'CS_DB_DATASET=src_raw' ELSE k || '=' || v END AS new_line
+        WHEN 'HqlDir' THEN 'SqlDir=' || v WHEN 'HdlDir' THEN 'SchemaDir=' || v WHEN 'ops_db' THEN 'OPS_DB_DATASET=raw_zone' ELSE k || '=' || v END AS new_line
     FROM (SELECT rel_path, line_no, regexp_extract(line, '^(\w+)=(.*)$', 1) AS k, regexp_extract(line, '^(\w+)=(.*)$', 2) AS v FROM lined WHERE regexp_matches(line, '^(\w+)=(.*)$'))
     """,
 )

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from loomshift.session import read_table
 
-DATASET_MAP = {"cs_db": "src_raw", "hivesrcdb": "src_raw", "dim_db": "dims"}
+DATASET_MAP = {"ops_db": "raw_zone", "lakedb": "raw_zone", "refs_db": "dims"}
 PATH_MAP = {
-    "/corp/analytics": "gs://my-bucket/analytics",
-    "/corp/analytics/raw": "gs://raw-bucket/raw",
+    "/corp/metrics": "gs://my-bucket/metrics",
+    "/corp/metrics/raw": "gs://raw-bucket/raw",
     "/corp/landing": "gs://landing-bucket",
 }
 
@@ -59,27 +59,27 @@ _PATHS = [
 
 _HQL = """SET hive.exec.parallel=true;
 set mapreduce.job.queuename=etl;
-USE ${cs_db};
-INSERT OVERWRITE TABLE ${cs_db}.t_<g> PARTITION (trans_dt)
+USE ${ops_db};
+INSERT OVERWRITE TABLE ${ops_db}.t_<g> PARTITION (trans_dt)
 SELECT nvl(a, 0), size(split(b, ' ')), from_unixtime(unix_timestamp()), CAST(c AS BIGINT)
-FROM ${other_db}.src_<g> s JOIN ${dim_db}.d_<a> d ON s.id = d.id
-WHERE loc = '/corp/analytics/raw/<g>' OR loc = '/corp/analytics2/<g>' OR loc = '/corp/other/<g>'
+FROM ${other_db}.src_<g> s JOIN ${refs_db}.d_<a> d ON s.id = d.id
+WHERE loc = '/corp/metrics/raw/<g>' OR loc = '/corp/metrics2/<g>' OR loc = '/corp/other/<g>'
 AND trans_dt = '${trans_dt}' AND run = @run_dt AND v > @min_value AND z = @@system_var AND r2 = @run_dt"""
 
 _HEADS = [
     _HQL + "\nAND ${hivevar:filter_<a>}",
-    "-- Table <g>\nUSE ${cs_db};\nDROP TABLE IF EXISTS t_<g>;\nCREATE EXTERNAL TABLE IF NOT EXISTS t_<g> (id BIGINT)\nLOCATION '/corp/landing/t_<g>';",
-    "#!/bin/ksh\nhive -f job_<g>.hql -d trans_dt=${trans_dt}\nhdfs dfs -put /corp/analytics/out_<g> /corp/landing/in_<g>\n# TODO: check count_check\n",
-    "#!/bin/ksh\nsrc_cnt=$(run_hive_count ${cs_db})\nhdfs dfs -ls /corp/analytics/raw/x_<g>\n",
-    "# filters\nset hivevar:filter_excl_test_type=s.record_type <> 'TEST';\nset hivevar:filter_min_value = coalesce(s.value, 0)\n  >= <g>;\nset hivevar:filter_<g>= s.carrier_id is not null ;",
-    "# paths\nHIVE_RUNNER=hive-runner\nmapred_qname=etl\nHiveDBPath=/corp/analytics/db_<g>\ncs_db=hivesrcdb\nHqlDir=/opt/hql\nHdlDir=/opt/hdl\nold=hivesrcdb_old\nHomeDir=/home/app<a>",
+    "-- Table <g>\nUSE ${ops_db};\nDROP TABLE IF EXISTS t_<g>;\nCREATE EXTERNAL TABLE IF NOT EXISTS t_<g> (id BIGINT)\nLOCATION '/corp/landing/t_<g>';",
+    "#!/bin/ksh\nhive -f job_<g>.hql -d trans_dt=${trans_dt}\nhdfs dfs -put /corp/metrics/out_<g> /corp/landing/in_<g>\n# TODO: check count_check\n",
+    "#!/bin/ksh\nsrc_cnt=$(run_hive_count ${ops_db})\nhdfs dfs -ls /corp/metrics/raw/x_<g>\n",
+    "# filters\nset hivevar:filter_no_tests=s.record_type <> 'TEST';\nset hivevar:filter_min_value = coalesce(s.value, 0)\n  >= <g>;\nset hivevar:filter_<g>= s.carrier_id is not null ;",
+    "# paths\nHIVE_RUNNER=hive-runner\nmapred_qname=etl\nHiveDBPath=/corp/metrics/db_<g>\nops_db=lakedb\nHqlDir=/opt/hql\nHdlDir=/opt/hdl\nold=lakedb_old\nHomeDir=/home/app<a>",
     "<xml>",
     "<config><a><g></a></config>",
     "import pytest\nfrom pyspark.sql import SparkSession\ndef test_<g>():\n    assert 1 == 1",
-    "from pyspark.sql import SparkSession\npath = \"/corp/analytics/export_<g>\"\nold = '/corp/landing/<g>'\ndb = 'cs_db'\nname = \"hivesrcdb\"",
+    "from pyspark.sql import SparkSession\npath = \"/corp/metrics/export_<g>\"\nold = '/corp/landing/<g>'\ndb = 'ops_db'\nname = \"lakedb\"",
     "# uses PySpark\nvalues = (1,",
     "def f_<g>():\n    return <g>",
-    "INSERT INTO t_<g> SELECT concat_ws('-', a, b), get_json_object(c, '$.k') FROM ${hivesrcdb}.x_<g>",
+    "INSERT INTO t_<g> SELECT concat_ws('-', a, b), get_json_object(c, '$.k') FROM ${lakedb}.x_<g>",
     "SELECT 1",
     "```sql\nSELECT <g>",
     "CREATE TABLE t_<g> (m MAP<STRING,STRING>)\nSTORED AS PARQUET",

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from loomshift.session import stored
+
 # task functions travel with the job: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,32 +86,44 @@ def _skipped_by_spark(rel_path: str) -> bool:
     return any(p.startswith("_") and "=" not in p for p in parts) and not any(p.startswith(".") for p in parts)
 
 
+READ_BYTES = 32 * 1024 * 1024  # file contents handed on at a time
+
+
 def _underscored_files(spark: SparkSession, root: str) -> DataFrame:
-    """Folders are listed by tasks, then the paths found are spread and read by tasks."""
-    system, base = _file_system(root)
-    top = [i.path for i in system.get_file_info(fs.FileSelector(base, recursive=False)) if not i.base_name.startswith(".")]
+    """Tasks list one level of folders after the other, the folders of a level spread anew; then tasks read the files found."""
+    base = _file_system(root)[1]
 
-    def find(batches):
+    def entries(batches):
         own, _ = _file_system(root)
         for batch in batches:
-            for start in batch["path"]:
-                infos = own.get_file_info([start])
-                if infos[0].type == fs.FileType.Directory:
-                    infos = own.get_file_info(fs.FileSelector(start, recursive=True))
-                found = [i.path for i in infos if i.type == fs.FileType.File and _skipped_by_spark(i.path[len(base):].strip("/"))]
-                yield pd.DataFrame({"path": pd.Series(found, dtype="object")})
+            for folder in batch["path"]:
+                infos = [i for i in own.get_file_info(fs.FileSelector(folder)) if not i.base_name.startswith(".")]
+                yield pd.DataFrame({
+                    "path": pd.Series([i.path for i in infos], dtype="object"),
+                    "folder": pd.Series([i.type == fs.FileType.Directory for i in infos], dtype="bool"),
+                    "skipped": pd.Series([_skipped_by_spark(i.path[len(base):].strip("/")) for i in infos], dtype="bool")})
 
     def read(batches):
         own, _ = _file_system(root)
         for batch in batches:
+            held: list[tuple[str, int, bytes]] = []
             for path in batch["path"]:
                 with own.open_input_stream(path) as stream:
                     content = stream.readall()
-                yield pd.DataFrame({"path": [path], "length": [len(content)], "content": [content]})
-
-    folders = literal_rows(spark, [(p,) for p in top], "path string").repartition(max(1, min(len(top), 1000)), "path")
-    paths = folders.mapInPandas(find, "path string")
-    return paths.repartition("path").mapInPandas(read, "path string, length long, content binary")
+                held.append((path, len(content), content))
+                if sum(n for _, n, _ in held) >= READ_BYTES:
+                    yield pd.DataFrame(held, columns=["path", "length", "content"])
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=["path", "length", "content"])
+
+    level, found = literal_rows(spark, [(base,)], "path string"), None
+    while not level.isEmpty():
+        listed = stored(level.repartition("path").mapInPandas(entries, "path string, folder boolean, skipped boolean"), "listing")
+        files = listed.where("NOT folder AND skipped").select("path")
+        found = files if found is None else found.unionByName(files)
+        level = listed.where("folder").select("path")
+    return found.repartition("path").mapInPandas(read, "path string, length long, content binary")
 
 
 def state_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

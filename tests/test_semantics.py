@@ -214,9 +214,9 @@ def test_paths(spark):
     def mapped(p, **kw):
         return one(spark, mapping.map_path("p", PATH_MAP, **kw), p=p)
 
-    assert mapped("/corp/analytics/raw/x") == "gs://raw-bucket/raw/x"
-    assert mapped("/corp/analytics2/x") == "gs://my-bucket/analytics2/x"
-    assert mapped("/corp/analytics2/x", boundary=True) == "gs://my-bucket/corp/analytics2/x"
+    assert mapped("/corp/metrics/raw/x") == "gs://raw-bucket/raw/x"
+    assert mapped("/corp/metrics2/x") == "gs://my-bucket/metrics2/x"
+    assert mapped("/corp/metrics2/x", boundary=True) == "gs://my-bucket/corp/metrics2/x"
     assert mapped("/else") == "gs://my-bucket/else"
     quoted = mapping.rewrite_quoted_paths("p", PATH_MAP)
     assert one(spark, quoted, p="a '/corp/landing/x' \"/corp/landing/x\" '/corp/q' /corp/landing '/corp/' '/corp/landing'") == (
@@ -225,22 +225,22 @@ def test_paths(spark):
 
 
 def test_references_and_names(spark):
-    sql = "FROM ${cs_db}.a JOIN ${unknown}.b JOIN ${dim_db}.c"
+    sql = "FROM ${ops_db}.a JOIN ${unknown}.b JOIN ${refs_db}.c"
     assert one(spark, mapping.qualify_refs("p", DATASET_MAP), p=sql) == (
-        "FROM `my-project.src_raw.a` JOIN ${unknown}.b JOIN `my-project.dims.c`"
+        "FROM `my-project.raw_zone.a` JOIN ${unknown}.b JOIN `my-project.dims.c`"
     )
     assert one(spark, mapping.qualify_notes("p", DATASET_MAP), p=sql) == [
-        "${cs_db}.a → `my-project.src_raw.a`", "${dim_db}.c → `my-project.dims.c`",
+        "${ops_db}.a → `my-project.raw_zone.a`", "${refs_db}.c → `my-project.dims.c`",
     ]
-    assert one(spark, mapping.rename_assigned("p", DATASET_MAP), p="a=cs_db\nb=cs_db_old") == "a=src_raw\nb=cs_db_old"
-    assert one(spark, mapping.rename_quoted("p", DATASET_MAP), p="'cs_db' \"dim_db\" 'cs_db\"") == "'src_raw' \"dims\" 'cs_db\""
+    assert one(spark, mapping.rename_assigned("p", DATASET_MAP), p="a=ops_db\nb=ops_db_old") == "a=raw_zone\nb=ops_db_old"
+    assert one(spark, mapping.rename_quoted("p", DATASET_MAP), p="'ops_db' \"refs_db\" 'ops_db\"") == "'raw_zone' \"dims\" 'ops_db\""
     assert one(spark, mapping.residual_variables("p"), p="${a} @b") == "@a @b"
 
 
 def test_rewrites_by_table_agree_with_inline(spark):
     f = files(
-        spark, ("a", "FROM ${cs_db}.a JOIN ${unknown}.b '/corp/landing/x' '/corp/q' '/corp/' '/other' \"/corp/q\" k=cs_db j=cs_db_old"),
-        ("b", "nothing"), ("c", "${cs_db}.a ${cs_db}.a ${dim_db}.c '/corp/analytics/raw' '/corp/analytics2/y' n=dim_db"),
+        spark, ("a", "FROM ${ops_db}.a JOIN ${unknown}.b '/corp/landing/x' '/corp/q' '/corp/' '/other' \"/corp/q\" k=ops_db j=ops_db_old"),
+        ("b", "nothing"), ("c", "${ops_db}.a ${ops_db}.a ${refs_db}.c '/corp/metrics/raw' '/corp/metrics2/y' n=refs_db"),
     )
     datasets = readers.literal_rows(spark, list(DATASET_MAP.items()), "hive_name string, dataset string")
     prefixes = readers.literal_rows(spark, list(PATH_MAP.items()), "prefix string, target string")
@@ -270,7 +270,7 @@ def test_a_path_may_occur_twice(spark):
 
 
 def test_prefix_join_agrees_with_inline(spark):
-    rows = [(i, p) for i, p in enumerate(["/corp/analytics/raw/x", "/corp/analytics", "/corp/land", "", "/c", "/corp/landing9"])]
+    rows = [(i, p) for i, p in enumerate(["/corp/metrics/raw/x", "/corp/metrics", "/corp/land", "", "/c", "/corp/landing9"])]
     df = readers.literal_rows(spark, rows, "id long, p string")
     prefixes = readers.literal_rows(spark, list(PATH_MAP.items()), "prefix string, target string")
     joined = mapping.longest_prefix_join(df, "id", "p", prefixes).select("id", "mapped")
