@@ -26,10 +26,11 @@ from loomshift.llm.common import Scratch, columns, fresh
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # shorter ones fail the check anyway
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
 CONTEXT = 80  # code points around an entity
+BLOCK = 256   # matches added up together
 
 SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -56,13 +57,33 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def starts(matches: Column, pieces: Column) -> Column:
-    """Begin of each match: what lies between matches and the matches before it, added up."""
-    lengths = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).cast("long").alias("p"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("m")))
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def summed(lengths: Column) -> Column:
+    """(at, found) of (before, own) pairs: what they add up to, and where each one's own part begins."""
     return F.aggregate(
         lengths, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("found")),
-        lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["found"], F.array(acc["at"] + x["p"])).alias("found")),
-        lambda acc: acc["found"])
+        lambda acc, x: F.struct((acc["at"] + x["before"] + x["own"]).alias("at"), F.concat(acc["found"], F.array(acc["at"] + x["before"])).alias("found")))
+
+
+def starts(matches: Column, pieces: Column) -> Column:
+    """Begin of each match: what lies between matches and the matches before it, added up. Sums are taken in blocks, so that
+    texts with very many matches stay cheap."""
+    lengths = F.zip_with(pieces, matches, lambda p, m: F.struct(
+        F.length(p).cast("long").alias("before"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("own")))
+
+    def blocks(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda b: summed(F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(each: Column) -> Column:
+        offsets = summed(F.transform(each, lambda e: F.struct(F.lit(0).cast("long").alias("before"), e["at"].alias("own"))))["found"]
+        return F.flatten(F.zip_with(each, offsets, lambda e, o: F.transform(e["found"], lambda s: s + o)))
+
+    return F.when(F.size(matches) > 0, bound(bound(lengths, blocks), joined)).otherwise(F.array().cast("array<long>"))
 
 
 def checked(k: int, kind: str) -> Column:
@@ -150,7 +171,7 @@ def replaced(text: Column, spans: Column) -> Column:
                 F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
                 # a disclosing term is generalised to a name if it is written as one, and removed if not
                 F.when(s["kind"] < 4, F.element_at(classes, F.least(s["kind"], F.lit(3)) + 1))
-                .when(F.substring(s["value"], 1, 1).rlike(r"\p{Lu}"), "[NAME]").otherwise(""))).alias("out"))
+                .when(F.substring(text, (s["start"] + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), "[NAME]").otherwise(""))).alias("out"))
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))))
     return F.concat(F.array_join(kept["out"], ""), F.substring(text, (kept["at"] + 1).cast("int"), F.greatest(F.length(text), F.lit(1))))
 
