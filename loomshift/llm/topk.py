@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         found = table.select("vec_id", "v").mapInArrow(searcher(queries, k), "query_id long, vec_id long, score long")
         results.append(scratch.store(found.withColumn("rank", F.row_number().over(best_of)).filter(F.col("rank") <= k)))
         queries.destroy()
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
-    for part in results:
-        out = part if out is None or len(results) == 1 else out.unionByName(part)
+    out = results[0] if results else spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    for part in results[1:]:
+        out = out.unionByName(part)
     return out.select("query_id", "rank", "vec_id", "score")

@@ -93,7 +93,7 @@ def read_archives(spark: SparkSession, folder: str, run: str) -> DataFrame:
 
     parts = parts.select(
         block.alias("block"), field("Content-Length").cast("long").alias("length"), page("WARC-Record-ID").alias("page_id"),
-        F.coalesce(F.regexp_extract("head", r"(?m)^WARC-Target-URI: ([^\r\n]*)", 1)).alias("url"), F.col("head").contains("\nWARC-Target-URI: ").alias("has_url"),
+        F.regexp_extract("head", r"(?m)^WARC-Target-URI: ([^\r\n]*)", 1).alias("url"), F.col("head").contains("\nWARC-Target-URI: ").alias("has_url"),
         F.to_timestamp(field("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"), field("WARC-Type").alias("record_type"),
         page("WARC-Refers-To").alias("refers_to"), field("X-Payload-Length").cast("long").alias("said_bytes"),
         F.substring(field("WARC-Payload-Digest"), 6, 40).alias("said_digest"))
