@@ -109,13 +109,14 @@ class Model:
         spread = np.random.default_rng(1).normal(size=(weights.shape[1], rank + 8)).astype(np.float32)
         idf = 1 + np.log(len(weights) / (1.0 + np.count_nonzero(weights, axis=0)))
         self.idf = np.maximum(idf, 0.2).astype(np.float32)
-        weights = weights * self.idf
+        weights *= self.idf  # in place: the sample is the largest thing the driver holds
         basis = spread
         for _ in range(4):  # power iterations towards the leading right singular vectors
             basis, _ = np.linalg.qr(weights.T @ (weights @ basis))
         _, _, turn = np.linalg.svd(weights @ basis, full_matrices=False)
-        self.space = np.ascontiguousarray((self.idf[:, None] * (basis @ turn[:rank].T)).astype(np.float32))
-        self.vectors = unit(weights / self.idf @ self.space)
+        leading = (basis @ turn[:rank].T).astype(np.float32)
+        self.vectors = unit(weights @ leading)
+        self.space = np.ascontiguousarray(self.idf[:, None] * leading)
         self.labels, self.mean = labels.astype(np.float32), float(labels.mean())
         self.neighbours, self.power = min(neighbours, len(labels)), power
 
@@ -144,11 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     table = rows.select("label", "text").mapInArrow(sparse_terms, "label int, index array<int>, weight array<float>").toArrow()
     if not table.num_rows:
         return None
-    weights = np.zeros((table.num_rows, TERMS), np.float32)
-    sizes = np.diff(table["index"].combine_chunks().offsets.to_numpy())
-    weights[np.repeat(np.arange(len(sizes)), sizes), table["index"].combine_chunks().flatten().to_numpy()] = (
-        table["weight"].combine_chunks().flatten().to_numpy())
-    return Model(weights, table["label"].to_numpy(), rank, neighbours, power)
+    weights, row = np.zeros((table.num_rows, TERMS), np.float32), 0
+    labels = table["label"].to_numpy()
+    for batch in table.to_batches():  # without a second copy of all rows
+        for index, weight in zip(batch.column(1), batch.column(2), strict=True):
+            weights[row, index.values.to_numpy()] = weight.values.to_numpy()
+            row += 1
+    del table
+    return Model(weights, labels, rank, neighbours, power)
 
 
 def scorer(shared):
