@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomshift.llm import arrays
 from loomshift.llm.common import Scratch, columns, ddl, fresh
-from loomshift.llm.components import components
+from loomshift.llm.components import Forest, components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -129,29 +129,6 @@ def postings(size: int, percent: int, common):
     return run
 
 
-class Forest:
-    """Union-find over numbers."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def edges(self):
-        return [(x, self.root(x)) for x in self.up if self.root(x) != x]
-
-
 def list_pairs(percent: int):
     """Sorted postings to pairs (u, v, needed, 1) of sets that share a list; those of one long list are drawn together by
     pairs that need nothing else."""

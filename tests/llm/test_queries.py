@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomshift.llm import decontaminate, jaccard, pii, quality, queries
+from loomshift.llm import decontaminate, pii, quality, queries
 from loomshift.llm.registry import ORACLES, QUERIES
 from tests.llm.test_operators import classes_by_hand
 from tests.oracle import compare, connect
@@ -120,11 +120,13 @@ def test_pipeline_handles_odd_tables(spark, tmp_path):
         assert got.count() <= len(data)
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("task_edges", [200_000, 3])
+def test_components_of_a_chain(spark, monkeypatch, task_edges):
+    from loomshift.llm import components
     from loomshift.llm.common import Scratch
-    from loomshift.llm.components import components
 
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)]
-    got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test"))
+    got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(12), Scratch(spark, "test"))
     assert {(r.node, r.root) for r in got.collect()} == {(k, 0) for k in range(31)} | {(100, 100), (101, 100)}
-    assert jaccard.Forest().root(5) == 5
+    assert components.components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0
