@@ -7,8 +7,9 @@ language of the lowest cross-entropy per letter. Its confidence is the share of
 entropies are weighed as exp(-bits * sharpness). Texts whose entropy is higher than all but a set part
 of the language's training texts are marked as rejected.
 
-The broadcast model is bounded by `max_grams` n-grams over all languages, the most frequent ones (the bound of the
-fitted model; counting covers every training text). `min(languages)` wins ties.
+No n-gram is left out. Up to `max_grams` n-grams are one dense model. More of them become weights that add up to the same
+log probabilities, worked out in Spark and split by hash range into parts of about `max_grams` weights; a task
+holds one part at a time and adds it to some megabytes of texts. `min(languages)` wins ties.
 
 Defined cases: null texts and texts without a letter give `und`, score 0, not rejected; without any labelled
 text every prediction is `und`; rows that repeat are judged alike; other columns are kept by `score`.
@@ -31,6 +32,9 @@ from loomshift.llm.common import Scratch, columns, ddl, fresh
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANK = 0x20
+DISCOUNT = 0.75
+CELLS = 4_000_000  # n-grams times languages of a dense model, and windows times languages that a task adds up at a time
+CHUNK = 8 << 20    # letters that a task adds up at a time
 _letters: list[np.ndarray] = []
 
 
@@ -144,7 +148,7 @@ class Model:
     """Per order: sorted keys over all languages with log2 probabilities (one row of languages per key; where a
     language lacks the n-gram, its backed-off value), and sorted contexts with log2 back-off weights."""
 
-    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, counts: np.ndarray, order: int, discount: float = 0.75):
+    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, counts: np.ndarray, order: int, discount: float = DISCOUNT):
         self.langs, self.order = langs, order
         n = len(langs)
         points = np.array([[ord(c) for c in g] for g in grams.tolist()], np.int32).reshape(len(grams), order)
@@ -232,35 +236,208 @@ class Model:
         return arrays.mix(total + arrays.far(size)).view(np.int64)
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, order: int, max_grams: int) -> Model | None:
+def polynomial(points: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of n-grams given as rows of code points; contexts have kinds of their own."""
+    total = np.zeros(len(points), np.uint64)
+    for j in range(points.shape[1]):
+        total = total * np.uint64(0x110000 + 39) + points[:, j].astype(np.uint64)
+    return arrays.mix(total + arrays.far(kind)).view(np.int64)
+
+
+def context_kind(size: int) -> int:
+    return 64 + size
+
+
+class Part:
+    """Weights of the n-grams and contexts of a hash range: sorted keys, and the languages and weights of each."""
+
+    def __init__(self, own: np.ndarray, langs: np.ndarray, weights: np.ndarray):
+        order = np.argsort(own, kind="stable")
+        self.keys, first = np.unique(own[order], return_index=True)
+        self.first = np.append(first, len(own))
+        self.langs, self.weights = langs[order], weights[order]
+
+    def add(self, points: np.ndarray, out: np.ndarray) -> None:
+        """Adds to each window (letters from the last one back, 0 before the text) what the part says of it."""
+        for size in range(1, points.shape[1] + 1):
+            full = np.flatnonzero(points[:, size - 1])
+            grams = points[full, :size][:, ::-1]
+            self.look_up(polynomial(grams, size), full, out)
+            if size > 1:
+                self.look_up(polynomial(grams[:, :-1], context_kind(size - 1)), full, out)
+
+    def look_up(self, wanted: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        at, rows = at[hit], rows[hit]
+        n = self.first[at + 1] - self.first[at]
+        source = np.arange(n.sum()) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+        out[np.repeat(rows, n), self.langs[source]] += self.weights[source]
+
+
+class Parts:
+    """A model in parts, each a broadcast, and what every letter weighs by language before any n-gram is known."""
+
+    def __init__(self, langs: list[str], order: int, base: np.ndarray, parts: list):
+        self.langs, self.order, self.base, self.parts = langs, order, base, parts
+
+    def windows(self, codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows that end at letters which follow another one of the text, which of them each letter has, and its text."""
+        at = np.arange(len(codes))
+        first = np.ones(len(codes), bool)
+        first[1:] = doc[1:] != doc[:-1]
+        since = at - np.maximum.accumulate(np.where(first, at, 0))
+        ends = np.flatnonzero(~first)
+        points = np.column_stack([np.where(since[ends] >= j, codes[ends - j], 0) for j in range(self.order)]).astype(np.int32)
+        _, index, back = np.unique(polynomial(points, 0), return_index=True, return_inverse=True)
+        return points[index], back.astype(np.int32), doc[ends].astype(np.int32)
+
+    def totals(self, held: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Letters and log2 probability by language of the texts of some pieces (windows, of each letter, texts, number of texts)."""
+        sums = [np.tile(self.base, (len(points), 1)) for points, _, _, _ in held]
+        for shared in self.parts:
+            part = shared.value
+            for (points, _, _, _), out in zip(held, sums, strict=True):
+                part.add(points, out)
+            if getattr(shared, "_path", None) is not None:  # read again from its local file for the next texts
+                del shared._value
+        return [(np.bincount(of, minlength=n), np.column_stack([np.bincount(of, weights=out[back, k], minlength=n) for k in range(len(self.langs))]))
+                for (_, back, of, n), out in zip(held, sums, strict=True)]
+
+
+def hashed(size: int, kind: int, langs: list[str]):
+    number = {lang: k for k, lang in enumerate(langs)}
+
+    def run(batches):
+        for batch in batches:
+            points = np.array(batch.column(1).to_pylist(), f"<U{size}").view(np.uint32).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(polynomial(points, kind)), pa.array([number[x] for x in batch.column(0).to_pylist()], pa.int32()), batch.column(2)],
+                names=["key", "lang", "weight"])
+
+    return run
+
+
+def split(counts: DataFrame, order: int, max_grams: int, scratch: Scratch) -> Parts:
+    """The model of all counted n-grams. A letter's log probability is the sum of `base`, the back-off weights of its known
+    contexts, and for each of its known n-grams what that one changes against backing off."""
+    spark = counts.sparkSession
+    levels = {order: counts.select("lang", "gram", F.col("n").cast("double").alias("w"))}  # top first: counts, then numbers of left neighbours
+    for size in range(order - 1, 0, -1):
+        levels[size] = scratch.store(levels[size + 1].groupBy("lang", F.substring("gram", 2, size).alias("gram"))
+                                     .agg(F.count("*").cast("double").alias("w")))
+    floor = 1.0 / (levels[1].select("gram").distinct().count() + 1)
+    gamma = (F.lit(DISCOUNT) * F.count("*") / F.sum("w")).alias("gamma")
+    # one row per language
+    first = {r["lang"]: r["gamma"] for r in levels[1].groupBy("lang").agg(gamma, F.sum("w")).collect()}
+    langs = sorted(first)
+    base = np.log2(np.array([first[x] for x in langs])) + np.log2(floor)
+
+    def weights(table: DataFrame, size: int, kind: int) -> DataFrame:
+        return table.mapInArrow(hashed(size, kind, langs), "key long, lang int, weight double")
+
+    entries, lower, stored = [], None, []
+    for size in range(1, order + 1):
+        contexts = levels[size].groupBy("lang", F.substring("gram", 1, size - 1).alias("context")).agg(gamma, F.sum("w").alias("total"))
+        contexts = scratch.store(contexts)
+        own = levels[size].withColumn("context", F.substring("gram", 1, size - 1))
+        own = own.join(F.broadcast(contexts) if size == 1 else contexts, ["lang", "context"])
+        if lower is None:
+            own = own.withColumn("lower", F.lit(floor))
+        else:
+            own = (own.withColumn("shorter", F.substring("gram", 2, size - 1))
+                   .join(lower.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"]))
+            entries.append(weights(contexts.select("lang", "context", F.log2("gamma")), size - 1, context_kind(size - 1)))
+        backed = F.col("gamma") * F.col("lower")
+        own = own.withColumn("p", (F.col("w") - DISCOUNT) / F.col("total") + backed)
+        lower = scratch.store(own.select("lang", "gram", "p", F.log2(F.col("p") / backed).alias("weight")))
+        entries.append(weights(lower.select("lang", "gram", "weight"), size, size))
+        stored += [contexts, lower]
+    table = entries[0]
+    for more in entries[1:]:
+        table = table.union(more)
+    table = scratch.store(table)
+    scratch.drop(*stored, *[levels[size] for size in range(1, order)])
+    n = max(1, -(-table.count() // max_grams))
+    # hash ranges side by side in files, so that one is read alone
+    ranged = scratch.store(table.repartitionByRange(min(n, 2000), "key").sortWithinPartitions("key"))
+    parts = []
+    for k in range(n):
+        low, high = (-(2**63) + 2**64 * j // n for j in (k, k + 1))
+        rows = ranged.filter((F.col("key") >= low) & (F.col("key") <= high - 1)).toArrow()
+        parts.append(spark.sparkContext.broadcast(Part(
+            rows["key"].to_numpy(), rows["lang"].to_numpy(), rows["weight"].to_numpy())))
+    scratch.drop(table, ranged)
+    return Parts(langs, order, base, parts)
+
+
+def fit(labelled: DataFrame, text_col: str, lang_col: str, order: int, max_grams: int) -> Model | Parts | None:
     """Model of all labelled texts, or None without any letter."""
     scratch = Scratch(labelled.sparkSession, "langid")
     counts = (labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
               .select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
               .mapInArrow(counter(order), "lang string, gram string, n long"))
     counts = scratch.store(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    # bounded by max_grams: the size of the broadcast model
-    table = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    scratch.drop(counts)
-    if not table.num_rows:
+    n, n_langs = counts.count(), counts.select("lang").distinct().count()
+    if not n:
+        scratch.drop(counts)
         return None
+    if n > max_grams or n * n_langs > CELLS:
+        model = split(counts, order, max_grams, scratch)
+        scratch.drop(counts)
+        return model
+    table = counts.toArrow()
+    scratch.drop(counts)
     langs, lang_of = np.unique(np.array(table["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True)
     return Model(langs.tolist(), np.array(table["gram"].to_pylist(), dtype=object), lang_of, table["n"].to_numpy(), order)
 
 
+def dense_totals(model: Model, text: pa.Array):
+    for row, to, data, offsets in arrays.pieces(text, 1 << 19):
+        codes, doc = letters(data, offsets)
+        ends, logs = model.log_probs(codes, doc)
+        of = doc[ends]
+        yield (np.bincount(of, minlength=to - row),
+               np.column_stack([np.bincount(of, weights=logs[:, k], minlength=to - row) for k in range(len(model.langs))]))
+
+
+def batch_totals(model: Model | Parts, batches):
+    """Each batch with the letters and the log2 probabilities by language of its texts (the last column)."""
+    if not hasattr(model, "parts"):  # classes travel by value, so isinstance does not know them
+        for batch in batches:
+            yield batch, list(dense_totals(model, batch.column(batch.num_columns - 1)))
+        return
+    waiting, held, found = [], [], []  # batches with their number of pieces, pieces to add up, and totals of pieces
+    weight = cells = 0
+    for batch in batches:
+        pieces = 0
+        for row, to, data, offsets in arrays.pieces(batch.column(batch.num_columns - 1), 1 << 19):
+            piece = (*model.windows(*letters(data, offsets)), to - row)
+            held.append(piece)
+            pieces, weight, cells = pieces + 1, weight + len(piece[1]), cells + len(piece[0]) * len(model.langs)
+            if weight >= CHUNK or cells >= CELLS:
+                found += model.totals(held)
+                held, weight, cells = [], 0, 0
+        waiting.append((batch, pieces))
+        while waiting and len(found) >= waiting[0][1]:
+            batch, pieces = waiting.pop(0)
+            yield batch, found[:pieces]
+            found = found[pieces:]
+    found += model.totals(held)
+    for batch, pieces in waiting:
+        yield batch, found[:pieces]
+        found = found[pieces:]
+
+
 def predictor(shared, sharpness: float):
     def predict(batches):
-        model = shared.value
-        for batch in batches:
+        model = shared if hasattr(shared, "parts") else shared.value
+        for batch, totals in batch_totals(model, batches):
             best, scores, bits = [], [], []
-            for row, to, data, offsets in arrays.pieces(batch.column(batch.num_columns - 1), 1 << 19):  # the text is last
-                codes, doc = letters(data, offsets)
-                n = to - row
-                ends, logs = model.log_probs(codes, doc)
-                of = doc[ends]
-                size = np.bincount(of, minlength=n)
-                entropy = np.column_stack([-np.bincount(of, weights=logs[:, k], minlength=n) for k in range(len(model.langs))])
-                entropy /= np.maximum(size, 1)[:, None]
+            for size, logs in totals:
+                entropy = -logs / np.maximum(size, 1)[:, None]
                 low = entropy.min(axis=1)
                 share = np.exp(-sharpness * (entropy - low[:, None]))
                 at = entropy.argmin(axis=1)
@@ -290,7 +467,7 @@ def score(docs: DataFrame, training: Column, keep: list[str], text_col: str = "t
     learnt = F.coalesce(training & F.col(lang_col).isNotNull(), F.lit(False)).alias(train)
     rows = docs.select(*keep, learnt, F.col(text_col).alias(text)).select(*own_columns, train, text)
     scored = Scratch(spark, "langid").store(rows.mapInArrow(
-        predictor(spark.sparkContext.broadcast(model), sharpness), ddl(rows.drop(text), "lang_pred string", "score double", "bits double")))
+        predictor(model if isinstance(model, Parts) else spark.sparkContext.broadcast(model), sharpness), ddl(rows.drop(text), "lang_pred string", "score double", "bits double")))
     # the highest entropy that training texts of the language reach, but for a small part of them
     limits = (scored.filter(F.col(train) & F.col("bits").isNotNull()).groupBy(F.col("lang_pred").alias(lang))
               .agg(F.percentile_approx("bits", 1 - rejected_part, 10_000).alias(limit)))

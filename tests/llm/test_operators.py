@@ -427,6 +427,26 @@ def test_language(spark):
     assert [r.lang_pred for r in unlabelled.collect()] == ["und"]
 
 
+def test_language_model_is_whole(spark, monkeypatch):
+    """However few n-grams a part holds, small languages stay in the model and all results stay the same."""
+    rnd = random.Random(10)
+    docs = [(k, prose(rnd, "en"), "en", "s") for k in range(200)] + [(1000 + k, prose(rnd, "de"), "de", "s") for k in range(8)]
+    docs += [(2000 + k, "東京都 大阪府 北海道 "[k:] + "京都", "ja", "s") for k in range(4)] + [(3000, None, "en", "s"), (3001, "東京 xyz", None, "s")]
+    def judged(**more):
+        got = langid.score(table(spark, docs).repartition(3), F.lit(True), ["doc_id", "lang"], **more).collect()
+        return {r.doc_id: r for r in got}
+    whole, split = judged(), judged(max_grams=100)
+    assert {r.lang_pred for r in split.values()} == {"en", "de", "ja", "und"}
+    monkeypatch.setattr(langid, "CELLS", 50)
+    again = judged(max_grams=100)
+    assert all(r.lang_pred == (r.lang if r.doc_id < 3000 else {3000: "und", 3001: "ja"}[r.doc_id]) for r in split.values())
+    for other in (split, again):
+        assert set(other) == set(whole)
+        for k, r in other.items():
+            assert (r.lang_pred, r.rejected) == (whole[k].lang_pred, whole[k].rejected)
+            assert r.score == pytest.approx(whole[k].score, abs=1e-4) and r.bits == pytest.approx(whole[k].bits, abs=1e-4)
+
+
 def test_language_model_is_a_distribution(spark):
     """Kneser-Ney probabilities of all letters after a context add up to one, but for the share of unseen letters."""
     import numpy as np
