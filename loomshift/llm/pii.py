@@ -1,10 +1,13 @@
 """Sanitising personal data by information theory, with DataFrame functions only.
 
-Personal data of four kinds are found by pattern and are the protected entities. The words around them are terms that may
-reveal them: over all documents it is counted how many hold a term, an entity, and both together (the term near the
-entity). A term discloses an entity when their pointwise mutual information is at least `threshold` of the
-entity's information content, and at least `support` documents show both. Entities and disclosing
-terms are replaced by their class, so a name near an address goes where the corpus shows that it gives the address away.
+Personal data of four kinds are found by pattern and are the protected entities. The words of a text outside them are terms
+that may reveal them: over all documents it is counted how many hold a term, an entity, and both together, anywhere in
+the text. A term discloses an entity when their pointwise mutual information is at least `threshold` of the
+entity's information content, and at least `support` documents show both. Entities are replaced by their class, and
+disclosing terms at each place of every document that holds the entity.
+
+As no term is in more of the entity's documents than there are, a term of n_term documents can only disclose when
+n_term <= n ** (1 - threshold) * n_entity ** threshold; pairs beyond that are not formed, which changes no result.
 
 Spans are code points, end exclusive, sorted by start and kind. Patterns match leftmost and without overlap within
 a kind; a match that fails its check (parts of an ip, digits of a phone, Luhn sum of a card) is dropped and not tried again.
@@ -29,8 +32,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # shorter ones fail the check anyway
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
-CONTEXT = 80  # code points around an entity
 BLOCK = 256   # matches added up together
+FREQUENT = 10_000  # most frequent terms, whose counts are broadcast so that none is a hot key
 
 SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -87,16 +90,15 @@ def starts(matches: Column, pieces: Column) -> Column:
 
 
 def checked(k: int, kind: str) -> Column:
-    """Spans of one kind that pass its check, with the text beside them."""
-    begins, pieces = F.col(f"_s{k}"), F.col(f"_p{k}")
+    """Spans of one kind that pass its check."""
+    begins = F.col(f"_s{k}")
     spans = F.transform(F.col(f"_m{k}"), lambda m, i: F.struct(
-        F.get(begins, i).alias("start"), F.lit(k).alias("kind"), (F.get(begins, i) + F.length(m)).alias("end"), m.alias("value"),
-        F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+        F.get(begins, i).alias("start"), F.lit(k).alias("kind"), (F.get(begins, i) + F.length(m)).alias("end"), m.alias("value")))
     return F.filter(spans, lambda s: passes(kind, s["value"]))
 
 
 def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds _spans, the checked spans of all kinds in order, and _around, the text beside each."""
+    """Adds _spans, the checked spans of all kinds in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     needs = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9]"), "phone": text.contains("+")}
     for k, (kind, pattern) in enumerate(zip(KINDS, [EMAIL, IP, CARD, PHONE], strict=True)):
@@ -106,52 +108,60 @@ def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
         docs = docs.withColumn(f"_p{k}", F.when(F.size(f"_m{k}") > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
     for k in range(4):
         docs = docs.withColumn(f"_s{k}", starts(F.col(f"_m{k}"), F.col(f"_p{k}")))
-    docs = docs.withColumn("_all", F.array_sort(F.concat(*[checked(k, kind) for k, kind in enumerate(KINDS)])))
-    docs = docs.withColumn("_spans", F.transform("_all", lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"])).cast(SPANS))
-    # whole words of the stretch beside a span; a cut word at the far end is left out
-    def tail(s: Column) -> Column:
-        cut = F.right(s["before"], F.lit(CONTEXT))
-        return F.when(F.length(s["before"]) > CONTEXT, F.regexp_replace(cut, r"^[\p{L}\p{N}]+", "")).otherwise(cut)
-    def head(s: Column) -> Column:
-        cut = F.left(s["after"], F.lit(CONTEXT))
-        return F.when(F.length(s["after"]) > CONTEXT, F.regexp_replace(cut, r"[\p{L}\p{N}]+$", "")).otherwise(cut)
-    docs = docs.withColumn("_around", F.transform("_all", lambda s: F.struct(
-        F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), F.lit(":"), s["value"]).alias("entity"),
-        F.array(F.struct((s["start"] - F.length(tail(s))).cast("long").alias("at"), tail(s).alias("text")),
-                F.struct(s["end"].alias("at"), head(s).alias("text"))).alias("sides"))))
-    return docs.drop("_all", *[f"_{x}{k}" for x in "mps" for k in range(4)])
-
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """(_key, entity, term, start, end) for the terms beside the entities of each text, but not within a span."""
-    sides = (found.select("_key", "_spans", F.explode("_around").alias("a"))
-             .select("_key", "_spans", "a.entity", F.explode("a.sides").alias("side"))
-             .withColumn("m", F.regexp_extract_all(F.col("side.text"), F.lit(TERM), F.lit(0)))
-             .filter(F.size("m") > 0).withColumn("p", F.split(F.col("side.text"), TERM, -1)))
-    sides = sides.withColumn("s", starts(F.col("m"), F.col("p")))
-    terms = sides.select("_key", "_spans", "entity", F.col("side.at").alias("at"), F.explode(F.arrays_zip("m", "s")).alias("t"))
-    start = F.col("at") + F.col("t.s")
-    terms = terms.select("_key", "_spans", "entity", F.lower("t.m").alias("term"), start.alias("start"), (start + F.length("t.m")).alias("end"))
-    clash = F.exists("_spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return terms.filter(~clash).drop("_spans")
-
-
-def disclosing(found: DataFrame, terms: DataFrame, texts: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term, information) of the terms that disclose an entity. `found` holds a row per document with entities,
-    `terms` their near terms, `texts` (text) every document."""
-    of_entity = (found.select("_key", "_copies", F.explode(F.array_distinct(F.transform("_around", lambda a: a["entity"]))).alias("entity"))
-                 .groupBy("entity").agg(F.sum("_copies").alias("n_entity")))
-    copies = found.select("_key", "_copies")
-    both = (terms.select("_key", "entity", "term").distinct().join(copies, "_key")
-            .groupBy("entity", "term").agg(F.sum("_copies").alias("n_both")).filter(F.col("n_both") >= support))
+    docs = docs.withColumn("_spans", F.array_sort(F.concat(*[checked(k, kind) for k, kind in enumerate(KINDS)])).cast(SPANS))
+    return docs.drop(*[f"_{x}{k}" for x in "mps" for k in range(4)])
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with as many blanks in place of each span, so that terms keep their places."""
+    def step(acc: Column, s: Column) -> Column:
+        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(
+            F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int")),
+            F.repeat(F.lit(" "), (end - begin).cast("int")))).alias("out"))
+    kept = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step)
+    return bound(kept, lambda k: F.concat(F.array_join(k["out"], ""), F.substring(text, (k["at"] + 1).cast("int"), F.greatest(F.length(text), F.lit(1)))))
+
+
+def term_spans(text: Column, base: Column, wanted: Column) -> Column:
+    """Every place outside the base spans where the text holds a term of `wanted`."""
+    def places(clear: Column) -> Column:
+        found = F.regexp_extract_all(clear, F.lit(TERM), F.lit(0))
+        begins = starts(found, F.split(clear, TERM, -1))
+        spans = F.zip_with(found, begins, lambda m, s: F.struct(
+            s.alias("start"), F.lit(4).alias("kind"), (s + F.length(m)).alias("end"), F.lower(m).alias("value")))
+        return F.filter(spans, lambda s: F.array_contains(wanted, s["value"])).cast(SPANS)
+    return F.when(F.size(wanted) > 0, bound(blanked(text, base), places)).otherwise(F.array().cast(SPANS))
+
+
+def disclosing(rows: DataFrame, texts: DataFrame, threshold: float, support: int, scratch: Scratch) -> DataFrame:
+    """(_no, _wanted): the terms to replace in each document. `rows` (_no, _entities, _terms) holds the documents with
+    entities, `texts` (text) every document."""
+    n = texts.count()
+    most = F.lit(float(n)) ** F.lit(1 - threshold) * F.col("n_entity") ** F.lit(threshold) * F.lit(1 + 1e-9)
+    entities = rows.select("_no", F.explode("_entities").alias("entity"))
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    of_entity = scratch.store(of_entity.filter((F.col("n_entity") >= support) & (F.col("n_entity") < n)).withColumn("most", most))
+    entities = scratch.store(entities.join(of_entity, "entity"))
     of_term = (texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-               .groupBy("term").agg(F.count("*").alias("n_term")))
-    n = F.lit(texts.count()).cast("double")
-    pairs = both.join(of_term, "term").join(of_entity, "entity")
-    shared = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    content = F.log2(n / F.col("n_entity"))
-    return (pairs.filter(F.col("n_entity") < n).withColumn("information", shared / content)
-            .filter(F.col("information") >= threshold).select("entity", "term", "information"))
+               .groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= support))
+    of_term = scratch.store(of_term)
+    frequent = scratch.store(of_term.orderBy(F.desc("n_term"), "term").limit(FREQUENT))
+    # the terms of each document that can disclose one of its entities
+    upto = entities.groupBy("_no").agg(F.max("most").alias("upto"))
+    held = rows.select("_no", "_terms").join(upto, "_no").select("_no", "upto", F.explode("_terms").alias("term"))
+    often = held.join(F.broadcast(frequent), "term")
+    seldom = held.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(of_term, "term")
+    terms = scratch.store(often.unionByName(seldom).filter(F.col("n_term") <= F.col("upto")).drop("upto"))
+    pairs = entities.join(terms, "_no").filter(F.col("n_term") <= F.col("most"))
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    shared = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    content = F.log2(F.lit(float(n)) / F.col("n_entity"))
+    revealing = scratch.store(both.filter(shared / content >= threshold).select("entity", "term"))
+    wanted = pairs.join(revealing, ["entity", "term"]).groupBy("_no").agg(F.collect_set("term").alias("_wanted"))
+    wanted = scratch.store(wanted)
+    scratch.drop(of_entity, entities, of_term, frequent, terms, revealing)
+    return wanted
 
 
 def listed(spans: Column) -> Column:
@@ -180,38 +190,44 @@ def text_key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(text_col, F.lit(""))).cast("binary"))
 
 
-def spans_by_key(docs: DataFrame, id_col: str, text_col: str, threshold: float, support: int) -> DataFrame:
-    """(_key, base, spans) of the documents with entities, one row per id and text."""
+def found_by_key(docs: DataFrame, id_col: str, text_col: str, threshold: float, support: int) -> DataFrame:
+    """(_key, base, wanted) of the documents with entities, one row per id and text: their spans, and the terms to replace."""
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = base_spans(docs.select(text_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text")), "_text").drop("_text")
-    rows = scratch.store(rows.filter(F.size("_spans") > 0))
-    # one row per document with entities, however often it repeats
-    found = scratch.store(rows.groupBy("_key").agg(
-        F.count("*").alias("_copies"), F.first("_spans").alias("_spans"), F.first("_around").alias("_around")))
-    terms = scratch.store(near_terms(found))
-    revealing = scratch.store(disclosing(found, terms, docs.select(F.coalesce(text_col, F.lit("")).alias("text")), threshold, support))
-    added = (terms.join(revealing.select("entity", "term"), ["entity", "term"]).groupBy("_key")
-             .agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value"))).cast(SPANS).alias("_added")))
-    spans = F.array_sort(F.concat("_spans", F.coalesce("_added", F.array().cast(SPANS))))
-    out = scratch.store(found.join(added, "_key", "left").select("_key", F.col("_spans").alias("base"), spans.alias("spans")))
-    scratch.drop(rows, found, terms, revealing)
+    rows = base_spans(docs.select(text_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text")), "_text")
+    names = F.array(*[F.lit(k) for k in KINDS])
+    entities = F.transform("_spans", lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["value"]))
+    words = F.regexp_extract_all(blanked(F.col("_text"), F.col("_spans")), F.lit(TERM), F.lit(0))
+    rows = scratch.store(rows.filter(F.size("_spans") > 0).select(
+        F.monotonically_increasing_id().alias("_no"), "_key", "_spans", F.array_distinct(entities).alias("_entities"),
+        F.array_distinct(F.transform(words, F.lower)).alias("_terms")))
+    wanted = disclosing(rows, docs.select(F.coalesce(text_col, F.lit("")).alias("text")), threshold, support, scratch)
+    # rows of one key agree
+    out = scratch.store(rows.select("_no", "_key", "_spans").join(wanted, "_no", "left").groupBy("_key").agg(
+        F.first("_spans").alias("base"), F.coalesce(F.first("_wanted"), F.array().cast("array<string>")).alias("wanted")))
+    scratch.drop(rows, wanted)
     return out
 
 
+def marked(docs: DataFrame, rows: DataFrame, keep: list[str], id_col: str, text_col: str, threshold: float, support: int) -> tuple[DataFrame, str, str]:
+    """The columns `keep`, the text, and a struct of base and all spans (null without entities), with the names of both."""
+    key, info, text = fresh(rows, "_key"), fresh(rows, "_found"), fresh(rows, "_text")
+    found = found_by_key(docs, id_col, text_col, threshold, support).select(F.col("_key").alias(key), F.struct("base", "wanted").alias(info))
+    joined = docs.select(*keep, F.col(text_col).alias(text), text_key(id_col, text_col).alias(key)).join(found, key, "left").drop(key)
+    base = F.col(f"{info}.base")
+    spans = F.array_sort(F.concat(base, term_spans(F.col(text), base, F.col(f"{info}.wanted"))))
+    return joined.withColumn(info, F.when(F.col(info).isNotNull(), F.struct(base.alias("base"), spans.alias("spans")))), text, info
+
+
 def detect(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
     """The columns `keep` with base (spans of the four kinds) and spans (these and the disclosing terms, kind 4)."""
     none = F.array().cast(SPANS)
     rows = docs.select(*keep)
-    key, info = fresh(rows, "_key"), fresh(rows, "_found")
-    found = spans_by_key(docs, id_col, text_col, threshold, support).select(F.col("_key").alias(key), F.struct("base", "spans").alias(info))
-    return docs.select(*keep, text_key(id_col, text_col).alias(key)).join(found, key, "left").select(
-        *columns(rows, ("base", "spans")), F.coalesce(f"{info}.base", none).alias("base"), F.coalesce(f"{info}.spans", none).alias("spans"))
+    all_, _, info = marked(docs, rows, keep, id_col, text_col, threshold, support)
+    return all_.select(*columns(rows, ("base", "spans")), F.coalesce(f"{info}.base", none).alias("base"), F.coalesce(f"{info}.spans", none).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
     """The documents with entities and disclosing terms replaced; their other columns stay."""
-    key, info = fresh(docs, "_key"), fresh(docs, "_found")
-    found = spans_by_key(docs, id_col, text_col, threshold, support).select(F.col("_key").alias(key), F.col("spans").alias(info))
-    marked = docs.withColumn(key, text_key(id_col, text_col)).join(found, key, "left")
-    text = F.when(F.col(info).isNotNull(), replaced(F.col(text_col), F.col(info))).otherwise(F.col(text_col))
-    return marked.withColumn(text_col, text).select(*columns(docs))
+    all_, text, info = marked(docs, docs, columns(docs), id_col, text_col, threshold, support)
+    clean = F.when(F.col(info).isNotNull(), replaced(F.col(text), F.col(f"{info}.spans"))).otherwise(F.col(text))
+    return all_.withColumn(text_col, clean).select(*columns(docs))

@@ -267,6 +267,22 @@ def test_disclosing_terms(spark):
     assert texts[10] == docs[4][1] and len(texts) == len(docs)
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    """A name far from the address is found, and goes at each place of the documents that hold the address, and only there."""
+    far = "the office and the letter " * 40
+    docs = [(k, f"Zephyrine asked, {far} write to z@mail.example {far} as Zephyrine, ZEPHYRINE said", None, None) for k in range(4)]
+    docs += [(4, docs[0][1], None, None), (4, docs[0][1], None, None), (5, None, None, None), (6, "Zephyrine alone", None, None)]
+    docs += [(10 + k, "the office and the letter, as said, write asked to", None, None) for k in range(40)]
+    got = pii.detect(table(spark, docs), ["doc_id", "text"]).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        places = [(m.start(), m.end()) for m in re.finditer("(?i)zephyrine", r.text or "")] if r.doc_id < 5 else []
+        assert [(s.start, s.end) for s in r.spans if s.kind == 4] == places
+    texts = [(r.doc_id, r.text) for r in pii.sanitise(table(spark, docs)).collect()]
+    assert all("zephyrine" not in t.lower() and t.count("[NAME]") == 3 for i, t in texts if i < 5)
+    assert dict(texts)[6] == "Zephyrine alone"
+
+
 # --- licenses ---------------------------------------------------------------------------
 
 
