@@ -1,6 +1,7 @@
 """A training corpus from raw documents: reject, deduplicate, decontaminate, sanitise, mix.
 
-Each stage reads what the one before it kept, written as Parquet in the shared folder.
+Each stage reads what the one before it kept, written as Parquet in the shared folder. The last one says how often the mix
+takes each document; `run` gives the mix itself.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomshift.llm import decontaminate, jaccard, mixing, pii, quality
-from loomshift.llm.common import Scratch, fold
+from loomshift.llm.common import Scratch, columns, fold
 from loomshift.llm.registry import query
 from loomshift.session import configure, read_table
 
@@ -46,6 +47,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def drawn(docs: DataFrame) -> DataFrame:
+    """The mix: each document as often as it is taken, numbered by `copy` from 1; those not taken are left out."""
+    copies = F.when(F.col("repeats") > 0, F.sequence(F.lit(1).cast("long"), F.col("repeats").cast("long")))
+    return docs.select(*columns(docs, ("copy",)), F.explode(copies).alias("copy"))
+
+
 STAGES = [
     ("quality classifier", quality_classifier),
     ("n-gram Jaccard join", near_duplicates),
@@ -60,7 +67,7 @@ ORACLE_SQL = None
 
 @query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents."""
+    """All stages over all documents, and the mix drawn."""
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
@@ -68,4 +75,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if hasattr(docs, "_folder"):
             scratch.drop(docs)
         docs = done
-    return docs
+    return drawn(docs)

@@ -103,6 +103,18 @@ def test_pipeline_stages(spark, documents):
         state = spark.createDataFrame(kept, after.schema)
 
 
+def test_pipeline_gives_the_mix(spark, monkeypatch):
+    """A document is in the result as often as the mix takes it, and not at all where it takes none."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    mixed = corpus_pipeline.source_mix(spark, spark.read.parquet(f"{SF_DIR}/documents.parquet"), SF_DIR)
+    repeats = {r.doc_id: r.repeats for r in mixed.select("doc_id", "repeats").collect()}
+    assert {0, 1} < set(repeats.values())
+    got = corpus_pipeline.run(spark, SF_DIR)
+    assert got.columns == [*mixed.columns, "copy"]
+    copies = got.select("doc_id", F.col("copy").alias("number")).collect()
+    assert Counter((r.doc_id, r.number) for r in copies) == Counter((i, k) for i, n in repeats.items() for k in range(1, n + 1))
+
+
 def test_pipeline_handles_odd_tables(spark, tmp_path):
     """Nulls everywhere, repeated rows, blank texts and an empty table pass all stages."""
     import shutil
