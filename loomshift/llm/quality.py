@@ -8,7 +8,7 @@ of them by exact cosine products, block by block; the `neighbours` nearest vote
 The sample is bounded by `sample` rows, chosen by the hash of their ids. All documents are scored over their whole text.
 
 Defined cases: null and empty texts, and texts without any neighbour, score the mean label; without any labelled row
-every score is 0.5; labels other than 0 and 1 and null are not learnt from; contradicting labels
+every score is 0.5 and every document is accepted; labels other than 0 and 1 and null are not learnt from; contradicting labels
 of one id count as 0; of rows that share an id one is learnt from; equal cosines count in the order of the sample.
 """
 
@@ -182,9 +182,10 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The documents that score `threshold` or more, unchanged. Each row is judged by its text alone, so nothing is shuffled."""
+    """The documents that score `threshold` or more, unchanged. Each row is judged by its text alone, so nothing is shuffled.
+    Without a model nothing was learnt, so no document is rejected."""
     if model is None:
-        return docs if threshold <= 0.5 else docs.limit(0)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -501,6 +501,15 @@ def test_quality(spark):
     assert {r.score for r in quality.score(frame, None, ["doc_id"]).collect()} == {0.5}
 
 
+def test_quality_without_labels(spark):
+    """Where nothing could be learnt, no document is rejected."""
+    frame = table(spark, [(1, "clean text", None, None), (1, "clean text", None, None), (None, None, None, None)])
+    labels = spark.createDataFrame([(None, None), (1, None)], "doc_id long, quality int")
+    for none in (labels, labels.limit(0)):
+        model = quality.fit(frame, none, F.lit(True))
+        assert model is None and Counter(quality.accepted(frame, model).collect()) == Counter(frame.collect())
+
+
 def test_nearest_neighbours_are_exact():
     import numpy as np
 
