@@ -17,6 +17,7 @@ from loomshift.functions import text
 
 # task functions travel with the job: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(fixed)
 
 
 def literal_map(rules: Mapping[str, str]) -> Column:
