@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, substrings, topk, warc
+from loomshift.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, rules, substrings, topk, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -137,3 +137,35 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     """Licenses that documents hold."""
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
+s AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM s),
+p AS (SELECT DISTINCT r, i + unnest(range(0, 3)) AS pos FROM k WHERE n > 1),
+a AS (SELECT r, count(*) AS n FROM p GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words,
+             len(regexp_extract_all(text, '\p{L}')) AS n_letters, len(regexp_extract_all(text, '\p{Lu}')) AS n_capitals,
+             len(regexp_extract_all(text, '!')) AS n_exclaims
+      FROM w LEFT JOIN a USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
+            OR (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines) OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 100 * n_letters < 70 * word_chars OR 2 * n_capitals > n_letters OR 5 * n_exclaims > n_words) AS kept
+FROM m
+"""
+
+
+@query("op11_rules", RULES_SQL)
+def op11(spark, sf_dir):
+    """Verdict of the rule cascade on every document, with the measures of its base rules."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = rules.cascade(docs, always=("words", "symbols", "lines", "repeats"))
+    failed = F.expr(" OR ".join(f"({r.fails})" for r in rules.BASE_RULES))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
