@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, rules, substrings, topk, warc
+from loomshift.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, rules, structure, substrings, topk, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -169,3 +169,63 @@ def op11(spark, sf_dir):
     judged = rules.cascade(docs, always=("words", "symbols", "lines", "repeats"))
     failed = F.expr(" OR ".join(f"({r.fails})" for r in rules.BASE_RULES))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+
+
+STRUCTURE_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)),
+o AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             [ascii(x) FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS bytes FROM conversations),
+h AS (SELECT o.*, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM o, bits),
+r AS (SELECT g, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) FROM h WHERE fault <> 0),
+n AS (SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+             NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+             regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') AS short FROM r),
+f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+             lag(role) OVER (PARTITION BY g ORDER BY i) AS prior FROM n),
+code AS (SELECT g, i, role, text, blank OR again AS dead, (short AND NOT blank AND NOT again)::BIGINT AS cut, substr(role, 1, 1) AS k FROM f),
+sums AS (SELECT g, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank,
+                count_if(again)::BIGINT AS duplicate, count_if(short AND NOT blank AND NOT again)::BIGINT AS truncated,
+                count_if(prior IS NOT NULL AND substr(prior, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+         FROM f GROUP BY g),
+back AS (
+  SELECT g, n + 1 AS i, [0, 4, 2, 0]::BIGINT[] AS v FROM sums
+  UNION ALL
+  SELECT g, i, CASE WHEN dead THEN [x + 3 FOR x IN v] ELSE [least(w[1], 2 + x2), least(w[2], 2 + x2), x2, least(w[4], 2 + x2)] END
+  FROM (SELECT *, least(w[3], 2 + w[4]) AS x2 FROM (
+    SELECT c.g, c.i, c.dead, b.v, [
+      least(3 + v[1], 2 + cut + v[3], CASE k WHEN 'u' THEN cut + v[3] WHEN 's' THEN cut + v[2] ELSE 99 + v[1] END),
+      least(3 + v[2], 2 + cut + v[3], CASE k WHEN 'u' THEN cut + v[3] ELSE 99 + v[2] END),
+      least(3 + v[3], 2 + cut + v[4], CASE k WHEN 'a' THEN cut + v[4] ELSE 99 + v[3] END),
+      least(3 + v[4], 2 + cut + v[3], CASE k WHEN 'u' THEN cut + v[3] ELSE 99 + v[4] END)] AS w
+    FROM back b JOIN code c ON c.g = b.g AND c.i = b.i - 1))),
+walk AS (
+  SELECT g, 1::BIGINT AS i, 1 AS s, '' AS audit, []::VARCHAR[] AS turns FROM sums
+  UNION ALL
+  SELECT g, CASE WHEN e = 'I' THEN i ELSE i + 1 END,
+         CASE e WHEN 'D' THEN s WHEN 'K' THEN CASE k WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE t END, audit || e,
+         CASE e WHEN 'D' THEN turns WHEN 'I' THEN list_append(turns, new || ':') WHEN 'K' THEN list_append(turns, role || ':' || text)
+                ELSE list_append(turns, new || ':' || text) END
+  FROM (SELECT w.g, w.i, s, audit, turns, role, text, k, t, CASE WHEN t = 3 THEN 'user' ELSE 'assistant' END AS new,
+               CASE WHEN dead OR 3 + x.v[s] = b.v[s] THEN 'D' WHEN 2 + b.v[t] = b.v[s] THEN 'I'
+                    WHEN (k = 'u' AND s <> 3 AND cut + x.v[3] = b.v[s]) OR (k = 'a' AND s = 3 AND cut + x.v[4] = b.v[s])
+                         OR (k = 's' AND s = 1 AND cut + x.v[2] = b.v[s]) THEN 'K' ELSE 'R' END AS e
+        FROM (SELECT *, CASE WHEN s = 3 THEN 4 ELSE 3 END AS t FROM walk) w JOIN back b ON b.g = w.g AND b.i = w.i
+        LEFT JOIN code c ON c.g = w.g AND c.i = w.i LEFT JOIN back x ON x.g = w.g AND x.i = w.i + 1
+        WHERE c.i IS NOT NULL OR s IN (2, 3))),
+done AS (SELECT w.g, audit, turns FROM walk w JOIN sums USING (g) WHERE w.i = n + 1 AND s IN (1, 4))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.v[1], 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM o) LEFT JOIN sums USING (g) LEFT JOIN done USING (g) LEFT JOIN back b ON b.g = done.g AND b.i = 1
+"""
+
+
+@query("op12_structure", STRUCTURE_SQL)
+def op12(spark, sf_dir):
+    """The cheapest repair of every damaged conversation."""
+    conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure.audits(structure.damaged(conversations), lost=conversations)
