@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomshift.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, rules, structure, substrings, topk, warc
+from loomshift.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, rules, structure, substrings, topk, trie, warc
 from loomshift.llm.common import Scratch, fold, held_out
 from loomshift.llm.registry import query
 from loomshift.session import read_table
@@ -229,3 +229,36 @@ def op12(spark, sf_dir):
     """The cheapest repair of every damaged conversation."""
     conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return structure.audits(structure.damaged(conversations), lost=conversations)
+
+
+TRIE_SQL = r"""
+WITH bits AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)),
+o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT c, c - c % 100 AS base, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT c, [ascii(x) FOR x IN string_split(c::VARCHAR, '')] AS bytes FROM o), bits),
+t AS (SELECT m.c, 0 AS own, o.i, role, text FROM m JOIN o ON o.c = m.base AND o.i <= h
+      UNION ALL SELECT m.c, 1, o.i, role, text FROM m JOIN o ON o.c = m.c AND o.i > h),
+p AS (SELECT c, d, n_chars, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS p
+      FROM (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, length(text) AS n_chars, md5(role) || md5(text) AS k FROM t)
+      UNION ALL SELECT c, 0, 0, '' FROM m),
+n AS (SELECT d, p, min(c) AS conv, count(*) AS n_convs, any_value(n_chars) AS n_chars FROM p GROUP BY d, p),
+k AS (SELECT n.*, u.conv AS up, coalesce(x.n_children, 0) AS n_children
+      FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.p = left(n.p, len(n.p) - 64)
+      LEFT JOIN (SELECT d - 1 AS d, left(p, len(p) - 64) AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL) x ON x.d = n.d AND x.p = n.p),
+s AS (SELECT p.d, p.p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * k.n_chars) AS saved
+      FROM k JOIN p ON p.c = k.conv AND p.d <= k.d GROUP BY p.d, p.p),
+e AS (SELECT d, p, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT arg_max(p, d) AS p, max(d) AS d, c FROM p GROUP BY c) GROUP BY d, p)
+SELECT conv AS conv_id, k.d::BIGINT AS depth, up AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM k JOIN s ON s.d = k.d AND s.p = k.p LEFT JOIN e ON e.d = k.d AND e.p = k.p
+"""
+
+
+@query("op13_trie", TRIE_SQL)
+def op13(spark, sf_dir):
+    """The prefix trie of all rebuilt conversations with its subtree totals."""
+    return trie.of_rebuilt(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
