@@ -31,19 +31,22 @@ def lines(col) -> Column:
     )
 
 
-def substitute(col, pattern: str, replacement: Callable[[Column], Column], needs: str = "") -> Column:
+def substitute(col, pattern: str | Column, replacement: Callable[[Column], Column], needs: str = "") -> Column:
     """Replace every match of a pattern by a column computed from the match.
 
     One pass whatever the number of rules behind `replacement`, and replaced
-    text is never matched again.  The pattern must not match an empty text.
+    text is never matched again.  The pattern, which a column may give per row, must not match an empty text.
     `needs` is plain text in every match: texts without it skip the pattern.
     """
 
+    wanted = pattern if isinstance(pattern, Column) else F.lit(pattern)
+
     def rebuilt(text: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replacement)
+        between = F.split(text, wanted, F.lit(-1))
+        hits = F.transform(F.regexp_extract_all(text, wanted, F.lit(0)), replacement)
         pieces = F.array_join(F.zip_with(between, hits, lambda piece, hit: F.concat(piece, F.coalesce(hit, F.lit("")))), "")
-        hit = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+        matched = F.rlike(text, wanted)
+        hit = text.contains(needs) & matched if needs else matched
         return F.when(hit, pieces).otherwise(text)
 
     # the input is named by a function argument, so nested rewrites work out each text once

@@ -1,4 +1,8 @@
-"""Lookups and rewrites driven by mapping tables: datasets, paths, names."""
+"""Lookups and rewrites driven by mapping tables: datasets, paths, names.
+
+Rules are a dict, which becomes one constant, or a column that holds a map per row: `with_rules` finds in a table of any
+size the rules that occur in each file, so the same rewrites serve both.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +23,12 @@ PROJECT = fixed.DEFAULT_PROJECT
 
 
 _literal_map = extract.literal_map
+Rules = Mapping[str, str] | Column
+
+
+def _target(rules: Rules, key: Column) -> Column:
+    """What the rules have for a key, else NULL."""
+    return F.try_element_at(rules if isinstance(rules, Column) else _literal_map(rules), key)
 
 
 def _longest_first(names) -> list[str]:
@@ -28,9 +38,9 @@ def _longest_first(names) -> list[str]:
 # --- datasets ---------------------------------------------------------------
 
 
-def dataset_of(col, dataset_map: Mapping[str, str]) -> Column:
+def dataset_of(col, dataset_map: Rules) -> Column:
     name = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.try_element_at(_literal_map(dataset_map), name), name)
+    return F.coalesce(_target(dataset_map, name), name)
 
 
 def dataset_lookup(df: DataFrame, name: str, datasets: DataFrame, out: str = "dataset") -> DataFrame:
@@ -47,18 +57,23 @@ def dataset_lookup(df: DataFrame, name: str, datasets: DataFrame, out: str = "da
 # --- paths ------------------------------------------------------------------
 
 
-def map_path(col, path_map: Mapping[str, str], bucket: str = BUCKET, boundary: bool = False) -> Column:
+def map_path(col, path_map: Rules, bucket: str = BUCKET, boundary: bool = False) -> Column:
     """Longest prefix wins; a path without one goes below the bucket."""
     path = F.col(col) if isinstance(col, str) else col
-    rules = _literal_map(path_map)
-    tried = []
-    # a lookup per length that occurs, not per rule
-    for n in sorted({len(p) for p in path_map}, reverse=True):
-        head = F.substr(path, F.lit(1), F.lit(n))
+
+    def at(n: Column) -> Column:
+        head = F.substr(path, F.lit(1), n)
         if boundary:
-            rest = F.substr(path, F.lit(n + 1), F.lit(1))
+            rest = F.substr(path, n + 1, F.lit(1))
             head = F.when((rest == "") | (rest == "/") | F.endswith(head, F.lit("/")), head)
-        tried.append(F.concat(F.try_element_at(rules, F.when(F.length(path) >= n, head)), F.substr(path, F.lit(n + 1))))
+        return F.concat(_target(path_map, F.when(F.length(path) >= n, head)), F.substr(path, n + 1))
+
+    # a lookup per length that occurs, not per rule
+    if isinstance(path_map, Column):
+        lengths = F.sort_array(F.array_distinct(F.transform(F.map_keys(path_map), F.length)), asc=False)
+        tried = [F.get(F.filter(F.transform(lengths, at), lambda x: x.isNotNull()), F.lit(0))]
+    else:
+        tried = [at(F.lit(n)) for n in sorted({len(p) for p in path_map}, reverse=True)]
     return F.coalesce(*tried, F.concat(F.lit(bucket), path))
 
 
@@ -81,15 +96,25 @@ def longest_prefix_join(df: DataFrame, key: str, path: str, prefixes: DataFrame,
         key, path, F.col("__best.prefix").alias("prefix"), F.coalesce(target, F.concat(F.lit(bucket), p)).alias("mapped"))
 
 
-def _shared(path_map: Mapping[str, str], roots=()) -> str:
-    return os.path.commonprefix([*path_map, *roots])
+def _shared(path_map: Rules, roots=()) -> str:
+    return "" if isinstance(path_map, Column) else os.path.commonprefix([*path_map, *roots])
+
 
+def _any_of(rules: Column, *more: str) -> Column:
+    """Pattern of any key of a map, the longest first, or of one of the patterns given; without any it matches nothing."""
+    longer = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    keys = F.transform(F.array_sort(F.map_keys(rules), longer), lambda k: F.regexp_replace(k, r"([\\^$.|?*+()\[\]{}])", r"\\$1"))
+    parts = F.concat(keys, F.array(*map(F.lit, more)).cast("array<string>"))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("(?:"), F.array_join(parts, "|"), F.lit(")"))).otherwise("(?!)")
 
-def _prefix_pattern(path_map: Mapping[str, str], roots=(), stop: str = "") -> str:
+
+def _prefix_pattern(path_map: Rules, roots=(), stop: str = "") -> str | Column:
     """Any of the prefixes, or a root with something before the stop after it.
 
     What they share comes first, so a search can skip ahead.
     """
+    if isinstance(path_map, Column):
+        return _any_of(path_map, *[re.escape(r) + f"(?=[^{stop}])" for r in roots])
     names = _longest_first(path_map)
     shared = _shared(path_map, roots)
     rests = [re.escape(n[len(shared):]) for n in names]
@@ -97,14 +122,20 @@ def _prefix_pattern(path_map: Mapping[str, str], roots=(), stop: str = "") -> st
     return re.escape(shared) + "(?:" + "|".join(rests) + ")"
 
 
-def rewrite_quoted_paths(col, path_map: Mapping[str, str], bucket: str = BUCKET, roots=("/corp/",),
+def _joined(*parts: str | Column) -> str | Column:
+    if not any(isinstance(p, Column) for p in parts):
+        return "".join(parts)
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def rewrite_quoted_paths(col, path_map: Rules, bucket: str = BUCKET, roots=("/corp/",),
                          quotes: str = "'") -> Column:
     """Storage paths inside quotes, moved to their targets."""
     out = F.col(col) if isinstance(col, str) else col
-    if not path_map and not roots:
+    if not isinstance(path_map, Column) and not path_map and not roots:
         return out
     for q in quotes:
-        pattern = f"{q}{_prefix_pattern(path_map, roots, q)}[^{q}]*{q}"
+        pattern = _joined(q, _prefix_pattern(path_map, roots, q), f"[^{q}]*{q}")
         out = text.substitute(
             out, pattern,
             lambda hit: F.concat(F.lit(q), map_path(F.substr(hit, F.lit(2), F.length(hit) - 2), path_map, bucket), F.lit(q)),
@@ -113,34 +144,34 @@ def rewrite_quoted_paths(col, path_map: Mapping[str, str], bucket: str = BUCKET,
     return out
 
 
-def rewrite_bare_paths(col, path_map: Mapping[str, str], bucket: str = BUCKET) -> Column:
+def rewrite_bare_paths(col, path_map: Rules, bucket: str = BUCKET) -> Column:
     """Storage paths as bare words."""
     out = F.col(col) if isinstance(col, str) else col
-    if not path_map:
+    if not isinstance(path_map, Column) and not path_map:
         return out
-    pattern = _prefix_pattern(path_map) + r"\S+"
+    pattern = _joined(_prefix_pattern(path_map), r"\S+")
     return text.substitute(out, pattern, lambda hit: map_path(hit, path_map, bucket), needs=_shared(path_map))
 
 
 # --- names ------------------------------------------------------------------
 
 
-def _reference(hit: Column, dataset_map: Mapping[str, str], project: str) -> Column:
+def _reference(hit: Column, dataset_map: Rules, project: str) -> Column:
     """Qualified name for a ${db}.table match, NULL when the db is not mapped."""
     db = F.regexp_extract(hit, fixed.DB_TABLE_REF, 1)
     table = F.regexp_extract(hit, fixed.DB_TABLE_REF, 2)
-    dataset = F.try_element_at(_literal_map(dataset_map), db)
+    dataset = _target(dataset_map, db)
     return F.concat(F.lit(f"`{project}."), dataset, F.lit("."), table, F.lit("`"))
 
 
-def qualify_refs(col, dataset_map: Mapping[str, str], project: str = PROJECT) -> Column:
+def qualify_refs(col, dataset_map: Rules, project: str = PROJECT) -> Column:
     """${db}.table becomes a qualified reference where the db is mapped."""
     return text.substitute(
         col, fixed.DB_TABLE_REF, lambda hit: F.coalesce(_reference(hit, dataset_map, project), hit), needs="${"
     )
 
 
-def qualify_notes(col, dataset_map: Mapping[str, str], project: str = PROJECT) -> Column:
+def qualify_notes(col, dataset_map: Rules, project: str = PROJECT) -> Column:
     """One note per rewritten reference, in text order."""
     name = F.col(col) if isinstance(col, str) else col
     hits = F.regexp_extract_all(name, F.lit(fixed.DB_TABLE_REF), F.lit(0))
@@ -148,29 +179,29 @@ def qualify_notes(col, dataset_map: Mapping[str, str], project: str = PROJECT) -
     return F.array_compact(noted)
 
 
-def rename_assigned(col, dataset_map: Mapping[str, str]) -> Column:
+def _names_pattern(dataset_map: Rules) -> str | Column:
+    if isinstance(dataset_map, Column):
+        return _any_of(dataset_map)
+    return "(?:" + "|".join(re.escape(n) for n in _longest_first(dataset_map)) + ")" if dataset_map else "(?!)"
+
+
+def rename_assigned(col, dataset_map: Rules) -> Column:
     """`=db` at a word end becomes `=dataset`."""
-    names = "|".join(re.escape(n) for n in _longest_first(dataset_map))
-    if not names:
-        return F.col(col) if isinstance(col, str) else col
     return text.substitute(
-        col, rf"=(?:{names})\b",
-        lambda hit: F.concat(F.lit("="), F.try_element_at(_literal_map(dataset_map), F.substr(hit, F.lit(2)))),
+        col, _joined("=", _names_pattern(dataset_map), r"\b"),
+        lambda hit: F.concat(F.lit("="), _target(dataset_map, F.substr(hit, F.lit(2)))),
     )
 
 
-def rename_quoted(col, dataset_map: Mapping[str, str]) -> Column:
+def rename_quoted(col, dataset_map: Rules) -> Column:
     """A quoted db name becomes the quoted dataset."""
-    names = "|".join(re.escape(n) for n in _longest_first(dataset_map))
-    if not names:
-        return F.col(col) if isinstance(col, str) else col
 
     def renamed(hit):
         quote = F.substr(hit, F.lit(1), F.lit(1))
         inner = F.substr(hit, F.lit(2), F.length(hit) - 2)
-        return F.concat(quote, F.try_element_at(_literal_map(dataset_map), inner), quote)
+        return F.concat(quote, _target(dataset_map, inner), quote)
 
-    return text.substitute(col, rf"([\"'])(?:{names})\1", renamed)
+    return text.substitute(col, _joined("([\"'])", _names_pattern(dataset_map), r"\1"), renamed)
 
 
 def residual_variables(col) -> Column:
@@ -258,12 +289,104 @@ def rewrite_quoted_paths_by_table(files: DataFrame, prefixes: DataFrame, bucket:
     return substitute_by_table(files, f"{quote}/[^{quote}]*{quote}", resolve)
 
 
+# --- the rules of a table that occur in a file ------------------------------------------
+
+
+# Heads of rules that one pattern holds; a table with more distinct heads gets shorter ones.
+MAX_HEADS = 1000
+HEAD_LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+_REWRITTEN = ("hql", "hdl", "shell", "config", "pyspark")
+
+
+def trie_pattern(words: list[str]) -> str:
+    """One pattern for any of the words, their common beginnings read once: a search fails at the first character that no word has."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spelled(node: dict) -> str:
+        out = ""
+        # an unbranched stretch is plain text
+        while len(node) == 1 and "" not in node:
+            (c, node), = node.items()
+            out += re.escape(c)
+        branches = [re.escape(c) + spelled(below) for c, below in sorted(node.items()) if c]
+        if not branches:
+            return out
+        return out + "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
+
+    return spelled(trie) if trie else "(?!)"
+
+
+def heads_of(rules: DataFrame, key: str) -> list[str] | None:
+    """Distinct beginnings of the keys, as long as there are at most MAX_HEADS of them; None where even first characters are more."""
+    counts = rules.agg(*[F.approx_count_distinct(F.substr(key, F.lit(1), F.lit(n))).alias(f"n{n}") for n in HEAD_LENGTHS]).first()
+    for n in sorted(HEAD_LENGTHS, reverse=True):
+        if counts[f"n{n}"] <= MAX_HEADS:
+            found = rules.select(F.substr(key, F.lit(1), F.lit(n)).alias("h")).distinct().limit(MAX_HEADS + 1).collect()
+            if len(found) <= MAX_HEADS:
+                return [r.h for r in found]
+    return None
+
+
+def _starts(content: Column, rules: DataFrame, key: str, behind: str = "") -> Column:
+    """Every place of a text where a key of the rules may begin, as the text from there on, no longer than the longest key."""
+    longest = rules.agg(F.max(F.length(key))).first()[0] or 1
+    heads = heads_of(rules, key)
+    head = "" if heads is None else f"(?={trie_pattern(heads)})"
+    pattern = rf"{behind}{head}(?=([\s\S]{{1,{longest}}}))"
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)))
+
+
+def with_rules(classified: DataFrame, datasets: DataFrame | None, prefixes: DataFrame | None) -> DataFrame:
+    """Adds maps `__names` and `__paths`: the rules whose key stands in the file at a place where a rewrite looks for it.
+
+    A trie over the heads of the keys finds the places in one pass over each text; what stands there meets the rules
+    by equality at the key lengths that occur, so a table of any size is only ever joined. Rules are one per key (the
+    largest value), null keys or values are left out. Texts move once, in the join of the maps, or not at all where
+    the maps are few enough to broadcast. Names that only arise from the target of a path are not looked for.
+    """
+    found = []
+    kind, content = F.col("file_type"), F.col("content")
+    for out, table, key, value in (("__names", datasets, "hive_name", "dataset"), ("__paths", prefixes, "prefix", "target")):
+        if table is None:
+            continue
+        rules = table.where(F.col(key).isNotNull() & F.col(value).isNotNull() & (F.col(key) != ""))
+        rules = stored(rules.groupBy(F.col(key).alias("key")).agg(F.max(value).alias("value")), "rules")
+        quoted = _starts(content, rules, "key", "(?<=[=\"'{])" if out == "__names" else "(?<=[\"'])")
+        starts = quoted if out == "__names" else F.when(kind.isin("shell", "config"), _starts(content, rules, "key")).otherwise(quoted)
+        lengths = rules.agg(F.collect_set(F.length("key")).alias("x")).scalar()
+        places = classified.where(kind.isin(*_REWRITTEN)).select("rel_path", F.explode(starts).alias("start"))
+        places = places.select("rel_path", "start", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("start"))
+        heads = places.select("rel_path", F.substr("start", F.lit(1), F.col("n")).alias("key")).distinct()
+        found.append(heads.join(rules, "key").select("rel_path", F.lit(out).alias("kind"), F.struct("key", "value").alias("rule")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    if not found:
+        return classified.withColumns({"__names": none, "__paths": none})
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    maps = [F.map_from_entries(F.collect_set(F.when(F.col("kind") == out, F.col("rule")))).alias(out) for out in ("__names", "__paths")]
+    per_file = stored(every.groupBy("rel_path").agg(*maps), "used-rules")
+    joined = classified.join(per_file, "rel_path", "left")
+    return joined.withColumns({c: F.coalesce(c, none) for c in ("__names", "__paths")})
+
+
 # --- all rewrites of one file -------------------------------------------------
 
 
-def rewrite(classified: DataFrame, dataset_map: Mapping[str, str], path_map: Mapping[str, str],
+def rewrite(classified: DataFrame, dataset_map: Mapping[str, str] | DataFrame, path_map: Mapping[str, str] | DataFrame,
             project: str = PROJECT, bucket: str = BUCKET) -> DataFrame:
-    """Adds `converted` (the rewritten text) and `source_notes` by file type."""
+    """Adds `converted` (the rewritten text) and `source_notes` by file type.
+
+    Rules come as dicts or as tables, datasets(hive_name, dataset) and prefixes(prefix, target), with equal results."""
+    own = classified.columns
+    tables = [x if isinstance(x, DataFrame) else None for x in (dataset_map, path_map)]
+    if any(x is not None for x in tables):
+        classified = with_rules(classified, *tables)
+        dataset_map, path_map = (F.col(c) if t is not None else given for c, t, given in
+                                 zip(("__names", "__paths"), tables, (dataset_map, path_map)))
     kind = F.col("file_type")
     no_use = F.regexp_replace("content", r"USE\s+\$\{\w+\};?\s*\n?", "")
     hql = rewrite_quoted_paths(qualify_refs("content", dataset_map, project), path_map, bucket)
@@ -285,4 +408,4 @@ def rewrite(classified: DataFrame, dataset_map: Mapping[str, str], path_map: Map
         .when(kind == "filters", F.array(extract.filter_note()))
         .otherwise(F.array().cast("array<string>"))
     )
-    return classified.withColumn("converted", converted).withColumn("source_notes", notes)
+    return classified.select(*own, converted.alias("converted"), notes.alias("source_notes"))

@@ -16,9 +16,11 @@ def discover(files: DataFrame) -> DataFrame:
     return corpus.classify(files).withColumn("output_path", F.when(F.col("file_type") != "skip", corpus.output_path()))
 
 
-def convert(discovered: DataFrame, dataset_map: Mapping[str, str], path_map: Mapping[str, str],
+def convert(discovered: DataFrame, dataset_map: Mapping[str, str] | DataFrame, path_map: Mapping[str, str] | DataFrame,
             project: str = mapping.PROJECT, bucket: str = mapping.BUCKET) -> DataFrame:
-    """Run state rows of all targets, with the rewritten text and the review flags."""
+    """Run state rows of all targets, with the rewritten text and the review flags.
+
+    The mappings are dicts or tables, datasets(hive_name, dataset) and prefixes(prefix, target), of any size."""
     rewritten = mapping.rewrite(corpus.targets(discovered), dataset_map, path_map, project, bucket)
     flagged = corpus.review_flags(rewritten, converted="converted", source_notes=F.col("source_notes"))
     return flagged.select(

@@ -178,7 +178,33 @@ def with_ctes(**ctes: str) -> str:
     return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in ctes.items()) + "\n"
 
 
-TABLES = ["documents", "labels", "events", "conversations"]
+# --- mapping tables of many rules, which grow with the data ----------------------------
+
+_RULE_HEADS = {"orders": ("/corp/other/", "gs://other/k", "o_orderkey"), "supplier": ("/corp/landing/in_", "gs://in-", "s_suppkey"),
+               "customer": ("/corp/metrics/db_", "gs://db/", "c_custkey"), "part": ("/corp/metrics/export_", "gs://exp/", "p_partkey")}
+_LINE_RULES = "SELECT concat('{head}', l_orderkey, '.', l_linenumber) AS prefix, concat('{to}', l_orderkey) AS target FROM lineitem"
+PATH_RULES = " UNION ALL ".join(
+    [f"SELECT concat('{head}', {key}) AS prefix, concat('{to}', {key}) AS target FROM {table}" for table, (head, to, key) in _RULE_HEADS.items()]
+    + [_LINE_RULES.format(head="/corp/metrics/raw/", to="gs://lines/"), _LINE_RULES.format(head="/corp/landing/out_", to="gs://out/")]
+    + [f"SELECT '{k}', '{v}'" for k, v in PATH_MAP.items()])
+NAME_RULES = "SELECT concat('db_', c_custkey) AS hive_name, concat('zone_', c_nationkey) AS dataset FROM customer" + "".join(
+    f" UNION ALL SELECT '{k}', '{v}'" for k, v in DATASET_MAP.items())
+
+
+def files_moved_by_rules() -> str:
+    """SQL for FILES after the rules of PATH_RULES that are not in PATH_MAP: each file names its own number behind a head,
+    where the longest key that begins the number decides."""
+    keys = " UNION ALL ".join(f"SELECT '{head}' AS head, '{to}' AS dest, CAST({key} AS VARCHAR) AS k FROM {table}" for table, (head, to, key) in _RULE_HEADS.items())
+    moved = "content"
+    for n, (head, to, _) in enumerate(_RULE_HEADS.values()):
+        moved = f"CASE WHEN k{n} IS NULL THEN {moved} ELSE replace({moved}, concat('{head}', g), concat('{to}', k{n}, substr(CAST(g AS VARCHAR), length(k{n}) + 1))) END"
+    best = "".join(
+        f" LEFT JOIN (SELECT g, max_by(k, length(k)) AS k{n} FROM (SELECT DISTINCT CAST(floor(doc_id / 16) AS BIGINT) AS g FROM documents)"
+        f" JOIN ({keys}) ON head = '{head}' AND starts_with(CAST(g AS VARCHAR), k) GROUP BY g) USING (g)" for n, (head, _, _) in enumerate(_RULE_HEADS.values()))
+    return f"SELECT doc_id, kind, g, rel_path, {moved} AS content FROM ({FILES}){best}"
+
+
+TABLES = ["documents", "labels", "events", "conversations", "orders", "lineitem", "customer", "part", "supplier"]
 
 
 def derived(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:

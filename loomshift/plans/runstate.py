@@ -272,6 +272,19 @@ def migration_end_to_end(spark, sf_dir):
     return stages.report(stages.validate(state, validations), ["file_type"], [F.count("*").alias("files"), F.sum("chars").cast("bigint").alias("chars")])
 
 
+@query(
+    "migration_by_table",
+    with_ctes(files=inputs.files_moved_by_rules(), classified=CLASSIFIED, planned=PLANNED, rewritten=REWRITTEN, reviewed=REVIEWED)
+    + "SELECT rel_path, file_type, output_path, CASE WHEN needs_review THEN 'review' ELSE 'converted' END AS status, md5(converted) AS digest FROM reviewed",
+)
+def migration_by_table(spark, sf_dir):
+    """The conversion of every file type with rules read from tables that grow with the data."""
+    prefixes = inputs.derived(spark, sf_dir, inputs.PATH_RULES)
+    datasets = inputs.derived(spark, sf_dir, inputs.NAME_RULES)
+    state = inputs.files(spark, sf_dir).transform(stages.discover).transform(stages.convert, datasets, prefixes)
+    return state.select("rel_path", "file_type", "output_path", "status", F.md5(F.encode("converted", "UTF-8")).alias("digest"))
+
+
 @query(
     "converted_sink",
     _RUN + "SELECT file_type, output_path, rel_path, md5(converted) AS digest FROM reviewed",
