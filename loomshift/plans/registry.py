@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomshift.session import configure, size_shuffles
+from loomshift.session import begin_sizing, configure, end_sizing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,11 @@ def query(name: str, oracle: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
-            size_shuffles(spark, sf_dir)
-            return fn(spark, sf_dir)
+            begin_sizing(spark)
+            try:
+                return fn(spark, sf_dir)
+            finally:
+                end_sizing(spark)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -44,28 +44,48 @@ MAX_PARTITIONS = 20_000
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def _bytes_below(spark: SparkSession, folder: str) -> int:
-    """Size of the files below a folder, by listing only."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+def _bytes_below(spark: SparkSession, path: str) -> int:
+    """Size of the files below a path, told by the file system without a job."""
+    target, system = _hadoop(spark, path)
+    return system.getContentSummary(target).getLength()
 
 
 # The number set for the query before, by application; another number is the user's own.
 _sized: dict[str, str] = {}
+# Bytes of the tables that the query being built has read so far, by application and path.
+_inputs: dict[str, dict[str, int]] = {}
+# Sizes looked up before, by path and modification time.
+_known: dict[tuple[str, int], int] = {}
 
 
-def size_shuffles(spark: SparkSession, folder: str) -> None:
-    """Initial shuffle partitions for the inputs of one query, revised for every query; a number the user set is kept."""
+def begin_sizing(spark: SparkSession) -> None:
+    """From now on the tables read set the shuffle width, until `end_sizing`; a number the user set is kept."""
     app = spark.sparkContext.applicationId
     now = spark.conf.get(INITIAL_PARTITIONS, None)
-    if now is not None and now != _sized.get(app):
+    if now is not None and now == _sized.get(app):
+        spark.conf.unset(INITIAL_PARTITIONS)
+    _inputs[app] = {}
+
+
+def end_sizing(spark: SparkSession) -> None:
+    _inputs.pop(spark.sparkContext.applicationId, None)
+
+
+def size_shuffles(spark: SparkSession, path: str) -> None:
+    """Counts a table towards the initial shuffle partitions of the query being built."""
+    app = spark.sparkContext.applicationId
+    now = spark.conf.get(INITIAL_PARTITIONS, None)
+    if app not in _inputs or path in _inputs[app] or (now is not None and now != _sized.get(app)):
         return
-    wanted = min(_bytes_below(spark, folder) // BYTES_PER_PARTITION, MAX_PARTITIONS)
+    target, system = _hadoop(spark, path)
+    key = (path, system.getFileStatus(target).getModificationTime())
+    if key not in _known:
+        _known[key] = _bytes_below(spark, path)
+    _inputs[app][path] = _known[key]
+    wanted = min(sum(_inputs[app].values()) // BYTES_PER_PARTITION, MAX_PARTITIONS)
     if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
         _sized[app] = str(wanted)
         spark.conf.set(INITIAL_PARTITIONS, _sized[app])
-    elif now is not None:
-        spark.conf.unset(INITIAL_PARTITIONS)
 
 
 def build(app: str = "loomshift", master: str | None = None, **options: str) -> SparkSession:
@@ -131,4 +151,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    size_shuffles(spark, path)
+    return spark.read.parquet(path)

@@ -26,30 +26,54 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert session.stored(spark.range(5), "kept").count() == 5
 
 
-def test_shuffles_follow_the_input(spark, tmp_path, monkeypatch):
-    (tmp_path / "t.bin").write_bytes(b"x" * 5000)
-    assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
-    session.size_shuffles(spark, str(tmp_path))
+def test_shuffles_follow_the_tables_read(spark, tmp_path, monkeypatch):
+    for name, n in (("t", 5000), ("u", 5000), ("never_read", 90_000)):
+        (tmp_path / f"{name}.parquet").mkdir()
+        (tmp_path / f"{name}.parquet" / "part").write_bytes(b"x" * n)
+    size = lambda name: session.size_shuffles(spark, f"file:{tmp_path}/{name}.parquet")
     assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
     monkeypatch.setattr(session, "BYTES_PER_PARTITION", 100)
     try:
-        session.size_shuffles(spark, str(tmp_path))
+        # outside of a query nothing is set
+        size("t")
+        assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
+        session.begin_sizing(spark)
+        size("t")
+        size("t")
         assert spark.conf.get(session.INITIAL_PARTITIONS) == "50"
-        # the next query has more, the one after it little
-        (tmp_path / "u.bin").write_bytes(b"x" * 5000)
-        session.size_shuffles(spark, str(tmp_path))
+        size("u")
         assert spark.conf.get(session.INITIAL_PARTITIONS) == "100"
+        session.end_sizing(spark)
+        # the next query starts anew, also where it reads little
+        session.begin_sizing(spark)
+        assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
         monkeypatch.setattr(session, "BYTES_PER_PARTITION", 10_000)
-        session.size_shuffles(spark, str(tmp_path))
+        size("t")
         assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
         # a number of the user's own stays
         spark.conf.set(session.INITIAL_PARTITIONS, "7")
-        session.size_shuffles(spark, str(tmp_path))
+        monkeypatch.setattr(session, "BYTES_PER_PARTITION", 100)
+        session.begin_sizing(spark)
+        size("t")
         assert spark.conf.get(session.INITIAL_PARTITIONS) == "7"
     finally:
+        session.end_sizing(spark)
         spark.conf.unset(session.INITIAL_PARTITIONS)
 
 
+def test_sizing_runs_no_job(spark):
+    from loomshift.plans import catalogue
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sizing", "sizing")
+    try:
+        catalogue.QUERIES["group_count"](spark, "/root/testdata/sf0.001")
+        # the footer that tells the schema is all that is read
+        assert len(tracker.getJobIdsForGroup("sizing")) <= 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 class Cluster:
     """A session on several machines that names no folder."""
 
