@@ -11,7 +11,7 @@ from loomshift.session import read_table
 
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+                  md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::BIGINT AS weight FROM d GROUP BY source),
 t AS (SELECT sum(source_size) AS total, sum(weight) AS weights FROM s),
@@ -21,12 +21,10 @@ levels AS (SELECT max(level) AS level FROM (
 g AS (SELECT source, source_size, CASE WHEN level * weight > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target
       FROM s, levels),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS whole FROM g),
-o AS (SELECT source, key, size, sum(size) AS words FROM d GROUP BY ALL),
-r AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY key, size) AS upto FROM o)
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) AS upto FROM d)
 SELECT d.doc_id, d.size, h.source_size, h.target,
-       ((whole + CASE WHEN 2 * upto - words <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
-FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source
-JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.key = r.key AND d.size = r.size
+       (least(3, whole + CASE WHEN 2 * upto - size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM r d JOIN h ON d.source IS NOT DISTINCT FROM h.source
 """
 
 
