@@ -7,13 +7,17 @@ Myers' bit-parallel distance then measures.
 
 Items are broadcast in blocks of a bounded number of characters; every block meets all documents. Equal items are looked for once.
 
-Defined cases: null or blank texts match nothing; items shorter than `least_chars` are too common to prove a leak and are not
-looked for; of several passages the one of the fewest edits counts, the first of these; rows that repeat give
+Items shorter than `exact_below` characters must occur unchanged and as whole words. A short item of a single word
+occurs in clean texts too and proves no leak: `unproven` lists those items, which are not looked for. Ideographs, kana and
+Hangul syllables are words of their own.
+
+Defined cases: null or blank texts match nothing; of several passages the one of the fewest edits counts, the first of these; rows that repeat give
 repeated matches; an empty benchmark gives an empty result; positions are in the normalised text.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 
 import pyarrow as pa
@@ -24,12 +28,28 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_CHARS = 8_000_000  # characters of items in a broadcast block, and one item more
+LEAST_WORDS = 2
+# scripts written without blanks: kana, ideographs, Hangul syllables
+UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def words(text: str) -> int:
+    return len(UNSPACED.sub(" x ", text).split())
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word of the text reaches over the start or the end of a passage."""
+    def inside(at: int) -> bool:
+        pair = text[at - 1 : at + 1] if at > 0 else ""
+        return len(pair) == 2 and pair[0].isalnum() and pair[1].isalnum() and not UNSPACED.search(pair)
+
+    return not inside(start) and not inside(end)
+
+
 def cut(m: int, pieces: int) -> list[tuple[int, int]]:
     """Borders of nearly equal pieces."""
     return [(m * i // pieces, m * (i + 1) // pieces) for i in range(pieces)]
@@ -84,11 +104,11 @@ class Pattern:
 class Matcher:
     """The automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[str, list]], rate: float):
+    def __init__(self, items: list[tuple[str, list]], rate: float, exact_below: int):
         import ahocorasick
 
-        self.items = [ids for _, ids in items]
-        self.patterns = [Pattern(text, int(rate * len(text))) for text, _ in items]
+        self.items, self.exact_below = [ids for _, ids in items], exact_below
+        self.patterns = [Pattern(text, int(rate * len(text)) if len(text) >= exact_below else 0) for text, _ in items]
         wanted: dict[str, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.patterns):
             for a, b in cut(p.m, p.edits + 1):
@@ -106,14 +126,19 @@ class Matcher:
             for k, b in of:
                 begins.setdefault(k, set()).add(end + 1 - b)  # where the item would begin
         for k, places in begins.items():
-            found = best_of(self.patterns[k], text, sorted(places))
+            pattern = self.patterns[k]
+            if pattern.m < self.exact_below:
+                at = min((b for b in places if whole_words(text, b, b + pattern.m)), default=None)
+                found = at is not None and (0, at, at + pattern.m)
+            else:
+                found = best_of(pattern, text, sorted(places))
             if found:
                 yield (k, *found)
 
 
-def finder(items: list[tuple[str, list]], rate: float):
+def finder(items: list[tuple[str, list]], rate: float, exact_below: int):
     def run(batches):
-        matcher = Matcher(items, rate)
+        matcher = Matcher(items, rate, exact_below)
         for batch in batches:
             rows = [(row, item, *found) for row, text in enumerate(batch.column(1)) for k, *found in matcher.hits(text.as_py())
                     for item in matcher.items[k]]
@@ -127,9 +152,9 @@ def finder(items: list[tuple[str, list]], rate: float):
     return run
 
 
-def cleaner(items: list[tuple[str, list]], rate: float, text_col: str):
+def cleaner(items: list[tuple[str, list]], rate: float, exact_below: int, text_col: str):
     def run(batches):
-        matcher = Matcher(items, rate)
+        matcher = Matcher(items, rate, exact_below)
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col))
             yield batch.filter(pa.array([next(matcher.hits(text.as_py()), None) is None for text in texts], pa.bool_()))
@@ -160,34 +185,41 @@ def best_of(pattern: Pattern, text: str, begins: list[int]) -> tuple[int, int, i
     return best
 
 
-def item_blocks(benchmark: DataFrame, least_chars: int, item_id: str, item_text: str):
+def unproven(benchmark: DataFrame, exact_below: int = 20, item_text: str = "text") -> DataFrame:
+    """Short items of fewer than LEAST_WORDS words, which are not looked for."""
+    spaced = F.regexp_replace(F.coalesce(F.col(item_text), F.lit("")), UNSPACED.pattern, " x ")
+    few = F.size(F.filter(F.split(spaced, r"(?U)\s+"), lambda w: w != "")) < LEAST_WORDS
+    return benchmark.filter(few & (F.length(F.trim(F.coalesce(F.col(item_text), F.lit("")))) < exact_below))
+
+
+def item_blocks(benchmark: DataFrame, exact_below: int, item_id: str, item_text: str):
     """Normalised items with their ids, one block of bounded size at a time."""
-    items = benchmark.filter(F.length(item_text) >= least_chars).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK_CHARS)
     for block in range(blocks):
         texts: dict[str, list] = {}
         for item, text in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect():
-            if len(key := normal(text)) >= least_chars:
+            if len(key := normal(text)) >= exact_below or words(key) >= LEAST_WORDS:
                 texts.setdefault(key, []).append(item)
         if texts:
             yield sorted(texts.items(), key=lambda x: x[0])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text",
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, exact_below: int = 20, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, edits, start, end for every document and test item it holds within the error budget."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, edits int, start long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in item_blocks(benchmark, least_chars, item_id, item_text):
-        out = out.unionByName(rows.mapInArrow(finder(items, rate), schema))
+    for items in item_blocks(benchmark, exact_below, item_id, item_text):
+        out = out.unionByName(rows.mapInArrow(finder(items, rate, exact_below), schema))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least_chars: int = 20, text_col: str = "text",
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, exact_below: int = 20, text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no test item, unchanged. Each row is judged by its text alone, so nothing is shuffled."""
-    for items in item_blocks(benchmark, least_chars, item_id, item_text):
-        docs = docs.mapInArrow(cleaner(items, rate, text_col), docs.schema)
+    for items in item_blocks(benchmark, exact_below, item_id, item_text):
+        docs = docs.mapInArrow(cleaner(items, rate, exact_below, text_col), docs.schema)
     return docs

@@ -211,6 +211,20 @@ def test_decontaminate(spark, rows):
     assert decontaminate.leaks(empty(spark), benchmark).count() == decontaminate.leaks(table(spark, docs), benchmark.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "Two  words"), (2, "one"), (3, "a-b c"), (4, "北京大学"), (5, None), (6, " "), (7, "京"), (8, "x" * 30), (9, "it's 5%")]
+    texts = ["here are two\nwords.", "tattwo words", "two wordsmith", "TWO WORDS", "one", "xa-b c", "(a-b c)", "在北京大学学习", "北京", "京", "y" + "x" * 30, "it's 5%", "it's 5%x", "two-words"]
+    found = {1: {0, 3}, 3: {6}, 4: {7}, 8: {10}, 9: {11, 12}}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(docs, benchmark).collect()
+    assert Counter((r.item_id, r.doc_id) for r in got) == Counter((k, d) for k, ds in found.items() for d in ds)
+    assert all(r.edits == 0 and decontaminate.normal(texts[r.doc_id])[r.start : r.end] == decontaminate.normal(dict(items)[r.item_id]) for r in got)
+    left = {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()}
+    assert left == set(range(len(texts))) - set().union(*found.values())
+    assert {r.item_id for r in decontaminate.unproven(benchmark).collect()} == {2, 5, 6, 7}
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
     rnd = random.Random(8)
