@@ -31,8 +31,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # shorter ones fail the check anyway
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
+TERM = r"\p{L}[\p{L}\p{N}]++"
 BLOCK = 256   # matches added up together
+PAIRED = 1000  # entities of one document that meet its terms in one place
 FREQUENT = 10_000  # most frequent terms, whose counts are broadcast so that none is a hot key
 
 SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
@@ -139,7 +140,10 @@ def disclosing(rows: DataFrame, texts: DataFrame, threshold: float, support: int
     entities, `texts` (text) every document."""
     n = texts.count()
     most = F.lit(float(n)) ** F.lit(1 - threshold) * F.col("n_entity") ** F.lit(threshold) * F.lit(1 + 1e-9)
-    entities = rows.select("_no", F.explode("_entities").alias("entity"))
+    # a document of many entities is dealt out by entity
+    parts = F.ceil(F.size("_entities") / PAIRED).cast("int")
+    entities = rows.select("_no", parts.alias("parts"), F.explode("_entities").alias("entity"))
+    entities = entities.select("_no", "entity", F.pmod(F.xxhash64("entity"), "parts").cast("int").alias("salt"))
     of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     of_entity = scratch.store(of_entity.filter((F.col("n_entity") >= support) & (F.col("n_entity") < n)).withColumn("most", most))
     entities = scratch.store(entities.join(of_entity, "entity"))
@@ -149,11 +153,12 @@ def disclosing(rows: DataFrame, texts: DataFrame, threshold: float, support: int
     frequent = scratch.store(of_term.orderBy(F.desc("n_term"), "term").limit(FREQUENT))
     # the terms of each document that can disclose one of its entities
     upto = entities.groupBy("_no").agg(F.max("most").alias("upto"))
-    held = rows.select("_no", "_terms").join(upto, "_no").select("_no", "upto", F.explode("_terms").alias("term"))
+    held = rows.select("_no", "_terms", parts.alias("parts")).join(upto, "_no").select("_no", "upto", "parts", F.explode("_terms").alias("term"))
     often = held.join(F.broadcast(frequent), "term")
     seldom = held.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(of_term, "term")
     terms = scratch.store(often.unionByName(seldom).filter(F.col("n_term") <= F.col("upto")).drop("upto"))
-    pairs = entities.join(terms, "_no").filter(F.col("n_term") <= F.col("most"))
+    dealt = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = entities.join(dealt, ["_no", "salt"]).filter(F.col("n_term") <= F.col("most"))
     both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     shared = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     content = F.log2(F.lit(float(n)) / F.col("n_entity"))

@@ -281,6 +281,34 @@ def test_disclosing_terms(spark):
     assert texts[10] == docs[4][1] and len(texts) == len(docs)
 
 
+def test_disclosing_terms_of_two_letters_and_long_lists(spark, monkeypatch):
+    """Short names disclose too; a contact list gives the same terms however its entities are dealt out."""
+    import math
+
+    rnd = random.Random(6)
+    texts = [f"{' '.join(sentence(rnd, 30))} Ng answers at ng@mail.example today" if k < 8 else f"{' '.join(sentence(rnd, 30))} 李明, u@x.example" if k < 14
+             else " ".join(sentence(rnd, 40)) for k in range(60)]
+    contacts = " ".join(f"p{k}x a{k}@list.example" for k in range(40))
+    texts += [contacts, contacts + " again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [re.sub(PATTERNS[0][1], lambda m: " " * len(m.group()), t) for t in texts]
+    terms = [{w.lower() for w in re.findall(r"[^\W\d_][^\W_]+", t)} for t in plain]
+    mails = [set(m.group() for m in re.finditer(PATTERNS[0][1], t)) for t in texts]
+    n = len(texts)
+    want = set()
+    for mail in set().union(*mails):
+        of = [k for k in range(n) if mail in mails[k]]
+        for term in set().union(*(terms[k] for k in of)) if len(of) >= 2 else ():
+            both, held = sum(term in terms[k] for k in of), sum(term in t for t in terms)
+            if both >= 2 and math.log2(n * both / (held * len(of))) / math.log2(n / len(of)) >= 0.8 - 1e-12:
+                want |= {(k, term) for k in of if term in terms[k]}
+    assert {"ng", "李明"} <= {t for _, t in want}
+    for paired in (1000, 7):
+        monkeypatch.setattr(pii, "PAIRED", paired)
+        got = pii.detect(docs, ["doc_id", "text"]).collect()
+        assert {(r.doc_id, r.text[s.start : s.end].lower()) for r in got for s in r.spans if s.kind == 4} == want
+
+
 def test_disclosing_terms_of_whole_texts(spark):
     """A name far from the address is found, and goes at each place of the documents that hold the address, and only there."""
     far = "the office and the letter " * 40
