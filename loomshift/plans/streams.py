@@ -12,6 +12,7 @@ from loomshift.plans.registry import query
 from loomshift.session import read_table, scratch
 from loomshift.sources.readers import event_stream
 from loomshift.streaming import events as stream
+from loomshift.streaming import stateful
 
 _LOG = with_ctes(log=inputs.LOG)
 
@@ -104,3 +105,57 @@ def stream_step_cap(spark, sf_dir):
     """ST5: steps per session against a cap of ten."""
     log = log_stream(spark, sf_dir).withColumn("cancelled", (F.col("kind") == "error") & (F.col("k") < 10))
     return stream.run_upsert(stream.step_cap(log, 10), scratch(spark, "steps"), ["session_id"])
+
+
+# --- state that ends -----------------------------------------------------------------------------
+
+_GAP = 21600
+
+
+def _runs_sql(columns: str) -> str:
+    # a run is given once the watermark, ten minutes behind the last event, has passed its silence
+    return _LOG.rstrip() + f""",
+    spaced AS (SELECT *, epoch_us(ts) AS moment, kind = 'error' AND k < 10 AS cancel, lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS prior FROM log),
+    numbered AS (SELECT *, sum(CASE WHEN prior IS NULL OR moment - prior >= {_GAP}::BIGINT * 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY moment, event_id) AS stretch FROM spaced),
+    stopped AS (SELECT *, min(CASE WHEN cancel THEN (moment, event_id) END) OVER (PARTITION BY session_id, stretch) AS stop FROM numbered),
+    runs AS (SELECT session_id, min(moment) AS started, max(moment) + {_GAP}::BIGINT * 1000000 AS closed, count(*) AS events,
+        {", ".join(f"CAST(sum({t}) AS BIGINT) AS {t}" for t in stateful.TOKENS)},
+        count(*) FILTER (kind = 'tool_call' AND (stop IS NULL OR (moment, event_id) < stop)) AS n, bool_or(stop IS NOT NULL) AS stopped
+      FROM stopped GROUP BY session_id, stretch)
+    SELECT session_id, started, closed, {columns} FROM runs WHERE closed <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM log)
+    """
+
+
+def _runs(spark, sf_dir):
+    cancel = (F.col("kind") == "error") & (F.col("k") < 10)
+    return stream.run_append(stateful.session_runs(log_stream(spark, sf_dir), _GAP, 2, cancel=cancel), scratch(spark, "runs"))
+
+
+@query("stream_usage_runs", _runs_sql("events, " + ", ".join(stateful.TOKENS)))
+def stream_usage_runs(spark, sf_dir):
+    """ST4: token sums of each run of a session, whose state ends after six silent hours."""
+    return _runs(spark, sf_dir).select("session_id", "started", "closed", "events", *stateful.TOKENS)
+
+
+@query("stream_step_runs", _runs_sql("least(n, 2) AS steps, n > 2 AS capped, stopped AND n <= 2 AS cancelled"))
+def stream_step_runs(spark, sf_dir):
+    """ST5: steps of each run against a cap of two, or up to the event that cancels it."""
+    return _runs(spark, sf_dir).select("session_id", "started", "closed", "steps", "capped", "cancelled")
+
+
+@query(
+    "stream_permission_once",
+    _LOG + """
+    SELECT * FROM (
+    SELECT q.session_id, q.k AS id, q.event_id AS request_id, epoch_us(q.ts) AS asked_at, min(epoch_us(r.ts)) AS said_at,
+      coalesce(arg_min(r.decision, (epoch_us(r.ts), r.decision)), 'deny') AS decision
+    FROM (SELECT * FROM log WHERE kind = 'permission_request') q
+    LEFT JOIN (SELECT * FROM log WHERE kind = 'permission_resolved') r ON q.session_id = r.session_id AND q.k = r.k AND r.ts BETWEEN q.ts AND q.ts + INTERVAL 24 HOURS
+    GROUP BY ALL)
+    WHERE coalesce(said_at, asked_at + 86400000000) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM log WHERE kind LIKE 'permission%')
+    """,
+)
+def stream_permission_once(spark, sf_dir):
+    """ST3: one answer per request inside the stream, the first within a day or a refusal."""
+    log = log_stream(spark, sf_dir).withColumn("id", F.col("k"))
+    return stream.run_append(stateful.answers_once(log, 86400), scratch(spark, "once"))
