@@ -6,11 +6,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from loomshift.operators.ordered import OrderedGroups
 from loomshift.plans import inputs
 from loomshift.plans.inputs import with_ctes
 from loomshift.plans.registry import query
 from loomshift.session import read_table, scratch
-from loomshift.sources.readers import event_stream
+from loomshift.sources.readers import event_stream, pushed_chunks, pushed_events
 from loomshift.streaming import events as stream
 from loomshift.streaming import stateful
 
@@ -159,3 +160,23 @@ def stream_permission_once(spark, sf_dir):
     """ST3: one answer per request inside the stream, the first within a day or a refusal."""
     log = log_stream(spark, sf_dir).withColumn("id", F.col("k"))
     return stream.run_append(stateful.answers_once(log, 86400), scratch(spark, "once"))
+
+
+@query(
+    "stream_pushed_order",
+    _LOG + """
+    SELECT CAST(session_id % 16 AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY session_id % 16 ORDER BY event_id) AS seq,
+      kind, CAST(event_id AS VARCHAR) AS id FROM log
+    """,
+)
+def stream_pushed_order(spark, sf_dir):
+    """Push logs that land in chunks, read as a stream and handed on in order, a number per line."""
+    folder = scratch(spark, "pushed")
+    log = inputs.log(spark, sf_dir).withColumn("session", (F.col("session_id") % 16).cast("string"))
+    placed = OrderedGroups(log, ["session"], ["event_id"]).row_number("n").result()
+    body = F.to_json(F.struct("kind", F.col("event_id").cast("string").alias("id")))
+    rows = placed.select("session", F.floor((F.col("n") - 1) / 1000).alias("chunk"), "n", F.concat(F.lit("data: "), body).alias("value"))
+    files = rows.repartition("session", "chunk").sortWithinPartitions("session", "chunk", "n")
+    files.select("session", "chunk", "value").write.partitionBy("session", "chunk").text(folder)
+    done = stream.run_append(stateful.in_order(pushed_chunks(spark, folder)), scratch(spark, "ordered"))
+    return pushed_events(done, "line").select("session_id", "seq", "kind", "id")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from loomshift.functions import text
 from loomshift.session import stored
 
 # task functions travel with the job: executors need no copy of this package
@@ -214,3 +215,21 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     zoneless = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
     return stream.withColumns({n: F.col(n).cast("timestamp") for n in zoneless})
+
+
+def pushed_chunks(spark: SparkSession, root: str, files_per_batch: int = 1000, closing: str = "event: closed") -> DataFrame:
+    """Push logs that land as `session=<id>/chunk=<number>/<file>` below a folder, as a stream of chunks: session_id, chunk, lines
+    in file order, and whether the chunk holds the closing line. Any store that Spark reads will do."""
+    raw = (spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true")
+           .option("maxFilesPerTrigger", files_per_batch).load(root).select("value", F.col("_metadata.file_path").alias("path")))
+    lines = text.lines("value")
+
+    def decoded(part):
+        return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+    # the path is encoded as an address, and the folder's name as partition folders are
+    session = decoded(decoded(F.regexp_extract("path", r"/session=([^/]*)/chunk=\d+/[^/]*$", 1)))
+    return raw.select(
+        session.alias("session_id"),
+        F.regexp_extract("path", r"/chunk=(\d+)/[^/]*$", 1).cast("long").alias("chunk"), lines.alias("lines"),
+        F.array_contains(lines, closing).alias("is_last"))

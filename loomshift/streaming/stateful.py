@@ -179,3 +179,59 @@ def answers_once(stream: DataFrame, timeout_s: int = fixed.PERMISSION_TIMEOUT_S,
     types = {c: stream.schema[c].dataType.simpleString() for c in ("session_id", "id")}
     schema = f"session_id {types['session_id']}, id {types['id']}, request_id long, asked_at long, said_at long, decision string"
     return rows.groupBy("session_id", "id").transformWithState(OneAnswer(timeout_s, refusal), schema, "Append", "EventTime")
+
+
+class InOrder(StatefulProcessor):
+    """Lines of a session in the order of its chunks, numbered without gaps. Chunks that come early wait for those before
+    them, and chunks that come again are known; the last chunk of a session ends its state."""
+
+    def __init__(self, first: int):
+        self.first = first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "next_chunk long, next_seq long")
+        self.waiting = handle.getMapState("waiting", "chunk long", "lines array<string>, is_last boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        chunk, seq = tuple(self.place.get()) if self.place.exists() else (self.first, 1)
+        held = dict.fromkeys(k[0] for k in self.waiting.keys()) if self.waiting.exists() else {}
+        ended = False
+
+        def given(lines: list) -> Iterator[Row]:
+            nonlocal seq
+            for line in lines or ():
+                yield LINE(key[0], seq, line)
+                seq += 1
+
+        for row in rows:
+            if row.chunk != chunk:
+                if row.chunk > chunk and row.chunk not in held:
+                    self.waiting.updateValue((row.chunk,), (list(row.lines or ()), row.is_last))
+                    held[row.chunk] = None
+                continue
+            yield from given(row.lines)
+            chunk, ended = chunk + 1, ended or row.is_last
+            while chunk in held:
+                lines, last = self.waiting.getValue((chunk,))
+                yield from given(lines)
+                self.waiting.removeKey((chunk,))
+                del held[chunk]
+                chunk, ended = chunk + 1, ended or last
+        if ended and not held:
+            self.place.clear()
+        else:
+            self.place.update((chunk, seq))
+
+    def close(self) -> None:
+        pass
+
+
+LINE = Row("session_id", "seq", "line")
+
+
+def in_order(chunks: DataFrame, first: int = 0) -> DataFrame:
+    """session_id, seq (from 1), line of a stream of chunks (session_id, chunk, lines, is_last), whatever the order of arrival.
+
+    Places are kept in the checkpoint, so a run that goes on after a stop neither loses nor repeats a line. A chunk that
+    never comes holds its session back, the others go on."""
+    return chunks.groupBy("session_id").transformWithState(InOrder(first), "session_id string, seq long, line string", "Append", "None")
