@@ -34,6 +34,7 @@ from loomshift.llm.common import Scratch, columns, ddl, fresh
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_WORDS = 400_000  # words in an FM-index, and those of one anchor more
+MOST_WORDS = 16        # depth to which the suffixes are sorted
 BUSY = 2_000           # documents from which an anchor is routed by whole windows
 
 
@@ -277,6 +278,8 @@ def kept_of():
 
 def removed(docs: DataFrame, size: int = 13, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, sig, gone): the intervals of words that go, per id and hash of the text. `size` is at most 16."""
+    if not gram <= size <= MOST_WORDS:
+        raise ValueError(f"windows have {gram} to {MOST_WORDS} words, not {size}: the index is sorted that deep")
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -379,6 +379,11 @@ def test_mix(spark, rows):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_windows_deeper_than_the_index_are_refused(spark):
+    with pytest.raises(ValueError, match="words, not 17"):
+        substrings.deduplicate(empty(spark), ["doc_id"], size=17)
+
+
 def test_mix_of_null_and_equal_rows(spark):
     """Null ids with different texts, a third of all rows equal, many rows without words: targets are met within half a row."""
     rows = [(None, f"a{k} " * 10, "en", "s1") for k in range(500)] + [(k, f"b{k} " * 10, "en", "s1") for k in range(500)]
