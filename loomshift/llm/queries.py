@@ -51,24 +51,31 @@ def op6(spark, sf_dir):
     return topk.top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
-WARC_SQL = """
-WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+WARC_SQL = r"""
+WITH u AS (SELECT page_id, html, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url,
+                  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^#]*)', 1)) AS host FROM pages),
+p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+             CASE WHEN host = '' THEN url ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')'
+               || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^#]*)', 2) END AS url_key,
+             (coalesce(page_id, 0) % 4102444800 + 4102444800) % 4102444800 AS captured FROM u),
 k AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
 SELECT page_id, p.payload_bytes, p.payload_digest, CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to, url_key, captured,
+       (row_number() OVER (ORDER BY coalesce(url_key, ''), captured, page_id NULLS FIRST) - 1)::BIGINT AS position
 FROM p LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
 
 @query("op10_warc", WARC_SQL)
 def op10(spark, sf_dir):
-    """All pages written as WARC records, read back and indexed."""
+    """All pages written as WARC records, read back and indexed, with the place of each capture in the merged order."""
     scratch = Scratch(spark, "warc")
     folder = f"{scratch.root}/archives"
     run = warc.write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     index = warc.capture_index(warc.read_archives(spark, folder, run))
     scratch.drop(folder)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key",
+                        F.unix_seconds("captured").alias("captured"), "position")
 
 
 @query("op1_quality")
