@@ -1,20 +1,35 @@
-"""Test logs as tables of lines: test_log(run_id, line_no, line), line_no rising within a run."""
+"""Test logs as tables of lines: test_log(run_id, line_no, line), line_no rising within a run.
+
+Blocks, mentions, counts and last lines come out of one pass: lines are dealt out by run and number, and each task goes
+through its stretch once, keeping the block it is in. What it tells of a stretch is small; stretches of one run are
+then put together in order, so a block that goes on over a cut is whole again and a run of any length is spread.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomshift import fixed
 from loomshift.functions import text
-from loomshift.operators.ordered import MAX_GROUP_ROWS, OrderedGroups, first_rows
+from loomshift.operators.ordered import MAX_GROUP_ROWS
 from loomshift.session import stored
 
-# 'E   ' and a line break make five characters, so more marked lines than
-# this can never fit an excerpt
-MARKED_LINES = fixed.EXCERPT_CHARS // 5 + 1
+# task functions travel with the job: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(fixed)
+
 HEAD_LINES = 5
 FLAGS = ["alarm", "named", "blocked"]
+COUNTS = ["passed", "failed", "error"]
 
 
 def _is_header(line):
@@ -27,100 +42,167 @@ def _is_mention(line):
     return opening & line.rlike(fixed.LOG_SUMMARY)
 
 
-def run_facts(log: DataFrame) -> DataFrame:
-    """One pass, one row per run: passed, failed, errors (the last statement of each
-    kind wins), alarm (a failure is mentioned), named (a file is named), blocked (a
-    collection error opens a block)."""
-    line = F.col("line")
-    ns = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(1))
-    kinds = F.regexp_extract_all("line", F.lit(fixed.LOG_COUNT), F.lit(2))
+def _alarm(line: Column) -> Column:
     low = F.lower(line)
-    alarm = low.contains("failed") | low.contains("error")
-    states = (line.contains("passed") | alarm) & line.rlike(fixed.LOG_COUNT)
+    return low.contains("failed") | low.contains("error")
+
 
-    def last_in_line(kind):
-        # only lines that state a count are taken apart
-        pairs = F.arrays_zip(ns.alias("n"), kinds.alias("kind"))
+def _stated(line: Column) -> dict[str, Column]:
+    """The last count of each kind that a line states; only lines that state one are taken apart."""
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(line, F.lit(fixed.LOG_COUNT), F.lit(1)).alias("n"), F.regexp_extract_all(line, F.lit(fixed.LOG_COUNT), F.lit(2)).alias("kind"))
+    states = (line.contains("passed") | _alarm(line)) & line.rlike(fixed.LOG_COUNT)
+
+    def last(kind: str) -> Column:
         hits = F.filter(pairs, lambda m: F.startswith(m["kind"], F.lit(kind)))
-        return F.when(states, F.get(hits, F.size(hits) - 1)["n"].cast("bigint")).alias(kind)
+        return F.when(states, F.get(hits, F.size(hits) - 1)["n"].cast("bigint"))
 
-    marked = log.select(
-        "run_id", "line_no", alarm.alias("alarm"), _is_mention(line).alias("mention"), _is_header(line).alias("header"),
-        last_in_line("passed"), last_in_line("failed"), last_in_line("error"),
-    )
+    return {kind: last(kind) for kind in COUNTS}
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """One row per run: counts by their last statement, and the flags."""
 
     def last(kind):
         return F.coalesce(F.max_by(kind, F.when(F.col(kind).isNotNull(), F.col("line_no"))), F.lit(0).cast("bigint"))
 
-    return marked.groupBy("run_id").agg(
-        last("passed").alias("passed"), last("failed").alias("failed"), last("error").alias("errors"),
-        F.bool_or("alarm").alias("alarm"), F.bool_or(F.col("mention") | F.col("header")).alias("named"),
-        F.bool_or("header").alias("blocked"),
-    )
+    return rows.groupBy("run_id").agg(
+        last("passed").alias("passed"), last("failed").alias("failed"), last("error").alias("errors"), *[F.bool_or(f).alias(f) for f in FLAGS])
+
+
+def run_facts(log: DataFrame) -> DataFrame:
+    """One row per run: passed, failed, errors (the last statement of each kind wins), alarm (a failure is mentioned),
+    named (a file is named), blocked (a collection error opens a block). Lines are not moved."""
+    line = F.col("line")
+    header = _is_header(line)
+    return _summed(log.select(
+        "run_id", "line_no", _alarm(line).alias("alarm"), (_is_mention(line) | header).alias("named"), header.alias("blocked"),
+        *[c.alias(k) for k, c in _stated(line).items()]))
 
 
 def counts(log: DataFrame) -> DataFrame:
     return run_facts(log).drop(*FLAGS)
 
 
-def block_lines(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Lines of the collection-error blocks: run_id, block (header line), file, line_no, line, blank.
-
-    The header is the first line; lines are cut to what an excerpt can hold.
-    """
-    header = _is_header(F.col("line"))
-    closer = F.startswith(F.col("line"), F.lit("==="))
-    file = F.when(header, F.regexp_extract("line", fixed.LOG_BLOCK, 1))
-    # the latest header or closing line at or above each line
-    mark = F.when(header | closer, F.struct(F.col("line_no").alias("block"), file.alias("file")))
-    narrow = log.select(
-        "run_id", "line_no", F.substring("line", 1, fixed.EXCERPT_CHARS).alias("line"), mark.alias("mark"),
-        # told by the whole line, which is cut afterwards
-        F.col("line").rlike(r"^\s*$").alias("blank"),
-    )
-    marked = OrderedGroups(narrow, ["run_id"], ["line_no"], max_rows).running_max(F.col("mark"), "latest").result()
-    inside = marked.where(F.col("latest.file").isNotNull())
-    return inside.select(
-        "run_id", F.col("latest.block").alias("block"), F.col("latest.file").alias("file"), "line_no", "line", "blank")
+# --- one pass over the lines ------------------------------------------------------------------------
 
 
-def blocks(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """One row per block: run_id, block, file, excerpt."""
-    lines = block_lines(log, max_rows).withColumn(
-        "kind",
-        F.when(F.col("line_no") == F.col("block"), "header")
-        .when(F.startswith(F.col("line"), F.lit("E   ")), "marked").otherwise("other"),
-    )
-    # the first lines of each kind hold both the marked lines and the head of the block
-    kept = first_rows(lines, ["run_id", "block", "kind"], [F.col("line_no")], MARKED_LINES)
-    body = F.array_sort(F.collect_list(F.when(F.col("kind") != "header", F.struct("line_no", "kind", "line", "blank"))))
-    gathered = kept.groupBy("run_id", "block").agg(F.max("file").alias("file"), body.alias("body"))
+class _Body:
+    """The lines of a block so far, as far as an excerpt needs them: those marked as errors, and the first ones."""
+
+    def __init__(self, line_no: int | None = None, file: str | None = None):
+        self.line_no, self.file, self.marked, self.size, self.head = line_no, file, [], 0, []
+
+    def add(self, line: str, marked: bool, blank: bool) -> None:
+        if marked and self.size < fixed.EXCERPT_CHARS:
+            self.marked.append(line[: fixed.EXCERPT_CHARS])
+            self.size += len(line) + 1
+        if len(self.head) < HEAD_LINES:
+            self.head.append({"blank": blank, "line": line[: fixed.EXCERPT_CHARS]})
+
+    def text(self) -> str | None:
+        return "\n".join(self.marked)[: fixed.EXCERPT_CHARS] if self.marked else None
+
+
+class _Stretch:
+    """Lines of one run that a task meets in a row. Those before the first mark belong to a block that began before."""
+
+    def __init__(self, run, line_no: int):
+        self.run, self.line_no, self.n = run, line_no, 0
+        self.lead, self.blocks, self.mentions, self.mark = _Body(), [], [], None
+        self.now = self.lead
+        self.counts, self.alarm, self.tail = dict.fromkeys(COUNTS), False, deque(maxlen=fixed.TAIL_LINES)
 
-    def joined(entries):
-        return F.substring(F.array_join(F.transform(entries, lambda e: e["line"]), "\n"), 1, fixed.EXCERPT_CHARS)
+    def add(self, line_no, line, alarm, file, message, opens, closes, blank, marked, *counts) -> None:
+        self.n += 1
+        self.alarm |= bool(alarm)
+        self.counts.update({k: c for k, c in zip(COUNTS, counts) if c is not None})
+        if file is not None:
+            self.mentions.append((line_no, file, message))
+        if opens is not None or closes:
+            self.now = _Body(line_no, opens) if opens is not None else None
+            self.mark = {"block": line_no, "file": opens}
+            if self.now:
+                self.blocks.append(self.now)
+        elif self.now:
+            self.now.add(line, marked, blank)
+        self.tail.append(line)
 
-    marked = F.filter("body", lambda e: e["kind"] == "marked")
-    head = F.filter(F.slice("body", 1, HEAD_LINES), lambda e: ~e["blank"])
-    excerpt = F.when(F.size(marked) > 0, joined(marked)).when(F.size(head) > 0, joined(head))
+    def rows(self) -> Iterator[tuple]:
+        none = (None,) * len(COUNTS)
+        named = bool(self.mentions or self.blocks)
+        yield ("stretch", self.run, self.line_no, None, self.lead.text(), self.lead.head, *self.counts.values(), self.alarm, named, bool(self.blocks), self.mark,
+               None if named else list(self.tail))
+        for b in self.blocks:
+            yield ("block", self.run, b.line_no, b.file, b.text(), b.head, *none, None, None, None, None, None)
+        for line_no, file, message in self.mentions:
+            yield ("mention", self.run, line_no, file, message, None, *none, None, None, None, None, None)
+
+
+def stretches(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """What each stretch of at most `max_rows` lines tells: a row for itself, for each block opened in it and for each file mentioned."""
+    line = F.col("line")
+    mention, header = _is_mention(line), _is_header(line)
+    told = log.select(
+        "run_id", "line_no", F.coalesce(line, F.lit("")).alias("line"), _alarm(line).alias("alarm"),
+        F.when(mention, F.regexp_extract("line", fixed.LOG_SUMMARY, 1)).alias("file"),
+        F.when(mention, F.substring(text.strip(F.regexp_extract("line", fixed.LOG_SUMMARY, 2)), 1, fixed.EXCERPT_CHARS)).alias("message"),
+        F.when(header, F.regexp_extract("line", fixed.LOG_BLOCK, 1)).alias("opens"), F.startswith(line, F.lit("===")).alias("closes"),
+        F.col("line").rlike(r"^\s*$").alias("blank"), F.startswith(line, F.lit("E   ")).alias("marked"),
+        *[c.alias(k) for k, c in _stated(line).items()])
+    dealt = told.repartitionByRange("run_id", "line_no").sortWithinPartitions("run_id", "line_no")
+    ddl = (f"kind string, run_id {log.schema['run_id'].dataType.simpleString()}, line_no long, file string, text string, "
+           "head array<struct<blank: boolean, line: string>>, passed long, failed long, error long, alarm boolean, named boolean, blocked boolean, "
+           "mark struct<block: bigint, file: string>, tail array<string>")
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(stretch: _Stretch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stretch.rows()), schema)], schema=schema)
+
+        now = None
+        for batch in batches:
+            for run, line_no, *rest in zip(*[c.to_pylist() for c in batch.columns]):
+                if now is None or run != now.run or now.n >= max_rows:
+                    if now:
+                        yield made(now)
+                    now = _Stretch(run, line_no)
+                now.add(line_no, *rest)
+        if now:
+            yield made(now)
+
+    return stored(dealt.mapInArrow(scan, ddl), "log-stretches")
+
+
+def _blocks(told: DataFrame) -> DataFrame:
+    """Blocks put together: a stretch begins with the rest of the block that was open where the one before it ended."""
+    whole = told.where("kind = 'stretch'")
+    # a run has no more stretches than the table has parts, or one per max_rows lines
+    before = Window.partitionBy("run_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    leads = whole.select("run_id", "line_no", "text", "head", F.last("mark", ignorenulls=True).over(before).alias("owner"))
+    leads = leads.where("owner.file IS NOT NULL").select("run_id", F.col("owner.block").alias("block"), F.col("owner.file").alias("file"), "line_no", "text", "head")
+    own = told.where("kind = 'block'").select("run_id", F.col("line_no").alias("block"), "file", "line_no", "text", "head")
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "text", "head")))
+    gathered = own.unionByName(leads).groupBy("run_id", "block").agg(F.max("file").alias("file"), parts.alias("parts"))
+
+    def joined(lines: Column) -> Column:
+        return F.substring(F.array_join(lines, "\n"), 1, fixed.EXCERPT_CHARS)
+
+    marked = F.array_compact(F.transform("parts", lambda p: p["text"]))
+    head = F.filter(F.slice(F.flatten(F.transform("parts", lambda p: p["head"])), 1, HEAD_LINES), lambda e: ~e["blank"])
+    excerpt = F.when(F.size(marked) > 0, joined(marked)).when(F.size(head) > 0, joined(F.transform(head, lambda e: e["line"])))
     return gathered.select("run_id", "block", "file", F.coalesce(excerpt, F.lit(fixed.NO_BODY)).alias("excerpt"))
 
 
-def failures(log: DataFrame, facts: DataFrame | None = None, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """One row per failing file and run: run_id, file, excerpt.
+def blocks(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """One row per block: run_id, block (header line), file, excerpt."""
+    return _blocks(stretches(log, max_rows))
+
 
-    The facts of the runs are stored, so the planner knows how few runs need
-    their lines shuffled: those with blocks, and those that name no file.
-    """
-    facts = stored(run_facts(log), "run-facts") if facts is None else facts
-    blocked = log.join(facts.where("blocked").select("run_id"), "run_id", "left_semi")
+def _failures(told: DataFrame, facts: DataFrame) -> DataFrame:
     # a file with several blocks keeps the last
-    by_file = blocks(blocked, max_rows).groupBy("run_id", "file").agg(F.max_by("excerpt", "block").alias("block_text"))
-    mentions = log.where(_is_mention(F.col("line"))).select(
-        "run_id", "line_no",
-        F.regexp_extract("line", fixed.LOG_SUMMARY, 1).alias("file"),
-        F.substring(text.strip(F.regexp_extract("line", fixed.LOG_SUMMARY, 2)), 1, fixed.EXCERPT_CHARS).alias("message"),
-    )
-    first = mentions.groupBy("run_id", "file").agg(F.min_by("message", "line_no").alias("message"))
+    by_file = _blocks(told).groupBy("run_id", "file").agg(F.max_by("excerpt", "block").alias("block_text"))
+    first = told.where("kind = 'mention'").groupBy("run_id", "file").agg(F.min_by("text", "line_no").alias("message"))
     named = first.join(by_file, ["run_id", "file"], "full").select(
         "run_id", "file",
         F.when(
@@ -130,17 +212,25 @@ def failures(log: DataFrame, facts: DataFrame | None = None, max_rows: int = MAX
     )
     # runs that mention a failure but name no file: their last lines
     silent = facts.where("alarm AND NOT named").select("run_id")
-    tail = first_rows(log.join(silent, "run_id", "left_semi"), ["run_id"], [F.col("line_no").desc()], fixed.TAIL_LINES)
-    entries = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    unknown = tail.groupBy("run_id").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("excerpt"))
-    return named.unionByName(unknown.select("run_id", F.lit(fixed.UNKNOWN_FILE).alias("file"), "excerpt"))
+    ends = told.where("kind = 'stretch'").join(silent, "run_id", "left_semi").groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "tail"))).alias("ends"))
+    every = F.flatten(F.transform("ends", lambda e: e["tail"]))
+    last = F.slice(every, F.greatest(F.size(every) - fixed.TAIL_LINES + 1, F.lit(1)), fixed.TAIL_LINES)
+    return named.unionByName(ends.select("run_id", F.lit(fixed.UNKNOWN_FILE).alias("file"), F.array_join(last, "\n").alias("excerpt")))
+
+
+def failures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """One row per failing file and run: run_id, file, excerpt."""
+    told = stretches(log, max_rows)
+    return _failures(told, _summed(told.where("kind = 'stretch'")))
 
 
 def report(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Totals of a run beside the first line of each failure."""
-    facts = stored(run_facts(log), "run-facts")
+    told = stretches(log, max_rows)
+    facts = stored(_summed(told.where("kind = 'stretch'")), "run-facts")
     first = text.first_line("excerpt", fixed.REPORT_CHARS)
-    lines = failures(log, facts, max_rows).select("run_id", "file", first.alias("first_line"))
+    lines = _failures(told, facts).select("run_id", "file", first.alias("first_line"))
     totals = facts.drop(*FLAGS)
     # failures on the left of an inner join, so a run with very many can be split;
     # runs without any are known from the facts

@@ -70,3 +70,21 @@ def test_log_failures(test_log):
 def test_log_report_is_independent_of_partitions(test_log):
     spread = test_log.repartition(13, F.rand(3))
     assert rows(testlog.report(spread, max_rows=40)) == rows(testlog.report(test_log))
+
+
+@pytest.mark.parametrize("max_rows", [1, 3, 1000])
+def test_log_stretches_of_any_length(test_log, max_rows):
+    assert rows(testlog.report(test_log, max_rows=max_rows)) == rows(testlog.report(test_log))
+    assert rows(testlog.blocks(test_log, max_rows=max_rows)) == rows(testlog.blocks(test_log))
+
+
+def test_a_report_reads_the_log_once(spark, test_log, tmp_path, monkeypatch):
+    """Whatever is stored on the way, only one plan holds a scan of the log."""
+    test_log.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    plans = []
+    real = testlog.stored
+    monkeypatch.setattr(testlog, "stored", lambda df, label: (plans.append(df), real(df, label))[1])
+    plans.append(testlog.report(log))
+    scans = [str(df._jdf.queryExecution().executedPlan().toString()).count(f"{tmp_path}/log") for df in plans]
+    assert sorted(scans) == [0] * (len(scans) - 1) + [1], scans
