@@ -77,7 +77,12 @@ def discovery_counts(classified: DataFrame) -> DataFrame:
 
 
 def first_targets(classified: DataFrame, limit: int = fixed.TARGET_LIMIT) -> DataFrame:
-    return classified.where("file_type <> 'skip'").select("file_type", "rel_path").orderBy("rel_path").limit(limit)
+    """The first targets in order of path; beyond the limit a row without a path tells how many more there are (`more`)."""
+    targets = classified.where("file_type <> 'skip'").select("file_type", "rel_path")
+    shown = targets.orderBy("rel_path").limit(limit).withColumn("more", F.lit(None).cast("bigint"))
+    left = targets.agg((F.count(F.lit(1)) - limit).alias("more")).where("more > 0")
+    none = F.lit(None).cast("string")
+    return shown.unionByName(left.select(none.alias("file_type"), none.alias("rel_path"), "more"))
 
 
 def first_flagged(conversions: DataFrame, limit: int = fixed.FLAGGED_LIMIT) -> DataFrame:

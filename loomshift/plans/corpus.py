@@ -145,13 +145,10 @@ def discovery_report(spark, sf_dir):
     inventory = corpus.classify(inputs.files(spark, sf_dir)).select("rel_path", "file_type")
     classified = stored(inventory, "inventory")
     counted = runstate.discovery_counts(classified)
+    shown = F.concat_ws(":", F.lit("target"), "file_type", "rel_path")
     first = runstate.first_targets(classified).select(
-        F.concat_ws(":", F.lit("target"), "file_type", "rel_path").alias("entry"), F.lit(None).cast("bigint").alias("n")
-    )
-    more = counted.where(f"entry = 'targets' AND n > {fixed.TARGET_LIMIT}").select(
-        F.lit("more").alias("entry"), (F.col("n") - fixed.TARGET_LIMIT).alias("n")
-    )
-    return counted.unionByName(first).unionByName(more)
+        F.when(F.col("more").isNull(), shown).otherwise("more").alias("entry"), F.col("more").alias("n"))
+    return counted.unionByName(first)
 
 
 @query(

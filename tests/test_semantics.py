@@ -549,3 +549,10 @@ def test_errors_are_stored_clean(spark):
     outcome = spark.createDataFrame([("o", False, "400 POST https://h: Error: bad: name")], "output_path string, success boolean, error string")
     assert runstate.attach_validation(state, outcome).first()["validation_error"] == "bad: name"
     assert "bad: name" in runstate.error_log(outcome).first()["value"] and "POST" not in runstate.error_log(outcome).first()["value"]
+
+
+def test_first_targets_tell_how_many_more(spark):
+    found = spark.createDataFrame([(f"f{k:02d}.hql", "hql" if k % 4 else "skip") for k in range(20)], "rel_path string, file_type string")
+    rows = [tuple(r) for r in runstate.first_targets(found, 3).collect()]
+    assert rows == [("hql", "f01.hql", None), ("hql", "f02.hql", None), ("hql", "f03.hql", None), (None, None, 12)]
+    assert all(r.more is None for r in runstate.first_targets(found, 15).collect())
