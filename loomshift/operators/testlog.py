@@ -143,14 +143,15 @@ def stretches(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """What each stretch of at most `max_rows` lines tells: a row for itself, for each block opened in it and for each file mentioned."""
     line = F.col("line")
     mention, header = _is_mention(line), _is_header(line)
-    told = log.select(
+    # lines are taken apart behind the exchange: its sample reads the plan below it once more
+    dealt = log.select("run_id", "line_no", "line").repartitionByRange("run_id", "line_no").sortWithinPartitions("run_id", "line_no")
+    told = dealt.select(
         "run_id", "line_no", F.coalesce(line, F.lit("")).alias("line"), _alarm(line).alias("alarm"),
         F.when(mention, F.regexp_extract("line", fixed.LOG_SUMMARY, 1)).alias("file"),
         F.when(mention, F.substring(text.strip(F.regexp_extract("line", fixed.LOG_SUMMARY, 2)), 1, fixed.EXCERPT_CHARS)).alias("message"),
         F.when(header, F.regexp_extract("line", fixed.LOG_BLOCK, 1)).alias("opens"), F.startswith(line, F.lit("===")).alias("closes"),
         F.col("line").rlike(r"^\s*$").alias("blank"), F.startswith(line, F.lit("E   ")).alias("marked"),
         *[c.alias(k) for k, c in _stated(line).items()])
-    dealt = told.repartitionByRange("run_id", "line_no").sortWithinPartitions("run_id", "line_no")
     ddl = (f"kind string, run_id {log.schema['run_id'].dataType.simpleString()}, line_no long, file string, text string, "
            "head array<struct<blank: boolean, line: string>>, passed long, failed long, error long, alarm boolean, named boolean, blocked boolean, "
            "mark struct<block: bigint, file: string>, tail array<string>")
@@ -171,7 +172,7 @@ def stretches(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
         if now:
             yield made(now)
 
-    return stored(dealt.mapInArrow(scan, ddl), "log-stretches")
+    return stored(told.mapInArrow(scan, ddl), "log-stretches")
 
 
 def _blocks(told: DataFrame) -> DataFrame:
