@@ -10,6 +10,9 @@ shingles of the rest its similarity is at least s = a / (2 - a), a = least * 3/4
 (1 - s) ** bands: below 0.001 for 0.8 and 16 bands. Before that, texts without any of the words that at least
 `1 - least` of a template's shingles hold are left out: they cannot hold the template.
 
+Texts are cut into stretches of `STRETCH` places with enough words on either side, so every window is seen once and with all
+that is around it; stretches without a needed word go at once, and the work grows in proportion to the text.
+
 Defined cases: null and empty texts, and texts shorter than a shingle, hold nothing; templates shorter than a shingle are
 one shingle of all their words and are not found in texts; rows that share an id are scanned as one document; an empty table gives an empty result.
 """
@@ -47,6 +50,7 @@ TEMPLATES = {
 }
 TOKEN = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 SIZE = 5
+STRETCH = 1024  # window places that are worked on at a time
 
 
 def tokens(text: str) -> list[str]:
@@ -97,27 +101,53 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     needed = needed_words(templates, least)
     rows = (docs.filter(F.lower(F.col(text_col)).rlike("|".join(re.escape(w) for w in needed)))
             .select(F.col(id_col).alias("doc_id"), words.alias("words")).filter(F.size("words") >= SIZE))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(needed), i + 1)), lambda i: i.isNotNull())
-    rows = rows.withColumn("hits", hits).filter(F.size("hits") > 0)
-    rows = rows.select("doc_id", "hits", F.transform(F.sequence(F.lit(1), F.size("words") - SIZE + 1),
-                                             lambda i: F.xxhash64(F.array_join(F.slice("words", i, SIZE), " "))).alias("all"))
+    # bounded stretches of the text, each with all that windows beginning in it can reach on either side
+    reach = 3 * max(longest.values()) + 2 * SIZE
+    last = F.size("words") - SIZE + 1
+    cut = F.transform(F.sequence(F.lit(1), last, F.lit(STRETCH)), lambda at: stretch(at, reach))
+    rows = rows.select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.*")
+    rows = rows.withColumn("hits", F.filter(F.transform("words", lambda w, i: F.when(w.isin(needed), i + F.col("begin"))), lambda i: i.isNotNull()))
+    rows = rows.filter(F.size("hits") > 0).select(
+        "doc_id", "begin", "own", "hits", F.transform(F.sequence(F.lit(1), F.size("words") - SIZE + 1),
+                                                      lambda i: F.xxhash64(F.array_join(F.slice("words", i, SIZE), " "))).alias("all"))
     # windows of every group near a needed word: as long as its longest template, beginning a quarter of its shortest apart
-    windows = F.flatten(F.array(*[window_starts(g, longest[g]) for g in groups]))
-    rows = rows.select("doc_id", "all", F.explode(windows).alias("w")).select(
-        "doc_id", "all", "w.grp", "w.start", "w.size", F.slice("all", F.col("w.start"), F.col("w.size")).alias("own_window"))
-    rows = rows.withColumn("hashes", F.array(*[least_hash(F.col("own_window"), b) for b in range(bands)]))
-    # the stretch in which the template is looked up: the window and as much on either side
-    around = F.slice("all", F.greatest(F.col("start") - F.col("size"), F.lit(1)), 3 * F.col("size"))
-    rows = rows.select("doc_id", "grp", "start", around.alias("around"), F.posexplode("hashes").alias("band", "hash"))
+    windows = F.flatten(F.array(*[windows_of(g, longest[g]) for g in groups]))
+    rows = rows.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
+    own_window = F.slice("around", F.col("lead") + 1, F.col("size"))
+    hashes = F.array(*[least_hash(own_window, b) for b in range(bands)])
+    rows = rows.select("doc_id", "grp", "start", "around", F.posexplode(hashes).alias("band", "hash"))
     found = rows.join(banded, ["grp", "band", "hash"])
     held = F.size(F.array_intersect("own", "around")) / F.size("own")
     return (found.withColumn("containment", held).filter(F.col("containment") >= least)
             .groupBy("doc_id", "license_id").agg(F.max("containment").alias("containment"), (F.min("start") - 1).cast("int").alias("word")))
 
 
-def window_starts(group: int, size: int) -> Column:
-    """Windows of a group of templates: where they begin and how long they are."""
+def stretch(at: Column, reach: int) -> Column:
+    """The words of the windows that begin at `at` or up to the next stretch, and `reach` words more on both sides; begin is the place of the first."""
+    begin = F.greatest(at - reach, F.lit(1))
+    return F.struct(at.alias("own"), begin.alias("begin"), F.slice("words", begin, at - begin + STRETCH + reach + SIZE).alias("words"))
+
+
+def windows_of(group: int, size: int) -> Column:
+    """Windows of a group of templates: where they begin, the shingles from a window's length before to one behind, and how
+    many of them come before the window.
+
+    The places come from the needed words, some fifteen for each, so the work grows with the text and not with its square.
+    """
     step = max(1, (1 << (group - 1)) // 4)
-    near = F.filter(F.sequence(F.lit(1), F.size("all"), F.lit(step)),
-                    lambda i: F.exists("hits", lambda p: p.between(i - step, i + size + SIZE + step)))
-    return F.transform(near, lambda i: F.struct(F.lit(group).alias("grp"), i.alias("start"), F.lit(size).alias("size")))
+    end = F.least(F.col("own") + STRETCH, F.col("begin") + F.size("all"))
+
+    def places(hit: Column) -> Column:
+        # on the grid of the whole text: 1, 1 + step, 1 + 2 * step ...
+        low = F.greatest(hit - size - SIZE - step, F.col("own"))
+        first = F.ceil((low - 1) / step).cast("int") * step + 1
+        high = F.least(hit + step, end - 1)
+        return F.when(first <= high, F.sequence(first, high, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    def window(start: Column) -> Column:
+        at = start - F.col("begin") + 1  # within the stretch
+        before = F.greatest(at - size, F.lit(1))
+        return F.struct(F.lit(group).alias("grp"), start.alias("start"), F.lit(size).alias("size"), (at - before).alias("lead"),
+                        F.slice("all", before, 3 * size).alias("around"))
+
+    return F.transform(F.array_distinct(F.flatten(F.transform("hits", places))), window)

@@ -348,6 +348,29 @@ def test_licenses(spark, rows):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_across_stretches(spark):
+    """Templates over and beside the borders of stretches, whole and altered, in a text full of needed words."""
+    rnd = random.Random(9)
+    needed = licenses.needed_words(licenses.TEMPLATES, 0.8)
+    shingles = {name: set(licenses.shingles(licenses.tokens(t))) for name, t in licenses.TEMPLATES.items()}
+    docs, want = [], set()
+    for k, (name, template) in enumerate(licenses.TEMPLATES.items()):
+        words = [rnd.choice(needed) if rnd.random() < 0.1 else f"w{rnd.randrange(300)}" for _ in range(5 * licenses.STRETCH)]
+        at = licenses.STRETCH * (1 + k % 4) - rnd.randrange(len(template.split()) + 1)
+        notice = template.split()
+        if len(notice) > 30:
+            notice[rnd.randrange(len(notice))] = "changed"
+        words[at:at] = notice
+        docs.append((k, " ".join(words), None, None))
+        own = set(licenses.shingles(licenses.tokens(docs[-1][1])))
+        want |= {(k, n) for n, s in shingles.items() if len(own & s) >= 0.8 * len(s)}
+    got = {(r.doc_id, r.license_id): r.word for r in licenses.scan(table(spark, docs)).collect()}
+    assert set(got) == want and {k for k, _ in want} == set(range(len(docs)))
+    for k, name in enumerate(licenses.TEMPLATES):
+        # the first window that holds enough of it begins within a length of the place
+        assert abs(got[k, name] - licenses.STRETCH * (1 + k % 4)) < 4 * len(licenses.TEMPLATES[name].split()) + 10
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 
