@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomshift import fixed
 from loomshift.functions import text
 from loomshift.session import stored
+from loomshift.sources import readers
 
 
 def visible(files: DataFrame) -> DataFrame:
@@ -168,13 +170,60 @@ def search_lines(files: DataFrame, pattern: str, glob: str = "**/*") -> DataFram
     return hits.select("rel_path", "line_no", F.substring(text.strip("line"), 1, fixed.HIT_CHARS).alias("hit"))
 
 
-def grep(files: DataFrame, pattern: str, glob: str = "**/*", limit: int = fixed.HIT_LIMIT) -> DataFrame:
-    """The first hits in path order; at the limit a last row (without a path) says that the answer is cut."""
-    first = search_lines(files, pattern, glob).orderBy("rel_path", "line_no").limit(limit)
-    shown = stored(first, "hits")
-    full = shown.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+ROUND_FILES = 2_000   # files of the first round of a search that ends early
+MOST_FILES = 20_000   # more files than that are no longer named one by one: the rest is one scan
+
+
+def grep(files: DataFrame, pattern: str, glob: str = "**/*", limit: int = fixed.HIT_LIMIT, first: int = ROUND_FILES) -> DataFrame:
+    """The first hits in path order; at the limit a last row (without a path) says that the answer is cut.
+
+    Files are read in ranges of the path order until the limit is met. The range is a condition on `rel_path`: it reaches the
+    scan of a table that has the column, which then skips row groups of other paths, and elsewhere the content of other files
+    is not worked out.
+    """
+
+    def read(low: str | None, names: list[str] | None) -> DataFrame:
+        above = files if low is None else files.where(F.col("rel_path") > low)
+        return above if names is None else above.where(F.col("rel_path") <= names[-1])
+
+    return _in_rounds(files.select("rel_path"), read, pattern, glob, limit, first)
+
+
+def grep_tree(spark: SparkSession, root: str, pattern: str, glob: str = "**/*", limit: int = fixed.HIT_LIMIT,
+              first: int = ROUND_FILES) -> DataFrame:
+    """As `grep`, over the files below a folder: one listing, and only the files of the ranges looked at are opened."""
+    listed = stored(readers.list_files(spark, root).select("rel_path", "path", "size"), "listing")
+
+    def read(low: str | None, names: list[str] | None) -> DataFrame:
+        above = listed if low is None else listed.where(F.col("rel_path") > low)
+        return readers.open_files(spark, root, above if names is None else above.where(F.col("rel_path") <= names[-1]))
+
+    return _in_rounds(listed.select("rel_path"), read, pattern, glob, limit, first)
+
+
+def _in_rounds(paths: DataFrame, read: Callable[[str | None, list[str] | None], DataFrame], pattern: str, glob: str, limit: int,
+               first: int) -> DataFrame:
+    """Searches the next files in path order, each round eight times as many, and stops at the limit; past MOST_FILES the rest is
+    one round. A round costs a pass over the paths alone and brings its last names, a bounded number, to the driver."""
+    inside = paths.where(F.col("rel_path").rlike(text.glob_pattern(glob)))
+    low, n, left, shown = None, first, limit, []
+    while left > 0:
+        names = None
+        if n <= MOST_FILES:
+            rest = inside if low is None else inside.where(F.col("rel_path") > low)
+            names = [r.rel_path for r in rest.orderBy("rel_path").limit(n).collect()]
+            names = names if len(names) == n else None
+        hits = search_lines(read(low, names), pattern, glob).orderBy("rel_path", "line_no").limit(left)
+        shown.append(stored(hits, "hits"))
+        if names is None:
+            break
+        left -= shown[-1].count()
+        low, n = names[-1], n * 8
+    found = reduce(DataFrame.unionByName, shown) if shown else search_lines(read(None, None).limit(0), pattern, glob)
+    full = found.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
     note = full.select(F.lit(None).cast("string").alias("rel_path"), F.lit(None).cast("bigint").alias("line_no"), F.lit(fixed.HITS_CUT).alias("hit"))
-    return shown.unionByName(note)
+    # at most `limit` rows
+    return found.orderBy("rel_path", "line_no").limit(max(limit, 1)).unionByName(note)
 
 
 def line_window(files: DataFrame, offset: int = 0, limit: int = fixed.LINE_LIMIT) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,17 +67,35 @@ def scan_files(spark: SparkSession, root: str, underscored: bool = True) -> Data
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
     if underscored:
         raw = raw.unionByName(_underscored_files(spark, root))
-    # compared without scheme and host, whichever file system lists them
-    place = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
-    prefix = re.sub(place, "", root).rstrip("/") + "/"
     return raw.select(
-        "path",
-        F.substr(F.regexp_replace("path", place, ""), F.lit(len(prefix) + 1)).alias("rel_path"),
+        "path", _below(root).alias("rel_path"),
         F.col("length").alias("size"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
+def _below(root: str) -> Column:
+    """The part of `path` below a folder, compared without scheme and host, whichever file system lists them."""
+    place = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+    prefix = re.sub(place, "", root).rstrip("/") + "/"
+    return F.substr(F.regexp_replace("path", place, ""), F.lit(len(prefix) + 1))
+
+
+def list_files(spark: SparkSession, root: str, underscored: bool = True) -> DataFrame:
+    """A row per file below a folder: path, rel_path, size. No file is opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    if underscored:
+        raw = raw.unionByName(_listed(spark, root))
+    return raw.select("path", _below(root).alias("rel_path"), F.col("length").alias("size"))
+
+
+def open_files(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """The files of some rows of `list_files`, with their content as in `scan_files`; tasks open just these, spread by path."""
+    content = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
+    read = listed.select("path", "rel_path").repartition("path").mapInPandas(_opener(root), "path string, length long, content binary")
+    return read.select("path", _below(root).alias("rel_path"), F.col("length").alias("size"), content)
+
+
 def _file_system(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", root)))
 
@@ -90,26 +108,16 @@ def _skipped_by_spark(rel_path: str) -> bool:
 READ_BYTES = 32 * 1024 * 1024  # file contents handed on at a time
 
 
-def _underscored_files(spark: SparkSession, root: str) -> DataFrame:
-    """Tasks list one level of folders after the other, the folders of a level spread anew; then tasks read the files found."""
-    base = _file_system(root)[1]
-
-    def entries(batches):
-        own, _ = _file_system(root)
-        for batch in batches:
-            for folder in batch["path"]:
-                infos = [i for i in own.get_file_info(fs.FileSelector(folder)) if not i.base_name.startswith(".")]
-                yield pd.DataFrame({
-                    "path": pd.Series([i.path for i in infos], dtype="object"),
-                    "folder": pd.Series([i.type == fs.FileType.Directory for i in infos], dtype="bool"),
-                    "skipped": pd.Series([_skipped_by_spark(i.path[len(base):].strip("/")) for i in infos], dtype="bool")})
+def _opener(root: str):
+    """Task function that reads the files named by `path` and, below the folder, by `rel_path`."""
+    base = _file_system(root)[1].rstrip("/")
 
     def read(batches):
         own, _ = _file_system(root)
         for batch in batches:
             held: list[tuple[str, int, bytes]] = []
-            for path in batch["path"]:
-                with own.open_input_stream(path) as stream:
+            for path, rel_path in zip(batch["path"], batch["rel_path"], strict=True):
+                with own.open_input_stream(f"{base}/{rel_path}") as stream:
                     content = stream.readall()
                 held.append((path, len(content), content))
                 if sum(n for _, n, _ in held) >= READ_BYTES:
@@ -118,13 +126,37 @@ def _underscored_files(spark: SparkSession, root: str) -> DataFrame:
             if held:
                 yield pd.DataFrame(held, columns=["path", "length", "content"])
 
+    return read
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """Files that Spark's own listing skips: path, length. Tasks list one level of folders after the other, the folders of a level spread anew."""
+    base = _file_system(root)[1]
+
+    def entries(batches):
+        own, _ = _file_system(root)
+        for batch in batches:
+            for folder in batch["path"]:
+                infos = [i for i in own.get_file_info(fs.FileSelector(folder)) if not i.base_name.startswith(".")]
+                yield pd.DataFrame({
+                    "path": pd.Series([i.path for i in infos], dtype="object"),
+                    "length": pd.Series([i.size or 0 for i in infos], dtype="int64"),
+                    "folder": pd.Series([i.type == fs.FileType.Directory for i in infos], dtype="bool"),
+                    "skipped": pd.Series([_skipped_by_spark(i.path[len(base):].strip("/")) for i in infos], dtype="bool")})
+
     level, found = literal_rows(spark, [(base,)], "path string"), None
     while not level.isEmpty():
-        listed = stored(level.repartition("path").mapInPandas(entries, "path string, folder boolean, skipped boolean"), "listing")
-        files = listed.where("NOT folder AND skipped").select("path")
+        listed = stored(level.repartition("path").mapInPandas(entries, "path string, length long, folder boolean, skipped boolean"), "listing")
+        files = listed.where("NOT folder AND skipped").select("path", "length")
         found = files if found is None else found.unionByName(files)
         level = listed.where("folder").select("path")
-    return found.repartition("path").mapInPandas(read, "path string, length long, content binary")
+    return found
+
+
+def _underscored_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files that Spark's own listing skips, read by tasks."""
+    listed = _listed(spark, root).select("path", _below(root).alias("rel_path"))
+    return listed.repartition("path").mapInPandas(_opener(root), "path string, length long, content binary")
 
 
 def state_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

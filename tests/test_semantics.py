@@ -544,6 +544,46 @@ def test_markers_of_cut_answers(spark):
     assert [(r.status, r.note) for r in runstate.first_flagged(state, 3).collect()][-1] == ("more", "... [1 more flagged files]")
 
 
+def test_search_ends_early(spark, tmp_path):
+    """Later files are not read once the limit is met; ranges of any size give the hits of a whole search."""
+    rows = [(f"d/f{k:04d}.py", "x\n" * (k % 4) + "y") for k in range(300)] + [("d/f0007.py", "x again")]
+    f = files(spark, *rows)
+    whole = [tuple(r) for r in corpus.search_lines(f, "x").orderBy("rel_path", "line_no").collect()]
+    for first, limit in ((1, 40), (3, 100), (50, 7), (1000, 20), (2, 10_000), (10, 0)):
+        got = [tuple(r) for r in corpus.grep(f, "x", limit=limit, first=first).collect()]
+        cut = [(None, None, fixed.HITS_CUT)] if len(whole) >= limit else []
+        assert got[-1:] == cut[-1:] or not cut
+        assert [(a, n) for a, n, _ in got if a] == [(a, n) for a, n, _ in whole[:limit]], (first, limit)
+    # a stored table in path order: the range reaches the scan
+    folder = scratch(spark, "in_order")
+    f.sort("rel_path").write.parquet(folder)
+    kept = spark.read.parquet(folder)
+    plan = kept.where("rel_path > 'd/f0010.py' AND rel_path <= 'd/f0020.py'")._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThan(rel_path" in plan
+    guarded = kept.select("rel_path", F.when(F.col("rel_path") > "d/f0100.py", F.raise_error(F.lit("was read"))).otherwise(F.col("content")).alias("content"))
+    assert corpus.grep(guarded, "x", limit=100, first=80).count() == 101
+    with pytest.raises(PySparkException):
+        corpus.grep(guarded, "x", limit=200, first=80).count()
+
+
+def test_search_of_a_tree_opens_the_first_files_only(spark, tmp_path):
+    for k in range(60):
+        path = tmp_path / f"d{k % 2}" / f"f {k:02d}[1].py"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(f"needle {k}\nother")
+    (tmp_path / "d0" / "__init__.py").write_text("needle underscored")
+    listed = {r.rel_path: r.size for r in readers.list_files(spark, str(tmp_path)).collect()}
+    assert len(listed) == 61 and listed["d0/__init__.py"] == 18 and listed["d1/f 01[1].py"] == len("needle 1\nother")
+    everything = corpus.grep_tree(spark, str(tmp_path), "needle").collect()
+    assert len(everything) == 61 and everything[0].rel_path == "d0/__init__.py"
+    assert [r.rel_path for r in everything] == sorted(listed)
+    opened = readers.open_files(spark, str(tmp_path), readers.list_files(spark, str(tmp_path)))
+    assert sorted((r.rel_path, r.content, r.size) for r in opened.collect()) == sorted((r.rel_path, r.content, r.size) for r in readers.scan_files(spark, str(tmp_path)).collect())
+    few = corpus.grep_tree(spark, str(tmp_path), "needle", limit=5, first=4).collect()
+    assert [r.rel_path for r in few[:5]] == sorted(listed)[:5] and few[5].hit == fixed.HITS_CUT
+    assert corpus.grep_tree(spark, str(tmp_path), "needle", glob="d1/*", limit=3, first=2).first()["rel_path"].startswith("d1/")
+
+
 def test_errors_are_stored_clean(spark):
     state = spark.createDataFrame([("o", None, None)], "output_path string, validation_passed boolean, validation_error string")
     outcome = spark.createDataFrame([("o", False, "400 POST https://h: Error: bad: name")], "output_path string, success boolean, error string")
