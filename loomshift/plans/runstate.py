@@ -12,7 +12,7 @@ from loomshift.plans.corpus import REVIEWED, REWRITTEN, CLASSIFIED, PLANNED
 from loomshift.plans.inputs import DATASET_MAP, PATH_MAP, with_ctes
 from loomshift.plans.registry import query
 from loomshift.session import read_table, scratch, stored
-from loomshift.sources import readers, sinks
+from loomshift.sources import readers, sinks, versions
 
 _STATE = with_ctes(state=inputs.STATE, validations=inputs.VALIDATIONS)
 _VALIDATED = _STATE.rstrip() + """, validated AS (
@@ -67,6 +67,28 @@ def state_merge(spark, sf_dir):
     return back.select("rel_path", "status", F.array_join("notes", " | ").alias("notes"))
 
 
+@query(
+    "state_versions",
+    _STATE + """
+    SELECT rel_path, CASE WHEN status = 'error' THEN 'converted' ELSE status END AS status,
+      CASE WHEN status = 'error' THEN 'version 2' WHEN file_type = 'hql' THEN 'version 3' ELSE coalesce(note, '') END AS notes FROM state
+    """,
+)
+def state_versions(spark, sf_dir):
+    """Two runs merged in place, each worked out from the state that it replaces."""
+    folder = scratch(spark, "state")
+    begin = inputs.state(spark, sf_dir).drop("doc_id")
+    versions.create(begin, folder, "rel_path", buckets=16)
+    current = versions.read(spark, folder, begin.schema)
+    failed = current.where("status = 'error'")
+    versions.merge(failed.withColumns({"status": F.lit("converted"), "notes": F.array(F.lit("version 2"))}), folder, "rel_path")
+    current = versions.read(spark, folder, begin.schema)
+    rest = current.where("file_type = 'hql' AND NOT array_contains(notes, 'version 2')")
+    versions.merge(rest.withColumn("notes", F.array(F.lit("version 3"))), folder, "rel_path")
+    versions.prune(spark, folder, keep=1)
+    return versions.read(spark, folder, begin.schema).select("rel_path", "status", F.array_join("notes", " | ").alias("notes"))
+
+
 @query(
     "validation_status",
     _VALIDATED + """
