@@ -1,11 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Texts become letters: lower-cased, everything else a single blank between words. All n-grams of all training texts
+Texts become letters, lower-cased, with the marks that stand on them (vowel signs, accents); everything else is a single blank between words. All n-grams of all training texts
 are counted per language; the counts meet in Spark. Per language and order the model keeps n-gram keys (hashes) in
 sorted arrays with their log probability, and contexts with their back-off weight. A text takes the
 language of the lowest cross-entropy per letter. Its confidence is the share of that language when
 entropies are weighed as exp(-bits * sharpness). Texts whose entropy is higher than all but a set part
-of the language's training texts are marked as rejected.
+of the language's texts are marked as rejected. That limit is taken from a sixteenth of the labelled texts, by the hash of the text,
+which is left out of the counts; a language of fewer than `CALIBRATED` labelled texts keeps all of them and takes its limit from them.
 
 No n-gram is left out. Up to `max_grams` n-grams are one dense model. More of them become weights that add up to the same
 log probabilities, worked out in Spark and split by hash range into parts of about `max_grams` weights; a task
@@ -33,21 +34,25 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANK = 0x20
 DISCOUNT = 0.75
+CALIBRATED = 320  # labelled texts from which on a language leaves some out of the counts
 CELLS = 4_000_000  # n-grams times languages of a dense model, and windows times languages that a task adds up at a time
 CHUNK = 8 << 20    # letters that a task adds up at a time
 _letters: list[np.ndarray] = []
 
 
-def letter_table() -> np.ndarray:
-    """Code point to its lower-case letter, or to a blank."""
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """Code point to its lower-case letter, its mark, or a blank; and which code points are marks."""
     if not _letters:
-        table = np.full(0x110000, BLANK, np.int32)
+        table, marks = np.full(0x110000, BLANK, np.int32), np.zeros(0x110000, bool)
         for c in range(0x110000):
-            if unicodedata.category(chr(c))[0] == "L":
+            kind = unicodedata.category(chr(c))[0]
+            if kind in "LM":
                 low = chr(c).lower()
                 table[c] = ord(low) if len(low) == 1 else c
-        _letters.append(table)
-    return _letters[0]
+            if kind == "M":
+                marks[c] = True
+        _letters.extend([table, marks])
+    return _letters[0], _letters[1]
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,10 +62,16 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     codes = np.frombuffer(texts.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum(begins)])
     borders = at[offsets - offsets[0]]
-    codes = letter_table()[codes]
+    table, marks = letter_table()
+    mark = marks[codes]
+    codes = table[codes]
     doc = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
     if not len(codes):
         return codes, doc
+    if mark.any():
+        # marks (vowel signs, accents) belong to the letter before them; others are blanks
+        to = np.maximum.accumulate(np.where(mark, 0, np.arange(len(codes))))
+        codes[mark & (mark[to] | (codes[to] == BLANK) | (doc[to] != doc))] = BLANK
     new = np.ones(len(codes), bool)
     new[1:] = doc[1:] != doc[:-1]
     blank = codes == BLANK
@@ -460,15 +471,21 @@ def score(docs: DataFrame, training: Column, keep: list[str], text_col: str = "t
     own = docs.select(*keep)
     own_columns = columns(own, ("lang_pred", "score", "bits", "rejected"))
     train, text, lang, limit = (fresh(own, x) for x in ("_training", "_text", "_lang", "_limit"))
-    model = fit(docs.filter(F.coalesce(training, F.lit(False))), text_col, lang_col, order, max_grams)
+    usable = docs.filter(F.coalesce(training, F.lit(False)))
+    # a row per language
+    large = [r[0] for r in usable.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col)).count()
+             .filter(F.col("count") >= CALIBRATED).collect()]
+    of_large = F.coalesce(F.col(lang_col).isin(large), F.lit(False))
+    left_out = of_large & (F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(16)) == 0)
+    model = fit(usable.filter(~left_out), text_col, lang_col, order, max_grams)
     if model is None:
         return own.select(*own_columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("bits"), F.lit(False).alias("rejected"))
-    learnt = F.coalesce(training & F.col(lang_col).isNotNull(), F.lit(False)).alias(train)
+    learnt = F.coalesce(training & F.col(lang_col).isNotNull() & (left_out | ~of_large), F.lit(False)).alias(train)
     rows = docs.select(*keep, learnt, F.col(text_col).alias(text)).select(*own_columns, train, text)
     scored = Scratch(spark, "langid").store(rows.mapInArrow(
         predictor(model if isinstance(model, Parts) else spark.sparkContext.broadcast(model), sharpness), ddl(rows.drop(text), "lang_pred string", "score double", "bits double")))
-    # the highest entropy that training texts of the language reach, but for a small part of them
+    # the highest entropy that texts of the language reach, but for a small part of them
     limits = (scored.filter(F.col(train) & F.col("bits").isNotNull()).groupBy(F.col("lang_pred").alias(lang))
               .agg(F.percentile_approx("bits", 1 - rejected_part, 10_000).alias(limit)))
     return (scored.join(F.broadcast(limits), F.col("lang_pred") == F.col(lang), "left")  # a row per language of the model

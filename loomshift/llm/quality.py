@@ -9,7 +9,7 @@ The sample is bounded by `sample` rows, chosen by the hash of their ids. All doc
 
 Defined cases: null and empty texts, and texts without any neighbour, score the mean label; without any labelled row
 every score is 0.5 and every document is accepted; labels other than 0 and 1 and null are not learnt from; contradicting labels
-of one id count as 0; of rows that share an id one is learnt from; equal cosines count in the order of the sample.
+of one id count as 0; of rows that share an id the one whose text has the smallest hash is learnt from; equal cosines count in the order of the sample.
 """
 
 from __future__ import annotations
@@ -140,7 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
              .join(docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi"))
     chosen = known.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(sample)
     rows = (docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]))  # at most `sample` ids
+            .join(F.broadcast(chosen), "_id"))
+    # at most `sample` ids, each with the text of the smallest hash, in one order: equal runs learn from equal rows
+    rows = (rows.groupBy("_id", "label").agg(F.min_by("text", F.struct(F.md5(F.col("text").cast("binary")), "text")).alias("text"))
+            .orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id"))
     # sparse rows: each text has at most TERMS terms
     table = rows.select("label", "text").mapInArrow(sparse_terms, "label int, index array<int>, weight array<float>").toArrow()
     if not table.num_rows:

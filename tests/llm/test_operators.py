@@ -1,6 +1,7 @@
 """Operators against plain Python, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -553,6 +554,73 @@ def test_language_model_is_whole(spark, monkeypatch):
             assert r.score == pytest.approx(whole[k].score, abs=1e-4) and r.bits == pytest.approx(whole[k].bits, abs=1e-4)
 
 
+def test_marks_stay_on_their_letters():
+    import pyarrow as pa
+
+    from loomshift.llm import arrays
+
+    def seen(*texts):
+        codes, doc = langid.letters(*arrays.buffers(pa.array(texts)))
+        return ["".join(chr(c) for c, d in zip(codes, doc, strict=True) if d == k) for k in range(len(texts))]
+
+    assert seen("हिन्दी भाषा", "E\u0301 1\u0301 a", "\u0301\u0301", "x", "\u0301y", "a\u0301\u0308b") == [
+        " हिन्दी भाषा", " e\u0301 a", "", " x", " y", " a\u0301\u0308b"]
+
+
+def plain_kneser_ney(texts, order, discount):
+    """Letters' probabilities by language, from counts in dictionaries."""
+    top = defaultdict(Counter)
+    for lang, text in texts:
+        for k in range(len(text) - order + 1):
+            top[lang][text[k : k + order]] += 1
+    levels = {order: top}
+    for size in range(order - 1, 0, -1):
+        levels[size] = defaultdict(Counter)
+        for lang, grams in levels[size + 1].items():
+            for gram in grams:
+                levels[size][lang][gram[1:]] += 1
+    letters = {g for grams in levels[1].values() for g in grams}
+
+    def probability(lang, context, letter):
+        size = len(context) + 1
+        lower = probability(lang, context[1:], letter) if context else 1 / (len(letters) + 1)
+        after = {g: n for g, n in levels[size][lang].items() if g[:-1] == context}
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get(context + letter, 0) - discount, 0) / total + discount * len(after) / total * lower
+
+    return probability
+
+
+def test_language_model_against_counts_in_dictionaries(spark):
+    texts = [("de", "der hund und die katze"), ("de", "das haus"), ("en", "the dog and the cat"), ("en", "a house"), ("hi", "हिन्दी भाषा"), (None, "und the भाषा zz")]
+    frame = table(spark, [(k, t, lang, None) for k, (lang, t) in enumerate(texts)])
+    rows = {r.doc_id: r for r in langid.score(frame, F.lit(True), ["doc_id"], order=3).collect()}
+    probability = plain_kneser_ney([(lang, " " + t) for lang, t in texts if lang], 3, langid.DISCOUNT)
+    for k, (_, text) in enumerate(texts):
+        text = " " + text
+        bits = {lang: -sum(math.log2(probability(lang, text[max(0, j - 2) : j], text[j])) for j in range(1, len(text))) / (len(text) - 1)
+                for lang in ("de", "en", "hi")}
+        best = min(bits, key=lambda x: (bits[x], x))
+        assert rows[k].lang_pred == best and rows[k].bits == pytest.approx(bits[best], abs=1e-4), (text, bits)
+
+
+def test_limits_come_from_texts_left_out(spark, monkeypatch):
+    """Texts of a large language that were not counted set its limit; small ones keep all their texts."""
+    monkeypatch.setattr(langid, "CALIBRATED", 50)
+    rnd = random.Random(12)
+    docs = [(k, prose(rnd, "en"), "en", "s") for k in range(600)] + [(2000 + k, prose(rnd, "de"), "de", "s") for k in range(20)]
+    docs += [(5000, "zqxj vvkq qqzx jjxq", None, "s")]
+    frame = table(spark, docs).withColumn("left_out", (F.pmod(F.xxhash64("text"), F.lit(16)) == 0) & (F.col("lang") == "en"))
+    rows = langid.score(frame, F.lit(True), ["doc_id", "lang", "left_out"], rejected_part=0.05).collect()
+    spared = sorted(r.bits for r in rows if r.left_out)
+    assert 15 < len(spared) < 70
+    cut = spared[math.ceil(0.95 * len(spared)) - 1]
+    assert all(r.rejected == (r.bits > cut) for r in rows if r.lang_pred == "en")
+    assert all(r.lang_pred == r.lang for r in rows if r.lang) and sum(r.rejected for r in rows if r.lang == "de") <= 1
+
+
 def test_language_model_is_a_distribution(spark):
     """Kneser-Ney probabilities of all letters after a context add up to one, but for the share of unseen letters."""
     import numpy as np
