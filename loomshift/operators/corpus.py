@@ -171,7 +171,8 @@ def search_lines(files: DataFrame, pattern: str, glob: str = "**/*") -> DataFram
 
 
 ROUND_FILES = 2_000   # files of the first round of a search that ends early
-MOST_FILES = 20_000   # more files than that are no longer named one by one: the rest is one scan
+MOST_FILES = 20_000   # a round of more files than that is the rest, in one scan
+SHOWN_NAMES = 250     # names that a task gives the driver to place the end of a round
 
 
 def grep(files: DataFrame, pattern: str, glob: str = "**/*", limit: int = fixed.HIT_LIMIT, first: int = ROUND_FILES) -> DataFrame:
@@ -182,9 +183,8 @@ def grep(files: DataFrame, pattern: str, glob: str = "**/*", limit: int = fixed.
     is not worked out.
     """
 
-    def read(low: str | None, names: list[str] | None) -> DataFrame:
-        above = files if low is None else files.where(F.col("rel_path") > low)
-        return above if names is None else above.where(F.col("rel_path") <= names[-1])
+    def read(low: str | None, high: str | None) -> DataFrame:
+        return _between(files, low, high)
 
     return _in_rounds(files.select("rel_path"), read, pattern, glob, limit, first)
 
@@ -194,31 +194,36 @@ def grep_tree(spark: SparkSession, root: str, pattern: str, glob: str = "**/*",
     """As `grep`, over the files below a folder: one listing, and only the files of the ranges looked at are opened."""
     listed = stored(readers.list_files(spark, root).select("rel_path", "path", "size"), "listing")
 
-    def read(low: str | None, names: list[str] | None) -> DataFrame:
-        above = listed if low is None else listed.where(F.col("rel_path") > low)
-        return readers.open_files(spark, root, above if names is None else above.where(F.col("rel_path") <= names[-1]))
+    def read(low: str | None, high: str | None) -> DataFrame:
+        return readers.open_files(spark, root, _between(listed, low, high))
 
     return _in_rounds(listed.select("rel_path"), read, pattern, glob, limit, first)
 
 
-def _in_rounds(paths: DataFrame, read: Callable[[str | None, list[str] | None], DataFrame], pattern: str, glob: str, limit: int,
-               first: int) -> DataFrame:
-    """Searches the next files in path order, each round eight times as many, and stops at the limit; past MOST_FILES the rest is
-    one round. A round costs a pass over the paths alone and brings its last names, a bounded number, to the driver."""
+def _between(rows: DataFrame, low: str | None, high: str | None) -> DataFrame:
+    above = rows if low is None else rows.where(F.col("rel_path") > low)
+    return above if high is None else above.where(F.col("rel_path") <= high)
+
+
+def _in_rounds(paths: DataFrame, read: Callable[[str | None, str | None], DataFrame], pattern: str, glob: str, limit: int, first: int) -> DataFrame:
+    """Searches the next files in path order, each round some eight times as many, and stops at the limit; past MOST_FILES the rest is
+    one round. A round costs a pass over the paths alone; where it ends is told by the paths whose hash falls into one of some
+    classes, so that each task names SHOWN_NAMES of them at most."""
     inside = paths.where(F.col("rel_path").rlike(text.glob_pattern(glob)))
     low, n, left, shown = None, first, limit, []
     while left > 0:
-        names = None
+        high = None
         if n <= MOST_FILES:
-            rest = inside if low is None else inside.where(F.col("rel_path") > low)
-            names = [r.rel_path for r in rest.orderBy("rel_path").limit(n).collect()]
-            names = names if len(names) == n else None
-        hits = search_lines(read(low, names), pattern, glob).orderBy("rel_path", "line_no").limit(left)
+            classes = -(-n // SHOWN_NAMES)
+            some = _between(inside, low, None).where(F.pmod(F.xxhash64("rel_path"), F.lit(classes)) == 0)
+            names = some.orderBy("rel_path").limit(n // classes).collect()
+            high = names[-1].rel_path if len(names) == n // classes else None
+        hits = search_lines(read(low, high), pattern, glob).orderBy("rel_path", "line_no").limit(left)
         shown.append(stored(hits, "hits"))
-        if names is None:
+        if high is None:
             break
         left -= shown[-1].count()
-        low, n = names[-1], n * 8
+        low, n = high, n * 8
     found = reduce(DataFrame.unionByName, shown) if shown else search_lines(read(None, None).limit(0), pattern, glob)
     full = found.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
     note = full.select(F.lit(None).cast("string").alias("rel_path"), F.lit(None).cast("bigint").alias("line_no"), F.lit(fixed.HITS_CUT).alias("hit"))

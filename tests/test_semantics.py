@@ -549,7 +549,7 @@ def test_search_ends_early(spark, tmp_path):
     rows = [(f"d/f{k:04d}.py", "x\n" * (k % 4) + "y") for k in range(300)] + [("d/f0007.py", "x again")]
     f = files(spark, *rows)
     whole = [tuple(r) for r in corpus.search_lines(f, "x").orderBy("rel_path", "line_no").collect()]
-    for first, limit in ((1, 40), (3, 100), (50, 7), (1000, 20), (2, 10_000), (10, 0)):
+    for first, limit in ((1, 40), (3, 100), (50, 7), (1000, 20), (2, 10_000), (10, 0), (270, 60)):
         got = [tuple(r) for r in corpus.grep(f, "x", limit=limit, first=first).collect()]
         cut = [(None, None, fixed.HITS_CUT)] if len(whole) >= limit else []
         assert got[-1:] == cut[-1:] or not cut
