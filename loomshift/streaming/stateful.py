@@ -6,6 +6,7 @@ tells when nothing earlier can arrive any more, then the result goes out once an
 
 from __future__ import annotations
 
+import pickle
 import sys
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -27,26 +28,35 @@ ANSWER = Row("session_id", "id", "request_id", "asked_at", "said_at", "decision"
 
 
 class Timed(StatefulProcessor):
-    """One value of state per key and one timer, set to the next moment (microseconds) at which something is settled."""
+    """One value of state per key and one timer, set to the next moment (microseconds) at which something is settled.
 
-    schema = ""
+    Every call of the state goes over a socket, so a key costs few of them: its value is one pickled field beside the
+    timer that is set, which is only touched when it moves."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.schema)
+        self.state = handle.getValueState("state", "held binary, timer long")
 
-    def load(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else ()
+    def load(self) -> tuple[object, int | None]:
+        """What is held for the key, and its timer; nothing and no timer for a new key."""
+        if not self.state.exists():
+            return None, None
+        held, timer = self.state.get()
+        return pickle.loads(held), timer
 
-    def keep(self, value: tuple, next_at: int | None) -> None:
-        for timer in list(self.handle.listTimers()):
+    def keep(self, value: object, next_at: int | None, timer: int | None, fired: int | None = None) -> None:
+        """Sets the value and moves the timer from where it is; one that has fired goes by itself."""
+        # the first millisecond that is not before it
+        wanted = None if next_at is None else -(-next_at // 1000)
+        if timer is not None and timer not in (wanted, fired):
             self.handle.deleteTimer(timer)
-        if next_at is None:
-            self.state.clear()
+        if wanted is None:
+            if timer is not None:
+                self.state.clear()
             return
-        self.state.update(value)
-        # the first millisecond that is not before it
-        self.handle.registerTimer(-(-next_at // 1000))
+        self.state.update((pickle.dumps(value, 5), wanted))
+        if wanted != timer:
+            self.handle.registerTimer(wanted)
 
     def close(self) -> None:
         pass
@@ -66,7 +76,7 @@ class Run:
         self.cancel = min((c for c in (self.cancel, other.cancel) if c is not None), default=None)
 
     def packed(self) -> tuple:
-        return (self.first, self.last, self.events, self.tokens, [list(s) for s in self.steps], list(self.cancel) if self.cancel else None)
+        return self.first, self.last, self.events, self.tokens, self.steps, self.cancel
 
 
 class SessionRuns(Timed):
@@ -75,14 +85,12 @@ class SessionRuns(Timed):
     The first `max_steps` + 1 steps and the first cancellation decide how a run ended, so a run's state is
     bounded whatever the number of its events. Times are (microseconds, event id), which orders equal times."""
 
-    schema = ("runs array<struct<first: long, last: long, events: long, tokens: array<long>, steps: array<array<long>>, cancel: array<long>>>")
-
     def __init__(self, gap_s: int, max_steps: int):
         self.gap, self.most = gap_s * 1_000_000, max_steps
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.load()
-        runs = [Run(r[0], r[1], r[2], r[3], [tuple(s) for s in r[4]], tuple(r[5]) if r[5] else None) for r in (held[0] if held else [])]
+        held, timer = self.load()
+        runs = [Run(*r) for r in held or ()]
         ends = [r.last for r in runs]
         for row in rows:
             at = (row.micros, row.event_id)
@@ -94,21 +102,22 @@ class SessionRuns(Timed):
                 new.join(runs[high], self.most + 1)
                 high += 1
             runs[low:high], ends[low:high] = [new], [new.last]
-        self._keep(runs)
+        self._keep(runs, timer)
         return iter(())
 
-    def _keep(self, runs: list[Run]) -> None:
-        self.keep(([r.packed() for r in runs],), runs[0].last + self.gap if runs else None)
+    def _keep(self, runs: list[Run], timer: int | None, fired: int | None = None) -> None:
+        self.keep([r.packed() for r in runs], runs[0].last + self.gap if runs else None, timer, fired)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        runs = [Run(r[0], r[1], r[2], r[3], [tuple(s) for s in r[4]], tuple(r[5]) if r[5] else None) for r in self.load()[0]]
+        held, timer = self.load()
+        runs = [Run(*r) for r in held or ()]
         for r in runs:
             if r.last + self.gap <= now:
                 before = [s for s in r.steps if r.cancel is None or s < r.cancel]
                 capped = len(before) > self.most
                 yield RUN(key[0], r.first, r.last + self.gap, r.events, *r.tokens, min(len(before), self.most), capped, r.cancel is not None and not capped)
-        self._keep([r for r in runs if r.last + self.gap > now])
+        self._keep([r for r in runs if r.last + self.gap > now], timer, expiredTimerInfo.getExpiryTimeInMs())
 
 
 def session_runs(stream: DataFrame, gap_s: int, max_steps: int = fixed.MAX_STEPS, delay: str = "10 minutes", cancel=None) -> DataFrame:
@@ -123,18 +132,14 @@ def session_runs(stream: DataFrame, gap_s: int, max_steps: int = fixed.MAX_STEPS
 
 
 class OneAnswer(Timed):
-    """Requests of one id, each answered once: by the first answer within the timeout, when nothing before it can
-    arrive any more, else by a refusal at the timeout. An answer may serve several requests."""
+    """Requests of some ids of a session, each answered once: by the first answer to its id within the timeout, when nothing
+    before it can arrive any more, else by a refusal at the timeout. An answer may serve several requests.
 
-    schema = "asked array<struct<at: long, request: long>>, said array<struct<at: long, decision: string>>"
+    The state is a pair of lists per id: requests as (microseconds, event id), answers in order as (microseconds, decision)."""
 
     def __init__(self, timeout_s: int, refusal: str):
         self.timeout, self.refusal = timeout_s * 1_000_000, refusal
 
-    def _load(self) -> tuple[list, list]:
-        held = self.load()
-        return ([tuple(x) for x in held[0]], [tuple(x) for x in held[1]]) if held else ([], [])
-
     def _settled(self, at: int, said: list) -> tuple[int, str, int | None]:
         """When a request is settled, by what, and when that was said."""
         k = bisect_left(said, (at, ""))
@@ -142,43 +147,60 @@ class OneAnswer(Timed):
             return said[k][0], said[k][1], said[k][0]
         return at + self.timeout, self.refusal, None
 
-    def _keep(self, asked: list, said: list) -> None:
-        moments = [self._settled(at, said)[0] for at, _ in asked] + [at for at, _ in said]
-        self.keep((asked, said), min(moments) if moments else None)
+    def _next(self, held: dict) -> int | None:
+        return min((m for asked, said in held.values() for m in (*(self._settled(at, said)[0] for at, _ in asked), *(at for at, _ in said[:1]))), default=None)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        asked, said = self._load()
+        held, timer = self.load()
+        held, answered = held or {}, set()
         for row in rows:
-            if row.is_request:
-                asked.append((row.micros, row.event_id))
+            micros, event_id, is_request, decision = row.what.split(",", 3)
+            asked, said = held.setdefault(row.id, ([], []))
+            if is_request == "true":
+                asked.append((int(micros), int(event_id) if event_id else None))
             else:
-                said.append((row.micros, row.decision or self.refusal))
-        self._keep(asked, sorted(set(said)))
+                said.append((int(micros), decision or self.refusal))
+                answered.add(row.id)
+        for id_ in answered:
+            held[id_] = (held[id_][0], sorted(set(held[id_][1])))
+        self.keep(held, self._next(held), timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        asked, said = self._load()
-        open_ = []
-        for at, request in asked:
-            moment, decision, said_at = self._settled(at, said)
-            if moment <= now:
-                yield ANSWER(key[0], key[1], request, at, said_at, decision)
-            else:
-                open_.append((at, request))
-        self._keep(open_, [x for x in said if x[0] > now])
+        held, timer = self.load()
+        left = {}
+        for id_, (asked, said) in (held or {}).items():
+            open_ = []
+            for at, request in asked:
+                moment, decision, said_at = self._settled(at, said)
+                if moment <= now:
+                    yield ANSWER(key[0], id_, request, at, said_at, decision)
+                else:
+                    open_.append((at, request))
+            later = [x for x in said if x[0] > now]
+            if open_ or later:
+                left[id_] = (open_, later)
+        self.keep(left, self._next(left), timer, expiredTimerInfo.getExpiryTimeInMs())
+
+
+# Parts that the ids of a session are dealt into. A key of the state costs a dozen calls whatever it holds, so ids share
+# keys; a busy session still lies in several.
+ID_PARTS = 4
 
 
 def answers_once(stream: DataFrame, timeout_s: int = fixed.PERMISSION_TIMEOUT_S, delay: str = "10 minutes", refusal: str = "deny") -> DataFrame:
     """A row per request, given once: the first answer to its id within the timeout (the smallest text of several at one
     time), or the refusal. Times are microseconds. Rows without id or time are left out."""
     kinds = ("permission_request", "permission_resolved")
+    # what a row says is one text: each column more is paid for by row in Python
+    what = F.concat_ws(",", F.unix_micros("ts"), F.coalesce(F.col("event_id").cast("long").cast("string"), F.lit("")),
+                       F.col("kind") == kinds[0], F.coalesce("decision", F.lit("")))
     rows = stream.where(F.col("kind").isin(*kinds) & F.col("id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay).select(
-        "session_id", "id", "ts", F.unix_micros("ts").alias("micros"), F.col("event_id").cast("long").alias("event_id"), "decision",
-        (F.col("kind") == kinds[0]).alias("is_request"))
+        "session_id", F.pmod(F.xxhash64("id"), F.lit(ID_PARTS)).cast("int").alias("part"), "id", "ts", what.alias("what"))
     types = {c: stream.schema[c].dataType.simpleString() for c in ("session_id", "id")}
     schema = f"session_id {types['session_id']}, id {types['id']}, request_id long, asked_at long, said_at long, decision string"
-    return rows.groupBy("session_id", "id").transformWithState(OneAnswer(timeout_s, refusal), schema, "Append", "EventTime")
+    return rows.groupBy("session_id", "part").transformWithState(OneAnswer(timeout_s, refusal), schema, "Append", "EventTime")
 
 
 class InOrder(StatefulProcessor):

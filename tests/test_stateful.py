@@ -138,6 +138,82 @@ def test_a_request_is_answered_when_nothing_earlier_can_arrive(spark):
     assert feed.held() == {"x"}
 
 
+def test_ids_of_a_session_share_a_few_keys(spark):
+    """State costs by key: many ids of a session lie in few keys, the ids of a busy one in more than one."""
+    feed = Feed(spark)
+    feed.add([event("a", k, k % 7, "permission_request", id=k) for k in range(200)])
+    assert feed.run(lambda s: stateful.answers_once(s, 60, "10 seconds")) == []
+    keys = spark.read.format("statestore").option("path", f"{feed.work}/state").option("stateVarName", "state").load().select("key").collect()
+    assert {r.key[0] for r in keys} == {"a"} and 1 < len(keys) <= stateful.ID_PARTS
+    feed.add([event("x", 900, 90, "permission_request", id=1)])
+    got = feed.run(lambda s: stateful.answers_once(s, 60, "10 seconds"))
+    assert sorted(r[2] for r in got) == list(range(200)) and feed.held() == {"x"}
+
+
+class Handle:
+    """Stands in for the state of one key and counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+    def listTimers(self):
+        self.calls.append("list")
+        return iter(sorted(self.timers))
+
+    def took(self):
+        calls, self.calls = self.calls, []
+        return calls
+
+
+def test_calls_of_an_answer():
+    """A timer is known from the state, and only touched when it moves."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    handle, machine = Handle(), stateful.OneAnswer(60, "deny")
+    machine.init(handle)
+    rows = lambda *events: iter([Row(id=1, what=f"{s * SECOND},{n},{str(asks).lower()},{said}") for s, n, asks, said in events])
+    list(machine.handleInputRows(("a", 0), rows((100, 1, True, ""), (130, 2, True, "")), None))
+    assert handle.took() == ["exists", "update", "register"] and handle.timers == {160_000}
+    list(machine.handleInputRows(("a", 0), rows((170, 3, False, "once")), None))
+    assert handle.took() == ["exists", "get", "update"]
+    list(machine.handleInputRows(("a", 0), rows((140, 4, False, "always")), None))
+    assert handle.took() == ["exists", "get", "delete", "update", "register"] and handle.timers == {140_000}
+    got = list(machine.handleExpiredTimer(("a", 0), TimerValues(0, 150_000), ExpiredTimerInfo(140_000)))
+    handle.timers.remove(140_000)
+    assert sorted(r.request_id for r in got) == [1, 2] and {r.decision for r in got} == {"always"}
+    assert handle.took() == ["exists", "get", "update", "register"] and handle.timers == {170_000}
+    assert list(machine.handleExpiredTimer(("a", 0), TimerValues(0, 170_000), ExpiredTimerInfo(170_000))) == []
+    assert handle.took() == ["exists", "get", "clear"] and handle.value is None
+
+
 @pytest.mark.parametrize("name", ["stream_usage_runs", "stream_step_runs", "stream_permission_once"])
 def test_empty_stream(spark, tmp_path, name):
     from loomshift.plans import catalogue
