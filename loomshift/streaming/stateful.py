@@ -93,12 +93,14 @@ class SessionRuns(Timed):
         runs = [Run(*r) for r in held or ()]
         ends = [r.last for r in runs]
         for row in rows:
-            at = (row.micros, row.event_id)
-            new = Run(row.micros, row.micros, 1, [getattr(row, t) or 0 for t in TOKENS], [at] if row.is_step else [], at if row.is_cancel else None)
+            is_step, is_cancel, micros, event_id, *tokens = row.what.split(",")
+            micros = int(micros)
+            at = (micros, int(event_id) if event_id else None)
+            new = Run(micros, micros, 1, map(int, tokens), [at] if is_step == "true" else [], at if is_cancel == "true" else None)
             # runs lie apart by at least the gap; the new event meets those it is nearer to
-            low = bisect_left(ends, row.micros - self.gap + 1)
+            low = bisect_left(ends, micros - self.gap + 1)
             high = low
-            while high < len(runs) and runs[high].first < row.micros + self.gap:
+            while high < len(runs) and runs[high].first < micros + self.gap:
                 new.join(runs[high], self.most + 1)
                 high += 1
             runs[low:high], ends[low:high] = [new], [new.last]
@@ -124,9 +126,10 @@ def session_runs(stream: DataFrame, gap_s: int, max_steps: int = fixed.MAX_STEPS
     """A row per closed run of a session: its bounds (microseconds), token sums, steps up to the cap or to the cancellation,
     whichever came first. `cancel` tells the events that cancel; without it those of kind `cancel`."""
     cancel = F.col("kind") == "cancel" if cancel is None else cancel
-    rows = stream.withWatermark("ts", delay).select(
-        "session_id", "ts", F.col("event_id").cast("long").alias("event_id"), F.unix_micros("ts").alias("micros"),
-        *[F.col(t).cast("long").alias(t) for t in TOKENS], (F.col("kind") == "tool_call").alias("is_step"), cancel.alias("is_cancel"))
+    # what a row says is one text: each column more is paid for by row in Python
+    what = F.concat_ws(",", *[F.coalesce(c, F.lit(False)) for c in (F.col("kind") == "tool_call", cancel)], F.unix_micros("ts"),
+                       F.coalesce(F.col("event_id").cast("long").cast("string"), F.lit("")), *[F.coalesce(F.col(t).cast("long"), F.lit(0)) for t in TOKENS])
+    rows = stream.withWatermark("ts", delay).select("session_id", "ts", what.alias("what"))
     schema = RUNS.format(id=stream.schema["session_id"].dataType.simpleString())
     return rows.where("ts IS NOT NULL").groupBy("session_id").transformWithState(SessionRuns(gap_s, max_steps), schema, "Append", "EventTime")
 

@@ -214,6 +214,24 @@ def test_calls_of_an_answer():
     assert handle.took() == ["exists", "get", "clear"] and handle.value is None
 
 
+def test_calls_of_a_run():
+    """A session costs three calls in its first batch whatever its events, and its runs are one packed value."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    handle, machine = Handle(), stateful.SessionRuns(30, 2)
+    machine.init(handle)
+    rows = lambda *times: iter([Row(what=f"true,{str(s == 205).lower()},{s * SECOND},{s},1,2,3,0") for s in times])
+    list(machine.handleInputRows(("a",), rows(*range(240, 200, -5), *range(100, 130, 5)), None))
+    assert handle.took() == ["exists", "update", "register"] and handle.timers == {155_000} and isinstance(handle.value[0], bytes)
+    list(machine.handleInputRows(("a",), rows(300), None))
+    assert handle.took() == ["exists", "get", "update"]
+    got = list(machine.handleExpiredTimer(("a",), TimerValues(0, 280_000), ExpiredTimerInfo(155_000)))
+    handle.timers.remove(155_000)
+    assert handle.took() == ["exists", "get", "update", "register"] and handle.timers == {330_000}
+    assert [tuple(r) for r in got] == [("a", 100 * SECOND, 155 * SECOND, 6, 6, 12, 18, 0, 2, True, False), ("a", 205 * SECOND, 270 * SECOND, 8, 8, 16, 24, 0, 0, False, True)]
+
+
 @pytest.mark.parametrize("name", ["stream_usage_runs", "stream_step_runs", "stream_permission_once"])
 def test_empty_stream(spark, tmp_path, name):
     from loomshift.plans import catalogue
