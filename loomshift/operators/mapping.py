@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os.path
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -321,21 +323,44 @@ def trie_pattern(words: list[str]) -> str:
     return spelled(trie) if trie else "(?!)"
 
 
-def heads_of(rules: DataFrame, key: str) -> list[str] | None:
-    """Distinct beginnings of the keys, as long as there are at most MAX_HEADS of them; None where even first characters are more."""
-    counts = rules.agg(*[F.approx_count_distinct(F.substr(key, F.lit(1), F.lit(n))).alias(f"n{n}") for n in HEAD_LENGTHS]).first()
-    for n in sorted(HEAD_LENGTHS, reverse=True):
-        if counts[f"n{n}"] <= MAX_HEADS:
-            found = rules.select(F.substr(key, F.lit(1), F.lit(n)).alias("h")).distinct().limit(MAX_HEADS + 1).collect()
-            if len(found) <= MAX_HEADS:
-                return [r.h for r in found]
-    return None
-
-
-def _starts(content: Column, rules: DataFrame, key: str, behind: str = "") -> Column:
+def key_shapes(most: int, head_lengths: tuple[int, ...] = HEAD_LENGTHS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For `mapInArrow` over one column of keys: the lengths that occur as (0, length), and the distinct beginnings of n characters
+    as (n, head), n as long as there are at most `most` of them, or (-1, null). One pass that holds little, whatever the number of keys."""
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths: set = set()
+        shorter = sorted(head_lengths)
+        n, heads = shorter.pop(), set()
+        for batch in batches:
+            keys = batch.column(0).drop_null()
+            lengths.update(pc.unique(pc.utf8_length(keys)).to_pylist())
+            if n > 0:
+                heads.update(pc.unique(pc.utf8_slice_codeunits(keys, 0, n)).to_pylist())
+            while len(heads) > most:
+                n = shorter.pop() if shorter else -1
+                heads = {h[:n] for h in heads} if n > 0 else set()
+        rows = [(0, str(x)) for x in lengths] + ([(n, h) for h in heads] if n > 0 else [(-1, None)])
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.string())], names=["n", "head"])
+
+    return shapes
+
+
+def shape_of(rules: DataFrame, key: str) -> tuple[list[int], list[str] | None]:
+    """Lengths of the keys, and their distinct beginnings, as long as there are at most MAX_HEADS of them; None where even first
+    characters are more."""
+    found = stored(rules.select(key).mapInArrow(key_shapes(MAX_HEADS), "n int, head string").distinct(), "key-shapes")
+    lengths = sorted(int(r.head) for r in found.where("n = 0").collect())
+    # tasks may have stopped at different lengths
+    least = found.where("n <> 0").agg(F.min("n")).first()[0] or 0
+    for n in sorted((x for x in HEAD_LENGTHS if x <= least), reverse=True):
+        heads = found.where("n > 0").select(F.substr("head", F.lit(1), F.lit(n)).alias("h")).distinct().limit(MAX_HEADS + 1).collect()
+        if len(heads) <= MAX_HEADS:
+            return lengths, [r.h for r in heads]
+    return lengths, None
+
+
+def _starts(content: Column, longest: int, heads: list[str] | None, behind: str = "") -> Column:
     """Every place of a text where a key of the rules may begin, as the text from there on, no longer than the longest key."""
-    longest = rules.agg(F.max(F.length(key))).first()[0] or 1
-    heads = heads_of(rules, key)
     head = "" if heads is None else f"(?={trie_pattern(heads)})"
     pattern = rf"{behind}{head}(?=([\s\S]{{1,{longest}}}))"
     return F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)))
@@ -354,15 +379,20 @@ def with_rules(classified: DataFrame, datasets: DataFrame | None, prefixes: Data
     for out, table, key, value in (("__names", datasets, "hive_name", "dataset"), ("__paths", prefixes, "prefix", "target")):
         if table is None:
             continue
-        rules = table.where(F.col(key).isNotNull() & F.col(value).isNotNull() & (F.col(key) != ""))
-        rules = stored(rules.groupBy(F.col(key).alias("key")).agg(F.max(value).alias("value")), "rules")
-        quoted = _starts(content, rules, "key", "(?<=[=\"'{])" if out == "__names" else "(?<=[\"'])")
-        starts = quoted if out == "__names" else F.when(kind.isin("shell", "config"), _starts(content, rules, "key")).otherwise(quoted)
-        lengths = rules.agg(F.collect_set(F.length("key")).alias("x")).scalar()
+        rules = table.select(F.col(key).alias("key"), F.col(value).alias("value"))
+        lengths, heads = shape_of(rules, "key")
+        # an empty key is no rule
+        lengths, heads = [n for n in lengths if n > 0], heads and [h for h in heads if h]
+        longest = max(lengths, default=1)
+        quoted = _starts(content, longest, heads, "(?<=[=\"'{])" if out == "__names" else "(?<=[\"'])")
+        starts = quoted if out == "__names" else F.when(kind.isin("shell", "config"), _starts(content, longest, heads)).otherwise(quoted)
         places = classified.where(kind.isin(*_REWRITTEN)).select("rel_path", F.explode(starts).alias("start"))
-        places = places.select("rel_path", "start", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("start"))
-        heads = places.select("rel_path", F.substr("start", F.lit(1), F.col("n")).alias("key")).distinct()
-        found.append(heads.join(rules, "key").select("rel_path", F.lit(out).alias("kind"), F.struct("key", "value").alias("rule")))
+        places = places.select("rel_path", "start", F.explode(F.lit(lengths).cast("array<int>")).alias("n")).where(F.col("n") <= F.length("start"))
+        tried = stored(places.select("rel_path", F.substr("start", F.lit(1), F.col("n")).alias("key")).distinct(), "tried-keys")
+        # the table moves once and unsorted to the keys that occur; what it has of them is grouped, nulls do not count
+        used = tried.select("key").distinct().hint("shuffle_hash").join(rules, "key").groupBy("key").agg(F.max("value").alias("value"))
+        used = used.where(F.col("value").isNotNull())
+        found.append(tried.join(used, "key").select("rel_path", F.lit(out).alias("kind"), F.struct("key", "value").alias("rule")))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     if not found:
         return classified.withColumns({"__names": none, "__paths": none})

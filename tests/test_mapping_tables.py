@@ -75,3 +75,35 @@ def test_rules_without_tables_of_use(spark):
     empty = spark.createDataFrame([], "prefix string, target string")
     got = files.transform(stages.discover).transform(stages.convert, {}, empty).first()
     assert got.converted == "cp /corp/x y"
+
+
+def test_key_shapes(monkeypatch, spark):
+    """One pass tells lengths and heads, the longest heads that are few enough, over tasks that see different keys."""
+    rnd = random.Random(5)
+    keys = [rnd.choice(["/a/b", "/a/ç", "x"]) + str(rnd.randrange(10 ** rnd.randrange(1, 6))) for _ in range(3000)] + [None, "", "/a/b1"]
+    rules = spark.createDataFrame([(k,) for k in keys], "key string").repartition(5)
+    real = {k for k in keys if k is not None}
+    for most in (4000, 200, 40, 3, 2, 1):
+        monkeypatch.setattr(mapping, "MAX_HEADS", most)
+        lengths, heads = mapping.shape_of(rules, "key")
+        fits = [n for n in mapping.HEAD_LENGTHS if len({k[:n] for k in real}) <= most]
+        assert lengths == sorted({len(k) for k in real})
+        assert (heads is None) if not fits else sorted(heads) == sorted({k[: max(fits)] for k in real})
+
+
+def test_rules_are_not_grouped_whole(spark, monkeypatch):
+    """Only what a table has of the keys that occur is kept; the table itself is neither stored nor grouped."""
+    kept = {}
+
+    def watched(df, label):
+        out = stored(df, label)
+        kept[label] = max(kept.get(label, 0), out.count())
+        return out
+
+    stored = mapping.stored
+    monkeypatch.setattr(mapping, "stored", watched)
+    rules = spark.range(50_000).select(F.concat(F.lit("/corp/t"), "id").alias("prefix"), F.concat(F.lit("gs://b/"), "id").alias("target"))
+    files = spark.createDataFrame([("a.sh", "cp /corp/t49999/x"), ("b.hql", "'/corp/t77'")], "rel_path string, content string")
+    got = {r.rel_path: r.converted for r in files.transform(stages.discover).transform(stages.convert, {}, rules).collect()}
+    assert got == {"a.sh": "cp gs://b/49999/x", "b.hql": "'gs://b/77'"}
+    assert max(kept.values()) <= mapping.MAX_HEADS + 100
